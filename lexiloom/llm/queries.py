@@ -37,9 +37,59 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
+FROM d JOIN g USING (t)
+"""
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.quality import fit, score
+
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.warc import read_archives, write_archives
+
+    return read_archives(write_archives(read(spark, sf_dir, "pages")))
+
+
+#: Base 32 of a SHA-1 digest, five hexadecimal digits (four base-32 letters) at a time.
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x FROM p),
+b AS (SELECT page_id, payload_bytes, x, list_aggregate(list_transform(range(0, 8), lambda i:
+    list_aggregate(list_transform([32768, 1024, 32, 1], lambda q:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, CAST(i * 5 + 1 AS INT), 5))::BIGINT // q) % 32 + 1)::INT, 1)), 'string_agg', '')
+    ), 'string_agg', '') AS payload_digest FROM d),
+g AS (SELECT x, payload_bytes, max(page_id) AS response FROM d GROUP BY x, payload_bytes)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN page_id IS DISTINCT FROM response THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to
+FROM b JOIN g USING (x, payload_bytes)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_token_counts": op1_token_counts, "op2_simhash": op2_simhash, "op8_bpe": op8_bpe}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op2_simhash": op2_simhash,
+        "op5_exact_dedup": op5_exact_dedup,
+        "op8_bpe": op8_bpe,
+        "op9_quality": op9_quality,
+        "op10_warc": op10_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": OP5_SQL, "op10_warc": OP10_SQL}
