@@ -58,7 +58,7 @@ def located(rows: DataFrame, places: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
     """(index pages, directory), both in the shared folder."""
     found = written(entries(docs, id_col, text_col), "entries")
-    places = written(directory(found, capacity).coalesce(1), "directory")
+    places = written(directory(found, capacity), "directory")
     chain = Window.partitionBy("bucket", "h").orderBy("sha")
     pages = located(found, places).repartition("bucket").withColumn("chain", F.row_number().over(chain)).sortWithinPartitions("bucket", "h", "chain")
     index = written(pages, "index")
