@@ -37,6 +37,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.media import media_digests
+
+    return media_digests(read(spark, sf_dir, "documents"))
+
+
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiloom.llm.lm import lm_scores
 
@@ -90,6 +96,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_simhash": op2_simhash,
+        "op3_media": op3_media,
         "op4_lm_scores": op4_lm_scores,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_bpe": op8_bpe,
