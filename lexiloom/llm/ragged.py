@@ -91,8 +91,10 @@ def merge_lowest(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) ->
         stay[hit + 1] = False
         at = np.cumsum(stay)[hit] - 1  # where the merged symbols are afterwards
         sym, seq, rank, made = sym[stay], seq[stay], rank[stay], made[stay]
-        near = np.unique(np.concatenate((at, at - 1)))
-        near = near[near >= 0]
+        beside = np.zeros(len(sym), dtype=bool)
+        beside[at] = True
+        beside[at[at > 0] - 1] = True
+        near = np.flatnonzero(beside)
         rank[near] = NONE
         near = near[near < len(sym) - 1]
         near = near[seq[near] == seq[near + 1]]
