@@ -137,15 +137,13 @@ def _order(g: Geometry, parts: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray,
 
 def segments_of(orders: list[tuple[np.ndarray, np.ndarray, int]], restarts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first entry, entries, image) of every restart segment of a scan over several images."""
-    first, size, image, at = [], [], [], 0
-    for i, ((blocks, _, unit), restart) in enumerate(zip(orders, restarts, strict=True)):
-        step = restart * unit or max(len(blocks), 1)
-        starts = np.arange(0, len(blocks), step)
-        first.append(starts + at)
-        size.append(np.minimum(step, len(blocks) - starts))
-        image.append(np.full(len(starts), i))
-        at += len(blocks)
-    return np.concatenate(first), np.concatenate(size), np.concatenate(image)
+    n = np.array([len(blocks) for blocks, _, _ in orders], dtype=np.int64)
+    step = np.array([restart * unit for restart, (_, _, unit) in zip(restarts, orders, strict=True)], dtype=np.int64)
+    step = np.where(step > 0, step, np.maximum(n, 1))
+    times = -(-n // step)
+    image = np.repeat(np.arange(len(n)), times)
+    inside = (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)) * step[image]
+    return inside + (np.cumsum(n) - n)[image], np.minimum(step[image], n[image] - inside), image
 
 
 def bits_of(v: np.ndarray) -> np.ndarray:

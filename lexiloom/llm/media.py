@@ -29,7 +29,7 @@ from lexiloom.llm.common import prepare, text_of
 UNIT, FILL = 576, b"\xff"
 SHEET = UNIT * 1024
 #: Payload bytes encoded and decoded together.
-TOGETHER = 1 << 20
+TOGETHER = 2 << 20
 SAMPLING = ((2, 2), (1, 1), (1, 1))
 
 
