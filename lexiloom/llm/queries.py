@@ -31,6 +31,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.pii import pseudonymise
+
+    return pseudonymise(read(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiloom.llm.bpe import round_trip
 
@@ -99,6 +105,7 @@ def queries() -> dict[str, Query]:
         "op3_media": op3_media,
         "op4_lm_scores": op4_lm_scores,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_pii": op6_pii,
         "op8_bpe": op8_bpe,
         "op9_quality": op9_quality,
         "op10_warc": op10_warc,
