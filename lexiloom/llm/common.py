@@ -58,7 +58,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     """``df`` as a table in the shared folder: computed once, with no lineage left to recompute."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "snappy")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
