@@ -37,6 +37,56 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(read(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.mixing import mix
+
+    return mix(read(spark, sf_dir, "documents"))
+
+
+def op7_sql() -> str:
+    """The fit as a recursion over one row of factor lists, one marginal a step."""
+    from lexiloom.llm import mixing as x
+
+    def numbers(d: str) -> str:
+        return f"n_{d} AS (SELECT {d}, CAST(row_number() OVER (ORDER BY {d}) AS INT) AS i_{d} FROM (SELECT DISTINCT {d} FROM cells))"
+
+    def lists(d: str) -> str:
+        return f"""g_{d} AS (SELECT list(g ORDER BY i_{d}) AS by_{d}, list(pow(own / (SELECT a FROM tot), {x.TEMPER[d]}) ORDER BY i_{d}) AS raw_{d}
+            FROM (SELECT i_{d}, sum(m) AS own, list({{'s': i_source, 'l': i_lang, 't': i_topic, 'm': m}} ORDER BY i_source, i_lang, i_topic) AS g FROM num GROUP BY i_{d}))"""
+
+    short = {"source": "s", "lang": "l", "topic": "t"}
+
+    def step(d: str) -> str:
+        others = " * ".join(f"f_{o}[c.{short[o]}]" for o in x.DIMS if o != d)
+        return f"list_transform(range(1, len(by_{d}) + 1), lambda k: a * raw_{d}[k] / list_sum(raw_{d}) / list_sum(list_transform(by_{d}[k], lambda c: c.m * {others})))"
+
+    factor = ", ".join(f"CASE WHEN i % 3 = {k} THEN {step(d)} ELSE f_{d} END" for k, d in enumerate(x.DIMS))
+    ones = ", ".join(f"list_transform(by_{d}, lambda g: 1.0::DOUBLE) AS f_{d}" for d in x.DIMS)
+    return f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS x FROM documents),
+u AS (SELECT doc_id, source, lang, x, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM t),
+v AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN contains(x, ' | ') THEN 'table' WHEN contains(x, 'Licensed under') THEN 'licensed'
+    WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 1000 THEN 'article' ELSE 'long' END AS topic FROM u),
+ts AS (SELECT source FROM v GROUP BY source ORDER BY sum(n_tokens) DESC, source LIMIT {x.MAX_SOURCES}),
+tl AS (SELECT lang FROM v GROUP BY lang ORDER BY sum(n_tokens) DESC, lang LIMIT {x.MAX_LANGS}),
+d AS (SELECT doc_id, CASE WHEN source IN (FROM ts) THEN source ELSE '(other)' END AS source, CASE WHEN lang IN (FROM tl) THEN lang ELSE '(other)' END AS lang, topic, n_tokens FROM v),
+cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS m FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
+tot AS MATERIALIZED (SELECT sum(m) AS a FROM cells),
+{", ".join(numbers(d) for d in x.DIMS)},
+num AS (SELECT * FROM cells JOIN n_source USING (source) JOIN n_lang USING (lang) JOIN n_topic USING (topic)),
+{", ".join(lists(d) for d in x.DIMS)},
+fit AS (SELECT 0 AS i, (SELECT a FROM tot) AS a, by_source, by_lang, by_topic, raw_source, raw_lang, raw_topic, {ones} FROM g_source, g_lang, g_topic
+    UNION ALL SELECT i + 1, a, by_source, by_lang, by_topic, raw_source, raw_lang, raw_topic, {factor} FROM fit WHERE i < {3 * x.ROUNDS}),
+w AS (SELECT source, lang, topic, m, f_source[i_source] * f_lang[i_lang] * f_topic[i_topic] AS w FROM num, fit WHERE i = {3 * x.ROUNDS}),
+p AS (SELECT list({{'m': m, 'w': w}}) AS c FROM w),
+sc AS (SELECT 0 AS i, (SELECT a FROM tot) AS a, {x.KEEP}::DOUBLE AS x, c FROM p UNION ALL
+    SELECT i + 1, a, x * {x.KEEP} * a / list_sum(list_transform(c, lambda y: y.m * least(1.0, x * y.w))), c FROM sc WHERE i < {x.SCALE_ROUNDS}),
+r AS (SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(coalesce(w, 1.0), 6) AS weight, round(coalesce(least(1.0, w * (SELECT x FROM sc WHERE i = {x.SCALE_ROUNDS})), 1.0), 6) AS probability
+    FROM d LEFT JOIN w USING (source, lang, topic))
+SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < probability AS sampled FROM r
+"""
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexiloom.llm.bpe import round_trip
 
@@ -106,6 +156,7 @@ def queries() -> dict[str, Query]:
         "op4_lm_scores": op4_lm_scores,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_pii": op6_pii,
+        "op7_mixing": op7_mixing,
         "op8_bpe": op8_bpe,
         "op9_quality": op9_quality,
         "op10_warc": op10_warc,
@@ -113,4 +164,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op10_warc": OP10_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op7_mixing": op7_sql(), "op10_warc": OP10_SQL}
