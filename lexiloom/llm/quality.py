@@ -143,12 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([r[1] for r in rows], [int(r[2]) for r in rows])
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """id, held_out, score and predicted of every row; with ``keep`` all columns of ``docs`` and the last two.
-
-    Narrow: no shuffle.
-    """
-    prepare(docs.sparkSession)
+def _scores(model: Model):
     weight, bias = model.weight, model.bias
 
     @F.pandas_udf("double")
@@ -157,5 +152,17 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int = 5,
 
         return pd.Series(Model(weight, bias).scores(texts.tolist()))
 
-    out = docs.withColumn("score", scores(text_of(text_col))) if keep else docs.select(F.col(id_col), F.coalesce(remainder(id_col, folds) == 0, F.lit(False)).alias("held_out"), scores(text_of(text_col)).alias("score"))
+    return scores
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, held_out, score and predicted of every row.  Narrow: no shuffle."""
+    prepare(docs.sparkSession)
+    out = docs.select(F.col(id_col), F.coalesce(remainder(id_col, folds) == 0, F.lit(False)).alias("held_out"), _scores(model)(text_of(text_col)).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    prepare(docs.sparkSession)
+    return docs.filter(_scores(model)(text_of(text_col)) >= threshold)
