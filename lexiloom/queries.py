@@ -1,9 +1,301 @@
-"""Queries of the phrase index and the pattern search, with their SQL."""
+"""Queries of the phrase index and the pattern search over the test tables, with the SQL that must give the same."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import zlib
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from lexiloom import session
+from lexiloom.functions import markup
+from lexiloom.functions import text as T
+from lexiloom.operators import index as I
+from lexiloom.operators import search as S
+from lexiloom.plans.pattern import Matcher
+from lexiloom.sources import readers as R
+
+CUTOFF = 5
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    session.attach(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return R.lines_of(_table(spark, sf_dir, "documents"), "text", *keep)
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of ``documents``, built once per session and folder as any search engine's is."""
+    path = f"{session.shared_dir(spark)}/index-{zlib.crc32(sf_dir.encode()):08x}-{spark.sparkContext.applicationId}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        R.save_index(I.build_index(_lines(spark, sf_dir), CUTOFF), path, "overwrite")
+    session.attach(spark)
+    return R.load_index(spark, path)
+
+
+# SQL views: L lines, K chain counts, P prefix counts, I the pruned index, X its terminals.
+_NORM = "ltrim(lower(regexp_replace(replace(line || chr(10), '''', ''), '[^A-Za-z0-9]+', ' ', 'g')))"
+_L = "L AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)"
+_CHAINS = """list_transform(flatten(list_transform(list_filter(range(1, length(t) + 1), lambda i: i = 1 OR substr(t, i - 1, 1) = ' '),
+    lambda s: range(s, s + length(split_part(substr(t, s), ' ', 1)), 40))), lambda s: substr(t, s, 40))"""
+_PREFIXES = "list_transform(list_filter(range(1, length(chain) + 1), lambda i: substr(chain, i, 1) = ' '), lambda i: substr(chain, 1, i))"
+_K = f"K AS (SELECT chain, count(*) AS n FROM (SELECT unnest({_CHAINS}) AS chain FROM (SELECT {_NORM} AS t FROM L) WHERE t <> '') GROUP BY chain)"
+_P = f"P AS (SELECT text, sum(n)::BIGINT AS c FROM (SELECT unnest({_PREFIXES}) AS text, n FROM K) GROUP BY text)"
+_I = f"I AS MATERIALIZED (SELECT text, c FROM P WHERE c >= {CUTOFF})"
+_X = """X AS MATERIALIZED (SELECT I.text, (I.c - coalesce(b.s, 0))::BIGINT AS n FROM I LEFT JOIN
+    (SELECT regexp_replace(text, '[^ ]+ $', '') AS text, sum(c) AS s FROM I GROUP BY 1) b ON b.text = I.text WHERE I.c > coalesce(b.s, 0))"""
+_BASE = f"WITH {_L}, {_K}, {_P}, {_I}, {_X} "
+_BARE = "replace(text, ' ', '')"
+
+
+def _top(where: str, limit: str = "LIMIT 100") -> str:
+    return f"{_BASE} SELECT c::DOUBLE AS score, rtrim(text) AS text FROM I WHERE {where} ORDER BY score DESC, text {limit}"
+
+
+#: name: (query, SQL condition on the index's text)
+FIND = {
+    "find_literal": ('"the"', "text = 'the '"),
+    "find_unquoted_literal": ("thin", f"{_BARE} = 'thin'"),
+    "find_prefix": ("the_*", f"regexp_matches({_BARE}, '^the[0-9a-z]*$')"),
+    "find_suffix": ("_*est", f"regexp_matches({_BARE}, '^[0-9a-z]*est$')"),
+    "find_quoted": ('"CVCVC"', "regexp_matches(text, '^[b-df-hj-np-tv-z][aeiou][b-df-hj-np-tv-z][aeiou][b-df-hj-np-tv-z] $')"),
+    "find_unquoted_spaces": ("CVCVCV", f"regexp_matches({_BARE}, '^([b-df-hj-np-tv-z][aeiou]){{3}}$')"),
+    "find_classes": ('"[^aeiou ]V[a-fr-t][#A]_{1,4}"', "regexp_matches(text, '^[0-9b-df-hj-np-tv-z][aeiou][a-fr-t][0-9a-z][0-9a-z]{1,4} $')"),
+    "find_any": ('"the .{3}"', "regexp_matches(text, '^the [0-9a-z ]{3} $')"),
+    "find_alternation": ('"(of|to|in) (the|and|a)"', "regexp_matches(text, '^(of|to|in) (the|and|a) $')"),
+    "find_counted": ('"(th){2,3}_{0,2}|V{2}C{3}"', "regexp_matches(text, '^((th){2,3}[0-9a-z]{0,2}|[aeiou]{2}[b-df-hj-np-tv-z]{3}) $')"),
+    "find_optional_space": ('"of-the-_*"', "regexp_matches(text, '^of ?the ?[0-9a-z]* $')"),
+    "find_intersection": ('"_*a_*&_*b_*&_{5,}"', "regexp_matches(text, '^[0-9a-z]{5,} $') AND contains(text, 'a') AND contains(text, 'b')"),
+    "find_letterbank": ("[aehnrt]*&_*a_*&_*e_*&_*t_*", f"regexp_matches({_BARE}, '^[aehnrt]+$') AND contains(text, 'a') AND contains(text, 'e') AND contains(text, 't')"),
+    "find_nested_intersection": ("(t?h?e?&__)(_{3})", f"regexp_matches({_BARE}, '^(th|te|he)[0-9a-z]{{3}}$')"),
+    "find_anagram_letters": ("<aeht>", f"list_aggregate(list_sort(string_split({_BARE}, '')), 'string_agg', '') = 'aeht'"),
+    "find_anagram_chunks": ("<(th)(er)_>", f"regexp_matches({_BARE}, '^(ther[0-9a-z]|th[0-9a-z]er|erth[0-9a-z]|er[0-9a-z]th|[0-9a-z]ther|[0-9a-z]erth)$')"),
+    "find_anagram_ordered": ("<eth>&_*t_*h_*", f"{_BARE} IN ('the', 'teh', 'eth')"),
+}
+
+
+def _find(query: str) -> Query:
+    return lambda spark, d: S.find(_index(spark, d), query)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From texts to the most frequent phrases that start with "the", in one plan of native operators."""
+    session.attach(spark)
+    return S.find(I.build_index(_lines(spark, sf_dir), 2), '"the( _+)*"')
+
+
+def normalize_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d, "doc_id").select("doc_id", T.normalize(F.col("line")).alias("norm"))
+
+
+def chain_counts(spark: SparkSession, d: str) -> DataFrame:
+    return I.chain_counts(_lines(spark, d))
+
+
+def prefix_counts(spark: SparkSession, d: str) -> DataFrame:
+    return I.prefix_counts(I.chain_counts(_lines(spark, d)), CUTOFF)
+
+
+def prune_terminals(spark: SparkSession, d: str) -> DataFrame:
+    return I.terminals(_index(spark, d).select("text", "c"))
+
+
+def index_columns(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).select("text", "c", "first_ch", "n_words", "n_letters", "parent", "letters_key", "phone_key")
+
+
+def corpus_total(spark: SparkSession, d: str) -> DataFrame:
+    return I.corpus_total(_index(spark, d))
+
+
+def merge_shards(spark: SparkSession, d: str) -> DataFrame:
+    shards = [I.chain_counts(R.lines_of(_table(spark, d, t))) for t in ("documents", "benchmark", "conversations")]
+    return I.merge(shards, CUTOFF)
+
+
+def merge_two_stage(spark: SparkSession, d: str) -> DataFrame:
+    rows = _lines(spark, d, "source").select(F.coalesce("source", F.lit("")).alias("g"), T.normalize(F.col("line")).alias("norm")).filter("norm <> ''")
+    counted = rows.select("g", F.explode(T.chains("norm")).alias("chain")).groupBy("g", "chain").agg(F.count("*").alias("n"))
+    return I.merge_two_stage(counted, "g", 2, CUTOFF)
+
+
+def title_boost(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select(F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+    weight = F.when(F.col("i") == 0, R.TITLE_WEIGHT).otherwise(1)
+    return I.prefix_counts(I.chain_counts(docs, weight=weight), 20)
+
+
+def _framed(spark: SparkSession, d: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    plain = F.concat(F.lit("BEGIN ARTICLE: doc "), F.col("doc_id"), F.lit("\n"), text, F.lit("\nEND ARTICLE: doc"))
+    block = F.concat(F.lit("<doc id="), F.col("doc_id"), F.lit(">\n"), text, F.lit("\n</doc>"))
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.when(F.col("doc_id") % 2 == 0, plain).otherwise(block).alias("t"))
+    return docs.select("file", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
+
+
+def framing(spark: SparkSession, d: str) -> DataFrame:
+    return R.frame_articles(_framed(spark, d)).select("file", F.col("line_no").cast("long"), "line", "is_title", F.col("weight").cast("long"))
+
+
+def dump_index(spark: SparkSession, d: str) -> DataFrame:
+    return I.dump(_index(spark, d).select("text", "c"))
+
+
+def explore_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return I.explore(_index(spark, d).select("text", "c"), "th", 4)
+
+
+def children_range(spark: SparkSession, d: str) -> DataFrame:
+    return I.children(_index(spark, d).select("text", "c"), "th", "a", "m")
+
+
+def anagrams(spark: SparkSession, d: str) -> DataFrame:
+    return S.find_anagrams(_index(spark, d), "teha")
+
+
+def phone_words(spark: SparkSession, d: str) -> DataFrame:
+    return S.find_phone_words(_index(spark, d), "843")
+
+
+TWO = '"(the|of|to) (the|of|and)"'
+
+
+def splice_two(spark: SparkSession, d: str) -> DataFrame:
+    index = _index(spark, d)
+    return S.splice(index, Matcher("pattern", TWO), I.corpus_total(index).first()[0], limit=None)
+
+
+def splice_n(spark: SparkSession, d: str) -> DataFrame:
+    index = _index(spark, d)
+    return S.splice(index, Matcher("pattern", "<thandof>"), I.corpus_total(index).first()[0], limit=None)
+
+
+def splice_anagram(spark: SparkSession, d: str) -> DataFrame:
+    index = _index(spark, d)
+    return S.splice(index, Matcher("anagram", "ofthe"), I.corpus_total(index).first()[0], limit=50)
+
+
+def splice_phone(spark: SparkSession, d: str) -> DataFrame:
+    index = _index(spark, d)
+    return S.splice(index, Matcher("phone", "63843"), I.corpus_total(index).first()[0], limit=50)
+
+
+def search_page(spark: SparkSession, d: str) -> DataFrame:
+    page = S.search_page(_index(spark, d), "the_*", 20, 20)
+    return page.rows.select("score", "text", F.round("font_size", 6).alias("font_size"))
+
+
+def result_lines(spark: SparkSession, d: str) -> DataFrame:
+    found = S.find(_index(spark, d), "the_*")
+    return found.select(R.result_lines(found).alias("line"))
+
+
+def _html(rule) -> Query:
+    return lambda spark, d: _table(spark, d, "pages").select("page_id", rule(F.coalesce("html", F.lit(""))).alias("text"))
+
+
+#: Samples for the link rules.
+LINKS = ["see [[Paris]] now", "[[Paris|the city]] x", "a [[b]] c [[d|e]]", "[http://x.org/a b c] d", "[https://x.org/] e", "no link", "#REDIRECT [[X]]", "#redirect [[Y]]"]
+_LINKS_SQL = "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(LINKS)) + ") v(id, text)"
+
+
+def _links(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(LINKS)), "id int, text string")
+
+
+def strip_wiki_links(spark: SparkSession, d: str) -> DataFrame:
+    return _links(spark).select("id", markup.strip_wiki_links(F.col("text")).alias("text"))
+
+
+def strip_url_links(spark: SparkSession, d: str) -> DataFrame:
+    return _links(spark).select("id", markup.strip_url_links(F.col("text")).alias("text"))
+
+
+def drop_redirects(spark: SparkSession, d: str) -> DataFrame:
+    return R.with_text(_links(spark).withColumn("title", F.lit("t"))).select("id", "text")
+
+
+def strip_markup(spark: SparkSession, d: str) -> DataFrame:
+    return _html(markup.strip_markup)(spark, d)
+
+
+def streaming_counts(spark: SparkSession, d: str) -> DataFrame:
+    from lexiloom.streaming.incremental import current_counts, stream_counts
+
+    base = f"{session.shared_dir(spark)}/stream-{zlib.crc32(d.encode()):08x}-{spark.sparkContext.applicationId}"
+    source = _table(spark, d, "documents")
+    lines = R.lines_of(spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(_stream_source(d)))
+    stream_counts(lines, f"{base}/counts", f"{base}/progress").awaitTermination()
+    return current_counts(spark, f"{base}/counts")
+
+
+def _stream_source(d: str) -> str:
+    """A pattern, since a stream reads folders and the table may be one file."""
+    return f"{d}/documents.parque[t]"
+
+
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {f.__name__: f for f in (normalize_lines, chain_counts, prefix_counts, prune_terminals, index_columns, corpus_total, merge_shards, merge_two_stage, title_boost, framing, dump_index, explore_prefix, children_range)}
+    out |= {name: _find(q) for name, (q, _) in FIND.items()}
+    out |= {f.__name__: f for f in (anagrams, phone_words, splice_two, splice_n, splice_anagram, splice_phone, search_page, result_lines)}
+    out |= {"strip_tags": _html(markup.strip_tags), "strip_entities": _html(markup.strip_entities), "remove_blocks": _html(markup.remove_blocks), "escape_article_marks": _html(markup.escape_article_marks)}
+    return out | {f.__name__: f for f in (strip_wiki_links, strip_url_links, drop_redirects, strip_markup, streaming_counts)}
+
+
+def _html_sql(pattern: str, to: str) -> str:
+    return f"SELECT page_id, regexp_replace(coalesce(html, ''), '{pattern}', '{to}', 'gis') AS text FROM pages"
+
+
+def oracle_sql() -> dict[str, str]:
+    union = " UNION ALL ".join(f"SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM {t}" for t in ("documents", "benchmark", "conversations"))
+    group_chains = _K.replace("K AS (SELECT chain, count(*)", "K AS (SELECT g, chain, count(*)").replace("SELECT unnest", "SELECT g, unnest").replace("FROM (SELECT ltrim", "FROM (SELECT coalesce(source, '') AS g, ltrim").replace("GROUP BY chain", "GROUP BY g, chain")
+    out = {
+        "normalize_lines": f"WITH {_L} SELECT doc_id, {_NORM} AS norm FROM L",
+        "chain_counts": f"WITH {_L}, {_K} SELECT chain, n::BIGINT AS n FROM K",
+        "prefix_counts": f"WITH {_L}, {_K}, {_P} SELECT text, c FROM P WHERE c >= {CUTOFF}",
+        "prune_terminals": f"{_BASE} SELECT text, n FROM X",
+        "index_columns": f"""{_BASE} SELECT text, c, substr(text, 1, 1) AS first_ch, (length(text) - length({_BARE}))::INT AS n_words, length({_BARE})::INT AS n_letters,
+            regexp_replace(text, '[^ ]+ $', '') AS parent, list_aggregate(list_sort(string_split({_BARE}, '')), 'string_agg', '') AS letters_key,
+            translate({_BARE}, 'abcdefghijklmnopqrstuvwxyz', '22233344455566677778889999') AS phone_key FROM I""",
+        "corpus_total": f"{_BASE} SELECT sum(c)::BIGINT AS n_total FROM I WHERE instr(text, ' ') = length(text)",
+        "merge_shards": f"WITH L AS ({union}), {_K}, {_P} SELECT text, c FROM P WHERE c >= {CUTOFF}",
+        "merge_two_stage": f"""WITH {_L}, {group_chains}, G AS (SELECT g, text, sum(n) AS c FROM (SELECT g, unnest({_PREFIXES}) AS text, n FROM K) GROUP BY g, text HAVING sum(n) >= 2)
+            SELECT text, sum(c)::BIGINT AS c FROM G GROUP BY text HAVING sum(c) >= {CUTOFF}""",
+        "title_boost": f"""WITH D AS (SELECT string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+            L AS (SELECT unnest(a) AS line FROM D UNION ALL SELECT a[1] FROM D, range(9)), {_K}, {_P} SELECT text, c FROM P WHERE c >= 20""",
+        "framing": """WITH F AS (SELECT doc_id AS file, CASE WHEN doc_id % 2 = 0 THEN 'BEGIN ARTICLE: doc ' || doc_id || chr(10) || coalesce(text, '') || chr(10) || 'END ARTICLE: doc'
+                ELSE '<doc id=' || doc_id || '>' || chr(10) || coalesce(text, '') || chr(10) || '</doc>' END AS t FROM documents),
+            A AS (SELECT file, string_split(t, chr(10)) AS a FROM F),
+            N AS (SELECT file, unnest(a) AS line, unnest(range(0, len(a))) AS line_no FROM A),
+            T AS (SELECT *, starts_with(line, 'BEGIN ARTICLE:') OR coalesce(starts_with(lag(line) OVER (PARTITION BY file ORDER BY line_no), '<doc '), false) AS is_title FROM N)
+            SELECT file, line_no, CASE WHEN starts_with(line, 'BEGIN ARTICLE:') THEN substr(line, 15) ELSE line END AS line, is_title, CASE WHEN is_title THEN 10 ELSE 1 END::BIGINT AS weight
+            FROM T WHERE NOT starts_with(line, 'END ARTICLE:') AND NOT starts_with(line, '<doc ') AND (is_title OR NOT starts_with(line, '</doc>'))""",
+        "dump_index": f"{_BASE} SELECT printf('%5d [%s]', n, text) AS line FROM X ORDER BY text",
+        "explore_prefix": f"""{_BASE}, C AS (SELECT unnest(list_transform(range(1, least(length(text), 4) + 1), lambda i: substr(text, 1, i))) AS prefix, n FROM X WHERE starts_with(text, 't'))
+            SELECT prefix, sum(n)::BIGINT AS c FROM C WHERE starts_with('th', prefix) OR starts_with(prefix, 'th') GROUP BY prefix UNION ALL SELECT '', sum(n)::BIGINT FROM X""",
+        "children_range": f"{_BASE} SELECT substr(text, 3, 1) AS ch, sum(n)::BIGINT AS c FROM X WHERE starts_with(text, 'th') AND substr(text, 3, 1) BETWEEN 'a' AND 'm' GROUP BY 1",
+        "anagrams": _top(f"list_aggregate(list_sort(string_split({_BARE}, '')), 'string_agg', '') = 'aeht'"),
+        "phone_words": _top(f"translate({_BARE}, 'abcdefghijklmnopqrstuvwxyz', '22233344455566677778889999') = '843'"),
+        "splice_two": f"""{_BASE}, N AS (SELECT sum(c)::DOUBLE AS n FROM I WHERE instr(text, ' ') = length(text)),
+            R AS (SELECT text, c::DOUBLE AS score FROM I WHERE regexp_matches(text, '^(the|of|to) (the|of|and) $')
+                UNION ALL SELECT a.text || b.text, a.c::DOUBLE / n * 0.000001::DOUBLE * b.c FROM I a, I b, N WHERE a.text IN ('the ', 'of ', 'to ') AND b.text IN ('the ', 'of ', 'and '))
+            SELECT max(score) AS score, rtrim(text) AS text FROM R GROUP BY text""",
+        "search_page": f"""{_BASE} SELECT c::DOUBLE AS score, rtrim(text) AS text, round(greatest(0.4::DOUBLE, CASE WHEN c >= 1 THEN 1.5::DOUBLE + ln(c::DOUBLE) / 5 END), 6) AS font_size
+            FROM I WHERE {FIND["find_prefix"][1]} ORDER BY score DESC, text LIMIT 20 OFFSET 20""",
+        "result_lines": f"SELECT score::BIGINT || ' ' || text AS line FROM ({_top(FIND['find_prefix'][1])})",
+        "strip_tags": _html_sql("</?[a-z][a-z0-9]*?( [^>]*?)??/??>", " "),
+        "strip_entities": _html_sql("&[a-z]+?;", " "),
+        "escape_article_marks": _html_sql("(BEGIN|END) ARTICLE", r">\0"),
+        "remove_blocks": _html_sql(markup.REMOVED.replace("'", "''"), ""),
+        "strip_wiki_links": f"SELECT id, regexp_replace(text, '\\[\\[([^\\[\\]|]*)(\\|[^\\[\\]]*)?\\]\\]', '\\1', 'g') AS text FROM {_LINKS_SQL}",
+        "strip_url_links": f"SELECT id, regexp_replace(text, '\\[https?://[^\\] ]*( [^\\]]*)?\\]', '\\1', 'g') AS text FROM {_LINKS_SQL}",
+        "drop_redirects": f"SELECT id, text FROM {_LINKS_SQL} WHERE NOT starts_with(lower(text), '#redirect')",
+        "streaming_counts": f"WITH {_L}, {_K} SELECT chain, n::BIGINT AS n FROM K",
+    }
+    return out | {name: _top(where) for name, (_, where) in FIND.items()}
