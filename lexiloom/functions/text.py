@@ -16,25 +16,26 @@ def normalize(line: Column) -> Column:
     the line.  The line feed that ends a line makes the last space.
     """
     text = F.concat(F.substring_index(F.coalesce(line, F.lit("")), "\0", 1), F.lit("\n"))
-    return F.ltrim(F.lower(F.regexp_replace(F.regexp_replace(text, "'", ""), "[^A-Za-z0-9]+", " ")))
+    return F.ltrim(F.lower(F.regexp_replace(F.replace(text, F.lit("'"), F.lit("")), "[^A-Za-z0-9]+", " ")))
 
 
-def chains(norm: Column | str, window: int = WINDOW) -> Column:
-    """Array of the chains of a normalised line: from each word start, ``window`` characters.
+def chains(norm: str, window: int = WINDOW) -> Column:
+    """Array of the chains of column ``norm``, a normalised line: from each word start, ``window`` characters.
 
-    A word of ``window`` or more characters starts anew after every ``window`` of them.
+    A word of ``window`` or more characters starts anew after every ``window`` of them.  A chain is cut from its word
+    and the few words after it that can lie in the window, so the work grows with the line, not with its square.
     """
-    n = norm if isinstance(norm, str) else None
-    if n is None:
-        raise TypeError("chains takes the name of the column with the normalised line")
-    starts = f"filter(sequence(1, greatest(length({n}), 1)), i -> length({n}) > 0 AND (i = 1 OR substr({n}, i - 1, 1) = ' '))"
-    each = f"flatten(transform({starts}, s -> sequence(s, s + greatest(length(substring_index(substr({n}, s), ' ', 1)), 1) - 1, {window})))"
-    return F.expr(f"transform({each}, s -> substr({n}, s, {window}))")
+    words = f"split(rtrim({norm}), ' ')"
+    near = f"concat(array_join(slice(w, i + 1, {window // 2 + 1}), ' '), ' ')"
+    # The column is named once: where Catalyst puts its expression in its place, it is still computed once.
+    one = f"if(x = '', cast(array() AS array<string>), if(length(x) < {window}, array(left({near}, {window})), transform(sequence(0, length(x) - 1, {window}), o -> substr({near}, o + 1, {window}))))"
+    return F.expr(f"element_at(transform(array({words}), w -> flatten(transform(w, (x, i) -> {one}))), 1)")
 
 
 def word_prefixes(text: str) -> Column:
     """Array of the prefixes of column ``text`` that end in a space."""
-    return F.expr(f"transform(filter(sequence(1, greatest(length({text}), 1)), i -> substr({text}, i, 1) = ' '), i -> substr({text}, 1, i))")
+    spaces = f"length({text}) - length(replace({text}, ' ', ''))"
+    return F.expr(f"if(contains({text}, ' '), transform(sequence(1, {spaces}), k -> concat(substring_index({text}, ' ', k), ' ')), cast(array() AS array<string>))")
 
 
 def char_prefixes(text: str, most: int | None = None) -> Column:

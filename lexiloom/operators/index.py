@@ -22,7 +22,7 @@ def checked_cutoff(cutoff: int) -> int:
 
 def chain_counts(lines: DataFrame, line_col: str = "line", weight: Column | None = None, window: int = T.WINDOW) -> DataFrame:
     """chain and n, the weighted count of every chain of the lines."""
-    rows = lines.select(T.normalize(F.col(line_col)).alias("norm"), (F.lit(1) if weight is None else weight).cast("long").alias("w")).filter("norm <> ''")
+    rows = lines.select(T.normalize(F.col(line_col)).alias("norm"), (F.lit(1) if weight is None else weight).cast("long").alias("w"))
     return rows.select(F.explode(T.chains("norm", window)).alias("chain"), "w").groupBy("chain").agg(F.sum("w").alias("n"))
 
 

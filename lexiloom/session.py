@@ -30,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes from fewer files than there are cores; otherwise as it is."""
+    files, cores = len(df._jdf.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < files < cores else df
+
+
 @lru_cache(maxsize=8)
 def _own_dir(application: str) -> str:
     return Path(tempfile.mkdtemp(prefix="lexiloom-")).as_uri()
