@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import prepare, text_of
+from lexiloom.llm.common import prepare, spread, text_of
 from lexiloom.llm.ragged import PairTable, merge_lowest
 
 #: The pre-token pattern of byte-level BPE vocabularies (fixed value).
@@ -218,7 +218,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col), text_of(text_col).alias("text"))
+    return spread(docs.select(F.col(id_col), text_of(text_col).alias("text")))
 
 
 def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

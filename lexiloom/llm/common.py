@@ -30,6 +30,12 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_REPO, *filter(None, paths)])
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where they come from fewer files than there are cores; otherwise as they are."""
+    files, cores = len(rows._jdf.inputFiles()), rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < files < cores else rows
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: ``spark.checkpoint.dir``, or one made here where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import jpeg
-from lexiloom.llm.common import prepare, text_of
+from lexiloom.llm.common import prepare, spread, text_of
 
 UNIT, FILL = 576, b"\xff"
 SHEET = UNIT * 1024
@@ -148,4 +148,4 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col), text_of(text_col).alias("text"))).mapInArrow(run, schema)

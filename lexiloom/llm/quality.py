@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import prepare, text_of
+from lexiloom.llm.common import prepare, spread, text_of
 
 BITS, WIDTH = 17, 16
 MAX_TRAIN, EPOCHS, MIN_STEPS, RATE = 4000, 5, 6000, 0.2
@@ -158,6 +158,7 @@ def _scores(model: Model):
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score and predicted of every row.  Narrow: no shuffle."""
     prepare(docs.sparkSession)
+    docs = spread(docs.select(id_col, text_col))
     out = docs.select(F.col(id_col), F.coalesce(remainder(id_col, folds) == 0, F.lit(False)).alias("held_out"), _scores(model)(text_of(text_col)).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import drop_written, join_by_key, prepare, text_of, written
+from lexiloom.llm.common import drop_written, join_by_key, prepare, spread, text_of, written
 
 MAX_HOT, SHARD_ROWS = 65_536, 1024
 #: (query, node) pairs looked at together.
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             fp = [fingerprint(t, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, type=pa.int64())], names=[id_col, "fp"])
 
-    return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return spread(docs.select(F.col(id_col), text_of(text_col).alias("text"))).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 class Forest:

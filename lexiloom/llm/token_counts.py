@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import prepare, text_of
+from lexiloom.llm.common import prepare, spread, text_of
 from lexiloom.llm.ragged import PairTable, merge_lowest
 
 MARK = "▁"
@@ -156,5 +156,5 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), text_of(text_col).alias("text"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"))
-    out = rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    out = spread(rows).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
