@@ -8,12 +8,14 @@ anagram, and else the automaton over Arrow batches, behind a range filter that r
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
@@ -22,6 +24,8 @@ from lexiloom.plans import pattern as P
 RESTART = 1e-6
 #: Results on a page (fixed value).
 PAGE_SIZE = 100
+#: Seconds after which a page's search is stopped (fixed value).
+SECONDS = 30.0
 #: Distinct automaton states that one round of splicing may bring to the driver.
 MAX_STATES = 100_000
 
@@ -209,7 +213,7 @@ def splice(index: DataFrame, matcher: P.Matcher, n_total: int, limit: int | None
 
 @dataclass
 class Page:
-    """A page of results and how the search went: ``done``, ``none``, ``next`` or ``error``."""
+    """A page of results and how the search went: ``done``, ``none``, ``next``, ``budget``, ``killed`` or ``error``."""
 
     outcome: str
     rows: DataFrame | None = None
@@ -219,14 +223,53 @@ class Page:
     message: str = ""
 
 
-def search_page(index: DataFrame, query: str, start: int = 0, num: int = PAGE_SIZE) -> Page:
-    """Rows ``start`` to ``start + num`` of a query's results, with the font size that shows each score."""
+def _within(spark: SparkSession, seconds: float | None, job):
+    """The result of ``job``, or None if its Spark jobs took longer than ``seconds`` and were cancelled."""
+    if seconds is None:
+        return job()
+    group, late = f"search-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    spark.sparkContext.setJobGroup(group, "search", interruptOnCancel=True)
+    timer.start()
+    try:
+        return job()
+    except Exception:
+        if late.is_set():
+            return None
+        raise
+    finally:
+        timer.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def search_page(index: DataFrame, query: str, start: int = 0, num: int = PAGE_SIZE, n_total: int | None = None, max_words: int | None = 8, seconds: float | None = SECONDS) -> Page:
+    """Rows ``start`` to ``start + num`` of a query's results, with the font size that shows each score.
+
+    With ``n_total`` spliced phrases count too, up to ``max_words`` words; if that bound may have cut results off, the
+    outcome of a short page is ``budget`` and a search with a higher bound may find more.  A search that takes longer
+    than ``seconds`` is ``killed``.
+    """
     query = query.strip()
+    spark = index.sparkSession
     try:
-        found = _results(matches(index, query), num + 1, start)
+        plan(query)
     except P.PatternSyntaxError as e:
         return Page("error", message=str(e))
-    rows = found.collect()
-    shown = found.sparkSession.createDataFrame(rows[:num], "score double, text string").withColumn("font_size", T.font_size(F.col("score")))
-    outcome = "next" if len(rows) > num else "done" if rows or start else "none"
-    return Page(outcome, shown, start, num, start + num if len(rows) > num else None)
+
+    def job() -> list:
+        if n_total is None:
+            return _results(matches(index, query), num + 1, start).collect()
+        return splice(index, P.Matcher("pattern", query), n_total, start + num + 1, max_words).collect()[start:]
+
+    rows = _within(spark, seconds, job)
+    if rows is None:
+        return Page("killed", start=start, num=num, message=f"stopped after {seconds} s")
+    shown = spark.createDataFrame(rows[:num], "score double, text string").withColumn("font_size", T.font_size(F.col("score")))
+    more = len(rows) > num
+    short = "budget" if n_total is not None and max_words is not None else "done" if rows or start else "none"
+    return Page("next" if more else short, shown, start, num, start + num if more else None)

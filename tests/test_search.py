@@ -108,6 +108,15 @@ def test_pages(spark):
     assert S.search_page(index, "a_", 4, 4).outcome == "done"
     assert S.search_page(index, "zz").outcome == "none"
     assert S.search_page(index, "a**").outcome == "error"
+    spliced = S.search_page(index, '"ab ac"', n_total=165)
+    assert spliced.outcome == "budget" and [(r.text, r.score) for r in spliced.rows.collect()] == [("ab ac", 30 / 165 * 1e-6 * 29)]
+    assert S.search_page(index, '"ab ac"', n_total=165, max_words=None).outcome == "done"
+
+
+def test_slow_searches_are_stopped(spark):
+    index = spark.range(0, 1 << 40, 1, 4).selectExpr("concat('a', id, ' ') AS text", "id AS c", "'a' AS first_ch", "6 AS n_letters")
+    assert S.search_page(index, "a_*b", seconds=3.0).outcome == "killed"
+    assert spark.range(5).count() == 5
 
 
 def test_range_reaches_the_scan(spark, tmp_path):
