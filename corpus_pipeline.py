@@ -30,8 +30,8 @@ def exact_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the document with the smallest id."""
-    return _only(docs, simhash.near_duplicates(docs).filter("doc_id <=> component_id"))
+    """Of documents of about 0.8 similarity or more in five-word shingles the one with the smallest id."""
+    return _only(docs, simhash.similar_documents(docs).filter("doc_id <=> component_id"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

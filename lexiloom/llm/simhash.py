@@ -19,16 +19,22 @@ empty table gives an empty result; columns other than the id and the text are no
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import drop_written, join_by_key, prepare, spread, text_of, written
 
 MAX_HOT, SHARD_ROWS = 65_536, 1024
+#: Shards of a node at most, for the bound on hot shards.
+MOST_SHARDS = 16
+#: Words of the wide fingerprint, and MinHash bands and rows, of ``similar_documents``.
+WIDE, MIN_BANDS, MIN_ROWS = 4, 12, 4
 #: (query, node) pairs looked at together.
 FRONTIER = 1 << 20
 
@@ -46,20 +52,24 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return out.ravel()
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text, as a signed 64-bit integer."""
+def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every word shingle of a text, repeats included; fewer words make one shingle, none make none."""
     from xxhash import xxh64_intdigest
 
     parts = text.encode().lower().split()  # of bytes: A-Z and ASCII white space only
-    if not parts:
-        return 0
     if len(parts) <= words:
-        h = np.array([xxh64_intdigest(b" ".join(parts), seed)], dtype=np.uint64)
-    else:
-        joined = b" ".join(parts)
-        ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))[: len(parts) - words + 1].tolist()
-        h = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64)
+        return np.array([xxh64_intdigest(b" ".join(parts), seed)] if parts else [], dtype=np.uint64)
+    joined = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: len(parts) - words + 1].tolist()
+    return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64)
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    """The SimHash of a text, as a signed 64-bit integer."""
+    h = shingle_hashes(text, words)
+    if not len(h):
+        return 0
     bits = (_bit_counts(h) * 2 > len(h)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
@@ -76,12 +86,17 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return spread(docs.select(F.col(id_col), text_of(text_col).alias("text"))).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distance of rows of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
 class Forest:
     """BK-trees of many groups, built and searched level by level for all of them at once."""
 
     def __init__(self, fp: np.ndarray, group: np.ndarray):
-        """``group`` is sorted; the first row of each group is the root of its tree."""
-        self.fp = fp
+        """``group`` is sorted; the first row of each group is the root of its tree.  ``fp`` is [rows, words]."""
+        self.fp, self.far = fp, 64 * fp.shape[1]
         first = np.concatenate(([True], group[1:] != group[:-1])) if len(group) else np.zeros(0, dtype=bool)
         self.roots = np.flatnonzero(first)
         self.root_group = group[self.roots]
@@ -89,7 +104,7 @@ class Forest:
         parent = self.roots[np.cumsum(first)[rest] - 1]
         edges, kids = [], []
         while len(rest):
-            key = parent * 65 + np.bitwise_count(fp[rest] ^ fp[parent])
+            key = parent * (self.far + 1) + distance(fp[rest], fp[parent])
             key, at, back = np.unique(key, return_index=True, return_inverse=True)
             edges.append(key)
             kids.append(rest[at])  # the first of those at this distance is the child, the others go below it
@@ -106,12 +121,12 @@ class Forest:
         row, node = np.arange(len(query)), root
         rows, nodes = [], []
         while len(row):
-            d = np.bitwise_count(query[row] ^ self.fp[node]).astype(np.int64)
+            d = distance(query[row], self.fp[node])
             near = d <= radius
             rows.append(row[near])
             nodes.append(node[near])
-            low = np.searchsorted(self.edge, node * 65 + np.maximum(d - radius, 0))
-            n = np.searchsorted(self.edge, node * 65 + np.minimum(d + radius, 64), side="right") - low
+            low = np.searchsorted(self.edge, node * (self.far + 1) + np.maximum(d - radius, 0))
+            n = np.searchsorted(self.edge, node * (self.far + 1) + np.minimum(d + radius, self.far), side="right") - low
             row = np.repeat(row, n)
             node = self.kid[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
         return np.concatenate(rows) if rows else row, np.concatenate(nodes) if nodes else row
@@ -161,31 +176,43 @@ def _stars(group: np.ndarray, fp: np.ndarray, node_id: np.ndarray, role: np.ndar
     return node_id[moved], node_id[label[moved]]
 
 
-def links(nodes: DataFrame, total: int, radius: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Stars (``a``, ``b``), b < a, that join all nodes (``fp``, ``low``) whose fingerprints link."""
-    bands = radius + 1
-    # Bands of nearly equal width over the 64 bits.
-    cuts = [round(64 * i / bands) for i in range(bands + 1)]
-    limit = max(shard_rows, -(-bands * total // MAX_HOT))
-    values = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1).alias("value")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    rows = nodes.select("fp", "low", F.explode(F.array(*values)).alias("k")).select("fp", "low", (F.col("k.band").cast("long") * F.lit(1 << 40) + F.col("k.value")).alias("shard"))
+def bands(radius: int) -> Column:
+    """Shards of column ``fp``: one for each of radius + 1 bands of nearly equal width over its 64 bits.
+
+    Fingerprints that differ in at most ``radius`` bits agree in a band, so no link is lost.
+    """
+    cuts = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
+    part = lambda i, lo, hi: F.lit(i << 40).cast("long") + F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1)
+    return F.array(*[part(i, lo, hi) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))])
+
+
+def links(nodes: DataFrame, total: int, radius: int = 2, shard_rows: int = SHARD_ROWS, words: tuple[str, ...] = ("fp",), shards: Column | None = None) -> DataFrame:
+    """Stars (``a``, ``b``), b < a, that join all nodes with a link inside a shard.
+
+    ``nodes`` has an id ``low`` and the ``words`` of a fingerprint; ``shards`` is an array of each node's shards, the
+    bands of its only word by default.
+    """
+    shards = bands(radius) if shards is None else shards
+    rows = nodes.select(*words, "low", F.explode(shards).alias("shard"))
+    limit = max(shard_rows, -(-MOST_SHARDS * total // MAX_HOT))
     hot = rows.groupBy("shard").count().filter(F.col("count") > limit).select("shard", F.ceil(F.col("count") / limit).cast("int").alias("k"))
     rows = rows.join(F.broadcast(hot), "shard", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("k").cast("long")).cast("int")
-    rows = rows.withColumn("s", own).select("shard", "fp", "low", "s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("t"))
+    own = F.pmod(F.xxhash64("low"), F.col("k").cast("long")).cast("int")
+    rows = rows.withColumn("s", own).select("shard", *words, "low", "s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("t"))
     # Slice s against slice t: the smaller of the two is the tree, the larger asks it.
-    rows = rows.select("shard", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "fp", "low", F.when(F.col("s") < F.col("t"), 0).when(F.col("s") > F.col("t"), 1).otherwise(2).cast("int").alias("role"))
+    rows = rows.select("shard", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "low", F.when(F.col("s") < F.col("t"), 0).when(F.col("s") > F.col("t"), 1).otherwise(2).cast("int").alias("role"), *words)
     dealt = rows.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def flush(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-            shard, i, j, fp, low, role = (np.concatenate(x) for x in zip(*parts, strict=True))
+            shard, i, j, low, role, *fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+            fp = np.stack(fp, axis=1).view(np.uint64)
             new = np.concatenate(([True], (shard[1:] != shard[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
             group = np.cumsum(new)
             more = np.bincount(group)[group] > 1
-            a, b = _stars(group[more], fp[more].view(np.uint64), low[more], role[more], radius)
+            a, b = _stars(group[more], fp[more], low[more], role[more], radius)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
@@ -250,3 +277,63 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     named = nodes.join(roots.withColumnRenamed("a", "low"), "low", "left").select("fp", "n", F.coalesce("root", "low").alias("component_id"))
     out = join_by_key(marks, named, ["fp"], "n", rows or 0)
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _mixed(h: np.ndarray, step: int) -> np.ndarray:
+    """Other 64-bit values, as good as independent, made from hashes."""
+    z = h + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def wide_sketch(text: str, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(SimHash of WIDE words over the distinct shingles, the keys of MIN_BANDS MinHash bands), signed 64-bit."""
+    h = np.unique(shingle_hashes(text, words))
+    if not len(h):
+        return np.zeros(WIDE, dtype=np.int64), np.arange(MIN_BANDS, dtype=np.int64)
+    bits = [(_bit_counts(_mixed(h, j)) * 2 > len(h)).astype(np.uint8) for j in range(1, WIDE + 1)]
+    odd = (np.arange(1, MIN_BANDS * MIN_ROWS + 1, dtype=np.uint64) * np.uint64(2 * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF) + np.uint64(1))[:, None]
+    mixed = h ^ (h >> np.uint64(31))
+    parts = [(mixed[i : i + 2048] * odd).min(axis=1) for i in range(0, len(mixed), 2048)]
+    least = np.minimum.reduce(parts).reshape(MIN_BANDS, MIN_ROWS)
+    key = np.arange(MIN_BANDS, dtype=np.uint64)
+    for r in range(MIN_ROWS):
+        key = _mixed(key ^ least[:, r], r + 1)
+    return np.packbits(np.concatenate(bits), bitorder="little").view("<i8"), key.view(np.int64)
+
+
+def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Bits that SimHashes of sets with this Jaccard similarity differ in, and one standard deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = 4 * SHARD_ROWS) -> DataFrame:
+    """id and ``component_id`` of every row, linking texts of about ``similarity`` or more in their word shingles.
+
+    At 0.8 fingerprints lie too far apart for bands of their bits.  Here the shards are MinHash bands, of which texts
+    that similar share one with a probability over 0.99, and the BK-tree of a shard holds wide fingerprints with the
+    radius that the similarity amounts to.  Nulls, empty texts and repeated ids are as in ``near_duplicates``.
+    """
+    prepare(docs.sparkSession)
+    names = [f"f{i}" for i in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_sketch(t, words) for t in batch.column(1).to_pylist()]
+            fp = np.array([f for f, _ in found], dtype=np.int64).reshape(-1, WIDE)
+            keys = np.array([k for _, k in found], dtype=np.int64).reshape(-1, MIN_BANDS)
+            mark = [hashlib.md5(f.tobytes() + k.tobytes(), usedforsecurity=False).digest() for f, k in found]
+            shards = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, MIN_BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mark, type=pa.binary()), shards, *(pa.array(fp[:, i]) for i in range(WIDE))], names=[id_col, "mark", "shards", *names])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, mark binary, shards array<bigint>, " + ", ".join(f"{n} long" for n in names)
+    sketches = written(spread(docs.select(F.col(id_col), text_of(text_col).alias("text"))).mapInArrow(run, schema), "sketches")
+    nodes = written(sketches.groupBy("mark").agg(F.min(id_col).alias("low"), F.count("*").alias("n"), F.first("shards").alias("shards"), *[F.first(n).alias(n) for n in names]), "nodes")
+    total, rows = nodes.agg(F.count("*"), F.sum("n")).first()
+    stars = links(nodes.filter("low is not null"), total or 0, radius_of(similarity), shard_rows, tuple(names), F.col("shards"))
+    roots = least_of_component(stars)
+    named = nodes.join(roots.withColumnRenamed("a", "low"), "low", "left").select("mark", "n", F.coalesce("root", "low").alias("component_id"))
+    return join_by_key(sketches.select(id_col, "mark"), named, ["mark"], "n", rows or 0).select(id_col, "component_id")

@@ -302,13 +302,14 @@ def test_pipeline(spark):
     assert after.keys() == {i for i, t in before.items() if model.scores([t])[0] >= 0.3}
     before, after = map(texts, stages["exact_dedup"])
     assert after.keys() == set({t: i for i, t in sorted(before.items())}.values())
-    from lexiloom.llm.simhash import fingerprint
-
-    before, after = map(texts, stages["near_dedup"])
-    marks = {i: fingerprint(t) for i, t in before.items()}
     from test_text_ops import components
 
-    assert after.keys() == {i for i, c in components(marks, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 2).items() if i == c}
+    from lexiloom.llm import simhash
+
+    before, after = map(texts, stages["near_dedup"])
+    sketches = {i: simhash.wide_sketch(t) for i, t in before.items()}
+    near = lambda a, b: (a[1] == b[1]).any() and int(np.bitwise_count(a[0].view(np.uint64) ^ b[0].view(np.uint64)).sum()) <= simhash.radius_of(0.8)
+    assert after.keys() == {i for i, c in components(sketches, near).items() if i == c}
     before, after = map(texts, stages["mixing"])
     assert after.keys() == {r.doc_id for r in mixing.mix(stages["mixing"][0]).collect() if r.sampled}
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

@@ -135,6 +135,39 @@ def test_simhash_chains(spark):
         assert {i: got.get(i, i) for i in nodes.values()} == {i: want[i] for i in nodes.values()}
 
 
+def test_similar_documents(spark, docs, none):
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(500)]
+    texts = {}
+    for family in range(6):
+        base = [r.choice(words) for _ in range(400)]
+        for k in range(8):
+            copy = base[:]
+            for _ in range(k):
+                copy[r.randrange(400)] = "edit"
+            texts[family * 8 + k] = " ".join(copy)
+    texts |= {48: None, 49: "", 50: "one two", 51: texts[0]}
+
+    def similarity(a, b):
+        x, y = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in (a, b)))
+        return len(x & y) / len(x | y)
+
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for shard_rows in (1024, 3):
+        got = {x.doc_id: x.component_id for x in simhash.similar_documents(df, shard_rows=shard_rows).collect()}
+        sketches = {i: simhash.wide_sketch(t or "") for i, t in texts.items()}
+        near = lambda a, b: (a[1] == b[1]).any() and int(np.bitwise_count(a[0].view(np.uint64) ^ b[0].view(np.uint64)).sum()) <= simhash.radius_of(0.8)
+        assert got == components(sketches, near)
+        for a in range(48):
+            for b in range(a):
+                s = similarity(texts[a], texts[b])
+                assert s < 0.85 or got[a] == got[b]
+                assert a // 8 == b // 8 or got[a] != got[b]
+        assert got[51] == 0 and got[49] == 48 and got[50] == 50
+    assert len(simhash.similar_documents(docs).collect()) == len(TEXTS) + 2
+    assert simhash.similar_documents(none).count() == 0
+
+
 def test_media(docs, none):
     rows = media.media_digests(docs).collect()
     assert len(rows) == len(TEXTS) + 2
