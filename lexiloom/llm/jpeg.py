@@ -18,7 +18,7 @@ import numpy as np
 
 RESTART = 8  # blocks or units between restart markers
 #: components, first and last coefficient, high bit position before and after
-SCRIPT = [((0, 1, 2), 0, 0, 0, 1), *[((c,), a, b, 0, 1) for c in (0, 1, 2) for a, b in ((1, 5), (6, 63))], ((0, 1, 2), 0, 0, 1, 0), *[((c,), 1, 63, 1, 0) for c in (0, 1, 2)]]
+SCRIPT = [((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 5, 0, 1), ((1,), 1, 63, 0, 1), ((2,), 1, 63, 0, 1), ((0,), 6, 63, 0, 1), ((0, 1, 2), 0, 0, 1, 0), *[((c,), 1, 63, 1, 0) for c in (0, 1, 2)]]
 U8 = np.uint64(8)
 
 
@@ -193,6 +193,15 @@ def marked(data: np.ndarray, size: np.ndarray, image: np.ndarray, images: int) -
     return [raw[a:b] for a, b in zip([0, *stop], stop, strict=False)]
 
 
+def woven(key: np.ndarray, items: tuple[np.ndarray, ...], more_key: np.ndarray, more: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """(keys, items) of two lists of items by key, the first sorted by key and the second short."""
+    if not len(more_key):
+        return key, *items
+    order = np.argsort(more_key, kind="stable")
+    at = np.searchsorted(key, more_key[order])
+    return np.insert(key, at, more_key[order]), *(np.insert(a, at, b[order]) for a, b in zip(items, more, strict=True))
+
+
 def _ac_first(c: np.ndarray, low: int, high: int, bit: int, code: Huffman) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Items (value, bits, row) of the blocks ``c`` for the first bits of a band."""
     v = c[:, low : high + 1].astype(np.int64)
@@ -210,12 +219,11 @@ def _ac_first(c: np.ndarray, low: int, high: int, bit: int, code: Huffman) -> tu
     last[row] = k
     short = np.flatnonzero(last < high - low)
     # Order: by block and place; runs of 16 zeros come before their coefficient, the end of block last.
-    key = np.concatenate((row * 256 + k * 2 + 1, np.repeat(row * 256 + k * 2, longs), short * 256 + 255))
     many = int(longs.sum())
-    value = np.concatenate(((code.code[sym] << size.astype(np.uint64)) | extra, np.full(many, code.code[0xF0]), np.full(len(short), code.code[0])))
-    n = np.concatenate((code.length[sym] + size, np.full(many, code.length[0xF0]), np.full(len(short), code.length[0])))
-    order = np.argsort(key, kind="stable")
-    return value[order], n[order], key[order] >> 8
+    value = (code.code[sym] << size.astype(np.uint64)) | extra
+    more = np.concatenate((np.full(many, code.code[0xF0]), np.full(len(short), code.code[0]))), np.concatenate((np.full(many, code.length[0xF0]), np.full(len(short), code.length[0])))
+    key, value, n = woven(row * 256 + k * 2 + 1, (value, code.length[sym] + size), np.concatenate((np.repeat(row * 256 + k * 2, longs), short * 256 + 255)), more)
+    return value, n, key >> 8
 
 
 def _ac_more(c: np.ndarray, low: int, high: int, bit: int, code: Huffman) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,11 +253,11 @@ def _ac_more(c: np.ndarray, low: int, high: int, bit: int, code: Huffman) -> tup
     last[row] = k
     short = np.flatnonzero(last < high - low)
     o_row, o_k = np.nonzero(old)
-    key = np.concatenate((row * 256 + prev * 2 + 3, short * 256 + last[short] * 2 + 3, o_row * 256 + o_k * 2 + 2))
-    value = np.concatenate((value, np.full(len(short), code.code[0]), (size[o_row, o_k] & 1).astype(np.uint64)))
-    n = np.concatenate((n, np.full(len(short), code.length[0]), np.ones(len(o_row), dtype=np.int64)))
-    order = np.argsort(key, kind="stable")
-    return value[order], n[order], key[order] >> 8
+    more_key = np.concatenate((row * 256 + prev * 2 + 3, short * 256 + last[short] * 2 + 3))
+    more = np.concatenate((value, np.full(len(short), code.code[0]))), np.concatenate((n, np.full(len(short), code.length[0])))
+    bits = (size[o_row, o_k] & 1).astype(np.uint64), np.ones(len(o_row), dtype=np.int64)
+    key, value, n = woven(o_row * 256 + o_k * 2 + 2, bits, more_key, more)
+    return value, n, key >> 8
 
 
 def encode(coefs: np.ndarray, images: list[Geometry], quant: list[np.ndarray] | None = None, comments: list[bytes] | None = None, restart: int = RESTART) -> list[bytes]:
@@ -258,6 +266,7 @@ def encode(coefs: np.ndarray, images: list[Geometry], quant: list[np.ndarray] |
     dc, ac, more = own_codes()
     tables = quant or [np.ones(64, dtype=np.int64)] * 2
     bodies: list[list[bytes]] = [[] for _ in images]
+    sent: dict[bool, Huffman | None] = {False: None, True: None}
     for parts, low, high, was, bit in SCRIPT:
         orders = [g.order(parts) for g in images]
         first, size, image = segments_of(orders, [restart] * len(images))
@@ -281,8 +290,9 @@ def encode(coefs: np.ndarray, images: list[Geometry], quant: list[np.ndarray] |
         else:
             value, n, row = _ac_more(c, low, high, bit, more)
         data, n_bytes = pack(value, n, segment[row], len(first))
-        table = {0: dc, 1: ac if was == 0 else more}[int(low > 0)]
-        head = (table.segment(int(low > 0), 0) if low or not was else b"") + b"\xff\xdd\x00\x04" + restart.to_bytes(2, "big")
+        table = dc if not low else ac if was == 0 else more
+        head = table.segment(int(low > 0), 0) if table is not sent[low > 0] else b""
+        sent[low > 0] = table
         head += b"\xff\xda" + (6 + 2 * len(parts)).to_bytes(2, "big") + bytes([len(parts), *(x for p in parts for x in (p + 1, 0)), low, high, was << 4 | bit])
         for body, raw in zip(bodies, marked(data, n_bytes, image, len(images)), strict=True):
             body += [head, raw]
@@ -293,6 +303,7 @@ def encode(coefs: np.ndarray, images: list[Geometry], quant: list[np.ndarray] |
             head += b"\xff\xfe" + (len(comments[i]) + 2).to_bytes(2, "big") + comments[i]
         head += b"".join(b"\xff\xdb\x00\x43" + bytes([k]) + t.astype(np.uint8).tobytes() for k, t in enumerate(tables))
         head += b"\xff\xc2\x00\x11\x08" + g.height.to_bytes(2, "big") + g.width.to_bytes(2, "big") + b"\x03" + bytes(x for k, (h, v) in enumerate(g.sampling) for x in (k + 1, h << 4 | v, min(k, 1)))
+        head += b"\xff\xdd\x00\x04" + restart.to_bytes(2, "big")
         out.append(head + b"".join(bodies[i]) + b"\xff\xd9")
     return out
 
@@ -595,16 +606,22 @@ def coefficients(files: list[File]) -> tuple[np.ndarray, np.ndarray]:
     return coefs, bases
 
 
+def samples(coefs: np.ndarray) -> np.ndarray:
+    """Samples [blocks, 64] of dequantised coefficients."""
+    x = coefs @ basis()
+    x *= 1 / 65536
+    x += 128.5
+    return np.clip(np.floor(x, out=x), 0, 255, out=x)
+
+
 def pixels(file: File, coefs: np.ndarray) -> np.ndarray:
     """The full-resolution RGB tensor [height, width, 3] of one file's coefficients."""
     g = file.geometry
     most_h, most_v = max(h for h, _ in g.sampling), max(v for _, v in g.sampling)
     planes = []
     for (rows, cols), base, q, (h, v) in zip(g.shapes, g.bases, file.quant, g.sampling, strict=True):
-        x = (coefs[base : base + rows * cols] * q) @ basis()
-        x = np.floor(x / 65536 + 128.5)
-        plane = x.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
-        plane = np.clip(plane, 0, 255).astype(np.int32)
+        x = samples(coefs[base : base + rows * cols] * q)
+        plane = x.astype(np.int32).reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
         if most_v % v or most_h % h:
             raise ValueError("sampling factors must divide the largest")
         planes.append(np.repeat(np.repeat(plane, most_v // v, axis=0), most_h // h, axis=1)[: g.height, : g.width])
