@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from functools import lru_cache
 from pathlib import Path
@@ -38,12 +40,6 @@ def spread(df: DataFrame) -> DataFrame:
 
 @lru_cache(maxsize=8)
 def _own_dir(application: str) -> str:
-    return Path(tempfile.mkdtemp(prefix="lexiloom-")).as_uri()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, written where it is not there yet."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{spark.sparkContext.applicationId}"
-    df.write.mode("ignore").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = tempfile.mkdtemp(prefix="lexiloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return Path(folder).as_uri()

@@ -1,7 +1,9 @@
 """Search and splicing against a plain best-first search, and what a plan pushes down."""
 
 import heapq
+import html
 import random
+from urllib.parse import quote
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,6 +139,14 @@ def test_scores_as_printed(spark):
     assert sizes[0] == 0.4 and sizes[1] == 1.5 and min(sizes) == 0.4
 
 
+def test_page_texts(spark):
+    df = spark.createDataFrame([("<a href=\"x\">'&</a> b",)], "t string")
+    row = df.select(T.html_escape(F.col("t")).alias("h"), T.url_quote(F.col("t")).alias("u")).first()
+    assert row.h == html.escape("<a href=\"x\">'&</a> b") and row.u == quote("<a href=\"x\">'&</a> b", safe="")
+    found = S.find(index_of(spark, {"the ": 1234567, "then ": 3}), "the_*")
+    assert [r[0] for r in found.select(R.result_lines(found)).collect()] == ["1234567 the", "3 then"]
+
+
 @pytest.mark.parametrize(
     ("raw", "plain"),
     [
