@@ -56,8 +56,23 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+_made: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lexiloom-{name}-{uuid.uuid4().hex}"
+    """A new folder under the shared one; it goes when the program ends, or with ``drop_all``."""
+    if not _made:
+        atexit.register(drop_all, spark)
+    path = f"{shared_dir(spark)}/lexiloom-{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete the tables of all operators so far; results that still read them can't be used any more."""
+    for path in sorted(_made):
+        _remove(spark, path)
+    _made.clear()
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
