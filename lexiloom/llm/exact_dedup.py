@@ -39,11 +39,14 @@ def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def directory(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cell (the lowest MAX_DEPTH hash bits) -> depth and bucket (the lowest `depth` of them)."""
     cells = found.groupBy(F.col("h").bitwiseAND((1 << MAX_DEPTH) - 1).cast("int").alias("cell")).count()
-    up = cells.select("cell", "count", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH))).alias("depth"))
+    # At most 2 ** (MAX_DEPTH - 2) full buckets, however many entries there are.
+    total = found.count()
+    room = max(capacity, -(-total // (1 << (MAX_DEPTH - 2))))
+    # Buckets much shallower than the mean full one are overfull; the search starts just above it.
+    first = max(0, (total // room).bit_length() - 2)
+    up = cells.select("cell", "count", F.explode(F.sequence(F.lit(first), F.lit(MAX_DEPTH))).alias("depth"))
     up = up.withColumn("bucket", F.col("cell").bitwiseAND(F.expr("shiftleft(1, depth) - 1")))
     held = up.groupBy("depth", "bucket").agg(F.sum("count").alias("held"))
-    # At most 2 ** (MAX_DEPTH - 2) full buckets, however many entries there are.
-    room = max(capacity, -(-found.count() // (1 << (MAX_DEPTH - 2))))
     fits = held.withColumn("room", F.lit(room)).filter((F.col("held") <= F.col("room")) | (F.col("depth") == MAX_DEPTH))
     depth = up.join(fits.select("depth", "bucket"), ["depth", "bucket"]).groupBy("cell").agg(F.min("depth").alias("depth"))
     return depth.withColumn("bucket", F.struct("depth", F.col("cell").bitwiseAND(F.expr("shiftleft(1, depth) - 1")).alias("bits")))
