@@ -259,3 +259,10 @@ def test_windows_score_each_token_once():
         assert a == (1 if b in first else b - 1)
 
 
+def test_windows_overlap_by_half():
+    """Behind a text's start every scored subword sees at least 16 others before it, besides itself."""
+    x, y = lm.lay_out(np.arange(100) + 10, np.array([100]), 1, 2)
+    for window, targets in zip(x.tolist(), y.tolist(), strict=True):
+        for k, t in enumerate(targets):
+            seen = [s for s in window[: lm.WINDOW - lm.STRIDE + k + 1] if s >= 10]
+            assert t < 0 or len(seen) >= min(t - 10, 17)
