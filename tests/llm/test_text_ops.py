@@ -266,3 +266,15 @@ def test_windows_overlap_by_half():
         for k, t in enumerate(targets):
             seen = [s for s in window[: lm.WINDOW - lm.STRIDE + k + 1] if s >= 10]
             assert t < 0 or len(seen) >= min(t - 10, 17)
+
+
+def test_lm_learns_context_from_all_documents(spark):
+    """Every text repeats one of twenty sentences; the one document that training starts from has a single of them."""
+    r = random.Random(8)
+    letters = "abcdefghijklmnopqrst"
+    sentences = [[a + b for b in r.sample(letters, 8)] for a in letters]
+    rows = [(i, " ".join(r.choice(sentences) * 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [x for x in lm.lm_scores(df, BPE, block_bytes=4000, sample=1).collect() if x.held_out]
+    gain = sum(x.score - x.base_score for x in out) / sum(x.n_tokens for x in out)
+    assert gain > 0.1  # -0.06 when the other documents gave no context
