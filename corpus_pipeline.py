@@ -30,7 +30,7 @@ def exact_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents of about 0.8 similarity or more in five-word shingles the one with the smallest id."""
+    """Of documents linked by a Jaccard similarity of 0.8 or more in five-word shingles the one with the smallest id."""
     return _only(docs, simhash.similar_documents(docs).filter("doc_id <=> component_id"))
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,9 @@ from lexiloom.llm.common import drop_written, join_by_key, prepare, spread, text
 
 MAX_HOT, SHARD_ROWS = 65_536, 1024
 #: Shards of a node at most, for the bound on hot shards.
-MOST_SHARDS = 16
+MOST_SHARDS = 20
 #: Words of the wide fingerprint, and MinHash bands and rows, of ``similar_documents``.
-WIDE, MIN_BANDS, MIN_ROWS = 4, 12, 4
+WIDE, MIN_BANDS, MIN_ROWS = 4, 20, 4
 #: (query, node) pairs looked at together.
 FRONTIER = 1 << 20
 
@@ -148,9 +149,39 @@ def least_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def _stars(group: np.ndarray, fp: np.ndarray, node_id: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(id, smallest id linked to it in its group) of the rows that are not the smallest."""
+def confirmed_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """``label`` after those of the pairs are linked whose sets have the Jaccard similarity; linked rows are not compared."""
+    a, b = np.maximum(a, b), np.minimum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    size = np.array([len(x) for x in sets])
+    least, most = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+    maybe = least >= similarity * most
+    a, b = a[maybe], b[maybe]
+    while True:
+        differ = label[a] != label[b]
+        a, b = a[differ], b[differ]
+        if not len(a):
+            return label
+        first = np.concatenate(([True], a[1:] != a[:-1]))
+        linked = []
+        for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True):
+            x, y = sets[i], sets[j]
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
+            linked.append(both >= similarity * (len(x) + len(y) - both))
+        linked = np.array(linked)
+        label = least_labels(label, a[first][linked], b[first][linked])
+        a, b = a[~first], b[~first]
+
+
+def _stars(group: np.ndarray, fp: np.ndarray, node_id: np.ndarray, role: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, similarity: float = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id linked to it in its group) of the rows that are not the smallest; ``sets`` confirm each link."""
     order = np.lexsort((node_id, group))
+    if sets is None:
+        link = least_labels
+    else:
+        sets = [sets[i] for i in order.tolist()]
+        link = lambda label, a, b: confirmed_labels(label, a, b, sets, similarity)
     group, fp, node_id, role = group[order], fp[order], node_id[order], role[order]
     label = np.arange(len(group))
     tree = np.flatnonzero(role != 1)
@@ -167,11 +198,11 @@ def _stars(group: np.ndarray, fp: np.ndarray, node_id: np.ndarray, role: np.ndar
     for end in np.maximum(cut, 1).tolist():
         if end > start:
             row, node = forest.within(fp[query[start:end]], forest.roots[at[start:end]], radius)
-            label = least_labels(label, query[start:end][row], tree[node])
+            label = link(label, query[start:end][row], tree[node])
             start = end
     if start < len(query):
         row, node = forest.within(fp[query[start:]], forest.roots[at[start:]], radius)
-        label = least_labels(label, query[start:][row], tree[node])
+        label = link(label, query[start:][row], tree[node])
     moved = np.flatnonzero(label != np.arange(len(label)))
     return node_id[moved], node_id[label[moved]]
 
@@ -186,21 +217,23 @@ def bands(radius: int) -> Column:
     return F.array(*[part(i, lo, hi) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))])
 
 
-def links(nodes: DataFrame, total: int, radius: int = 2, shard_rows: int = SHARD_ROWS, words: tuple[str, ...] = ("fp",), shards: Column | None = None) -> DataFrame:
+def links(nodes: DataFrame, total: int, radius: int = 2, shard_rows: int = SHARD_ROWS, words: tuple[str, ...] = ("fp",), shards: Column | None = None, text: tuple[str, ...] = (), shingle: int = 5, similarity: float = 0) -> DataFrame:
     """Stars (``a``, ``b``), b < a, that join all nodes with a link inside a shard.
 
+    With the name of a ``text`` column only pairs of that exact ``similarity`` in their word shingles are links.
+
     ``nodes`` has an id ``low`` and the ``words`` of a fingerprint; ``shards`` is an array of each node's shards, the
     bands of its only word by default.
     """
     shards = bands(radius) if shards is None else shards
-    rows = nodes.select(*words, "low", F.explode(shards).alias("shard"))
+    rows = nodes.select(*words, *text, "low", F.explode(shards).alias("shard"))
     limit = max(shard_rows, -(-MOST_SHARDS * total // MAX_HOT))
     hot = rows.groupBy("shard").count().filter(F.col("count") > limit).select("shard", F.ceil(F.col("count") / limit).cast("int").alias("k"))
     rows = rows.join(F.broadcast(hot), "shard", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     own = F.pmod(F.xxhash64("low"), F.col("k").cast("long")).cast("int")
-    rows = rows.withColumn("s", own).select("shard", *words, "low", "s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("t"))
+    rows = rows.withColumn("s", own).select("shard", *words, *text, "low", "s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("t"))
     # Slice s against slice t: the smaller of the two is the tree, the larger asks it.
-    rows = rows.select("shard", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "low", F.when(F.col("s") < F.col("t"), 0).when(F.col("s") > F.col("t"), 1).otherwise(2).cast("int").alias("role"), *words)
+    rows = rows.select("shard", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "low", F.when(F.col("s") < F.col("t"), 0).when(F.col("s") > F.col("t"), 1).otherwise(2).cast("int").alias("role"), *words, *text)
     dealt = rows.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +241,13 @@ def links(nodes: DataFrame, total: int, radius: int = 2, shard_rows: int = SHARD
 
         def flush(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
             shard, i, j, low, role, *fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+            texts = fp.pop() if text else None
             fp = np.stack(fp, axis=1).view(np.uint64)
             new = np.concatenate(([True], (shard[1:] != shard[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
             group = np.cumsum(new)
             more = np.bincount(group)[group] > 1
-            a, b = _stars(group[more], fp[more], low[more], role[more], radius)
+            sets = None if texts is None else [np.unique(shingle_hashes(t, shingle)) for t in texts[more]]
+            a, b = _stars(group[more], fp[more], low[more], role[more], radius, sets, similarity)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
@@ -309,12 +344,29 @@ def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
     return round(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
+@lru_cache
+def candidate_radius(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Four standard deviations over the bits that sets of at least this similarity differ in, small sets included."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    over = lambda n, least: sum(math.comb(n, k) for k in range(max(least, 0), n + 1)) / 2**n
+    for common in range(1, 33):
+        for more in range(math.floor(common * (1 - similarity) / similarity + 1e-9) + 1):
+            for a in range(more // 2 + 1):
+                b, differ = more - a, 0.0
+                for x in range(common + 1):
+                    one, other = (over(n, (common + n) // 2 + 1 - x) for n in (a, b))
+                    differ += math.comb(common, x) / 2**common * (one * (1 - other) + other * (1 - one))
+                share = max(share, differ)
+    return math.ceil(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = 4 * SHARD_ROWS) -> DataFrame:
-    """id and ``component_id`` of every row, linking texts of about ``similarity`` or more in their word shingles.
+    """id and ``component_id`` of every row, linking texts of a Jaccard ``similarity`` or more in their distinct word shingles.
 
     At 0.8 fingerprints lie too far apart for bands of their bits.  Here the shards are MinHash bands, of which texts
-    that similar share one with a probability over 0.99, and the BK-tree of a shard holds wide fingerprints with the
-    radius that the similarity amounts to.  Nulls, empty texts and repeated ids are as in ``near_duplicates``.
+    that similar share one but for 3 in 100,000, and the BK-tree of a shard finds candidates by wide fingerprints.  The
+    texts of each component of candidates then meet, and those pairs are linked whose shingles have the similarity.
+    Nulls, empty texts and repeated ids are as in ``near_duplicates``.
     """
     prepare(docs.sparkSession)
     names = [f"f{i}" for i in range(WIDE)]
@@ -324,16 +376,22 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
             found = [wide_sketch(t, words) for t in batch.column(1).to_pylist()]
             fp = np.array([f for f, _ in found], dtype=np.int64).reshape(-1, WIDE)
             keys = np.array([k for _, k in found], dtype=np.int64).reshape(-1, MIN_BANDS)
-            mark = [hashlib.md5(f.tobytes() + k.tobytes(), usedforsecurity=False).digest() for f, k in found]
+            mark = [hashlib.md5(np.unique(shingle_hashes(t, words)).tobytes(), usedforsecurity=False).digest() for t in batch.column(1).to_pylist()]
             shards = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, MIN_BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mark, type=pa.binary()), shards, *(pa.array(fp[:, i]) for i in range(WIDE))], names=[id_col, "mark", "shards", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mark, type=pa.binary()), shards, *(pa.array(fp[:, i]) for i in range(WIDE)), batch.column(1)], names=[id_col, "mark", "shards", *names, "text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, mark binary, shards array<bigint>, " + ", ".join(f"{n} long" for n in names)
+    schema = f"`{id_col}` {kind}, mark binary, shards array<bigint>, " + ", ".join(f"{n} long" for n in names) + ", text string"
     sketches = written(spread(docs.select(F.col(id_col), text_of(text_col).alias("text"))).mapInArrow(run, schema), "sketches")
     nodes = written(sketches.groupBy("mark").agg(F.min(id_col).alias("low"), F.count("*").alias("n"), F.first("shards").alias("shards"), *[F.first(n).alias(n) for n in names]), "nodes")
     total, rows = nodes.agg(F.count("*"), F.sum("n")).first()
-    stars = links(nodes.filter("low is not null"), total or 0, radius_of(similarity), shard_rows, tuple(names), F.col("shards"))
-    roots = least_of_component(stars)
+    radius = candidate_radius(similarity)
+    near = least_of_component(links(nodes.filter("low is not null"), total or 0, radius, shard_rows, tuple(names), F.col("shards")))
+    near = written(near.unionByName(near.select(F.col("root").alias("a"), "root").distinct()), "candidates")
+    # A row of each node; the texts of candidates only.
+    chosen = nodes.select("mark", F.col("low").alias("a")).join(near, "a").hint("shuffle_hash")
+    texts = sketches.withColumnRenamed(id_col, "a").join(chosen, ["mark", "a"]).select(F.col("a").alias("low"), "root", *names, "text")
+    texts = written(texts, "texts")
+    roots = least_of_component(links(texts, total or 0, radius, shard_rows, tuple(names), F.array(F.col("root").cast("long")), ("text",), words, similarity))
     named = nodes.join(roots.withColumnRenamed("a", "low"), "low", "left").select("mark", "n", F.coalesce("root", "low").alias("component_id"))
     return join_by_key(sketches.select(id_col, "mark"), named, ["mark"], "n", rows or 0).select(id_col, "component_id")

@@ -278,3 +278,24 @@ def test_lm_learns_context_from_all_documents(spark):
     out = [x for x in lm.lm_scores(df, BPE, block_bytes=4000, sample=1).collect() if x.held_out]
     gain = sum(x.score - x.base_score for x in out) / sum(x.n_tokens for x in out)
     assert gain > 0.1  # -0.06 when the other documents gave no context
+
+
+def test_similar_documents_by_exact_similarity(spark):
+    """Pairs at and around 0.8, short and long, against all pairs."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for k in range(60):
+        short = [word() for _ in range(8)]
+        texts += [" ".join(short), " ".join([*short, word()])]  # 4 of 5 shingles
+        n = r.choice([40, 80, 160])
+        base = [word() for _ in range(n + 4)]
+        for share in (0.8, 0.7):
+            cut = round(n * (1 - share))
+            texts.append(" ".join(base[cut:]))  # share * n of n shingles
+        texts.append(" ".join(base))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = components(dict(enumerate(sets)), lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for shard_rows in (1024, 3):
+        assert {x.doc_id: x.component_id for x in simhash.similar_documents(df, shard_rows=shard_rows).collect()} == want
