@@ -92,6 +92,13 @@ def drop_written(df: DataFrame) -> None:
         _remove(df.sparkSession, folder)
 
 
+def drop_path(df: DataFrame, part: str) -> None:
+    """Delete a partition's folder of a table made by ``written`` that nothing reads any more."""
+    folder = next((f[: f.index("/", f.rindex("/lexiloom-") + 1)] for f in df.inputFiles()), None)
+    if folder:
+        _remove(df.sparkSession, f"{folder}/{part}")
+
+
 def text_of(name: str = "text") -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(name), F.lit(""))
