@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -44,24 +45,47 @@ def test_exact_duplicates(spark, none, capacity):
     assert exact_dedup.exact_duplicates(none).count() == 0
 
 
-def test_directory_doubles_until_buckets_fit(spark):
-    found = spark.range(3000).select(F.xxhash64("id").alias("h"))
-    rows = exact_dedup.directory(found, 100).collect()
+def test_colliding_hashes_are_chained(spark):
+    """All hashes are 0 or 1, so that the bytes alone decide."""
+    texts = ["a", "b", "cc", "a", None, "", "dd", "cc", "b", "a", "\x80", "ee", "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    hash_of = lambda t: F.pmod(F.length(t), F.lit(2)).cast("long")
+    placed, index, directory, total = exact_dedup.build_index(df, hash_of=hash_of)
+    assert total == len(texts) and len(directory.buckets) == 1
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(t or "", []).append(i)
+    held = index.collect()
+    assert sorted((x.h, x.keep_id, x.group_size) for x in held) == sorted((len(t) % 2, max(ids), len(ids)) for t, ids in groups.items())
+    assert sorted((x.h, x.place) for x in held) == [(0, 1), (0, 2), (0, 3), (0, 4), (1, 1), (1, 2), (1, 3)]
+    for x in exact_dedup.exact_duplicates(df, hash_of=hash_of).collect():
+        ids = groups[texts[x.doc_id] or ""]
+        assert (x.keep_id, x.group_size, x.kept) == (max(ids), len(ids), x.doc_id == max(ids))
+
+
+@pytest.mark.parametrize(("keys", "capacity"), [(range(3000), 100), ([5] * 50, 4), ([], 3), ([1 << 15, 0, 1, 2, 3], 1), ([0, 0, 0, 1 << 9], 2)])
+def test_directory_doubles_until_buckets_fit(spark, keys, capacity):
+    mask = (1 << exact_dedup.MAX_DEPTH) - 1
+    cells = {}
+    for k in keys:
+        cells[k & mask] = cells.get(k & mask, 0) + 1
+    d = exact_dedup.Directory.grown(cells, capacity)
+    pointers = {x.cell: x.bucket for x in d.table(spark).collect()}
+    assert sorted(pointers) == list(range(1 << d.depth)) and set(pointers.values()) == set(range(len(d.buckets)))
     held = {}
-    for x in found.collect():
-        cell = x.h & ((1 << exact_dedup.MAX_DEPTH) - 1)
-        held[cell] = held.get(cell, 0) + 1
-    size = {}
-    for x in rows:
-        assert x.bucket.bits == x.cell & ((1 << x.depth) - 1) and x.bucket.depth == x.depth
-        size[x.bucket] = size.get(x.bucket, 0) + held[x.cell]
-    assert set(held) == {x.cell for x in rows} and max(size.values()) <= 100 and len(size) >= 30
+    for c, n in cells.items():
+        held.setdefault(pointers[c & ((1 << d.depth) - 1)], []).append((c, n))
+    for bucket in held.values():
+        assert sum(n for _, n in bucket) <= capacity or len(bucket) == 1  # that one cell cannot split further
+    assert d.depth == max(depth for depth, _ in d.buckets)
 
 
 def test_native_operators_run_no_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for df in (exact_dedup.entries(docs), exact_dedup.exact_duplicates(docs), pii.pseudonymise(docs), mixing.mix(docs)):
+    for df in (*exact_dedup.build_index(docs)[:2], exact_dedup.exact_duplicates(docs), pii.pseudonymise(docs), mixing.mix(docs)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+    for module in (exact_dedup, pii, mixing):
+        assert not re.search(r"udf|mapIn|applyIn|\.rdd|toPandas|import pandas|pyarrow", inspect.getsource(module))
 
 
 # --- pseudonyms
