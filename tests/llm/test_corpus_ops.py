@@ -220,6 +220,27 @@ def test_mixing(spark, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_every_source_has_its_own_marginal(spark, monkeypatch):
+    """More sources and languages than any bound there was, over several partitions of cells."""
+    r = random.Random(2)
+    rows = [(i, "w " * r.randint(1, 40), f"s{i % 1000 if i % 3 else 0}", f"l{i % 130}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    one = mixing.mix(docs).collect()
+    monkeypatch.setattr(mixing, "TOGETHER", 1500)
+    got = mixing.mix(docs).collect()
+    assert sorted(got) == sorted(one) and len({x.source for x in got}) == 1000 and len({x.lang for x in got}) == 130
+    for d in ("source", "lang"):
+        own, fitted = {}, {}
+        for x in got:
+            own[x[d]] = own.get(x[d], 0) + x.n_tokens
+            fitted[x[d]] = fitted.get(x[d], 0) + x.n_tokens * x.weight
+        raw = {k: (n / sum(own.values())) ** mixing.TEMPER[d] for k, n in own.items()}
+        for k in raw:
+            assert fitted[k] == pytest.approx(sum(own.values()) * raw[k] / sum(raw.values()), rel=0.02)
+    named = mixing.mix(docs, topic=lambda text, n: F.when(n > 20, "x")).select("topic").distinct().collect()
+    assert {x.topic for x in named} == {"x", "(none)"}
+
+
 # --- quality
 
 
