@@ -65,11 +65,8 @@ def op7_sql() -> str:
     return f"""
 WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS x FROM documents),
 u AS (SELECT doc_id, source, lang, x, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM t),
-v AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN contains(x, ' | ') THEN 'table' WHEN contains(x, 'Licensed under') THEN 'licensed'
+d AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN contains(x, ' | ') THEN 'table' WHEN contains(x, 'Licensed under') THEN 'licensed'
     WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 1000 THEN 'article' ELSE 'long' END AS topic FROM u),
-ts AS (SELECT source FROM v GROUP BY source ORDER BY sum(n_tokens) DESC, source LIMIT {x.MAX_SOURCES}),
-tl AS (SELECT lang FROM v GROUP BY lang ORDER BY sum(n_tokens) DESC, lang LIMIT {x.MAX_LANGS}),
-d AS (SELECT doc_id, CASE WHEN source IN (FROM ts) THEN source ELSE '(other)' END AS source, CASE WHEN lang IN (FROM tl) THEN lang ELSE '(other)' END AS lang, topic, n_tokens FROM v),
 cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS m FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
 tot AS MATERIALIZED (SELECT sum(m) AS a FROM cells),
 {", ".join(numbers(d) for d in x.DIMS)},
@@ -80,7 +77,8 @@ fit AS (SELECT 0 AS i, (SELECT a FROM tot) AS a, by_source, by_lang, by_topic, r
 w AS (SELECT source, lang, topic, m, f_source[i_source] * f_lang[i_lang] * f_topic[i_topic] AS w FROM num, fit WHERE i = {3 * x.ROUNDS}),
 p AS (SELECT list({{'m': m, 'w': w}}) AS c FROM w),
 sc AS (SELECT 0 AS i, (SELECT a FROM tot) AS a, {x.KEEP}::DOUBLE AS x, c FROM p UNION ALL
-    SELECT i + 1, a, x * {x.KEEP} * a / list_sum(list_transform(c, lambda y: y.m * least(1.0, x * y.w))), c FROM sc WHERE i < {x.SCALE_ROUNDS}),
+    SELECT i + 1, a, greatest(x, coalesce(({x.KEEP} * a - coalesce(list_sum(list_transform(c, lambda y: CASE WHEN x * y.w >= 1 THEN y.m ELSE 0 END)), 0))
+        / nullif(list_sum(list_transform(c, lambda y: CASE WHEN x * y.w < 1 THEN y.m * y.w ELSE 0 END)), 0), x)), c FROM sc WHERE i < {x.SCALE_ROUNDS}),
 r AS (SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(coalesce(w, 1.0), 6) AS weight, round(coalesce(least(1.0, w * (SELECT x FROM sc WHERE i = {x.SCALE_ROUNDS})), 1.0), 6) AS probability
     FROM d LEFT JOIN w USING (source, lang, topic))
 SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < probability AS sampled FROM r
