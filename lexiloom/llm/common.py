@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -30,19 +31,29 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_REPO, *filter(None, paths)])
 
 
+#: Bytes that a core should have at least before a table is dealt anew.
+SMALL = 4 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over all cores where they come from fewer files than there are cores; otherwise as they are."""
-    files, cores = len(rows._jdf.inputFiles()), rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if 0 < files < cores else rows
+    """``rows`` over all cores where they are so few that few tasks would read them; otherwise as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SMALL else rows
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``, or one made here where it is unset."""
+    """The folder all machines share: ``spark.checkpoint.dir``.
+
+    Where it is unset one is made for sessions on a single machine; a cluster must name its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         folder = Path(tempfile.mkdtemp(prefix="lexiloom-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
         atexit.register(_remove, spark, folder)
     return folder.rstrip("/")
 
@@ -83,20 +94,20 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexiloom_folder = path
+    return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the folder of a table made by ``written`` that nothing reads any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _remove(df.sparkSession, folder)
+def drop_written(df: DataFrame, part: str = "") -> None:
+    """Delete a table made by ``written``, or a partition's folder of it, that nothing reads any more."""
+    _remove(df.sparkSession, f"{df._lexiloom_folder}/{part}")
 
 
-def drop_path(df: DataFrame, part: str) -> None:
-    """Delete a partition's folder of a table made by ``written`` that nothing reads any more."""
-    folder = next((f[: f.index("/", f.rindex("/lexiloom-") + 1)] for f in df.inputFiles()), None)
-    if folder:
-        _remove(df.sparkSession, f"{folder}/{part}")
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of plans that are done with."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_of(name: str = "text") -> Column:

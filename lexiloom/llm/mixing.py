@@ -69,7 +69,8 @@ def rake(cells: DataFrame, keep: float = KEEP, temper: dict[str, float] | None =
     cells = together(cells)
     held = together(written(cells.join(_goals(cells, "source", total, temper["source"]), "source"), "cells"))
     factors = cells.select("lang", "topic").distinct().join(_goals(cells, "lang", total, temper["lang"]), "lang").join(_goals(cells, "topic", total, temper["topic"]), "topic")
-    factors = together(written(factors.select("lang", "topic", "goal_lang", "goal_topic", F.lit(1.0).alias("was"), F.lit(1.0).alias("f")), "factors"))
+    table = written(factors.select("lang", "topic", "goal_lang", "goal_topic", F.lit(1.0).alias("was"), F.lit(1.0).alias("f")), "factors")
+    factors = together(table)
     by = lambda d: Window.partitionBy(d)
 
     def by_source(f: str) -> DataFrame:
@@ -80,9 +81,9 @@ def rake(cells: DataFrame, keep: float = KEEP, temper: dict[str, float] | None =
         sums = by_source("f").groupBy("lang", "topic").agg(F.sum(F.col("m") * F.col("f") * F.col("f_source")).alias("s"), *[F.first(c).alias(c) for c in ("goal_lang", "goal_topic", "f")])
         sums = sums.withColumn("f_lang", F.col("goal_lang") / F.sum("s").over(by("lang")))
         sums = sums.withColumn("f_topic", F.col("goal_topic") / F.sum(F.col("s") * F.col("f_lang")).over(by("topic")))
-        new = together(written(sums.select("lang", "topic", "goal_lang", "goal_topic", F.col("f").alias("was"), (F.col("f") * F.col("f_lang") * F.col("f_topic")).alias("f")), "factors"))
-        drop_written(factors)
-        factors = new
+        new = written(sums.select("lang", "topic", "goal_lang", "goal_topic", F.col("f").alias("was"), (F.col("f") * F.col("f_lang") * F.col("f_topic")).alias("f")), "factors")
+        drop_written(table)
+        table, factors = new, together(new)
         if (factors.agg(F.max(F.abs(F.col("f") / F.col("was") - 1))).first()[0] or 0) < STILL:
             break
     # The sources' factors are those of the last round, before it moved the others'.

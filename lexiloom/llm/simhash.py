@@ -5,16 +5,18 @@
 3. Two fingerprints that differ in at most ``radius`` of 64 bits agree in one of radius + 1 bands of bits.  Each band
    value is a shard: its fingerprints form a BK-tree, whose children are keyed by their Hamming distance to the
    parent, and a search follows only edges within the radius of the query's distance.  A shard over a size bound is
-   cut into slices; each slice's tree is sent to the tasks that hold the queries of every other slice.
+   cut into slices; each slice's tree goes to the tasks that hold the queries of every other slice.  The trees of all
+   shards together grow with the corpus, so a tree is sent to the tasks that ask it and not to all.
 4. A task returns a star per linked set, not its pairs; stars are joined to components with large-star and
-   small-star steps on written tables.
+   small-star steps on written tables.  Centres of large stars are joined by broadcast, at most a thousand of them.
 
 Nothing about single documents reaches the driver.  Only band values over the size bound are broadcast, which are at
 most ``MAX_HOT`` by the choice of the bound.
 
 Defined results: null and empty texts have fingerprint zero and link like any others.  Rows of equal id are one
-document.  A row with a null id gets the component of a row with an id that has its fingerprint, else null.  An
-empty table gives an empty result; columns other than the id and the text are not read.
+document: whatever their texts are linked to is linked.  A row with a null id gets the component of a row with an id
+that has its fingerprint, else null.  An empty table gives an empty result; columns other than the id and the text are
+not read.
 """
 
 from __future__ import annotations
@@ -286,14 +288,14 @@ def least_of_component(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")), "least")
+        large = join_by_key(both.filter("b > a"), least, ["a"], "n", 2 * before[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = written(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
+        lower = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lower, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         small = written(small, "small")
-        drop_written(large)
-        drop_written(edges)
+        for old in (least, large, edges):
+            drop_written(old)
         edges, after = small, sign(small)
         if after == before:
             break
@@ -303,12 +305,22 @@ def least_of_component(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select("a", F.col("b").alias("root"))
 
 
+def links_of_ids(rows: DataFrame, nodes: DataFrame, key: str, total: int) -> DataFrame:
+    """(``a``, ``b``): an id whose rows (low, key) have several keys, and the id of each of their nodes (key, low)."""
+    several = rows.filter("low is not null").groupBy("low").agg(F.min(key).alias("least"), F.max(key).alias("most"), F.count("*").alias("n")).filter("least <> most")
+    several = written(several.select("low", "n"), "several")
+    mine = join_by_key(rows, several, ["low"], "n", total).select(F.col("low").alias("a"), key).distinct()
+    return mine.join(nodes.select(key, F.col("low").alias("b")), key).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """id, ``fingerprint`` (hex) and ``component_id`` (the smallest id reachable over links) of every row."""
     marks = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     nodes = written(marks.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("n")), "nodes")
     total, rows = nodes.agg(F.count("*"), F.sum("n")).first()
-    roots = least_of_component(links(nodes.filter("low is not null"), total or 0, radius, shard_rows))
+    found = links(nodes.filter("low is not null"), total or 0, radius, shard_rows)
+    same = links_of_ids(marks.select(F.col(id_col).alias("low"), "fp"), nodes, "fp", rows or 0)
+    roots = least_of_component(found.unionByName(same))
     named = nodes.join(roots.withColumnRenamed("a", "low"), "low", "left").select("fp", "n", F.coalesce("root", "low").alias("component_id"))
     out = join_by_key(marks, named, ["fp"], "n", rows or 0)
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -338,12 +350,6 @@ def wide_sketch(text: str, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(np.concatenate(bits), bitorder="little").view("<i8"), key.view(np.int64)
 
 
-def radius_of(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Bits that SimHashes of sets with this Jaccard similarity differ in, and one standard deviation more."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + math.sqrt(bits * share * (1 - share)))
-
-
 @lru_cache
 def candidate_radius(similarity: float, bits: int = 64 * WIDE) -> int:
     """Four standard deviations over the bits that sets of at least this similarity differ in, small sets included."""
@@ -392,6 +398,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     chosen = nodes.select("mark", F.col("low").alias("a")).join(near, "a").hint("shuffle_hash")
     texts = sketches.withColumnRenamed(id_col, "a").join(chosen, ["mark", "a"]).select(F.col("a").alias("low"), "root", *names, "text")
     texts = written(texts, "texts")
-    roots = least_of_component(links(texts, total or 0, radius, shard_rows, tuple(names), F.array(F.col("root").cast("long")), ("text",), words, similarity))
+    found = links(texts, total or 0, radius, max(1, shard_rows // 8), tuple(names), F.array(F.col("root").cast("long")), ("text",), words, similarity)
+    roots = least_of_component(found.unionByName(links_of_ids(sketches.select(F.col(id_col).alias("low"), "mark"), nodes, "mark", rows or 0)))
     named = nodes.join(roots.withColumnRenamed("a", "low"), "low", "left").select("mark", "n", F.coalesce("root", "low").alias("component_id"))
     return join_by_key(sketches.select(id_col, "mark"), named, ["mark"], "n", rows or 0).select(id_col, "component_id")

@@ -347,16 +347,39 @@ def test_pipeline(spark):
     assert after.keys() == {i for i, t in before.items() if model.scores([t])[0] >= 0.3}
     before, after = map(texts, stages["exact_dedup"])
     assert after.keys() == set({t: i for i, t in sorted(before.items())}.values())
-    from test_text_ops import components
-
-    from lexiloom.llm import simhash
+    from test_text_ops import similar_components
 
     before, after = map(texts, stages["near_dedup"])
-    sketches = {i: simhash.wide_sketch(t) for i, t in before.items()}
-    near = lambda a, b: (a[1] == b[1]).any() and int(np.bitwise_count(a[0].view(np.uint64) ^ b[0].view(np.uint64)).sum()) <= simhash.radius_of(0.8)
-    assert after.keys() == {i for i, c in components(sketches, near).items() if i == c}
+    assert after.keys() == {i for i, c in similar_components(before).items() if i == c}
     before, after = map(texts, stages["mixing"])
     assert after.keys() == {r.doc_id for r in mixing.mix(stages["mixing"][0]).collect() if r.sampled}
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert {r.doc_id: r.n_tokens for r in now.collect()} == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in after.items()}
     assert C.run(spark, SF).exceptAll(now).count() == 0
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns, an empty table."""
+    import corpus_pipeline as C
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 7)))
+    long = " ".join(word() for _ in range(30000))
+    texts = [None, "", "", long, long, *(" ".join(word() for _ in range(r.randint(5, 60))) for _ in range(40))]
+    rows = [(i, t, "en" if i % 3 else None, "s" if i % 2 else None, 1, "x", i % 2) for i, t in enumerate(texts)] + [(None, "no id at all", "en", "s", 1, "x", 0), (7, texts[7], "en", "s", 1, "x", 0)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars int, kept string, n_tokens int"
+    labels = "doc_id long, quality int, toxic int"
+    for name, some, marks in (("some", rows, [(i, i % 2, 0) for i in range(5, 40)]), ("none", [], [])):
+        folder = tmp_path / name
+        spark.createDataFrame(some, kinds).write.parquet((folder / "documents.parquet").as_uri())
+        spark.createDataFrame(marks, labels).write.parquet((folder / "labels.parquet").as_uri())
+        docs = Q.read(spark, folder.as_uri(), "documents")
+        for stage, function in C.STAGES:
+            after = C.written(function(spark, docs, folder.as_uri()), stage)
+            if stage != C.STAGES[-1][0]:
+                assert after.columns == docs.columns and after.exceptAll(docs).count() == 0
+                docs = after
+        ids = [x.doc_id for x in after.collect()]
+        assert len(ids) == docs.count() and (name == "none") == (not ids)
+        assert not {1, 3} & set(ids)  # of equal texts the largest id stays
+        assert ids.count(7) in (0, 2)
