@@ -1,84 +1,122 @@
 """Removal of encyclopaedia markup.
 
-The rules apply until none changes anything, starting again at the first after every change.  Their patterns are
-case-insensitive and match the least they can.  ``strip_markup`` runs the exact loop in Arrow batches, on the rows that
-have any markup at all; the single rules are native expressions too.
+The rules apply until none changes anything, starting again at the first after every change.  ``strip_markup`` takes a
+few rounds of them in native expressions; a row whose rounds are not the same as those of the loop, because it still has
+markup or because a later rule made work for an earlier one, goes through the loop itself in Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Text with balanced brackets inside at the most singly, as in links.
-_INNER = r"(?:[\[\]]??[^\[\]])*?"
-#: Fixed patterns of the markup language: what goes, tags, entities, links.
-REMOVED = (
-    r"<!--.*?-->|<ref(?:[^>]*?[^/>])??>.*?</ref>|<gallery(?:[^>]*?[^/>])??>.*?</gallery>|<imagemap(?:[^>]*?[^/>])??>.*?</imagemap>"
-    rf"|\[\[[a-z-]*?:{_INNER}\]\]|\{{\|(?:[^{{|]|\{{[^|]|\|[^}}])*?\|+?\}}|\{{\{{[^{{}}]*?\}}\}}"
-)
-TAG = r"</?[a-z][a-z0-9]*?( [^>]*?)??/??>"
-ENTITY = r"&[a-z]+?;"
-WIKI_LINK = rf"\[\[({_INNER}\|)??({_INNER})(\|{_INNER})??\]\]"
-URL_LINK = r"\[(?:http|https|ftp)://[^\] ]*?( [^\]]*?)??\]"
-ARTICLE_MARK = r"(BEGIN|END) ARTICLE"
-_FLAGS = re.IGNORECASE | re.DOTALL
+#: What a link may hold: no two brackets in a row, and a lone one takes the next character with it.
+_HELD = r"(?:[\[\]]?[^\[\]])*?"
+#: The constructs of the markup language that go whole, by name.
+BLOCKS = {
+    "comment": r"<!--.*?-->",
+    "element with content": r"<(ref|gallery|imagemap)(?:[^>]*[^/>])?>.*?</\1>",
+    "link into a namespace": rf"\[\[[a-z-]*:{_HELD}\]\]",
+    "table": r"\{\|(?:[^{|]|\{[^|]|\|[^}])*?\|+\}",
+    "innermost template": r"\{\{[^{}]*\}\}",
+}
+#: What is replaced.
+TAG = r"</?[a-z][a-z0-9]*(?: [^>]*|/)?>"
+ENTITY = r"&[a-z]+;"
+LINK = rf"\[\[((?:[\[\]]?[^\[\]|]|[\[\]]\|)*)(?:\|{_HELD})?\]\]"
+LABEL = r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]"
+ADDRESS = r"\[(?:https?|ftp)://[^\] ]*((?: [^\]]*)?)\]"
+ARTICLE_MARK = r"(?:begin|end) article"
+REDIRECT = "#redirect"
 LINK_TEXTS = ("target", "label")
+#: How often the native form applies the first rule, which nests; the others come once.
+NESTED = 3
+
+
+def rules(link_text: str = "target") -> list[tuple[str, str]]:
+    """(pattern, what stays: empty, a blank or the first group), in the order of the loop."""
+    if link_text not in LINK_TEXTS:
+        raise ValueError(f"link_text must be one of {LINK_TEXTS}")
+    # One alternation, so that of constructs that overlap the one that begins first goes.
+    blocks = "|".join(BLOCKS.values())
+    return [(blocks, ""), (TAG, " "), (ENTITY, " "), (LINK if link_text == "target" else LABEL, "$1"), (ADDRESS, "$1")]
+
+
+def _replaced(text: Column, pattern: str, to: str) -> Column:
+    return F.regexp_replace(text, f"(?is){pattern}", to)
 
 
 def remove_blocks(text: Column) -> Column:
     """Without comments, references, galleries, image maps, links into namespaces, tables and innermost templates."""
-    return F.regexp_replace(text, f"(?is){REMOVED}", "")
+    return _replaced(text, *rules()[0])
 
 
 def strip_tags(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?is){TAG}", " ")
+    return _replaced(text, TAG, " ")
 
 
 def strip_entities(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?is){ENTITY}", " ")
+    return _replaced(text, ENTITY, " ")
 
 
 def strip_wiki_links(text: Column, link_text: str = "target") -> Column:
     """Links as their target (the part before the first bar) or their label (the last part)."""
-    if link_text == "label":
-        return F.regexp_replace(text, r"(?is)\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]", "$1")
-    return F.regexp_replace(text, f"(?is){WIKI_LINK}", "$2")
+    return _replaced(text, *rules(link_text)[3])
 
 
 def strip_url_links(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?is){URL_LINK}", "$1")
+    return _replaced(text, *rules()[4])
 
 
 def escape_article_marks(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?is){ARTICLE_MARK}", ">$0")
+    return _replaced(text, ARTICLE_MARK, ">$0")
 
 
 def is_redirect(text: Column) -> Column:
-    return text.rlike("(?i)^#REDIRECT")
+    return F.lower(F.substring(text, 1, len(REDIRECT))) == REDIRECT
 
 
 def strip_text(text: str, link_text: str = "target") -> str:
-    """The exact loop over one text."""
-    wiki = (WIKI_LINK, r"\2") if link_text == "target" else (r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]", r"\1")
-    rules = [(re.compile(p, _FLAGS), to) for p, to in ((REMOVED, ""), (TAG, " "), (ENTITY, " "), wiki, (URL_LINK, r"\1"))]
-    k = 0
-    while k < len(rules):
-        pattern, to = rules[k]
-        text, n = pattern.subn(lambda m, to=to: m.expand(to) if "\\" not in to or m.group(int(to[1])) is not None else "", text)
-        k = 0 if n else k + 1
+    """The loop over one text."""
+    compiled = [(re.compile(p, re.IGNORECASE | re.DOTALL | re.ASCII), to.replace("$", "\\")) for p, to in rules(link_text)]
+    rule = 0
+    while rule < len(compiled):
+        pattern, to = compiled[rule]
+        text, n = pattern.subn(to, text)
+        rule = 0 if n else rule + 1
     return text
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_markup(text: Column, link_text: str = "target") -> Column:
-    """The text without markup; rows without any of its characters pass by natively."""
-    if link_text not in LINK_TEXTS:
-        raise ValueError(f"link_text must be one of {LINK_TEXTS}")
+    """The text without markup; null stays null."""
+    some = rules(link_text)
+
+    def applied(i: int, state: Column) -> Column:
+        """(text, whether it is what the loop has at this point) after rule ``i``."""
+        now = state["t"]
+        for _ in range(NESTED if i == 0 else 1):
+            now = _replaced(now, *some[i])
+        # The loop goes back to the first rule after a change.
+        again = "(?is)" + "|".join(p for p, _ in some[: i + 1])
+        new = F.struct(now.alias("t"), state["t"].alias("was"), state["same"].alias("same"))
+        return _let(new, lambda n: F.struct(n["t"].alias("t"), (n["same"] & ((n["t"] == n["was"]) | ~n["t"].rlike(again))).alias("same")))
+
+    state = F.struct(text.alias("t"), F.lit(True).alias("same"))
+    for i in range(len(some)):
+        state = _let(state, partial(applied, i))
 
     @F.pandas_udf("string")
-    def strip(s):
+    def looped(s):
         return s.map(lambda t: None if t is None else strip_text(t, link_text))
 
-    return F.when(text.rlike(r"[<&\[{]"), strip(text)).otherwise(text)
+    out = _let(F.when(text.rlike(r"[<&\[{]"), state).otherwise(F.struct(text.alias("t"), F.lit(True).alias("same"))), lambda s: s)
+    # Rows that need no loop are null to it.
+    return F.when(out["same"] | text.isNull(), out["t"]).otherwise(looped(F.when(~out["same"], text)))

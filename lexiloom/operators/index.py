@@ -43,8 +43,12 @@ def parent(text: Column) -> Column:
 
 
 def terminals(prefixes: DataFrame) -> DataFrame:
-    """text and n, what a prefix's count has beyond its children's; texts without a rest go."""
-    below = prefixes.groupBy(parent(F.col("text")).alias("text")).agg(F.sum("c").alias("below"))
+    """text and n, what a prefix's count has beyond its children's; texts without a rest go.
+
+    A stored index has the parents; they are read, not made again.
+    """
+    up = F.col("parent") if "parent" in prefixes.columns else parent(F.col("text"))
+    below = prefixes.groupBy(up.alias("text")).agg(F.sum("c").alias("below"))
     rest = F.col("c") - F.coalesce("below", F.lit(0))
     return prefixes.join(below, "text", "left").select("text", rest.alias("n")).filter("n > 0")
 
@@ -106,14 +110,19 @@ def explore(prefixes: DataFrame, path: str = "", depth: int | None = None) -> Da
         raise ValueError("invalid depth 0")
     depth = len(path) if depth is None else depth
     most = None if depth < 0 else depth
-    rows = terminals(prefixes)
-    total = rows.agg(F.lit("").alias("prefix"), F.coalesce(F.sum("n"), F.lit(0)).alias("c"), F.array().cast("array<struct<a:bigint,b:string>>").alias("place"))
+    # Terminals add up to the counts of the first words, and below a path only what begins like it is needed.
+    total = corpus_total(prefixes).select(F.lit("").alias("prefix"), F.col("n_total").alias("c"), F.array().cast("array<struct<a:bigint,b:string>>").alias("place"))
     if most == 0:
         return total.select("prefix", "c")
     # Where the whole path does not occur, the part of it that does is shown.
-    near = rows.filter(F.col("text").startswith(path[0])) if path else rows
-    counts = near.select(F.explode(T.char_prefixes("text", most)).alias("prefix"), "n").groupBy("prefix").agg(F.sum("n").alias("c"))
-    counts = counts.filter(F.lit(path).startswith(F.col("prefix")) | F.col("prefix").startswith(path)) if path else counts
+    near = terminals(prefixes.filter(F.col("text").startswith(path[0])) if path else prefixes)
+    if path:
+        along = F.filter(T.char_prefixes("text", min(most, len(path)) if most else len(path)), lambda x: F.lit(path).startswith(x))
+        below = F.when(F.col("text").startswith(path), F.filter(T.char_prefixes("text", most), lambda x: F.length(x) > len(path))).otherwise(F.array().cast("array<string>"))
+        near = near.select(F.explode(F.concat(along, below)).alias("prefix"), "n")
+    else:
+        near = near.select(F.explode(T.char_prefixes("text", most)).alias("prefix"), "n")
+    counts = near.groupBy("prefix").agg(F.sum("n").alias("c"))
     # The order needs the counts of all ancestors.
     ranked = counts.select("prefix", "c", F.posexplode(T.char_prefixes("prefix")).alias("i", "above"))
     up = ranked.join(counts.select(F.col("prefix").alias("above"), F.col("c").alias("above_c")), "above")
@@ -125,5 +134,6 @@ def explore(prefixes: DataFrame, path: str = "", depth: int | None = None) -> Da
 def children(prefixes: DataFrame, prefix: str = "", least: str = " ", most: str = "z") -> DataFrame:
     """ch and c: the characters between ``least`` and ``most`` that follow ``prefix``."""
     n = len(prefix)
-    rows = terminals(prefixes).filter(F.col("text").startswith(prefix) & (F.length("text") > n)) if prefix else terminals(prefixes)
+    # What takes from a text's count begins with it too, so the index is filtered first.
+    rows = terminals(prefixes.filter(F.col("text").startswith(prefix)) if prefix else prefixes).filter(F.length("text") > n)
     return rows.groupBy(F.substring("text", n + 1, 1).alias("ch")).agg(F.sum("n").alias("c")).filter(F.col("ch").between(least, most))

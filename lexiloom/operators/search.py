@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiloom import session
 from lexiloom.functions import text as T
 from lexiloom.plans import pattern as P
 
@@ -26,6 +27,8 @@ RESTART = 1e-6
 PAGE_SIZE = 100
 #: Seconds after which a page's search is stopped (fixed value).
 SECONDS = 30.0
+#: Paths that a page's search may look at before it asks whether to go on with twice as many (fixed value).
+BUDGET = 1_000_000
 #: Distinct automaton states that one round of splicing may bring to the driver.
 MAX_STATES = 100_000
 
@@ -40,13 +43,20 @@ class Plan:
     tree: tuple = field(default=())
 
 
-def _range(tree: tuple) -> Column | None:
-    prefix, _ = P.literal_prefix(P.with_end(tree))
-    if not prefix:
+def _within_beginnings(texts: list[str]) -> Column | None:
+    """Phrases that start with one of the texts; None for all of them."""
+    if "" in texts:
         return None
-    # The first character prunes the partitions, the range reaches the row groups.
-    after = prefix[:-1] + chr(ord(prefix[-1]) + 1)
-    return (F.col("first_ch") == prefix[0]) & (F.col("text") >= prefix) & (F.col("text") < after)
+    if not texts:
+        return F.lit(False)
+    ranges = [(F.col("text") >= t) & (F.col("text") < t[:-1] + chr(ord(t[-1]) + 1)) for t in texts]
+    # The first character prunes the partitions, the ranges reach the row groups.
+    return F.col("first_ch").isin(sorted({t[0] for t in texts})) & reduce(lambda x, y: x | y, ranges)
+
+
+def _all_of(terms: list[Column | None]) -> Column | None:
+    some = [t for t in terms if t is not None]
+    return reduce(lambda x, y: x & y, some) if some else None
 
 
 def plan(query: str) -> Plan:
@@ -56,14 +66,11 @@ def plan(query: str) -> Plan:
     if letters:
         return Plan((F.col("n_letters") == len(letters)) & (F.col("letters_key") == letters), False, "key", tree)
     least, most = P.letter_bounds(tree)
-    terms = [x for x in (_range(tree), F.col("n_letters") >= least if least else None, F.col("n_letters") <= most if most is not None else None) if x is not None]
+    a = P.Matcher("pattern", query).automaton()
+    terms = [_within_beginnings(P.beginnings(a, a.start)), F.col("n_letters") >= least if least else None, F.col("n_letters") <= most if most is not None else None]
     regexes = P.to_regexes(tree)
-    if regexes:
-        terms += [F.col("text").rlike(x) for x in regexes]
-    condition = None
-    for t in terms:
-        condition = t if condition is None else condition & t
-    return Plan(condition, not regexes, "regex" if regexes else "automaton", tree)
+    terms += [F.col("text").rlike(x) for x in regexes or ()]
+    return Plan(_all_of(terms), not regexes, "regex" if regexes else "automaton", tree)
 
 
 def explain(query: str) -> dict:
@@ -78,8 +85,15 @@ def accepted(matcher: P.Matcher) -> Column:
 
     @F.pandas_udf("boolean")
     def accepts(texts):
+        import pandas as pd
+
         a = matcher.automaton()
-        return texts.map(lambda t: a.nullable(a.run(t)))
+        given = texts.tolist()
+        order = sorted(range(len(given)), key=given.__getitem__)
+        out = [False] * len(given)
+        for i, state in P.walk(a, a.start, [given[i] for i in order]):
+            out[order[i]] = a.nullable(state)
+        return pd.Series(out, dtype=bool)
 
     return accepts(F.col("text"))
 
@@ -97,12 +111,12 @@ def _results(rows: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
     return out if limit is None else out.limit(limit)
 
 
-def find(index: DataFrame, query: str, limit: int | None = PAGE_SIZE, offset: int = 0) -> DataFrame:
+def find(index: DataFrame, query: str, limit: int | None = None, offset: int = 0) -> DataFrame:
     """score and text of the matching phrases, by falling score, then by text."""
     return _results(matches(index, query), limit, offset)
 
 
-def find_anagrams(index: DataFrame, letters: str, limit: int | None = PAGE_SIZE) -> DataFrame:
+def find_anagrams(index: DataFrame, letters: str, limit: int | None = None) -> DataFrame:
     """Phrases with exactly these letters, spaces free; letters in upper case or spaces match nothing."""
     good = bool(letters) and set(letters) <= P.LETTERS | P.DIGITS
     key = "".join(sorted(letters))
@@ -110,7 +124,7 @@ def find_anagrams(index: DataFrame, letters: str, limit: int | None = PAGE_SIZE)
     return _results(rows, limit)
 
 
-def find_phone_words(index: DataFrame, digits: str, limit: int | None = PAGE_SIZE) -> DataFrame:
+def find_phone_words(index: DataFrame, digits: str, limit: int | None = None) -> DataFrame:
     """Phrases that a telephone's keys spell with these digits, spaces free."""
     good = bool(digits) and set(digits) <= P.DIGITS
     rows = index.filter((F.col("n_letters") == len(digits)) & (F.col("phone_key") == digits)) if good else index.filter(F.lit(False))
@@ -124,91 +138,112 @@ def find_phone_words(index: DataFrame, digits: str, limit: int | None = PAGE_SIZ
 def _transitions(index: DataFrame, matcher: P.Matcher, states: list[tuple[str, str]]) -> DataFrame:
     """(from_key, phrase, c, n_words, to_key, accept) of every phrase that keeps a state alive.
 
-    A state is known by a text that leads to it; workers build it again from that text.
+    A state is known by a text that leads to it; workers build it again from that text.  Only phrases that begin as one
+    of the states allows, and have no more letters than a match, are read.
     """
+    a = matcher.automaton()
+    starts = {t for _, text in states for t in P.beginnings(a, a.run(text))}
+    starts = starts if len(starts) <= 64 else {t[:1] for t in starts}
+    most = P.letter_bounds(P.parse(matcher.query))[1] if matcher.kind == "pattern" else len(matcher.query)
+    condition = _all_of([_within_beginnings(sorted(starts)), F.col("n_letters") <= most if most is not None else None])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = matcher.automaton()
         begun = [(key, a.run(text)) for key, text in states]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.bool_()]
         for batch in batches:
-            out: list[tuple] = []
             rows = sorted(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            for key, state in begun:
-                path, last = [state], ""  # the states along the last phrase: shared beginnings are not run again
-                for text, c, n in rows:
-                    k, most = 0, min(len(last), len(text), len(path) - 1)
-                    while k < most and last[k] == text[k]:
-                        k += 1
-                    del path[k + 1 :]
-                    last = text
-                    s = path[-1]
-                    for ch in text[k:] if len(path) == k + 1 else "":
-                        s = a.step(s, ch)
-                        path.append(s)
-                        if s == a.none:
-                            break
-                    if s != a.none and len(path) == len(text) + 1:
-                        out.append((key, text, c, n, a.name(s), a.nullable(s)))
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.bool_()]
+            texts = [r[0] for r in rows]
+            out = [(key, *rows[i], a.name(s), a.nullable(s)) for key, state in begun for i, s in P.walk(a, state, texts)]
             cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["from_key", "phrase", "c", "n_words", "to_key", "accept"])
 
-    return index.select("text", F.col("c").cast("long"), F.col("n_words").cast("int")).mapInArrow(run, "from_key string, phrase string, c long, n_words int, to_key string, accept boolean")
+    rows = index if condition is None else index.filter(condition)
+    return rows.select("text", F.col("c").cast("long"), F.col("n_words").cast("int")).mapInArrow(run, "from_key string, phrase string, c long, n_words int, to_key string, accept boolean")
+
 
+@dataclass
+class Spliced:
+    """What a splicing search found, whether that is all of it, and how many paths it looked at."""
 
-def splice(index: DataFrame, matcher: P.Matcher, n_total: int, limit: int | None = PAGE_SIZE, max_words: int | None = None, restart: float = RESTART, quirk: bool = True) -> DataFrame:
-    """score and text of single and spliced phrases, by falling score.
+    rows: DataFrame
+    complete: bool
+    paths: int
+
+
+def splice_search(index: DataFrame, matcher: P.Matcher, n_total: int, limit: int | None = None, max_words: int | None = None, restart: float = RESTART, quirk: bool = True, budget: int | None = None, progress: Callable[[int, int, int], None] | None = None) -> Spliced:
+    """Single and spliced phrases, (score, text) by falling score.
 
     Rounds go by number of words: once all shorter texts are extended, every path to a text of ``w`` words is known.
     With ``quirk`` the best path to an accepted text is a result and is not extended, as in a best-first search that
-    returns before it restarts; its other paths are.  A round ends the search when no pending score reaches the worst
-    of ``limit`` results, since scores never rise along a path.  Queries that match without end need ``limit`` or
-    ``max_words``.
+    returns before it restarts; its other paths are.  Scores never rise along a path, so paths below the worst of
+    ``limit`` results go.  Queries that match without end need ``limit``, ``max_words`` or a ``budget`` of paths, which
+    is looked at between rounds.  ``progress`` is told words, paths and results after each.
+
+    Each round's tables are in the shared folder and replace the ones before.
     """
     spark = index.sparkSession
-    start = matcher.automaton()
-    if start.start is None or start.start == start.none:
-        return spark.createDataFrame([], "score double, text string")
-    saved = bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-
-    def settle(df: DataFrame) -> DataFrame:
-        # Without a shared folder the rows are kept with their lineage, so a lost executor's part is computed anew.
-        return df.checkpoint() if saved else df.persist(StorageLevel.MEMORY_AND_DISK)
-
-    known: dict[str, str] = {}
-    first_key = start.name(start.start)
-    known[first_key] = ""
-    moves = settle(_transitions(index, matcher, [(first_key, "")]))
-    pending = settle(moves.select(F.col("phrase").alias("text"), F.col("c").cast("double").alias("score"), F.col("to_key").alias("key"), "accept", "n_words"))
-    results = None
+    a = matcher.automaton()
+    if a.start is None or a.start == a.none:
+        return Spliced(spark.createDataFrame([], "score double, text string"), True, 0)
+    known = {a.name(a.start): ""}
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(session.written(df, "splice"))
+        return kept[-1]
+
+    def best_of(rounds: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [r.filter("accept AND rank = 1").select("score", "text") for r in rounds])
+
+    moves = [keep(_transitions(index, matcher, list(known.items())))]
+    pending = moves[0].select(F.col("phrase").alias("text"), F.col("c").cast("double").alias("score"), F.col("to_key").alias("key"), "accept", "n_words")
+    rounds: list[DataFrame] = []
+    step, worst, paths, complete = F.lit(float(n_total)), 0.0, 0, False
     while True:
-        head = pending.agg(F.min("n_words"), F.max("score")).first()
-        if head[0] is None or max_words is not None and head[0] > max_words:
+        waiting = {r["n_words"]: r["count"] for r in pending.groupBy("n_words").count().collect()}
+        if not waiting:
+            complete = True
             break
-        if limit is not None and results is not None:
-            worst = results.orderBy(F.desc("score")).offset(limit - 1).limit(1).collect()
-            if worst and head[1] < worst[0]["score"]:
-                break
-        now = pending.filter(F.col("n_words") == head[0])
-        ranked = now.withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "key")))
-        ranked = settle(ranked)
-        best = ranked.filter("accept AND rank = 1").select("score", "text")
-        results = settle(best if results is None else results.unionByName(best))
+        words = min(waiting)
+        if max_words is not None and words > max_words or budget is not None and paths + sum(waiting.values()) > budget:
+            break
+        paths += waiting[words]
+        ranked = keep(pending.filter(F.col("n_words") == words).withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "key"))))
+        rounds.append(ranked)
         further = (ranked.filter("NOT (accept AND rank = 1)") if quirk else ranked) if restart > 0 else ranked.filter(F.lit(False))
-        fresh = [(r["key"], r["text"]) for r in further.groupBy("key").agg(F.min("text").alias("text")).limit(MAX_STATES + 1).collect() if r["key"] not in known]
+        if limit is not None:
+            last = best_of(rounds).orderBy(F.desc("score")).offset(limit - 1).limit(1).collect()
+            worst = last[0]["score"] if last else 0.0
+            further = further.filter(F.col("score") * F.lit(restart) >= worst)
+        found = further.groupBy("key").agg(F.min("text").alias("text")).limit(MAX_STATES + len(known) + 1).collect()
+        fresh = [(r["key"], r["text"]) for r in found if r["key"] not in known]
         if len(fresh) > MAX_STATES:
-            raise RuntimeError(f"the query reaches more than {MAX_STATES} states")
+            raise P.QueryTooLargeError(f"the query reaches more than {MAX_STATES} states")
         if fresh:
             known.update(fresh)
-            moves = settle(moves.unionByName(_transitions(index, matcher, fresh)))
-        next_score = F.col("score") / F.lit(float(n_total)) * F.lit(restart) * F.col("c")
-        longer = further.select("text", "score", F.col("key").alias("from_key"), F.col("n_words").alias("had")).join(moves, "from_key")
-        longer = longer.select(F.concat("text", "phrase").alias("text"), next_score.alias("score"), F.col("to_key").alias("key"), "accept", (F.col("had") + F.col("n_words")).alias("n_words"))
-        pending = settle(pending.filter(F.col("n_words") > head[0]).unionByName(longer))
-    if results is None:
-        return spark.createDataFrame([], "score double, text string")
+            moves.append(keep(_transitions(index, matcher, fresh)))
+        rest = pending.filter(F.col("n_words") > words) if len(waiting) > 1 else None
+        if found:
+            longer = further.select("text", "score", F.col("key").alias("from_key"), F.col("n_words").alias("had")).join(reduce(DataFrame.unionByName, moves), "from_key")
+            longer = longer.select(F.concat("text", "phrase").alias("text"), (F.col("score") / step * F.lit(restart) * F.col("c")).alias("score"), F.col("to_key").alias("key"), "accept", (F.col("had") + F.col("n_words")).alias("n_words"))
+            rest = longer if rest is None else rest.unionByName(longer)
+        if progress is not None:
+            progress(words, paths, best_of(rounds).count())
+        if rest is None:
+            complete = True
+            break
+        pending = keep(rest.filter(F.col("score") >= worst) if worst else rest)
+    results = session.written(best_of(rounds), "spliced") if rounds else spark.createDataFrame([], "score double, text string")
+    for old in kept:
+        session.drop_written(old)
     out = results.groupBy("text").agg(F.max("score").alias("score")).select("score", F.rtrim("text").alias("text")).orderBy(F.desc("score"), "text")
-    return out if limit is None else out.limit(limit)
+    return Spliced(out if limit is None else out.limit(limit), complete, paths)
+
+
+def splice(index: DataFrame, matcher: P.Matcher, n_total: int, limit: int | None = None, max_words: int | None = None, restart: float = RESTART, quirk: bool = True) -> DataFrame:
+    """The rows of ``splice_search``."""
+    return splice_search(index, matcher, n_total, limit, max_words, restart, quirk).rows
 
 
 @dataclass
@@ -220,6 +255,7 @@ class Page:
     start: int = 0
     num: int = PAGE_SIZE
     next_start: int | None = None
+    next_budget: int | None = None
     message: str = ""
 
 
@@ -247,29 +283,35 @@ def _within(spark: SparkSession, seconds: float | None, job):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def search_page(index: DataFrame, query: str, start: int = 0, num: int = PAGE_SIZE, n_total: int | None = None, max_words: int | None = 8, seconds: float | None = SECONDS) -> Page:
+def search_page(index: DataFrame, query: str, start: int = 0, num: int = PAGE_SIZE, n_total: int | None = None, max_words: int | None = None, seconds: float | None = SECONDS, budget: int | None = BUDGET) -> Page:
     """Rows ``start`` to ``start + num`` of a query's results, with the font size that shows each score.
 
-    With ``n_total`` spliced phrases count too, up to ``max_words`` words; if that bound may have cut results off, the
-    outcome of a short page is ``budget`` and a search with a higher bound may find more.  A search that takes longer
-    than ``seconds`` is ``killed``.
+    With ``n_total`` spliced phrases count too.  If ``budget`` paths or ``max_words`` words ended the search before it
+    was complete, the outcome of a short page is ``budget``, and ``next_budget`` is what to ask for next.  A search that
+    takes longer than ``seconds``, or whose automaton outgrows its memory, is ``killed``.
     """
     query = query.strip()
     spark = index.sparkSession
-    try:
-        plan(query)
-    except P.PatternSyntaxError as e:
-        return Page("error", message=str(e))
+    complete = True
 
     def job() -> list:
+        nonlocal complete
         if n_total is None:
             return _results(matches(index, query), num + 1, start).collect()
-        return splice(index, P.Matcher("pattern", query), n_total, start + num + 1, max_words).collect()[start:]
+        got = splice_search(index, P.Matcher("pattern", query), n_total, start + num + 1, max_words, budget=budget)
+        complete = got.complete
+        return got.rows.collect()[start:]
 
-    rows = _within(spark, seconds, job)
+    try:
+        plan(query)
+        rows = _within(spark, seconds, job)
+    except P.PatternSyntaxError as e:
+        return Page("error", message=str(e))
+    except P.QueryTooLargeError as e:
+        return Page("killed", start=start, num=num, message=str(e))
     if rows is None:
         return Page("killed", start=start, num=num, message=f"stopped after {seconds} s")
     shown = spark.createDataFrame(rows[:num], "score double, text string").withColumn("font_size", T.font_size(F.col("score")))
     more = len(rows) > num
-    short = "budget" if n_total is not None and max_words is not None else "done" if rows or start else "none"
-    return Page("next" if more else short, shown, start, num, start + num if more else None)
+    short = "budget" if not complete else "done" if rows or start else "none"
+    return Page("next" if more else short, shown, start, num, start + num if more else None, None if complete or more or budget is None else 2 * budget)

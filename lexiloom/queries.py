@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -29,9 +30,16 @@ def _lines(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     return R.lines_of(session.spread(_table(spark, sf_dir, "documents")), "text", *keep)
 
 
+def _stamp(spark: SparkSession, path: str) -> str:
+    """Tells versions of a table apart: by place, size and time of change."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return f"{zlib.crc32(path.encode()):08x}-{fs.getContentSummary(at).getLength()}-{fs.getFileStatus(at).getModificationTime()}"
+
+
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of ``documents``, built once per session and folder as any search engine's is."""
-    path = f"{session.shared_dir(spark)}/index-{zlib.crc32(sf_dir.encode()):08x}-{spark.sparkContext.applicationId}"
+    """The index of ``documents``, built once per session and table as any search engine's is."""
+    path = f"{session.shared_dir(spark)}/index-{_stamp(spark, f'{sf_dir}/documents.parquet')}-{spark.sparkContext.applicationId}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         R.save_index(I.build_index(_lines(spark, sf_dir), CUTOFF), path, "overwrite")
@@ -39,6 +47,10 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.load_index(spark, path)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{session.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # SQL views: L lines, K chain counts, P prefix counts, I the pruned index, X its terminals.
 _NORM = "ltrim(lower(regexp_replace(replace(line || chr(10), '''', ''), '[^A-Za-z0-9]+', ' ', 'g')))"
 _L = "L AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)"
@@ -52,10 +64,37 @@ _X = """X AS MATERIALIZED (SELECT I.text, (I.c - coalesce(b.s, 0))::BIGINT AS n
     (SELECT regexp_replace(text, '[^ ]+ $', '') AS text, sum(c) AS s FROM I GROUP BY 1) b ON b.text = I.text WHERE I.c > coalesce(b.s, 0))"""
 _BASE = f"WITH {_L}, {_K}, {_P}, {_I}, {_X} "
 _BARE = "replace(text, ' ', '')"
+_FRAMING = """WITH F AS (SELECT doc_id AS file, CASE WHEN doc_id % 2 = 0 THEN 'BEGIN ARTICLE: doc ' || doc_id || chr(10) || coalesce(text, '') || chr(10) || 'END ARTICLE: doc'
+        ELSE '<doc id=' || doc_id || '>' || chr(10) || coalesce(text, '') || chr(10) || '</doc>' END AS t FROM documents),
+    A AS (SELECT file, string_split(t, chr(10)) AS a FROM F),
+    N AS (SELECT file, unnest(a) AS line, unnest(range(0, len(a))) AS line_no FROM A),
+    T AS (SELECT *, starts_with(line, 'BEGIN ARTICLE:') OR coalesce(starts_with(lag(line) OVER (PARTITION BY file ORDER BY line_no), '<doc '), false) AS is_title FROM N),
+    G AS (SELECT file, line_no, CASE WHEN starts_with(line, 'BEGIN ARTICLE:') THEN substr(line, 15) ELSE line END AS line, is_title, CASE WHEN is_title THEN 10 ELSE 1 END::BIGINT AS weight
+    FROM T WHERE NOT starts_with(line, 'END ARTICLE:') AND NOT starts_with(line, '<doc ') AND (is_title OR NOT starts_with(line, '</doc>'))) """
+
+
+def _spliced(words: str, free: str, more: str, whole: str) -> str:
+    """All ways to join the phrases of ``words`` (text, c, use), by the best."""
+    return f"""WITH RECURSIVE {_L}, {_K}, {_P}, {_I}, N AS (SELECT sum(c)::DOUBLE AS n FROM I WHERE instr(text, ' ') = length(text)), W AS MATERIALIZED ({words}),
+        R AS (SELECT text, use, c::DOUBLE AS score FROM W UNION ALL
+            SELECT r.text || w.text, {more}, r.score / n * 0.000001::DOUBLE * w.c FROM R r JOIN W w ON {free}, N)
+        SELECT max(score) AS score, rtrim(text) AS text FROM R WHERE {whole} GROUP BY text"""
+
+
+def _spliced_letters(letters: str) -> str:
+    """For letters that are all different: a phrase uses each at most once, and two that are joined share none."""
+    use = " + ".join(f"(CASE WHEN contains(text, '{c}') THEN {1 << i} ELSE 0 END)" for i, c in enumerate(letters))
+    once = " AND ".join(f"length(text) - length(replace(text, '{c}', '')) <= 1" for c in letters)
+    return _spliced(f"SELECT text, c, {use} AS use FROM I WHERE regexp_matches(text, '^[{letters} ]+$') AND {once}", "(r.use & w.use) = 0", "r.use | w.use", f"use = {(1 << len(letters)) - 1}")
 
 
-def _top(where: str, limit: str = "LIMIT 100") -> str:
-    return f"{_BASE} SELECT c::DOUBLE AS score, rtrim(text) AS text FROM I WHERE {where} ORDER BY score DESC, text {limit}"
+def _spliced_digits(digits: str) -> str:
+    key = "translate(replace(text, ' ', ''), 'abcdefghijklmnopqrstuvwxyz', '22233344455566677778889999')"
+    return _spliced(f"SELECT text, c, {key} AS use FROM I WHERE contains('{digits}', {key})", f"starts_with('{digits}', r.use || w.use)", "r.use || w.use", f"use = '{digits}'")
+
+
+def _found(where: str) -> str:
+    return f"{_BASE} SELECT c::DOUBLE AS score, rtrim(text) AS text FROM I WHERE {where} ORDER BY score DESC, text"
 
 
 #: name: (query, SQL condition on the index's text)
@@ -76,6 +115,8 @@ FIND = {
     "find_nested_intersection": ("(t?h?e?&__)(_{3})", f"regexp_matches({_BARE}, '^(th|te|he)[0-9a-z]{{3}}$')"),
     "find_anagram_letters": ("<aeht>", f"list_aggregate(list_sort(string_split({_BARE}, '')), 'string_agg', '') = 'aeht'"),
     "find_anagram_chunks": ("<(th)(er)_>", f"regexp_matches({_BARE}, '^(ther[0-9a-z]|th[0-9a-z]er|erth[0-9a-z]|er[0-9a-z]th|[0-9a-z]ther|[0-9a-z]erth)$')"),
+    # Parts that overlap stand in for each other: "ana" and "nan" are no true anagrams of these, but match part by part.
+    "find_anagram_overlap": ("<(a)(n)(an)>", " AND ".join(f"regexp_matches({_BARE}, '^{x}$')" for x in ("(a|n|an){3}", "(n|an)*a(n|an)*", "(a|an)*n(a|an)*", "(a|n)*an(a|n)*"))),
     "find_anagram_ordered": ("<eth>&_*t_*h_*", f"{_BARE} IN ('the', 'teh', 'eth')"),
 }
 
@@ -178,12 +219,12 @@ def splice_n(spark: SparkSession, d: str) -> DataFrame:
 
 def splice_anagram(spark: SparkSession, d: str) -> DataFrame:
     index = _index(spark, d)
-    return S.splice(index, Matcher("anagram", "ofthe"), I.corpus_total(index).first()[0], limit=50)
+    return S.splice(index, Matcher("anagram", "ofthe"), I.corpus_total(index).first()[0])
 
 
 def splice_phone(spark: SparkSession, d: str) -> DataFrame:
     index = _index(spark, d)
-    return S.splice(index, Matcher("phone", "63843"), I.corpus_total(index).first()[0], limit=50)
+    return S.splice(index, Matcher("phone", "63843"), I.corpus_total(index).first()[0])
 
 
 def search_page(spark: SparkSession, d: str) -> DataFrame:
@@ -200,25 +241,88 @@ def _html(rule) -> Query:
     return lambda spark, d: _table(spark, d, "pages").select("page_id", rule(F.coalesce("html", F.lit(""))).alias("text"))
 
 
-#: Samples for the link rules.
-LINKS = ["see [[Paris]] now", "[[Paris|the city]] x", "a [[b]] c [[d|e]]", "[http://x.org/a b c] d", "[https://x.org/] e", "no link", "#REDIRECT [[X]]", "#redirect [[Y]]"]
-_LINKS_SQL = "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(LINKS)) + ") v(id, text)"
+#: Markup around three words of a text, and what is left of it.
+_THREE = "([a-z]+) ([a-z]+) ([a-z]+) "
+_WIKI = (
+    r"<!-- \1 --><ref name=n>\2</ref>[[File:\1|x [[\2]] y]]{{t|{{\3}}}}{| \1 | \2 |}<b class=c>\1</b> [[\2|\3]] &nbsp;[http://x.org/\1 \2] [[\3]] <gallery>\1</gallery><br/>",
+    r" \1  \2   \2 \3  ",
+)
+_LINKED = r"[[\1|\2|\3]] [http://x.org/\1 \2 \3] [ftp://y.org/\1] [[\2]] [https://z.org] [x] "
+
+
+_BARRED, _FIRST, _LAST = r"[[\1|\2|\3]]", r"\1", r"\3"
+_ADDRESSES = (r"[http://x.org/\1 \2 \3] [ftp://y.org/\1]", r" \2 \3 ")
 
 
-def _links(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(LINKS)), "id int, text string")
+def _wiki(spark: SparkSession, d: str, around: str) -> DataFrame:
+    """All documents with markup put around their words; what they have of its characters goes first."""
+    plain = F.translate(F.coalesce("text", F.lit("")), "<>&[]{}|#", "")
+    return _table(spark, d, "documents").select("doc_id", F.regexp_replace(plain, _THREE, around.replace("\\", "$")).alias("text"))
+
+
+def _wiki_sql(around: str) -> str:
+    plain = "translate(coalesce(text, ''), '<>&[]{}|#', '')"
+    return f"W AS (SELECT doc_id, regexp_replace({plain}, '{_THREE}', '{around}', 'g') AS text FROM documents)"
 
 
 def strip_wiki_links(spark: SparkSession, d: str) -> DataFrame:
-    return _links(spark).select("id", markup.strip_wiki_links(F.col("text")).alias("text"))
+    return _wiki(spark, d, _LINKED).select("doc_id", markup.strip_wiki_links(F.col("text")).alias("text"))
+
+
+def strip_wiki_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _wiki(spark, d, _LINKED).select("doc_id", markup.strip_wiki_links(F.col("text"), "label").alias("text"))
 
 
 def strip_url_links(spark: SparkSession, d: str) -> DataFrame:
-    return _links(spark).select("id", markup.strip_url_links(F.col("text")).alias("text"))
+    return _wiki(spark, d, _LINKED).select("doc_id", markup.strip_url_links(F.col("text")).alias("text"))
+
+
+def strip_wiki_markup(spark: SparkSession, d: str) -> DataFrame:
+    return _wiki(spark, d, _WIKI[0]).select("doc_id", markup.strip_markup(F.col("text")).alias("text"))
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as pages of an encyclopaedia, of which some are redirects."""
+    text = F.coalesce("text", F.lit(""))
+    mark = F.when(F.col("doc_id") % 5 == 0, "#REDIRECT [[x]]").when(F.col("doc_id") % 5 == 1, "#redirect x").otherwise("")
+    return _table(spark, d, "documents").select(F.concat(F.lit("doc "), F.col("doc_id")).alias("title"), F.concat(mark, text).alias("text"))
 
 
 def drop_redirects(spark: SparkSession, d: str) -> DataFrame:
-    return R.with_text(_links(spark).withColumn("title", F.lit("t"))).select("id", "text")
+    return R.with_text(_entries(spark, d))
+
+
+def xml_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as a dump and read again; white space around a text is not kept."""
+    body = F.concat(F.lit("<page><title>"), F.col("title"), F.lit('</title><revision><text xml:space="preserve">'), T.html_escape(F.col("text")), F.lit("</text></revision></page>"))
+    path = _folder(spark, "dump")
+    _entries(spark, d).select(body).write.text(path)
+    return R.read_xml_dump(spark, path).select("title", T.normalize(F.replace("text", F.lit("\n"), F.lit(" "))).alias("norm"))
+
+
+def doc_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as an extractor does and read by blocks."""
+    path = _folder(spark, "blocks")
+    block = F.concat(F.lit("<doc id="), F.col("doc_id"), F.lit(">\ndoc "), F.col("doc_id"), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n</doc>"))
+    _table(spark, d, "documents").select(block).write.text(path)
+    return R.read_doc_blocks(spark, path)
+
+
+def framing_files(spark: SparkSession, d: str) -> DataFrame:
+    """Framed documents written to files and read line by line, in blocks of files."""
+    path = _folder(spark, "framed")
+    framed = _framed(spark, d)
+    framed.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"].alias("lines")).select(F.array_join("lines", "\n")).write.text(path)
+    lines = R.frame_articles(R.read_numbered_lines(spark, path), block_col="block")
+    return lines.groupBy("line", "is_title", F.col("weight").cast("long").alias("weight")).agg(F.count("*").alias("n"))
+
+
+def stored_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Chain counts stored by source, read by their paths and merged."""
+    path = _folder(spark, "shards")
+    lines = _lines(spark, d, "source").select(F.coalesce("source", F.lit("")).alias("source"), T.normalize(F.col("line")).alias("norm"))
+    R.save_shards(lines.select("source", F.explode(T.chains("norm")).alias("chain")).groupBy("source", "chain").agg(F.count("*").alias("n")), path, "source")
+    return I.merge([R.read_shards(spark, path)], CUTOFF)
 
 
 def strip_markup(spark: SparkSession, d: str) -> DataFrame:
@@ -245,7 +349,7 @@ def queries() -> dict[str, Query]:
     out |= {name: _find(q) for name, (q, _) in FIND.items()}
     out |= {f.__name__: f for f in (anagrams, phone_words, splice_two, splice_n, splice_anagram, splice_phone, search_page, result_lines)}
     out |= {"strip_tags": _html(markup.strip_tags), "strip_entities": _html(markup.strip_entities), "remove_blocks": _html(markup.remove_blocks), "escape_article_marks": _html(markup.escape_article_marks)}
-    return out | {f.__name__: f for f in (strip_wiki_links, strip_url_links, drop_redirects, strip_markup, streaming_counts)}
+    return out | {f.__name__: f for f in (strip_wiki_links, strip_wiki_labels, strip_url_links, drop_redirects, strip_markup, strip_wiki_markup, xml_pages, doc_blocks, framing_files, stored_shards, streaming_counts)}
 
 
 def _html_sql(pattern: str, to: str) -> str:
@@ -269,33 +373,41 @@ def oracle_sql() -> dict[str, str]:
             SELECT text, sum(c)::BIGINT AS c FROM G GROUP BY text HAVING sum(c) >= {CUTOFF}""",
         "title_boost": f"""WITH D AS (SELECT string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
             L AS (SELECT unnest(a) AS line FROM D UNION ALL SELECT a[1] FROM D, range(9)), {_K}, {_P} SELECT text, c FROM P WHERE c >= 20""",
-        "framing": """WITH F AS (SELECT doc_id AS file, CASE WHEN doc_id % 2 = 0 THEN 'BEGIN ARTICLE: doc ' || doc_id || chr(10) || coalesce(text, '') || chr(10) || 'END ARTICLE: doc'
-                ELSE '<doc id=' || doc_id || '>' || chr(10) || coalesce(text, '') || chr(10) || '</doc>' END AS t FROM documents),
-            A AS (SELECT file, string_split(t, chr(10)) AS a FROM F),
-            N AS (SELECT file, unnest(a) AS line, unnest(range(0, len(a))) AS line_no FROM A),
-            T AS (SELECT *, starts_with(line, 'BEGIN ARTICLE:') OR coalesce(starts_with(lag(line) OVER (PARTITION BY file ORDER BY line_no), '<doc '), false) AS is_title FROM N)
-            SELECT file, line_no, CASE WHEN starts_with(line, 'BEGIN ARTICLE:') THEN substr(line, 15) ELSE line END AS line, is_title, CASE WHEN is_title THEN 10 ELSE 1 END::BIGINT AS weight
-            FROM T WHERE NOT starts_with(line, 'END ARTICLE:') AND NOT starts_with(line, '<doc ') AND (is_title OR NOT starts_with(line, '</doc>'))""",
+        "framing": _FRAMING + "SELECT file, line_no, line, is_title, weight FROM G",
+        "framing_files": _FRAMING + "SELECT line, is_title, weight, count(*)::BIGINT AS n FROM G GROUP BY ALL",
         "dump_index": f"{_BASE} SELECT printf('%5d [%s]', n, text) AS line FROM X ORDER BY text",
         "explore_prefix": f"""{_BASE}, C AS (SELECT unnest(list_transform(range(1, least(length(text), 4) + 1), lambda i: substr(text, 1, i))) AS prefix, n FROM X WHERE starts_with(text, 't'))
             SELECT prefix, sum(n)::BIGINT AS c FROM C WHERE starts_with('th', prefix) OR starts_with(prefix, 'th') GROUP BY prefix UNION ALL SELECT '', sum(n)::BIGINT FROM X""",
         "children_range": f"{_BASE} SELECT substr(text, 3, 1) AS ch, sum(n)::BIGINT AS c FROM X WHERE starts_with(text, 'th') AND substr(text, 3, 1) BETWEEN 'a' AND 'm' GROUP BY 1",
-        "anagrams": _top(f"list_aggregate(list_sort(string_split({_BARE}, '')), 'string_agg', '') = 'aeht'"),
-        "phone_words": _top(f"translate({_BARE}, 'abcdefghijklmnopqrstuvwxyz', '22233344455566677778889999') = '843'"),
+        "anagrams": _found(f"list_aggregate(list_sort(string_split({_BARE}, '')), 'string_agg', '') = 'aeht'"),
+        "phone_words": _found(f"translate({_BARE}, 'abcdefghijklmnopqrstuvwxyz', '22233344455566677778889999') = '843'"),
         "splice_two": f"""{_BASE}, N AS (SELECT sum(c)::DOUBLE AS n FROM I WHERE instr(text, ' ') = length(text)),
             R AS (SELECT text, c::DOUBLE AS score FROM I WHERE regexp_matches(text, '^(the|of|to) (the|of|and) $')
                 UNION ALL SELECT a.text || b.text, a.c::DOUBLE / n * 0.000001::DOUBLE * b.c FROM I a, I b, N WHERE a.text IN ('the ', 'of ', 'to ') AND b.text IN ('the ', 'of ', 'and '))
             SELECT max(score) AS score, rtrim(text) AS text FROM R GROUP BY text""",
         "search_page": f"""{_BASE} SELECT c::DOUBLE AS score, rtrim(text) AS text, round(greatest(0.4::DOUBLE, CASE WHEN c >= 1 THEN 1.5::DOUBLE + ln(c::DOUBLE) / 5 END), 6) AS font_size
             FROM I WHERE {FIND["find_prefix"][1]} ORDER BY score DESC, text LIMIT 20 OFFSET 20""",
-        "result_lines": f"SELECT score::BIGINT || ' ' || text AS line FROM ({_top(FIND['find_prefix'][1])})",
+        "result_lines": f"SELECT score::BIGINT || ' ' || text AS line FROM ({_found(FIND['find_prefix'][1])})",
         "strip_tags": _html_sql("</?[a-z][a-z0-9]*?( [^>]*?)??/??>", " "),
         "strip_entities": _html_sql("&[a-z]+?;", " "),
         "escape_article_marks": _html_sql("(BEGIN|END) ARTICLE", r">\0"),
-        "remove_blocks": _html_sql(markup.REMOVED.replace("'", "''"), ""),
-        "strip_wiki_links": f"SELECT id, regexp_replace(text, '\\[\\[([^\\[\\]|]*)(\\|[^\\[\\]]*)?\\]\\]', '\\1', 'g') AS text FROM {_LINKS_SQL}",
-        "strip_url_links": f"SELECT id, regexp_replace(text, '\\[https?://[^\\] ]*( [^\\]]*)?\\]', '\\1', 'g') AS text FROM {_LINKS_SQL}",
-        "drop_redirects": f"SELECT id, text FROM {_LINKS_SQL} WHERE NOT starts_with(lower(text), '#redirect')",
+        # Pages have comments alone; they are cut out between their marks.
+        "remove_blocks": """SELECT page_id, h[1] || coalesce(list_aggregate(list_transform(h[2:], lambda x: substr(x, instr(x, '-->') + 3)), 'string_agg', ''), '') AS text
+            FROM (SELECT page_id, string_split(coalesce(html, ''), '<!--') AS h FROM pages)""",
+        "strip_markup": """SELECT page_id, regexp_replace(regexp_replace(h[1] || coalesce(list_aggregate(list_transform(h[2:], lambda x: substr(x, instr(x, '-->') + 3)), 'string_agg', ''), ''),
+                '</?[A-Za-z][A-Za-z0-9]*(\\s[^>]*)?/?>', ' ', 'g'), '&[A-Za-z]+;', ' ', 'g') AS text
+            FROM (SELECT page_id, string_split(coalesce(html, ''), '<!--') AS h FROM pages)""",
+        "strip_wiki_markup": f"WITH {_wiki_sql(_WIKI[1])} SELECT * FROM W",
+        "strip_wiki_links": f"WITH {_wiki_sql(_LINKED.replace(_BARRED, _FIRST).replace('[[', '').replace(']]', ''))} SELECT * FROM W",
+        "strip_wiki_labels": f"WITH {_wiki_sql(_LINKED.replace(_BARRED, _LAST).replace('[[', '').replace(']]', ''))} SELECT * FROM W",
+        "strip_url_links": f"WITH {_wiki_sql(_LINKED.replace(_ADDRESSES[0], _ADDRESSES[1]).replace('[https://z.org]', ''))} SELECT * FROM W",
+        "drop_redirects": "SELECT 'doc ' || doc_id AS title, coalesce(text, '') AS text FROM documents WHERE doc_id % 5 > 1 AND text <> ''",
+        "xml_pages": f"WITH L AS (SELECT doc_id, replace(text, chr(10), ' ') AS line FROM documents WHERE doc_id % 5 > 1 AND text <> '') SELECT 'doc ' || doc_id AS title, {_NORM} AS norm FROM L",
+        "doc_blocks": "SELECT 'doc ' || doc_id AS title, coalesce(text, '') || chr(10) AS text FROM documents",
+        "stored_shards": f"WITH {_L}, {_K}, {_P} SELECT text, c FROM P WHERE c >= {CUTOFF}",
+        "splice_n": _spliced_letters("thandof"),
+        "splice_anagram": _spliced_letters("ofthe"),
+        "splice_phone": _spliced_digits("63843"),
         "streaming_counts": f"WITH {_L}, {_K} SELECT chain, n::BIGINT AS n FROM K",
     }
-    return out | {name: _top(where) for name, (_, where) in FIND.items()}
+    return out | {name: _found(where) for name, (_, where) in FIND.items()}

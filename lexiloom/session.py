@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from functools import lru_cache
 from pathlib import Path
 
@@ -22,20 +23,49 @@ def attach(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``, or one made here where it is unset."""
+    """The folder that all machines share: ``spark.checkpoint.dir``.
+
+    Where it is unset one is made for sessions on a single machine; a cluster must name its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _own_dir(spark.sparkContext.applicationId)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return _own_dir(spark.sparkContext.applicationId)
+
+
+#: Bytes that a core should have at least before a table is dealt anew.
+SMALL = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where it comes from fewer files than there are cores; otherwise as it is."""
-    files, cores = len(df._jdf.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < files < cores else df
+    """``df`` over all cores where it is so small that few tasks would read it; otherwise as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, with no lineage left to recompute."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lexiloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexiloom_folder = path
+    return out
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete a table made by ``written`` that nothing reads any more."""
+    remove(df.sparkSession, df._lexiloom_folder)
 
 
 @lru_cache(maxsize=8)

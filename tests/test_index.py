@@ -128,6 +128,62 @@ def test_framing(spark):
     assert got == [(" One", True, 10), ("body", False, 1), ("Two", True, 10), ("more", False, 1), ("</doc>", True, 10), ("x", False, 1), ("", True, 10), ("y", False, 1), ("Late", True, 10), ("Six", True, 10)]
 
 
+def test_framing_in_blocks_of_files(spark, tmp_path):
+    """Files cut into many blocks frame as whole ones do."""
+    rng = random.Random(11)
+    kinds = ["BEGIN ARTICLE: t", "END ARTICLE: t", "<doc 1>", "</doc>", "", "some words here", "x"]
+    want = []
+    for name in ("a.txt", "b.txt"):
+        lines = [rng.choice(kinds) for _ in range(300)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        df = spark.createDataFrame([(name, i, x) for i, x in enumerate(lines)], "file string, line_no int, line string")
+        want += [(name, r.line, r.is_title) for r in R.frame_articles(df).orderBy("line_no").collect()]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        lines = R.read_numbered_lines(spark, tmp_path.as_uri())
+        assert lines.select("file", "block").distinct().count() > 20
+        rows = R.frame_articles(lines, block_col="block").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    rows.sort(key=lambda r: (r.file, r.block, r.line_no))
+    assert [(r.file.rsplit("/", 1)[1], r.line, r.is_title) for r in rows] == want
+
+
+def test_shards(spark, tmp_path):
+    counted = spark.createDataFrame([("x", "a b ", 3), ("y", "a b ", 4), ("y", "c ", 9)], "s string, chain string, n long")
+    path = (tmp_path / "shards").as_uri()
+    R.save_shards(counted, path, "s")
+    assert {(r.text, r.c) for r in I.merge([R.read_shards(spark, path)], 5).collect()} == {("a ", 7), ("a b ", 7), ("c ", 9)}
+    assert {(r.chain, r.n) for r in R.read_shards(spark, f"{path}/shard=x", f"{path}/shard=y").collect()} == {("a b ", 3), ("a b ", 4), ("c ", 9)}
+    with pytest.raises(Exception, match="(?i)exists"):
+        R.save_shards(counted, path, "s")
+    none = (tmp_path / "none").as_uri()
+    counted.filter("n > 99").select("chain", "n").write.parquet(none)
+    with pytest.warns(UserWarning, match="no chains"):
+        assert R.read_shards(spark, path, none).count() == 3
+    with pytest.raises(ValueError):
+        R.read_shards(spark)
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from lexiloom import session
+
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session)
+    Context.master = "local[2]"
+    assert session.shared_dir(Session).startswith("file:")
+
+
 def test_empty_corpus(spark):
     none = spark.createDataFrame([], "line string")
     index = I.build_index(none)

@@ -111,8 +111,34 @@ def test_pages(spark):
     assert S.search_page(index, "zz").outcome == "none"
     assert S.search_page(index, "a**").outcome == "error"
     spliced = S.search_page(index, '"ab ac"', n_total=165)
-    assert spliced.outcome == "budget" and [(r.text, r.score) for r in spliced.rows.collect()] == [("ab ac", 30 / 165 * 1e-6 * 29)]
-    assert S.search_page(index, '"ab ac"', n_total=165, max_words=None).outcome == "done"
+    assert spliced.outcome == "done" and [(r.text, r.score) for r in spliced.rows.collect()] == [("ab ac", 30 / 165 * 1e-6 * 29)]
+    assert S.search_page(index, '"ab xx"', n_total=165).outcome == "none"
+
+
+def test_budget_can_be_doubled(spark):
+    """A search whose budget is spent says so, and a larger one finds the rest."""
+    index = index_of(spark, {f"a{c} ": 30 - i for i, c in enumerate("bcdefg")})
+    query = '"a_( a_){2}|a_( a_)*x"'
+    one = S.search_page(index, query, 0, 1000, n_total=165, budget=50)
+    assert (one.outcome, one.next_budget, one.rows.count()) == ("budget", 100, 0)
+    more = S.search_page(index, query, 0, 1000, n_total=165, budget=4 * one.next_budget)
+    assert (more.outcome, more.next_budget, more.rows.count()) == ("done", None, 6**3)
+    short = S.search_page(index, query, 0, 1000, n_total=165, max_words=1, budget=None)
+    assert (short.outcome, short.next_budget) == ("budget", None)
+
+
+def test_progress_is_told(spark):
+    index = index_of(spark, {"a ": 8, "b ": 6, "a b ": 4})
+    told = []
+    got = S.splice_search(index, Matcher("pattern", "<abb>"), 14, progress=lambda *x: told.append(x))
+    assert got.complete and {r.text for r in got.rows.collect()} == {"b a b", "a b b", "b b a"} and [x[0] for x in told] == [1, 2, 3] and told[-1][2] == 3
+    assert S.splice_search(index, Matcher("pattern", "<abb>"), 14, max_words=2).complete is False
+
+
+def test_large_queries_are_killed(spark, monkeypatch):
+    index = index_of(spark, {"a ": 8})
+    monkeypatch.setattr("lexiloom.plans.pattern.Automaton.MOST_NODES", 50)
+    assert S.search_page(index, "<abcdefghijk>&_*&__*", n_total=8).outcome == "killed"
 
 
 def test_slow_searches_are_stopped(spark):
@@ -125,6 +151,8 @@ def test_range_reaches_the_scan(spark, tmp_path):
     path = (tmp_path / "i").as_uri()
     R.save_index(index_of(spark, {"the ": 9, "then ": 4, "cat ": 5}), path)
     found = S.find(R.load_index(spark, path), '"the_*"')
+    several = S.find(R.load_index(spark, path), '"(the|tha|c)_*"')._jdf.queryExecution().executedPlan().toString()
+    assert "IN (c,t)" in several.split("PartitionFilters")[1].split("PushedFilters")[0] and "Or(And(GreaterThanOrEqual(text,c),LessThan(text,d))" in several
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(text,the)" in plan and "LessThan(text,thf)" in plan
     assert "PartitionFilters: [isnotnull(first_ch" in plan and "Python" not in plan
@@ -159,6 +187,19 @@ def test_markup(spark, raw, plain):
     assert df.select(markup.strip_markup(F.col("t"))).first()[0] == plain
 
 
+MARKS = ["<!--", "-->", "<ref>", "</ref>", "<ref name=x/>", "<Gallery a=b>", "</gallery>", "[[", "]]", "|", "file:", "{{", "}}", "{|", "|}", "<br/>", "<b>", "&amp;", "&x;", "[http://a.b c]", "[", "]", "a b", "c", "\n", "/", ">", "<imagemap>", "</imagemap>", "[ftp://x]", "\u017f"]
+
+
+def test_native_markup_is_the_loop(spark):
+    """Texts of random marks, nested and overlapping."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(MARKS) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for kind in markup.LINK_TEXTS:
+        got = {r.i: r.o for r in df.select("i", markup.strip_markup(F.col("t"), kind).alias("o")).collect()}
+        assert all(got[i] == markup.strip_text(t, kind) for i, t in enumerate(texts))
+
+
 def test_markup_label_and_marks(spark):
     df = spark.createDataFrame([("[[a|b]] BEGIN ARTICLE end article",)], "t string")
     assert df.select(markup.strip_markup(F.col("t"), "label")).first()[0].startswith("b ")
