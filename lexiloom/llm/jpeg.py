@@ -18,7 +18,14 @@ import numpy as np
 
 RESTART = 8  # blocks or units between restart markers
 #: components, first and last coefficient, high bit position before and after
-SCRIPT = [((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 5, 0, 1), ((1,), 1, 63, 0, 1), ((2,), 1, 63, 0, 1), ((0,), 6, 63, 0, 1), ((0, 1, 2), 0, 0, 1, 0), *[((c,), 1, 63, 1, 0) for c in (0, 1, 2)]]
+SCRIPT = [
+    ((0, 1, 2), 0, 0, 0, 1),
+    ((0,), 1, 5, 0, 1),
+    *[((c,), low, high, 0, 1) for c in (1, 2) for low, high in ((1, 5), (6, 63))],
+    ((0,), 6, 63, 0, 1),
+    ((0, 1, 2), 0, 0, 1, 0),
+    *[((c,), 1, 63, 1, 0) for c in (0, 1, 2)],
+]
 U8 = np.uint64(8)
 
 
@@ -208,8 +215,8 @@ def _ac_first(c: np.ndarray, low: int, high: int, bit: int, code: Huffman) -> tu
     v = np.sign(v) * (np.abs(v) >> bit)
     row, k = np.nonzero(v)
     x = v[row, k]
-    new = np.concatenate(([True], row[1:] != row[:-1]))
-    gap = k - np.concatenate(([0], k[:-1] + 1))
+    new = np.concatenate(([True], row[1:] != row[:-1]))[: len(row)]
+    gap = k - np.concatenate(([0], k[:-1] + 1))[: len(k)]
     gap[new] = k[new]
     size = bits_of(x)
     extra = np.where(x < 0, x + (1 << size) - 1, x).astype(np.uint64)

@@ -6,6 +6,11 @@ file into coefficient arrays, which give back the bytes, and transforms them to
 (``lexiloom.llm.jpeg``).  Payloads over ``SHEET`` bytes take several files, so that memory stays bounded however long a
 text is.
 
+``media_digests`` keeps everything it makes in tables of the shared folder: the files; then, from the files as they are
+read back, the tensors and the digests of payload and file; then, from the tensors as they are read back, the features.
+Files and tensors take about 3.4 bytes for each byte of text, so the documents pass in up to ``PARTS`` parts, by a hash
+of id and text, and the tables of a part go when its features are written.
+
 Defined results: null and empty texts have a payload of one unit of filling; equal texts give equal files, tensors and
 features in any batch; rows with a null file give null tensors; an empty table gives an empty result; columns other
 than the id and the text (or file) are not read.
@@ -17,6 +22,7 @@ import hashlib
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm import jpeg
-from lexiloom.llm.common import prepare, spread, text_of
+from lexiloom.llm.common import drop_written, prepare, spread, text_of, written
 
 UNIT, FILL = 576, b"\xff"
 SHEET = UNIT * 1024
-#: Payload bytes encoded and decoded together.
-TOGETHER = 2 << 20
+#: Payload bytes encoded and decoded together: arrays of the first stay in a cache, loops of the second need many lanes.
+WRITTEN, READ = 128 << 10, 4 << 20
+#: Parts of the documents at most, and bytes of text under which a table is not cut.
+PARTS, PART_BYTES = 6, 32 << 20
 SAMPLING = ((2, 2), (1, 1), (1, 1))
 
 
@@ -69,7 +77,7 @@ def read_files(raw: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     return out
 
 
-def batches_of(sizes: list[int], most: int = TOGETHER) -> Iterator[tuple[int, int]]:
+def batches_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > most:
@@ -80,43 +88,89 @@ def batches_of(sizes: list[int], most: int = TOGETHER) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
-def digests(texts: list[str]) -> list[tuple]:
-    """(n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of each text."""
+def files_of(texts: list[str]) -> list[list[bytes]]:
+    """The files of each text."""
     payloads = [payload_of(t) for t in texts]
-    sheets = [(i, p[a : a + SHEET]) for i, p in enumerate(payloads) for a in range(0, len(p), SHEET)]
-    back = [hashlib.sha256() for _ in texts]
-    media = [hashlib.sha256() for _ in texts]
-    n_back, n_media, tail, feature = [0] * len(texts), [0] * len(texts), [b""] * len(texts), [""] * len(texts)
-    for a, b in batches_of([len(s) for _, s in sheets]):
-        files = write_files([s for _, s in sheets[a:b]])
-        for (i, _), file, (payload, rgb) in zip(sheets[a:b], files, read_files(files), strict=True):
+    sheets = [(i, p[x : x + SHEET]) for i, p in enumerate(payloads) for x in range(0, len(p), SHEET)]
+    out: list[list[bytes]] = [[] for _ in texts]
+    for a, b in batches_of([len(s) for _, s in sheets], WRITTEN):
+        for (i, _), f in zip(sheets[a:b], write_files([s for _, s in sheets[a:b]]), strict=True):
+            out[i].append(f)
+    return out
+
+
+def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ``n_bytes`` of the text and ``files`` (array of binary) of every row.  Narrow: no shuffle."""
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            sizes = [len(t.encode()) for t in texts]
+            for a, b in batches_of([max(n, UNIT) for n in sizes], READ):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sizes[a:b], type=pa.int64()), pa.array(files_of(texts[a:b]), type=pa.list_(pa.binary()))], names=[id_col, "n_bytes", "files"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return spread(docs.select(F.col(id_col), text_of(text_col).alias("text"))).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, files array<binary>")
+
+
+DIGESTS = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+_DIGEST_KINDS = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+_TENSOR = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())])
+
+
+def read_back(files: list[list[bytes]]) -> list[tuple[tuple, list[dict]]]:
+    """(digests of payload and files, RGB tensors) of each text's files."""
+    out = []
+    flat = [(i, f) for i, some in enumerate(files) for f in some]
+    back, media = [hashlib.sha256() for _ in files], [hashlib.sha256() for _ in files]
+    n_back, tail, tensors = [0] * len(files), [b""] * len(files), [[] for _ in files]
+    for a, b in batches_of([len(f) for _, f in flat], READ):
+        for (i, file), (payload, rgb) in zip(flat[a:b], read_files([f for _, f in flat[a:b]]), strict=True):
             back[i].update(payload)
             media[i].update(file)
             n_back[i] += len(payload)
-            n_media[i] += len(file)
             tail[i] = (tail[i] + payload)[-32:]
-            total = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64)
-            feature[i] += f"{';' if feature[i] else ''}{rgb.shape[1]}x{rgb.shape[0]}:{total[0]},{total[1]},{total[2]}:{zlib.crc32(rgb.tobytes()):08x}"
-    return [(len(t.encode()), n_back[i], back[i].hexdigest(), zlib.crc32(tail[i]), n_media[i], media[i].hexdigest(), feature[i]) for i, t in enumerate(texts)]
+            tensors[i].append({"height": rgb.shape[0], "width": rgb.shape[1], "rgb": rgb.tobytes()})
+    for i, some in enumerate(files):
+        out.append(((n_back[i], back[i].hexdigest(), zlib.crc32(tail[i]), sum(map(len, some)), media[i].hexdigest()), tensors[i]))
+    return out
 
 
-def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ``files`` (array of binary) of every row."""
-    prepare(docs.sparkSession)
+def store_tensors(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The digests and the ``tensors`` of every row of what ``store_payloads`` made."""
+    prepare(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads = [payload_of(t) for t in batch.column(1).to_pylist()]
-            for a, b in batches_of([len(p) for p in payloads]):
-                sheets = [(i, p[x : x + SHEET]) for i, p in enumerate(payloads[a:b]) for x in range(0, len(p), SHEET)]
-                found: list[list[bytes]] = [[] for _ in range(b - a)]
-                for c, d in batches_of([len(s) for _, s in sheets]):
-                    for (i, _), f in zip(sheets[c:d], write_files([s for _, s in sheets[c:d]]), strict=True):
-                        found[i].append(f)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(found, type=pa.list_(pa.binary()))], names=[id_col, "files"])
+            files = batch.column(2).to_pylist()
+            for a, b in batches_of([sum(map(len, f)) for f in files], READ):
+                found = read_back(files[a:b])
+                digests = [pa.array(c, type=t) for c, t in zip(zip(*(d for d, _ in found), strict=True), _DIGEST_KINDS, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *digests, pa.array([t for _, t in found], type=pa.list_(_TENSOR))], names=[id_col, "n_bytes", *DIGESTS, "tensors"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), text_of(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, files array<binary>")
+    kind = media.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors array<struct<height:int,width:int,rgb:binary>>"
+    return media.select(id_col, "n_bytes", "files").mapInArrow(run, schema)
+
+
+def feature_of(tensors: list[dict]) -> str:
+    """Size, sums of the channels and CRC-32 of each tensor."""
+    out = []
+    for t in tensors:
+        total = np.frombuffer(t["rgb"], dtype=np.uint8).reshape(-1, 3).sum(axis=0, dtype=np.int64)
+        out.append(f"{t['width']}x{t['height']}:{total[0]},{total[1]},{total[2]}:{zlib.crc32(t['rgb']):08x}")
+    return ";".join(out)
+
+
+def features(tensors: DataFrame) -> DataFrame:
+    """``tensors`` with a ``feature`` in place of each row's tensors."""
+
+    @F.pandas_udf("string")
+    def feature(some):
+        return some.map(feature_of)
+
+    return tensors.withColumn("feature", feature("tensors")).drop("tensors")
 
 
 def rgb_tensors(media: DataFrame, id_col: str, file_col: str) -> DataFrame:
@@ -135,17 +189,23 @@ def rgb_tensors(media: DataFrame, id_col: str, file_col: str) -> DataFrame:
     return media.select(id_col, file_col).mapInArrow(run, f"`{id_col}` {kind}, height int, width int, rgb binary")
 
 
-def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every text's payload, reads the stored bytes back and digests both.  Narrow: no shuffle."""
-    prepare(docs.sparkSession)
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+def _few(size: int) -> int:
+    """In how many parts a table of so many bytes passes."""
+    return max(1, min(PARTS, size // PART_BYTES))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(zip(*digests(batch.column(1).to_pylist()), strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=t) for c, t in zip(found, kinds, strict=True))], names=[id_col, *names])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return spread(docs.select(F.col(id_col), text_of(text_col).alias("text"))).mapInArrow(run, schema)
+def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stores every text's payload, reads the stored bytes back, stores their tensors and digests what it has read.  No shuffle."""
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col(id_col), F.col(text_col))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = _few(size)
+    out = []
+    for part in range(parts):
+        mine = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)) == part)
+        files = written(store_payloads(mine, id_col, text_col), "files")
+        tensors = written(store_tensors(files, id_col), "tensors")
+        out.append(written(features(tensors), "features"))
+        drop_written(files)
+        drop_written(tensors)
+    return reduce(DataFrame.unionByName, out)

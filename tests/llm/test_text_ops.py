@@ -179,28 +179,69 @@ def test_similar_documents(spark, docs, none):
     assert len(got) and simhash.similar_documents(none).count() == 0
 
 
-def test_media(docs, none):
-    rows = media.media_digests(docs).collect()
-    assert len(rows) == len(TEXTS) + 2
-    for r in rows:
-        raw = (("a b c d" if r.doc_id is None else TEXTS[r.doc_id]) or "").encode()
-        p = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
-    assert len({(r.media_sha256, r.feature) for r in rows if r.doc_id == 3}) == 1
+def plain_pixels(payload, width, height):
+    """A payload's picture by definition: block by block, every sample a sum of cosines, chroma repeated."""
+    across, down = width // 16, height // 16
+    blocks = [list(payload[i : i + 64]) for i in range(0, len(payload), 64)]
+    planes = [np.full((height, width), 128.0), np.full((height // 2, width // 2), 128.0), np.full((height // 2, width // 2), 128.0)]
+    zigzag = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (sum(x), x[0] if sum(x) % 2 else x[1]))
+    one = lambda k, x: (math.sqrt(1 / 8) if k == 0 else 0.5) * math.cos((2 * x + 1) * k * math.pi / 16)
+    wave = {(k, x): one(k, x) for k in range(8) for x in range(8)}
+    for n, block in enumerate(blocks):
+        unit, place = divmod(n, 6)
+        y, x = divmod(unit, across)
+        plane = planes[max(place - 3, 0)]
+        top, left = (16 * y + 8 * (place // 2), 16 * x + 8 * (place % 2)) if place < 4 else (8 * y, 8 * x)
+        out = np.zeros((8, 8))
+        for (r, c), v in zip(zigzag, block, strict=True):
+            out += (v - 128) * np.outer([wave[r, i] for i in range(8)], [wave[c, i] for i in range(8)])
+        plane[top : top + 8, left : left + 8] = out + 128
+    assert unit < across * down
+    y, b, r = (np.clip(np.floor(p + 0.5), 0, 255) for p in planes)
+    b, r = (np.repeat(np.repeat(p, 2, axis=0), 2, axis=1) - 128 for p in (b, r))
+    return np.clip(np.stack((y + 1.402 * r, y - 0.344136 * b - 0.714136 * r, y + 1.772 * b), axis=2), 0, 255)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_media(docs, none, monkeypatch, parts):
+    """Every column: the payload by definition, the file as the operator stores it, the feature of a picture made by definition."""
+    if parts > 1:
+        monkeypatch.setattr(media, "PART_BYTES", 0)
+        monkeypatch.setattr(media, "PARTS", parts)
+        monkeypatch.setattr(media, "_few", lambda size: parts)
+    got = media.media_digests(docs).collect()
+    assert len(got) == docs.count()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    seen = {}
+    for x in got:
+        raw = texts[x.doc_id].encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        assert (x.n_bytes, x.payload_bytes) == (len(raw), len(payload))
+        assert (x.payload_sha256, x.tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert seen.setdefault(raw, x[1:]) == x[1:]
+    for raw in sorted(seen, key=len)[:12]:
+        payload = media.payload_of(raw.decode())
+        (files,) = media.files_of([raw.decode()])
+        ((digests, tensors),) = media.read_back([files])
+        row = seen[raw]
+        assert digests[3:] == (sum(map(len, files)), hashlib.sha256(b"".join(files)).hexdigest()) == (row[4], row[5])
+        assert row[6] == media.feature_of(tensors) and len(tensors) == 1
+        t = tensors[0]
+        rgb = np.frombuffer(t["rgb"], dtype=np.uint8).reshape(t["height"], t["width"], 3)
+        assert row[6] == f"{t['width']}x{t['height']}:{','.join(str(int(rgb[:, :, c].astype(int).sum())) for c in range(3))}:{zlib.crc32(rgb.tobytes()):08x}"
+        assert np.abs(rgb - plain_pixels(payload, t["width"], t["height"])).max() <= 2
     assert media.media_digests(none).count() == 0
-    stored = media.store_payloads(docs.filter("doc_id = 7"))
-    (files,) = [r.files for r in stored.collect()]
-    assert b"".join(p for p, _ in media.read_files([bytes(f) for f in files])).startswith(TEXTS[7].encode())
-    one = media.rgb_tensors(stored.selectExpr("doc_id", "files[0] AS f"), "doc_id", "f").first()
-    assert len(one.rgb) == one.height * one.width * 3
 
 
 def test_media_in_sheets(monkeypatch):
     text = "é long text " * 400
-    whole = media.digests([text, "b"])
+    whole = media.read_back(media.files_of([text, "b"]))
     monkeypatch.setattr(media, "SHEET", 576)
-    monkeypatch.setattr(media, "TOGETHER", 1000)
-    assert [x[:4] for x in media.digests([text, "b"])] == [x[:4] for x in whole]
+    monkeypatch.setattr(media, "WRITTEN", 1000)
+    monkeypatch.setattr(media, "READ", 3000)
+    files = media.files_of([text, "b"])
+    again = media.read_back(files)
+    assert [d[:3] for d, _ in again] == [d[:3] for d, _ in whole] and len(files[0]) == len(again[0][1]) == 10
 
 
 def test_jpeg_round_trips_any_coefficients():
@@ -234,6 +275,31 @@ def test_jpeg_is_read_alike_elsewhere(spark):
         jpeg.parse(b"no image")
 
 
+def test_half_size_chroma_is_read_alike_elsewhere(spark):
+    """Another decoder's pixels of a file with chroma of half the resolution, each plane of one colour: no upsampling shows."""
+    jvm = spark.sparkContext._jvm
+    g = jpeg.Geometry(80, 48, media.SAMPLING)
+    r = np.random.default_rng(6)
+    c = np.zeros((g.blocks, 64), dtype=np.int64)
+    luma, cb, cr = (g.order((p,))[0] for p in range(3))
+    c[luma, :12] = r.integers(-3, 4, (len(luma), 12)) * 4
+    c[cb, 0], c[cr, 0] = 37, -22
+    raw = jpeg.encode(c, [g], quant=[np.full(64, 4), np.full(64, 5)])[0]
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(raw))
+    a = np.array(list(image.getRGB(0, 0, 80, 48, None, 0, 80)), dtype=np.int64).reshape(48, 80)
+    apart = np.abs(np.stack([a >> 16 & 255, a >> 8 & 255, a & 255], axis=2) - jpeg.decode(raw))
+    assert apart.max() <= 3 and apart.mean() < 0.2
+
+
+def test_scans_select_and_approximate_all_planes():
+    """Every coefficient of every plane comes in two bands and two bits of precision."""
+    for p in range(3):
+        mine = [x for x in jpeg.SCRIPT if p in x[0]]
+        assert {(low, high) for _, low, high, was, _ in mine if not was} == {(0, 0), (1, 5), (6, 63)}
+        assert all(any(low <= k <= high and was == 1 for _, low, high, was, _ in mine) for k in range(64))
+    assert len(jpeg.SCRIPT) == 11
+
+
 def test_lm(spark, docs, none):
     known = "the cat sat on the mat and the dog sat on the cat".split()
     r = random.Random(3)
