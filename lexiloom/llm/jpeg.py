@@ -11,6 +11,7 @@ Encoding writes given coefficients in the scan order of ``SCRIPT``.
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -51,6 +52,7 @@ class Huffman:
         self.counts, self.symbols = counts, symbols
         self.code, self.length = np.zeros(256, dtype=np.uint64), np.zeros(256, dtype=np.int64)
         self.peek = np.zeros(1 << 16, dtype=np.int64)  # symbol * 32 + length; length 0: no code
+        self._whole: np.ndarray | None = None
         code, at = 0, 0
         for n, times in enumerate(counts, 1):
             for s in symbols[at : at + times]:
@@ -82,6 +84,16 @@ class Huffman:
         assert longest <= 16
         return cls([sum(n == i for n, _ in order) for i in range(1, 17)], [s for _, s in order])
 
+    def whole(self) -> np.ndarray:
+        """By the next 16 bits, a coefficient that lies in them with its code: (value + 32768) * 65536 + zeros before it * 256 + bits; else 0."""
+        if self._whole is None:
+            bits = np.arange(1 << 16)
+            n, r, s = self.peek & 31, self.peek >> 9, self.peek >> 5 & 15
+            fits = (n > 0) & (s > 0) & (n + s <= 16)
+            value = extend((bits >> np.where(fits, 16 - n - s, 0)) & ((1 << s) - 1), s)
+            self._whole = np.where(fits, (value + 32768) << 16 | r << 8 | n + s, 0)
+        return self._whole
+
     def segment(self, kind: int, slot: int) -> bytes:
         body = bytes([kind << 4 | slot, *self.counts, *self.symbols])
         return b"\xff\xc4" + (len(body) + 2).to_bytes(2, "big") + body
@@ -153,9 +165,12 @@ def segments_of(orders: list[tuple[np.ndarray, np.ndarray, int]], restarts: list
     return inside + (np.cumsum(n) - n)[image], np.minimum(step[image], n[image] - inside), image
 
 
+_BITS = np.ceil(np.log2(np.arange(1 << 16) + 1.0)).astype(np.int64)
+
+
 def bits_of(v: np.ndarray) -> np.ndarray:
-    """Bits in the magnitude of small integers."""
-    return np.ceil(np.log2(np.abs(v) + 1.0)).astype(np.int64)
+    """Bits in the magnitude of integers of up to 16 bits."""
+    return _BITS[np.abs(v)]
 
 
 def pack(value: np.ndarray, n: np.ndarray, segment: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,10 +224,8 @@ def woven(key: np.ndarray, items: tuple[np.ndarray, ...], more_key: np.ndarray,
     return np.insert(key, at, more_key[order]), *(np.insert(a, at, b[order]) for a, b in zip(items, more, strict=True))
 
 
-def _ac_first(c: np.ndarray, low: int, high: int, bit: int, code: Huffman) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Items (value, bits, row) of the blocks ``c`` for the first bits of a band."""
-    v = c[:, low : high + 1].astype(np.int64)
-    v = np.sign(v) * (np.abs(v) >> bit)
+def _ac_first_sparse(v: np.ndarray, low: int, high: int, code: Huffman) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items (value, bits, row) of the blocks' first bits ``v`` of a band, zeros among them."""
     row, k = np.nonzero(v)
     x = v[row, k]
     new = np.concatenate(([True], row[1:] != row[:-1]))[: len(row)]
@@ -233,9 +246,43 @@ def _ac_first(c: np.ndarray, low: int, high: int, bit: int, code: Huffman) -> tu
     return value, n, key >> 8
 
 
-def _ac_more(c: np.ndarray, low: int, high: int, bit: int, code: Huffman) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Items of the blocks ``c`` for one more bit of a band."""
-    v = c[:, low : high + 1].astype(np.int64)
+def _in_order(full: np.ndarray, rows: int, dense: tuple[np.ndarray, np.ndarray], sparse: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items (value, bits, row) of all blocks from those of the ``full`` ones, by block, and those of the others."""
+    row = np.repeat(np.flatnonzero(full), dense[0].shape[1])
+    if len(sparse[2]) == 0:
+        return dense[0].ravel(), dense[1].ravel(), row
+    others = np.flatnonzero(~full)
+    more = others[sparse[2]]
+    # Both are sorted by block and share none.
+    times = np.bincount(more, minlength=rows)
+    times[full] = dense[0].shape[1]
+    start = np.cumsum(times) - times
+    value, n = np.empty(int(times.sum()), dtype=np.uint64), np.empty(int(times.sum()), dtype=np.int64)
+    at = start[full][:, None] + np.arange(dense[0].shape[1])
+    value[at], n[at] = dense
+    new = np.concatenate(([True], more[1:] != more[:-1]))
+    place = np.arange(len(more))
+    at = start[more] + place - np.maximum.accumulate(np.where(new, place, 0))
+    value[at], n[at] = sparse[:2]
+    return value, n, np.repeat(np.arange(rows), times)
+
+
+def _ac_first(c: np.ndarray, low: int, high: int, bit: int, code: Huffman) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items (value, bits, row) of the blocks ``c`` for the first bits of a band."""
+    v = c[:, low : high + 1].astype(np.int32)
+    v = np.sign(v) * (np.abs(v) >> bit)
+    full = (v != 0).all(axis=1)
+    x = v[full]
+    size = _BITS[np.abs(x)]
+    extra = np.where(x < 0, x + (1 << size) - 1, x).astype(np.uint64)
+    dense = (code.code[size] << size.astype(np.uint64)) | extra, code.length[size] + size
+    if full.all():
+        return _in_order(full, len(v), dense, (extra[:0], size[:0], size[:0].ravel()))
+    return _in_order(full, len(v), dense, _ac_first_sparse(v[~full].astype(np.int64), low, high, code))
+
+
+def _ac_more_sparse(v: np.ndarray, low: int, high: int, bit: int, code: Huffman) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items of the blocks' values ``v`` of a band for one more bit, some of them new or zero."""
     size = np.abs(v) >> bit
     old = size > 1
     new = size == 1
@@ -267,6 +314,25 @@ def _ac_more(c: np.ndarray, low: int, high: int, bit: int, code: Huffman) -> tup
     return value, n, key >> 8
 
 
+def _ac_more(c: np.ndarray, low: int, high: int, bit: int, code: Huffman) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items of the blocks ``c`` for one more bit of a band."""
+    v = c[:, low : high + 1].astype(np.int32)
+    size = np.abs(v) >> bit
+    full = (size > 1).all(axis=1)
+    # Nothing new: the block's end, and then a bit of every coefficient, up to 24 of them in an item.
+    bits = (size[full] & 1).astype(np.uint64)
+    width, cuts = high - low + 1, range(0, high - low + 1, 24)
+    value, n = np.empty((len(bits), len(cuts) + 1), dtype=np.uint64), np.empty((len(bits), len(cuts) + 1), dtype=np.int64)
+    value[:, 0], n[:, 0] = code.code[0], code.length[0]
+    for i, k in enumerate(cuts, 1):
+        some = min(24, width - k)
+        value[:, i] = bits[:, k : k + some] @ (np.uint64(1) << np.arange(some - 1, -1, -1, dtype=np.uint64))
+        n[:, i] = some
+    if full.all():
+        return _in_order(full, len(v), (value, n), (value[:0], n[:0], n[:0].ravel()))
+    return _in_order(full, len(v), (value, n), _ac_more_sparse(v[~full].astype(np.int64), low, high, bit, code))
+
+
 def encode(coefs: np.ndarray, images: list[Geometry], quant: list[np.ndarray] | None = None, comments: list[bytes] | None = None, restart: int = RESTART) -> list[bytes]:
     """Files of images of three components; ``coefs`` [blocks of all images, 64] in zigzag order, as quantised."""
     bases = np.concatenate(([0], np.cumsum([g.blocks for g in images])))
@@ -356,7 +422,8 @@ def parse(raw: bytes) -> File:
     if raw[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     ff = np.flatnonzero(a[:-1] == 255)
-    real = ff[(a[ff + 1] != 0) & (a[ff + 1] != 255) & ((a[ff + 1] & 0xF8) != 0xD0)]
+    after = a[ff + 1]
+    real = ff[(after != 0) & (after != 255) & ((after & 0xF8) != 0xD0)].tolist()
     quant, codes, scans, comments = {}, {}, [], []
     restart, frame, ids = 0, None, []
     at = 2
@@ -399,8 +466,8 @@ def parse(raw: bytes) -> File:
             parts = tuple(ids.index(body[1 + 2 * i]) for i in range(n))
             slots = [body[2 + 2 * i] for i in range(n)]
             low, high, bits = body[1 + 2 * n : 4 + 2 * n]
-            j = int(np.searchsorted(real, at))
-            end = int(real[j]) if j < len(real) else len(raw)
+            j = bisect.bisect_left(real, at)
+            end = real[j] if j < len(real) else len(raw)
             scans.append(Scan(parts, low, high, bits >> 4, bits & 15, [codes.get(s >> 4) for s in slots], codes.get(16 | slots[0] & 15), restart, (at, end)))
             at = end
     if frame is None:
@@ -488,38 +555,49 @@ def _decode_dc(coefs: np.ndarray, blocks: np.ndarray, part: np.ndarray, first: n
 
 
 def _decode_ac(coefs: np.ndarray, blocks: np.ndarray, first: np.ndarray, size: np.ndarray, lanes: Lanes, scan: Scan) -> None:
-    flat = coefs.reshape(-1)
+    flat, table = coefs.reshape(-1), scan.ac.whole()
     e, end = first.copy(), first + size
     k = np.full(len(e), scan.low)
+    base = blocks[e] * 64
     while len(e):
         view = lanes.view()
-        sym, n = _symbols(view, scan.ac)
-        r, s = sym >> 4, sym & 15
-        stop = (s == 0) & (r < 15)
-        m = np.where(stop, r, s)
-        bits = lanes.top(view, n, m)
-        lanes.pos = lanes.pos + n + m
-        k = k + r
-        real = s > 0
-        if real.all():
-            if k.max() > 63:
+        got = table[(view >> np.uint64(48)).astype(np.int64)]
+        plain = got != 0
+        k += got >> 8 & 255
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            some = view[odd]
+            sym, n = _symbols(some, scan.ac)
+            r, s = sym >> 4, sym & 15
+            stop = (s == 0) & (r < 15)
+            m = np.where(stop, r, s)
+            bits = lanes.top(some, n, m)
+            got[odd] = n + m
+            k[odd] += r
+            real = s > 0
+            if k[odd[real]].max(initial=0) > 63 or k[plain].max(initial=0) > 63:
                 raise ValueError("broken entropy-coded data")
-            flat[blocks[e] * 64 + k] = extend(bits, s) << scan.bit
+            flat[base[odd[real]] + k[odd[real]]] = extend(bits[real], s[real]) << scan.bit
+            flat[(base + k)[plain]] = ((got[plain] >> 16) - 32768) << scan.bit
             k += 1
             over = k > scan.high
-            e = e + over
+            over[odd[stop]] = True
+            step = over.astype(np.int64)
+            step[odd[stop]] = (1 << r[stop]) + bits[stop]
         else:
-            at = blocks[e[real]] * 64 + k[real]
-            if len(at) and k[real].max() > 63:
+            if k.max() > 63:
                 raise ValueError("broken entropy-coded data")
-            flat[at] = extend(bits[real], s[real]) << scan.bit
+            flat[base + k] = ((got >> 16) - 32768) << scan.bit
             k += 1
-            over = stop | (k > scan.high)
-            e = e + np.where(stop, (1 << np.where(stop, r, 0)) + bits, over)
-        k[over] = scan.low
-        stay = e < end
-        if not stay.all():
-            e, end, k, lanes.pos = e[stay], end[stay], k[stay], lanes.pos[stay]
+            over = step = k > scan.high
+        lanes.pos = lanes.pos + (got & 255)
+        if over.any():
+            e = e + step
+            k[over] = scan.low
+            stay = e < end
+            if not stay.all():
+                e, end, k, lanes.pos = e[stay], end[stay], k[stay], lanes.pos[stay]
+            base = blocks[e] * 64
 
 
 def _refine_ac(coefs: np.ndarray, blocks: np.ndarray, first: np.ndarray, size: np.ndarray, lanes: Lanes, scan: Scan) -> None:
@@ -569,7 +647,20 @@ def _refine_ac(coefs: np.ndarray, blocks: np.ndarray, first: np.ndarray, size: n
     if not events:
         return
     entry, frm, to, pos = (np.concatenate(x) for x in zip(*events, strict=True))
-    # Every old coefficient lies in one event of its block; its bit is the event's first and the old ones before it.
+    flat = coefs.reshape(-1)
+    # Blocks of old coefficients alone, passed in one event: their bits follow one another.
+    dense = old.all(axis=1)
+    mine = np.flatnonzero((frm == 0) & (to == width) & dense[entry])
+    if len(mine):
+        band = coefs[blocks[entry[mine]], low : high + 1]
+        for k in range(0, width, 32):
+            view = Lanes(lanes.windows, pos[mine] + k).view()[:, None]
+            some = np.arange(k, min(k + 32, width))
+            bit = (view >> (np.uint64(63) - (some - k).astype(np.uint64))) & np.uint64(1)
+            band[:, some] += np.sign(band[:, some]) * (bit.astype(band.dtype) << scan.bit)
+        coefs[blocks[entry[mine]], low : high + 1] = band
+        old[entry[mine]] = False
+    # Every other old coefficient lies in one event of its block; its bit is the event's first and the old ones before it.
     order = np.lexsort((frm, entry))
     entry, frm, to, pos = entry[order], frm[order], to[order], pos[order]
     row, col = np.nonzero(old)
@@ -578,7 +669,6 @@ def _refine_ac(coefs: np.ndarray, blocks: np.ndarray, first: np.ndarray, size: n
     at = pos[i] + rank
     bit = (lanes.windows[np.minimum(at >> 3, len(lanes.windows) - 1)] >> (np.uint64(63) - (at & 7).astype(np.uint64))) & np.uint64(1)
     on = np.flatnonzero(bit)
-    flat = coefs.reshape(-1)
     where = blocks[row[on]] * 64 + low + col[on]
     flat[where] += np.sign(flat[where]) * (1 << scan.bit)
     for some, place, sign in fresh:

@@ -35,9 +35,9 @@ from lexiloom.llm.common import drop_written, prepare, spread, text_of, written
 UNIT, FILL = 576, b"\xff"
 SHEET = UNIT * 1024
 #: Payload bytes encoded and decoded together: arrays of the first stay in a cache, loops of the second need many lanes.
-WRITTEN, READ = 128 << 10, 4 << 20
+WRITTEN, READ = 256 << 10, 4 << 20
 #: Parts of the documents at most, and bytes of text under which a table is not cut.
-PARTS, PART_BYTES = 6, 32 << 20
+PARTS, PART_BYTES = 6, 4 << 20
 SAMPLING = ((2, 2), (1, 1), (1, 1))
 
 
