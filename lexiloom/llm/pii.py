@@ -3,17 +3,22 @@ r"""Format-preserving pseudonyms for personal numbers and dates; DataFrame funct
 One pattern finds candidates; each is validated before anything changes:
 
 - payment card numbers of 13 to 19 digits (plain or in groups): Luhn check; the new number passes it too
-- social security numbers (3-2-4): no area 000, 666 or 9xx, no zero group or serial, before and after
-- phone numbers with area code: the last ten digits change, country code and punctuation stay
+- social security numbers (3-2-4, by hyphens or blanks): no area 000, 666 or 9xx, no zero group or serial, before and after
+- phone numbers with area code (3-3-4): area and exchange start with 2 to 9, before and after; the country code stays
+- phone numbers with another country code and blanks, points or hyphens: 8 to 15 digits; the country code stays
+- national numbers of ten digits in pairs (06 12 34 56 78): the first pair stays
 - IPv4 addresses: four octets up to 255
-- dates of 1900 to 2099 (2001-12-31, 31/12/2001, 31.12.2001, and month first where only that is a date)
-- IBANs: the check digits hold (modulo 97), before and after; the country stays
-- e-mail addresses: the local part keeps its shape, the host becomes ``redacted.invalid``
-
-Numbers and dates are permuted inside their format by a keyed Feistel network of ``ROUNDS`` rounds: two halves, each
-in turn moved by a SHA-256 of the key, the kind and the other half, modulo the size of its range.  Values that leave
-the valid range are permuted again until they are in it, which keeps the map one-to-one.  Equal values have equal
-pseudonyms in all documents, in dates over all spellings; without the key the map cannot be undone.
+- dates of 1900 to 2099 (2001-12-31, 31/12/2001, 31.12.2001, 1/5/2001, and month first where only that is a date)
+- IBANs, plain or in groups of four: the check digits hold (modulo 97), before and after; the country stays
+- e-mail addresses: letters for letters and digits for digits, the host by itself and the local part by the host; as
+  the new host may exist, ``.invalid`` is put behind it
+
+Numbers, dates and addresses are permuted inside their format by a keyed Feistel network of ``ROUNDS`` rounds: two
+halves, each in turn moved by a SHA-256 of the key, the kind and the other half, modulo the size of its range.  Values
+that leave the valid range are permuted again until they are in it, which keeps the map one-to-one.  Equal values have
+equal pseudonyms in all documents, in dates over all spellings; without the key the map cannot be undone.  The key is
+given to ``pseudonymise`` or in the setting ``spark.lexiloom.pii.key``; without it a public one is used, with a warning,
+and anybody can undo the map.
 
 Defined results: null and empty texts give an empty text and no finds; candidates that fail validation stay as they
 are, and texts without finds stay byte for byte; repeated rows give repeated results; an empty table gives an empty
@@ -22,6 +27,7 @@ result; columns other than the id and the text are not read.
 
 from __future__ import annotations
 
+import warnings
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -31,18 +37,19 @@ from lexiloom.llm.common import text_of
 
 ROUNDS = 8
 KEY_SETTING, DEFAULT_KEY = "spark.lexiloom.pii.key", "set spark.lexiloom.pii.key"
-HOST = "redacted.invalid"
 KINDS = ("card", "ssn", "phone", "ip", "date", "iban", "email")
 
 CARD = r"[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
-SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3} [0-9]{2} [0-9]{4}"
+PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"
+ABROAD = r"\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-][0-9]{1,8}){1,6}"
+PAIRS = r"0[1-9](?: [0-9]{2}){4}|0[1-9](?:\.[0-9]{2}){4}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}"
-IBAN = r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"
+DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
+IBAN = r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 #: Candidates start where no letter, digit or joined punctuation comes before, and end where no more of it follows.
-PATTERN = rf"(?<![A-Za-z0-9._%+@-]){EMAIL}|(?<![A-Za-z0-9]|[0-9][.-])(?:{IBAN}|{PHONE}|{IP}|{DATE}|{SSN}|{CARD})(?![A-Za-z0-9]|[.-][0-9])"
+PATTERN = rf"(?<![A-Za-z0-9._%+@-]){EMAIL}|(?<![A-Za-z0-9]|[0-9][.-])(?:{IBAN}|{CARD}|{PHONE}|{IP}|{DATE}|{SSN}|{PAIRS}|{ABROAD})(?![A-Za-z0-9]|[.-][0-9])"
 FIRST_DAY, DAYS, DAY_WIDTH = "1900-01-01", 73_049, 271  # to 2099-12-31; 270 * 271 covers them
 
 
@@ -87,27 +94,48 @@ def _chars(s: str) -> str:
     return f"filter(split({s}, ''), {v} -> {v} <> '')"
 
 
-def feistel(a: str, b: str, size_a: str, size_b: str, key: str, kind: str) -> str:
-    """struct(a, b) after the rounds; ``a`` and ``b`` are long and below their sizes."""
+def feistel(a: str, b: str, size_a: str, size_b: str, key: str, kind: str, tweak: str = "") -> str:
+    """struct(a, b) after the rounds; ``a`` and ``b`` are long and below their sizes.  Another ``tweak``, another map."""
 
     def step(s: str, i: str) -> str:
         other = f"if({i} % 2 = 1, {s}.a, {s}.b)"
-        digest = f"sha2(concat_ws('|', {_quoted(key)}, {_quoted(kind)}, {size_a}, {size_b}, {i}, {other}), 256)"
+        digest = f"sha2(concat_ws('|', {_quoted(key)}, {_quoted(kind)}, {size_a}, {size_b}, {i}, {other}{tweak and ', ' + tweak}), 256)"
         move = f"cast(conv(substr({digest}, 1, 15), 16, 10) AS BIGINT)"
         return f"named_struct('a', if({i} % 2 = 1, {s}.a, ({s}.a + {move} % {size_a}) % {size_a}), 'b', if({i} % 2 = 1, ({s}.b + {move} % {size_b}) % {size_b}, {s}.b))"
 
     return _repeat(ROUNDS, f"named_struct('a', cast({a} AS BIGINT), 'b', cast({b} AS BIGINT))", step)
 
 
-def permuted_digits(d: str, key: str, kind: str) -> str:
-    """Another digit string of the same length, 2 to 18."""
+def _permuted(x: str, n: str, base: int, of: str, to: str, key: str, kind: str, tweak: str = "") -> str:
+    """Another string of the same length ``n`` of digits of a base, which SQL has for ``of`` and from ``to``."""
+
+    def sized(h: str) -> str:
+        number = lambda part: f"cast(conv(concat('0', {of.format(part)}), {base}, 10) AS BIGINT)"
+        text = lambda v, width: f"lpad({to.format(f'conv({v}, 10, {base})')}, {width}, {to.format(_quoted('0'))})"
+        sizes = [f"cast(pow({base}, {h}.{w}) AS BIGINT)" for w in "uv"]
+        p = feistel(number(f"left({x}, {h}.u)"), number(f"substr({x}, {h}.u + 1)"), *sizes, key, kind, tweak)
+        return _let(p, lambda y: f"concat({text(f'{y}.a', f'{h}.u')}, {text(f'{y}.b', f'{h}.v')})")
+
+    return _let(f"named_struct('u', cast({n} div 2 AS INT), 'v', cast({n} - {n} div 2 AS INT))", sized)
+
+
+def permuted_digits(d: str, key: str, kind: str, tweak: str = "") -> str:
+    """Another digit string of the same length, 1 to 18."""
+    return _permuted(d, f"length({d})", 10, "{}", "{}", key, kind, tweak)
 
-    def sized(n: str) -> str:
-        ten = lambda k: f"cast(rpad('1', {k} + 1, '0') AS BIGINT)"
-        p = feistel(f"left({d}, {n}.u)", f"substr({d}, {n}.u + 1)", ten(f"{n}.u"), ten(f"{n}.v"), key, kind)
-        return _let(p, lambda x: f"concat(lpad({x}.a, {n}.u, '0'), lpad({x}.b, {n}.v, '0'))")
 
-    return _let(f"named_struct('u', length({d}) div 2, 'v', length({d}) - length({d}) div 2)", lambda n: sized(n).replace(f"{n}.u", f"cast({n}.u AS INT)").replace(f"{n}.v", f"cast({n}.v AS INT)"))
+_LETTERS, _BASE_26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
+
+
+def permuted_letters(x: str, key: str, kind: str, tweak: str = "") -> str:
+    """Another string of lower-case letters of the same length, 1 to 12."""
+    return _permuted(x, f"length({x})", 26, f"translate({{}}, '{_LETTERS}', '{_BASE_26}')", f"translate(lower({{}}), '{_BASE_26}', '{_LETTERS}')", key, kind, tweak)
+
+
+def _in_pieces(x: str, size: int, piece) -> str:
+    """``piece`` of (part, its number) of every ``size`` characters of a string, joined."""
+    v = _name()
+    return f"if({x} = '', '', array_join(transform(sequence(0, (length({x}) - 1) div {size}), {v} -> {piece(f'substr({x}, cast({v} * {size} + 1 AS INT), {size})', v)}), ''))"
 
 
 def luhn_sum(d: str, doubled_last: bool) -> str:
@@ -123,6 +151,11 @@ def in_shape(m: str, d: str) -> str:
     return _let(d, lambda new: f"array_join({_each(f'sequence(1, length({m}))', lambda i: f"if(substr({m}, {i}, 1) RLIKE '[0-9]', substr({new}, length({_digits(f'left({m}, {i})')}), 1), substr({m}, {i}, 1))")}, '')")
 
 
+def _walked(start: str, again, valid, times: int = 64) -> str:
+    """``start``, and as long as it is not valid what comes after it in the permutation."""
+    return _repeat(times, start, lambda x, _: f"if({valid(x)}, {x}, {again(x)})")
+
+
 def _card(m: str, key: str) -> str:
     def made(d: str) -> str:
         new = _let(permuted_digits(f"left({d}, length({d}) - 1)", key, "card"), lambda body: f"concat({body}, (10 - {luhn_sum(body, True)} % 10) % 10)")
@@ -133,12 +166,24 @@ def _card(m: str, key: str) -> str:
 
 def _ssn(m: str, key: str) -> str:
     valid = lambda d: f"(NOT {d} RLIKE '^(000|666|9)' AND substr({d}, 4, 2) <> '00' AND substr({d}, 6, 4) <> '0000')"
-    walked = lambda d: _repeat(64, permuted_digits(d, key, "ssn"), lambda x, _: f"if({valid(x)}, {x}, {permuted_digits(x, key, 'ssn')})")
-    return _let(_digits(m), lambda d: f"if({valid(d)}, {in_shape(m, walked(d))}, NULL)")
+    again = lambda d: permuted_digits(d, key, "ssn")
+    return _let(_digits(m), lambda d: f"if({valid(d)}, {in_shape(m, _walked(again(d), again, valid))}, NULL)")
 
 
 def _phone(m: str, key: str) -> str:
-    return _let(_digits(m), lambda d: in_shape(m, f"concat(left({d}, length({d}) - 10), {permuted_digits(f'right({d}, 10)', key, 'phone')})"))
+    """Numbers of an area, an exchange and a line; others keep what stands before their first blank, point or hyphen."""
+    valid = lambda d: f"{d} RLIKE '^[2-9][0-9]{{2}}[2-9]'"
+    again = lambda d: permuted_digits(d, key, "phone")
+
+    def near(d: str) -> str:
+        own = f"right({d}, 10)"
+        return f"if({valid(own)}, {in_shape(m, f'concat(left({d}, length({d}) - 10), {_walked(again(own), again, valid)})')}, NULL)"
+
+    def far(d: str) -> str:
+        code = _digits(f"regexp_extract({m}, '^[+]?[0-9]+', 0)")
+        return f"if(length({d}) BETWEEN 8 AND 15, {_let(code, lambda c: in_shape(m, f'concat({c}, {permuted_digits(f"substr({d}, length({c}) + 1)", key, "phone abroad", c)})'))}, NULL)"
+
+    return _let(_digits(m), lambda d: f"if({m} RLIKE {_quoted(f'^(?:{PHONE})$')}, {near(d)}, {far(d)})")
 
 
 def _ip(m: str, key: str) -> str:
@@ -153,7 +198,8 @@ def _ip(m: str, key: str) -> str:
 
 def _date(m: str, key: str) -> str:
     iso = f"{m} RLIKE '^[0-9]{{4}}-'"
-    parse = lambda y, mo, d: f"try_to_date(concat_ws('-', substr({m}, {y}, 4), substr({m}, {mo}, 2), substr({m}, {d}, 2)), 'yyyy-MM-dd')"
+    part = lambda i: f"lpad(split({m}, '[-/.]')[{i}], 2, '0')"
+    parse = lambda y, mo, d: f"try_to_date(concat_ws('-', right({m}, 4), {part(mo)}, {part(d)}), 'yyyy-MM-dd')" if y else f"try_to_date({m}, 'yyyy-MM-dd')"
 
     def permuted(n: str) -> str:
         return _let(feistel(f"({n}) div {DAY_WIDTH}", f"({n}) % {DAY_WIDTH}", "270L", f"{DAY_WIDTH}L", key, "date"), lambda p: f"{p}.a * {DAY_WIDTH} + {p}.b")
@@ -163,14 +209,16 @@ def _date(m: str, key: str) -> str:
 
         def shaped(n: str) -> str:
             walked = _repeat(16, permuted(n), lambda v, _: f"if({v} < {DAYS}, {v}, {permuted(v)})")
-            mark = f"substr({m}, 3, 1)"
-            text = lambda new: f"CASE WHEN {iso} THEN date_format({new}, 'yyyy-MM-dd') WHEN {x}.day_first THEN concat_ws({mark}, date_format({new}, 'dd'), date_format({new}, 'MM'), date_format({new}, 'yyyy')) ELSE concat_ws({mark}, date_format({new}, 'MM'), date_format({new}, 'dd'), date_format({new}, 'yyyy')) END"
+            mark = f"if(contains({m}, '/'), '/', '.')"
+            # As short as it was: without zeros in front where a part came without.
+            two = lambda new, what: f"if(length({m}) < 10, cast({what}({new}) AS STRING), lpad({what}({new}), 2, '0'))"
+            text = lambda new: f"CASE WHEN {iso} THEN date_format({new}, 'yyyy-MM-dd') WHEN {x}.day_first THEN concat_ws({mark}, {two(new, 'day')}, {two(new, 'month')}, year({new})) ELSE concat_ws({mark}, {two(new, 'month')}, {two(new, 'day')}, year({new})) END"
             return f"if({n} >= 0 AND {n} < {DAYS}, {_let(f"date_add(DATE'{FIRST_DAY}', cast({walked} AS INT))", text)}, NULL)"
 
         return f"if({x}.day IS NULL, NULL, {_let(days, shaped)})"
 
-    day_first = parse(7, 4, 1)
-    return _let(f"named_struct('day', if({iso}, {parse(1, 6, 9)}, coalesce({day_first}, {parse(7, 1, 4)})), 'day_first', {day_first} IS NOT NULL)", made)
+    day_first = parse(1, 1, 0)
+    return _let(f"named_struct('day', if({iso}, {parse(0, 0, 0)}, coalesce({day_first}, {parse(1, 0, 1)})), 'day_first', {day_first} IS NOT NULL)", made)
 
 
 def _mod97(s: str) -> str:
@@ -180,33 +228,47 @@ def _mod97(s: str) -> str:
 
 
 def _iban(m: str, key: str) -> str:
-    country, body = f"left({m}, 2)", f"substr({m}, 5)"
+    def made(c: str) -> str:
+        country, body = f"left({c}, 2)", f"substr({c}, 5)"
 
-    def digits(d: str) -> str:
-        few = lambda x, kind: f"if(length({x}) >= 2, {permuted_digits(x, key, kind)}, {x})"
-        head, tail = f"left({d}, 16)", f"substr({d}, 17)"
-        return f"if(length({d}) > 18, concat({few(head, 'iban')}, {few(tail, 'iban tail')}), {few(d, 'iban')})"
+        def digits(d: str) -> str:
+            few = lambda x, kind: f"if({x} = '', '', {permuted_digits(x, key, kind)})"
+            return f"concat({few(f'left({d}, 16)', 'iban')}, {few(f'substr({d}, 17)', 'iban tail')})"
 
-    new = _let(in_shape(body, _let(_digits(body), digits)), lambda b: f"concat({country}, lpad(98 - {_mod97(f"concat({b}, {country}, '00')")}, 2, '0'), {b})")
-    return f"if({_mod97(f'concat({body}, left({m}, 4))')} = 1, {new}, NULL)"
+        new = _let(in_shape(body, _let(_digits(body), digits)), lambda b: f"concat({country}, lpad(98 - {_mod97(f"concat({b}, {country}, '00')")}, 2, '0'), {b})")
+        spaced = lambda n: f"array_join({_each(f'sequence(1, length({m}))', lambda i: f"if(substr({m}, {i}, 1) = ' ', ' ', substr({n}, length(replace(left({m}, {i}), ' ', '')), 1))")}, '')"
+        return f"if({_mod97(f'concat({body}, left({c}, 4))')} = 1, {_let(new, spaced)}, NULL)"
+
+    return _let(f"replace({m}, ' ', '')", made)
 
 
 def _email(m: str, key: str) -> str:
-    local = f"substring_index({m}, '@', 1)"
+    def changed(x: str, kind: str, tweak: str) -> str:
+        """Letters and digits of ``x`` permuted among their own; capitals stay where they are."""
+        letters = _in_pieces(f"regexp_replace(lower({x}), '[^a-z]', '')", 12, lambda part, i: permuted_letters(part, key, kind, f"{i}, {tweak}"))
+        digits = _in_pieces(f"regexp_replace({x}, '[^0-9]', '')", 16, lambda part, i: permuted_digits(part, key, kind, f"{i}, {tweak}"))
+
+        def put(n: str) -> str:
+            def one(i: str) -> str:
+                c = f"substr({x}, {i}, 1)"
+                count = lambda kept: f"length(regexp_replace(left({x}, {i}), '[^{kept}]', ''))"
+                letter = f"substr({n}.l, {count('A-Za-z')}, 1)"
+                return f"CASE WHEN {c} RLIKE '[a-z]' THEN {letter} WHEN {c} RLIKE '[A-Z]' THEN upper({letter}) WHEN {c} RLIKE '[0-9]' THEN substr({n}.d, {count('0-9')}, 1) ELSE {c} END"
+
+            return f"array_join({_each(f'sequence(1, length({x}))', one)}, '')"
+
+        return _let(f"named_struct('l', {letters}, 'd', {digits})", put)
 
-    def one(h: str, i: str) -> str:
-        c = f"substr({local}, {i}, 1)"
-        x = f"cast(conv(substr({h}, ({i} - 1) % 60 + 1, 4), 16, 10) AS INT)"
-        letter = f"substr('abcdefghijklmnopqrstuvwxyz', {x} % 26 + 1, 1)"
-        return f"CASE WHEN {c} RLIKE '[0-9]' THEN cast({x} % 10 AS STRING) WHEN {c} RLIKE '[a-z]' THEN {letter} WHEN {c} RLIKE '[A-Z]' THEN upper({letter}) ELSE {c} END"
+    def made(p: str) -> str:
+        return f"concat({changed(f'{p}.who', 'email', f'lower({p}.host)')}, '@', {changed(f'{p}.host', 'host', _quoted('host'))}, '.invalid')"
 
-    return _let(f"sha2(concat_ws('|', {_quoted(key)}, 'email', lower({m})), 256)", lambda h: f"concat(array_join({_each(f'sequence(1, length({local}))', lambda i: one(h, i))}, ''), '@{HOST}')")
+    return _let(f"named_struct('who', substring_index({m}, '@', 1), 'host', substring_index({m}, '@', -1))", made)
 
 
 def pseudonym(m: str, key: str) -> str:
     """struct(kind, new) of a candidate; both null where it fails validation."""
     whole = lambda p: f"{m} RLIKE {_quoted(f'^(?:{p})$')}"
-    kind = f"CASE WHEN contains({m}, '@') THEN 'email' WHEN {whole(IBAN)} THEN 'iban' WHEN {whole(PHONE)} THEN 'phone' WHEN {whole(IP)} THEN 'ip' WHEN {whole(DATE)} THEN 'date' WHEN {whole(SSN)} THEN 'ssn' ELSE 'card' END"
+    kind = f"CASE WHEN contains({m}, '@') THEN 'email' WHEN {whole(IBAN)} THEN 'iban' WHEN {whole(f'{PHONE}|{PAIRS}|{ABROAD}')} THEN 'phone' WHEN {whole(IP)} THEN 'ip' WHEN {whole(DATE)} THEN 'date' WHEN {whole(SSN)} THEN 'ssn' ELSE 'card' END"
     make = {"email": _email, "iban": _iban, "phone": _phone, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card}
 
     def of(k: str) -> str:
@@ -218,7 +280,10 @@ def pseudonym(m: str, key: str) -> str:
 
 def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
     """id, the text with pseudonyms, n_found and the number of each kind, for every row.  Narrow: no shuffle."""
-    key = key or docs.sparkSession.conf.get(KEY_SETTING, DEFAULT_KEY)
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"no key in {KEY_SETTING}: the pseudonyms can be undone by anybody", stacklevel=2)
+        key = DEFAULT_KEY
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
     rows = rows.withColumn("m", F.when(F.col("t").rlike("[0-9@]"), F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0))))
     made = _each("m", lambda m: _let(pseudonym(m, key), lambda x: f"named_struct('kind', {x}.kind, 'new', coalesce({x}.new, {m}))"))
