@@ -3,7 +3,8 @@
 Every word, pair of neighbouring words and character 3- and 4-gram of a text has a learned vector, found by its hash
 in a table of ``2 ** BITS`` rows.  A document is the average of its vectors; a softmax layer over that average gives
 the classes.  Vectors and layer are trained together by stochastic gradient descent in numpy, on the driver, from a
-bounded sample: the ``MAX_TRAIN`` labelled documents of the smallest hash of their id, whole texts.
+bounded sample: the labelled documents of the smallest hash of their id, whole texts, ``MAX_TRAIN`` of them and
+``MAX_BYTES`` of text at most (one document is taken however long it is).
 
 Averaging and the layer are both linear, so the trained model is one number per hash and a bias; scoring gathers these
 for all n-grams of a text and averages them.  That table has a fixed size and goes out with the task.
@@ -20,13 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import prepare, spread, text_of
 
 BITS, WIDTH = 17, 16
-MAX_TRAIN, EPOCHS, MIN_STEPS, RATE = 4000, 5, 6000, 0.2
+MAX_TRAIN, MAX_BYTES, EPOCHS, MIN_STEPS, RATE = 4000, 64 << 20, 5, 6000, 0.2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _P = np.uint64(0x100000001B3)
 
@@ -96,12 +97,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
-    """Embeddings and softmax layer by stochastic gradient descent, one document a step."""
+@dataclass
+class Embeddings:
+    """What is trained: a vector for every hash, and a softmax layer over a document's average vector."""
+
+    table: np.ndarray
+    layer: np.ndarray
+    bias: np.ndarray
+
+    def folded(self) -> Model:
+        return Model((self.table @ (self.layer[:, 1] - self.layer[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0]))
+
+
+def train_embeddings(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Embeddings:
+    """Embeddings and softmax layer by stochastic gradient descent, one document a step; labels of both classes."""
     y = np.array(labels, dtype=np.int64)
-    if len(set(labels)) < 2:
-        share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
-        return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
     table = ((rng.random((1 << BITS, WIDTH)) - 0.5) / WIDTH).astype(np.float32)
     layer, bias = np.zeros((WIDTH, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
@@ -126,21 +136,41 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
             bias -= now * 0.1 * p
             # A document's step is shared among its n-grams in the proportion in which they make its average.
             table[f] -= np.outer(now * len(f) * w, back)
-    out = table @ (layer[:, 1] - layer[:, 0])
-    return Model(out.astype(np.float32), float(bias[1] - bias[0]))
+    return Embeddings(table, layer, bias)
+
+
+def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
+    """The folded model; without labels of both classes the share of class 1."""
+    if len(set(labels)) < 2:
+        share = float(np.clip(np.mean(labels) if labels else 0.5, 0.01, 0.99))
+        return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log(share / (1 - share))))
+    return train_embeddings(texts, labels, epochs, rate, seed).folded()
 
 
 def remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, max_train: int = MAX_TRAIN) -> Model:
-    """Train on at most ``max_train`` labelled documents whose id's CRC-32 modulo ``folds`` is not 0."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> tuple[list[str], list[int]]:
+    """Texts and labels of at most ``max_train`` labelled documents, and ``max_bytes``, whose id's CRC-32 modulo ``folds`` is not 0."""
     known = labels.filter(F.col(label_col).isin(0, 1) & (remainder(id_col, folds) != 0))
     chosen = known.select(F.col(id_col), F.col(label_col).alias("label")).orderBy(F.xxhash64(id_col), id_col, "label").limit(max_train)
-    rows = docs.select(F.col(id_col), text_of(text_col).alias("text")).join(F.broadcast(chosen), id_col).select(id_col, "text", "label").collect()
+    text = text_of(text_col)
+    mark = ["h", id_col, "label", "t"]
+    sizes = docs.select(F.col(id_col), F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("size")).join(F.broadcast(chosen), id_col)
+    sizes = sizes.withColumn("h", F.xxhash64(id_col)).orderBy(*mark).limit(max_train)
+    # The bytes of rows before are summed over at most max_train rows, without their texts.
+    before = F.sum("size").over(Window.orderBy(*mark).rowsBetween(Window.unboundedPreceding, -1))
+    kept = sizes.withColumn("before", F.coalesce(before, F.lit(0))).filter((F.col("before") == 0) | (F.col("before") + F.col("size") <= max_bytes))
+    kept = kept.select(id_col, "t", "label").distinct()
+    rows = docs.select(F.col(id_col), text.alias("text"), F.xxhash64(text).alias("t")).join(F.broadcast(kept), [id_col, "t"]).select(id_col, "text", "label").limit(max_train).collect()
     rows.sort(key=lambda r: (r[0], r[2], r[1]))  # the order must not depend on the partitions
-    return train([r[1] for r in rows], [int(r[2]) for r in rows])
+    return [r[1] for r in rows], [int(r[2]) for r in rows]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Model:
+    """The model trained on ``training_rows``."""
+    return train(*training_rows(docs, labels, id_col, text_col, label_col, folds, max_train, max_bytes))
 
 
 def _scores(model: Model):

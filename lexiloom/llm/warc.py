@@ -5,11 +5,11 @@ own records; each record follows as a frame of its own, compressed with that dic
 record.  Archives are bounded in size and stored as rows (name, n_records, content) of a table in the shared folder:
 Spark's writer commits them whole or not at all, and any store that Spark reads will do.  ``export`` makes files.
 
-Of records with equal payloads (by length and SHA-1 digest) of at least ``min_bytes``, the one with the largest id is
+Of records with equal payloads (by length and SHA-256 digest) of at least ``min_bytes``, the one with the largest id is
 the response; the others are revisit records that refer to it and hold no payload.
 
 Defined results: a null payload is empty; a null URL becomes ``urn:unknown``; rows that repeat the largest id are
-responses all; records with a null id revisit a group's largest id, and are responses where the group has none; an
+responses all, and rows that repeat an id share its record id; records with a null id revisit a group's largest id, and are responses where the group has none; an
 empty table gives an empty result; other columns are not read.
 """
 
@@ -125,7 +125,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """The table of archives (name, n_records, content) of all rows of ``pages``, in the shared folder."""
     prepare(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), text_of(payload_col).alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
+    rows = rows.withColumn("sha", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
     same = written(rows.groupBy("sha", "size").agg(F.max("id").alias("response"), F.count("*").alias("n")), "payloads")
     total = same.agg(F.sum("n")).first()[0] or 0
     dealt = join_by_key(rows, same, ["sha", "size"], "n", total)

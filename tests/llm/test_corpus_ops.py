@@ -383,6 +383,50 @@ def test_quality_with_few_labels(labels, low, high):
     assert all(low <= s <= high for s in model.scores(["", "a text"]))
 
 
+def plain_features(text):
+    """Hashes of words, pairs of words and character 3- and 4-grams, one at a time."""
+    raw, mask = text.encode(), (1 << 64) - 1
+    odd, shift = 0x9E3779B97F4A7C15, 64 - quality.BITS
+    words = [sum((c + 1) * pow(0x100000001B3, i, 1 << 64) for i, c in enumerate(w)) * odd & mask for w in raw.split()]
+    words = [w ^ w >> 29 for w in words]
+    out = [(w * odd & mask) >> shift for w in words]
+    out += [((a * 3 + b * 7) * odd & mask) >> shift for a, b in zip(words, words[1:], strict=False)]
+    for n in (3, 4):
+        for i in range(len(raw) - n + 1):
+            g = 0
+            for c in raw[i : i + n]:
+                g = (g * 257 + c + 1) & mask
+            out.append(((g + (n << 40)) * odd & mask) >> shift)
+    return out
+
+
+def test_quality_by_definition(spark):
+    """Every document of a table: vectors looked up and averaged one by one, the softmax taken as it is defined."""
+    docs, labels = Q.read(spark, SF, "documents"), Q.read(spark, SF, "labels")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()} | {-1: "", -2: "a", -3: " \u00e9 ab"}
+    texts, marks = quality.training_rows(docs, labels)
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5}
+    assert sorted(texts) == sorted(rows[i] for i in known if i in rows) and sum(marks) == sum(q for i, q in known.items() if i in rows)
+    model = quality.train_embeddings(texts, marks)
+    more = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.score(more, quality.fit(docs, labels)).collect()}
+    for i, t in rows.items():
+        vectors = [model.table[f].astype(float) for f in plain_features(t)]
+        mean = sum(vectors) / len(vectors) if vectors else np.zeros(quality.WIDTH)
+        z = mean @ model.layer.astype(float) + model.bias
+        p = math.exp(z[1]) / (math.exp(z[0]) + math.exp(z[1]))
+        assert got[i].score == pytest.approx(p, abs=1e-5) and got[i].predicted == (got[i].score >= 0.3)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_training_texts_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(1, 40)] + [(None, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)] * 2, "doc_id long, quality int")
+    assert len(quality.training_rows(docs, labels, max_bytes=1000)[0]) <= 10
+    assert len(quality.training_rows(docs, labels, max_bytes=10)[0]) == 1
+    assert 1 < len(quality.training_rows(docs, labels, max_train=7)[0]) <= 7
+
+
 def test_quality_features_do_not_depend_on_place():
     words = lambda t: set(quality.features(t).tolist())
     assert words("alpha") <= words("xx alpha yy") and len(quality.features("")) == 0
