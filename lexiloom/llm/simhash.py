@@ -5,8 +5,8 @@
 3. Two fingerprints that differ in at most ``radius`` of 64 bits agree in one of radius + 1 bands of bits.  Each band
    value is a shard: its fingerprints form a BK-tree, whose children are keyed by their Hamming distance to the
    parent, and a search follows only edges within the radius of the query's distance.  A shard over a size bound is
-   cut into slices; each slice's tree goes to the tasks that hold the queries of every other slice.  The trees of all
-   shards together grow with the corpus, so a tree is sent to the tasks that ask it and not to all.
+   cut into slices (``links``).  The trees of all shards together grow with the corpus, so a tree is sent to the tasks
+   that ask it and not to all.
 4. A task returns a star per linked set, not its pairs; stars are joined to components with large-star and
    small-star steps on written tables.  Centres of large stars are joined by broadcast, at most a thousand of them.
 
@@ -176,8 +176,8 @@ def confirmed_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray, sets: list
         a, b = a[~first], b[~first]
 
 
-def _stars(group: np.ndarray, fp: np.ndarray, node_id: np.ndarray, role: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, similarity: float = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(id, smallest id linked to it in its group) of the rows that are not the smallest; ``sets`` confirm each link."""
+def _stars(group: np.ndarray, fp: np.ndarray, node_id: np.ndarray, role: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, similarity: float = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, smallest id linked to it in its group, group) of the rows that are not the smallest; ``sets`` confirm each link."""
     order = np.lexsort((node_id, group))
     if sets is None:
         link = least_labels
@@ -189,7 +189,7 @@ def _stars(group: np.ndarray, fp: np.ndarray, node_id: np.ndarray, role: np.ndar
     tree = np.flatnonzero(role != 1)
     forest = Forest(fp[tree], group[tree])
     if not len(tree):
-        return node_id[:0], node_id[:0]
+        return node_id[:0], node_id[:0], group[:0]
     query = np.flatnonzero(role != 0)
     at = np.minimum(np.searchsorted(forest.root_group, group[query]), len(forest.root_group) - 1)
     has = forest.root_group[at] == group[query]
@@ -206,7 +206,7 @@ def _stars(group: np.ndarray, fp: np.ndarray, node_id: np.ndarray, role: np.ndar
         row, node = forest.within(fp[query[start:]], forest.roots[at[start:]], radius)
         label = link(label, query[start:][row], tree[node])
     moved = np.flatnonzero(label != np.arange(len(label)))
-    return node_id[moved], node_id[label[moved]]
+    return node_id[moved], node_id[label[moved]], group[moved]
 
 
 def bands(radius: int) -> Column:
@@ -219,24 +219,12 @@ def bands(radius: int) -> Column:
     return F.array(*[part(i, lo, hi) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))])
 
 
-def links(nodes: DataFrame, total: int, radius: int = 2, shard_rows: int = SHARD_ROWS, words: tuple[str, ...] = ("fp",), shards: Column | None = None, text: tuple[str, ...] = (), shingle: int = 5, similarity: float = 0) -> DataFrame:
-    """Stars (``a``, ``b``), b < a, that join all nodes with a link inside a shard.
-
-    With the name of a ``text`` column only pairs of that exact ``similarity`` in their word shingles are links.
+def _searched(rows: DataFrame, words: tuple[str, ...], text: tuple[str, ...], radius: int, shingle: int, similarity: float) -> DataFrame:
+    """Stars (shard, ``a``, ``b``), b < a, of the links in each group (shard, i, j) of ``rows``.
 
-    ``nodes`` has an id ``low`` and the ``words`` of a fingerprint; ``shards`` is an array of each node's shards, the
-    bands of its only word by default.
+    A group's rows of role 0 make its tree, those of role 1 ask it, and those of role 2 do both.
     """
-    shards = bands(radius) if shards is None else shards
-    rows = nodes.select(*words, *text, "low", F.explode(shards).alias("shard"))
-    limit = max(shard_rows, -(-MOST_SHARDS * total // MAX_HOT))
-    hot = rows.groupBy("shard").count().filter(F.col("count") > limit).select("shard", F.ceil(F.col("count") / limit).cast("int").alias("k"))
-    rows = rows.join(F.broadcast(hot), "shard", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    own = F.pmod(F.xxhash64("low"), F.col("k").cast("long")).cast("int")
-    rows = rows.withColumn("s", own).select("shard", *words, *text, "low", "s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("t"))
-    # Slice s against slice t: the smaller of the two is the tree, the larger asks it.
-    rows = rows.select("shard", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "low", F.when(F.col("s") < F.col("t"), 0).when(F.col("s") > F.col("t"), 1).otherwise(2).cast("int").alias("role"), *words, *text)
-    dealt = rows.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
+    dealt = rows.select("shard", "i", "j", "low", "role", *words, *text).repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -246,11 +234,11 @@ def links(nodes: DataFrame, total: int, radius: int = 2, shard_rows: int = SHARD
             texts = fp.pop() if text else None
             fp = np.stack(fp, axis=1).view(np.uint64)
             new = np.concatenate(([True], (shard[1:] != shard[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-            group = np.cumsum(new)
+            group = np.cumsum(new) - 1
             more = np.bincount(group)[group] > 1
             sets = None if texts is None else [np.unique(shingle_hashes(t, shingle)) for t in texts[more]]
-            a, b = _stars(group[more], fp[more], low[more], role[more], radius, sets, similarity)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b, of = _stars(group[more], fp[more], low[more], role[more], radius, sets, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(shard[new][of]), pa.array(a), pa.array(b)], names=["shard", "a", "b"])
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -269,7 +257,45 @@ def links(nodes: DataFrame, total: int, radius: int = 2, shard_rows: int = SHARD
         if held and sum(len(x[0]) for x in held):
             yield flush(held)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "shard long, a long, b long")
+
+
+def links(nodes: DataFrame, total: int, radius: int = 2, shard_rows: int = SHARD_ROWS, words: tuple[str, ...] = ("fp",), shards: Column | None = None, text: tuple[str, ...] = (), shingle: int = 5, similarity: float = 0) -> DataFrame:
+    """Stars (``a``, ``b``), b < a, that join all nodes with a link inside a shard.
+
+    With the name of a ``text`` column only pairs of that exact ``similarity`` in their word shingles are links.
+
+    ``nodes`` has an id ``low`` and the ``words`` of a fingerprint; ``shards`` is an array of each node's shards, the
+    bands of its only word by default.
+
+    A shard over the size bound goes in slices.  First each slice asks one node of the shard, its pivot: near copies are
+    linked to it and through it to each other.  Then those that are far from it make trees, in slices too, and every
+    slice of the shard asks each of them, so no link is lost and near copies are not compared among themselves.
+    """
+    shards = bands(radius) if shards is None else shards
+    rows = nodes.select(*words, *text, "low", F.explode(shards).alias("shard"))
+    limit = max(shard_rows, -(-MOST_SHARDS * total // MAX_HOT))
+    hot = written(rows.groupBy("shard").count().filter(F.col("count") > limit).select("shard", F.ceil(F.col("count") / limit).cast("long").alias("k")), "hot")
+    searched = lambda some: _searched(some, words, text, radius, shingle, similarity)
+    placed = lambda some, i, j, role: some.withColumns({"i": F.lit(i) if isinstance(i, int) else i, "j": F.lit(j) if isinstance(j, int) else j, "role": F.lit(role)})
+    found = searched(placed(rows.join(F.broadcast(hot), "shard", "left_anti"), 0, 0, 2)).select("a", "b")
+    if hot.isEmpty():
+        return found.distinct()
+    large = written(rows.join(F.broadcast(hot), "shard").withColumn("s", F.pmod(F.xxhash64("low"), F.col("k")).cast("int")), "large")
+    node = F.struct("low", *words, *text)
+    pivot = written(large.groupBy("shard").agg(F.min_by(node, "low").alias("p"), F.first("k").alias("k")).select("shard", "k", "p.*"), "pivots")
+    slices = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    asked = placed(pivot.withColumn("s", slices("k")), F.col("s"), 0, 0)
+    askers = placed(large.join(F.broadcast(pivot.select("shard", F.col("low").alias("pivot"))), "shard").filter("low <> pivot").drop("pivot"), F.col("s"), 0, 1)
+    near = written(searched(asked.unionByName(askers)), "near")
+    linked = near.select("shard", F.col("a").alias("low")).union(near.select("shard", F.col("b").alias("low"))).union(pivot.select("shard", "low")).distinct()
+    far = written(large.join(linked, ["shard", "low"], "left_anti"), "far")
+    many = F.broadcast(written(far.groupBy("shard").agg(F.ceil(F.count("*") / limit).cast("long").alias("m")), "many"))
+    trees = far.join(many, "shard").withColumn("t", slices("k"))
+    trees = placed(trees, F.pmod(F.xxhash64("low", F.lit(1)), F.col("m")).cast("int"), F.col("t"), 0)
+    askers = placed(large.join(many, "shard").withColumn("t", slices("m")), F.col("t"), F.col("s"), 1)
+    rest = searched(trees.unionByName(askers)).select("a", "b")
+    return found.unionByName(near.select("a", "b")).unionByName(rest).distinct()
 
 
 def least_of_component(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
