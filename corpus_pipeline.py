@@ -2,6 +2,11 @@
 
 ``run`` applies the stages to ``documents``; each stage's result is a Parquet table in the shared folder and the next
 one's input.  A document's id stands for it: rows that repeat an id are kept or dropped together.
+
+Defined results: null and empty texts are scored by the classifier's bias, are equal to each other, and have no tokens;
+rows with a null id are kept or dropped together, as one document; very long texts are like any others; columns beyond
+the id, the text, the source and the language are passed on unread, whatever their names; an empty table, or one without
+labels, gives what the stages give for it, at the end doc_id and the columns of the last stage.
 """
 
 from __future__ import annotations
