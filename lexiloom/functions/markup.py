@@ -8,9 +8,9 @@ markup or because a later rule made work for an earlier one, goes through the lo
 from __future__ import annotations
 
 import re
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What a link may hold: no two brackets in a row, and a lone one takes the next character with it.
@@ -31,8 +31,11 @@ LABEL = r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]"
 ADDRESS = r"\[(?:https?|ftp)://[^\] ]*((?: [^\]]*)?)\]"
 ARTICLE_MARK = r"(?:begin|end) article"
 REDIRECT = "#redirect"
+#: What any of the blocks begins with, for a look before the search.
+OPENINGS = ("<!--", "[[", "{|", "{{")
+OPENED = r"<(?:ref|gallery|imagemap)"
 LINK_TEXTS = ("target", "label")
-#: How often the native form applies the first rule, which nests; the others come once.
+#: How often the native form applies the first rule at most, which nests; the others come once.
 NESTED = 3
 
 
@@ -95,28 +98,51 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def strip_markup(text: Column, link_text: str = "target") -> Column:
-    """The text without markup; null stays null."""
+def _opened(text: Column) -> Column:
+    """Whether a block can begin in a text."""
+    return reduce(lambda x, y: x | y, [F.contains(text, F.lit(o)) for o in OPENINGS]) | text.rlike(f"(?i){OPENED}")
+
+
+def _natively(text: Column, link_text: str) -> Column:
+    """(t, same): the text after a few rounds of the rules, and whether the loop has the same."""
     some = rules(link_text)
+    blocks = some[0][0]
+
+    def cleared(state: Column, times: int) -> Column:
+        """(text, whether no block is left) after the first rule, as often as it changes anything."""
+        if not times:
+            return F.struct(state["t"].alias("t"), (~state["t"].rlike(f"(?is){blocks}")).alias("same"))
+        now = F.when(_opened(state["t"]), _replaced(state["t"], *some[0])).otherwise(state["t"])
+        new = F.struct(now.alias("t"), state["t"].alias("was"))
+        return _let(new, lambda n: F.when(n["t"] == n["was"], F.struct(n["t"].alias("t"), F.lit(True).alias("same"))).otherwise(cleared(n, times - 1)))
 
     def applied(i: int, state: Column) -> Column:
         """(text, whether it is what the loop has at this point) after rule ``i``."""
-        now = state["t"]
-        for _ in range(NESTED if i == 0 else 1):
-            now = _replaced(now, *some[i])
+        if i == 0:
+            return cleared(state, NESTED)
+        now = _replaced(state["t"], *some[i])
         # The loop goes back to the first rule after a change.
-        again = "(?is)" + "|".join(p for p, _ in some[: i + 1])
+        again = "(?is)" + "|".join(p for p, _ in some[1 : i + 1])
         new = F.struct(now.alias("t"), state["t"].alias("was"), state["same"].alias("same"))
-        return _let(new, lambda n: F.struct(n["t"].alias("t"), (n["same"] & ((n["t"] == n["was"]) | ~n["t"].rlike(again))).alias("same")))
+        left = lambda t: t.rlike(again) | (_opened(t) & t.rlike(f"(?is){blocks}"))
+        return _let(new, lambda n: F.struct(n["t"].alias("t"), (n["same"] & ((n["t"] == n["was"]) | ~left(n["t"]))).alias("same")))
 
     state = F.struct(text.alias("t"), F.lit(True).alias("same"))
     for i in range(len(some)):
         state = _let(state, partial(applied, i))
 
+    return _let(F.when(text.rlike(r"[<&\[{]"), state).otherwise(F.struct(text.alias("t"), F.lit(True).alias("same"))), lambda s: s)
+
+
+def strip_markup(rows: DataFrame, text_col: str = "text", link_text: str = "target") -> DataFrame:
+    """``rows`` with the column without markup; null stays null."""
+
     @F.pandas_udf("string")
     def looped(s):
         return s.map(lambda t: None if t is None else strip_text(t, link_text))
 
-    out = _let(F.when(text.rlike(r"[<&\[{]"), state).otherwise(F.struct(text.alias("t"), F.lit(True).alias("same"))), lambda s: s)
-    # Rows that need no loop are null to it.
-    return F.when(out["same"] | text.isNull(), out["t"]).otherwise(looped(F.when(~out["same"], text)))
+    # A column of its own, so that it is computed once.  Rows that need no loop are null to it.
+    tried = rows.withColumn("markup_state", _natively(F.col(text_col), link_text))
+    state, text = F.col("markup_state"), F.col(text_col)
+    out = F.when(state["same"] | text.isNull(), state["t"]).otherwise(looped(F.when(~state["same"], text)))
+    return tried.withColumn(text_col, out).drop("markup_state")

@@ -135,17 +135,31 @@ def find_phone_words(index: DataFrame, digits: str, limit: int | None = None) ->
 # Splicing
 
 
+def _usable(index: DataFrame, matcher: P.Matcher) -> DataFrame:
+    """The phrases that may be part of a match: no more letters than it, none that it cannot have."""
+    if matcher.kind == "pattern":
+        tree = P.parse(matcher.query)
+        most, chars = P.letter_bounds(tree)[1], P.characters(tree)
+    else:
+        most = len(matcher.query)
+        chars = frozenset(matcher.query) if matcher.kind == "anagram" else frozenset(c for c, d in P.KEY_OF.items() if d in matcher.query)
+    some = "".join(sorted(chars - P.SPACE))
+    terms = [F.col("n_letters") <= most if most is not None else None, F.col("text").rlike(f"^[{some} ]+$") if some and len(some) < len(P.ALL) - 1 else None, F.col("first_ch").isin(*some) if some else None]
+    condition = _all_of(terms)
+    rows = index if condition is None else index.filter(condition)
+    return rows.select("text", "first_ch", F.col("c").cast("long").alias("c"), F.col("n_words").cast("int").alias("n_words"))
+
+
 def _transitions(index: DataFrame, matcher: P.Matcher, states: list[tuple[str, str]]) -> DataFrame:
     """(from_key, phrase, c, n_words, to_key, accept) of every phrase that keeps a state alive.
 
     A state is known by a text that leads to it; workers build it again from that text.  Only phrases that begin as one
-    of the states allows, and have no more letters than a match, are read.
+    of the states allows are read.
     """
     a = matcher.automaton()
     starts = {t for _, text in states for t in P.beginnings(a, a.run(text))}
     starts = starts if len(starts) <= 64 else {t[:1] for t in starts}
-    most = P.letter_bounds(P.parse(matcher.query))[1] if matcher.kind == "pattern" else len(matcher.query)
-    condition = _all_of([_within_beginnings(sorted(starts)), F.col("n_letters") <= most if most is not None else None])
+    condition = _within_beginnings(sorted(starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = matcher.automaton()
@@ -159,7 +173,7 @@ def _transitions(index: DataFrame, matcher: P.Matcher, states: list[tuple[str, s
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["from_key", "phrase", "c", "n_words", "to_key", "accept"])
 
     rows = index if condition is None else index.filter(condition)
-    return rows.select("text", F.col("c").cast("long"), F.col("n_words").cast("int")).mapInArrow(run, "from_key string, phrase string, c long, n_words int, to_key string, accept boolean")
+    return rows.select("text", "c", "n_words").mapInArrow(run, "from_key string, phrase string, c long, n_words int, to_key string, accept boolean")
 
 
 @dataclass
@@ -196,7 +210,8 @@ def splice_search(index: DataFrame, matcher: P.Matcher, n_total: int, limit: int
     def best_of(rounds: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, [r.filter("accept AND rank = 1").select("score", "text") for r in rounds])
 
-    moves = [keep(_transitions(index, matcher, list(known.items())))]
+    usable = keep(_usable(index, matcher).hint("rebalance"))
+    moves = [keep(_transitions(usable, matcher, list(known.items())))]
     pending = moves[0].select(F.col("phrase").alias("text"), F.col("c").cast("double").alias("score"), F.col("to_key").alias("key"), "accept", "n_words")
     rounds: list[DataFrame] = []
     step, worst, paths, complete = F.lit(float(n_total)), 0.0, 0, False
@@ -222,7 +237,7 @@ def splice_search(index: DataFrame, matcher: P.Matcher, n_total: int, limit: int
             raise P.QueryTooLargeError(f"the query reaches more than {MAX_STATES} states")
         if fresh:
             known.update(fresh)
-            moves.append(keep(_transitions(index, matcher, fresh)))
+            moves.append(keep(_transitions(usable, matcher, fresh)))
         rest = pending.filter(F.col("n_words") > words) if len(waiting) > 1 else None
         if found:
             longer = further.select("text", "score", F.col("key").alias("from_key"), F.col("n_words").alias("had")).join(reduce(DataFrame.unionByName, moves), "from_key")

@@ -238,7 +238,7 @@ def result_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _html(rule) -> Query:
-    return lambda spark, d: _table(spark, d, "pages").select("page_id", rule(F.coalesce("html", F.lit(""))).alias("text"))
+    return lambda spark, d: session.spread(_table(spark, d, "pages")).select("page_id", rule(F.coalesce("html", F.lit(""))).alias("text"))
 
 
 #: Markup around three words of a text, and what is left of it.
@@ -257,7 +257,7 @@ _ADDRESSES = (r"[http://x.org/\1 \2 \3] [ftp://y.org/\1]", r" \2 \3 ")
 def _wiki(spark: SparkSession, d: str, around: str) -> DataFrame:
     """All documents with markup put around their words; what they have of its characters goes first."""
     plain = F.translate(F.coalesce("text", F.lit("")), "<>&[]{}|#", "")
-    return _table(spark, d, "documents").select("doc_id", F.regexp_replace(plain, _THREE, around.replace("\\", "$")).alias("text"))
+    return session.spread(_table(spark, d, "documents")).select("doc_id", F.regexp_replace(plain, _THREE, around.replace("\\", "$")).alias("text"))
 
 
 def _wiki_sql(around: str) -> str:
@@ -278,7 +278,7 @@ def strip_url_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def strip_wiki_markup(spark: SparkSession, d: str) -> DataFrame:
-    return _wiki(spark, d, _WIKI[0]).select("doc_id", markup.strip_markup(F.col("text")).alias("text"))
+    return markup.strip_markup(_wiki(spark, d, _WIKI[0]))
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
@@ -326,7 +326,7 @@ def stored_shards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def strip_markup(spark: SparkSession, d: str) -> DataFrame:
-    return _html(markup.strip_markup)(spark, d)
+    return markup.strip_markup(session.spread(_table(spark, d, "pages")).select("page_id", F.coalesce("html", F.lit("")).alias("text")))
 
 
 def streaming_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -91,8 +91,7 @@ def with_text(pages: DataFrame) -> DataFrame:
 
 def articles_to_lines(pages: DataFrame, link_text: str = "target") -> DataFrame:
     """line and weight of pages (title, text): markup removed, the title first."""
-    text = markup.strip_markup(F.col("text"), link_text)
-    body = lines_of(pages.select(text.alias("text"))).withColumn("weight", F.lit(1))
+    body = lines_of(markup.strip_markup(pages.select("text"), "text", link_text)).withColumn("weight", F.lit(1))
     return pages.select(F.col("title").alias("line"), F.lit(TITLE_WEIGHT).alias("weight")).unionByName(body)
 
 

@@ -184,7 +184,7 @@ def test_page_texts(spark):
 )
 def test_markup(spark, raw, plain):
     df = spark.createDataFrame([(raw,)], "t string")
-    assert df.select(markup.strip_markup(F.col("t"))).first()[0] == plain
+    assert markup.strip_markup(df, "t").first()[0] == plain
 
 
 MARKS = ["<!--", "-->", "<ref>", "</ref>", "<ref name=x/>", "<Gallery a=b>", "</gallery>", "[[", "]]", "|", "file:", "{{", "}}", "{|", "|}", "<br/>", "<b>", "&amp;", "&x;", "[http://a.b c]", "[", "]", "a b", "c", "\n", "/", ">", "<imagemap>", "</imagemap>", "[ftp://x]", "\u017f"]
@@ -196,16 +196,16 @@ def test_native_markup_is_the_loop(spark):
     texts = ["".join(rng.choice(MARKS) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for kind in markup.LINK_TEXTS:
-        got = {r.i: r.o for r in df.select("i", markup.strip_markup(F.col("t"), kind).alias("o")).collect()}
+        got = {r.i: r.o for r in markup.strip_markup(df.withColumn("o", F.col("t")), "o", kind).collect()}
         assert all(got[i] == markup.strip_text(t, kind) for i, t in enumerate(texts))
 
 
 def test_markup_label_and_marks(spark):
     df = spark.createDataFrame([("[[a|b]] BEGIN ARTICLE end article",)], "t string")
-    assert df.select(markup.strip_markup(F.col("t"), "label")).first()[0].startswith("b ")
+    assert markup.strip_markup(df, "t", "label").first()[0].startswith("b ")
     assert df.select(markup.escape_article_marks(F.col("t"))).first()[0] == "[[a|b]] >BEGIN ARTICLE >end article"
     with pytest.raises(ValueError):
-        markup.strip_markup(F.col("t"), "x")
+        markup.strip_markup(df, "t", "x")
 
 
 def test_streaming_counts_once(spark, tmp_path):
