@@ -83,5 +83,9 @@ def html_escape(text: Column) -> Column:
 
 
 def url_quote(text: Column) -> Column:
-    """A text as part of an address: spaces as ``%20``."""
-    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    """A text as part of an address: all but letters, digits and ``_.-~`` as ``%`` and two digits for each byte."""
+    out = F.url_encode(text)
+    # What forms write otherwise than addresses.
+    for mark, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(mark), F.lit(plain))
+    return out

@@ -117,6 +117,9 @@ FIND = {
     "find_anagram_chunks": ("<(th)(er)_>", f"regexp_matches({_BARE}, '^(ther[0-9a-z]|th[0-9a-z]er|erth[0-9a-z]|er[0-9a-z]th|[0-9a-z]ther|[0-9a-z]erth)$')"),
     # Parts that overlap stand in for each other: "ana" and "nan" are no true anagrams of these, but match part by part.
     "find_anagram_overlap": ("<(a)(n)(an)>", " AND ".join(f"regexp_matches({_BARE}, '^{x}$')" for x in ("(a|n|an){3}", "(n|an)*a(n|an)*", "(a|an)*n(a|an)*", "(a|n)*an(a|n)*"))),
+    # Equal parts are counted together however they are written, and what repeats nothing matches nothing.
+    "find_anagram_equal": ("<t(t|t)ha>", f"list_aggregate(list_sort(string_split({_BARE}, '')), 'string_agg', '') = 'ahtt'"),
+    "find_empty_star": ('"(t?)*he(r*)*"', "regexp_matches(text, '^t*her* $')"),
     "find_anagram_ordered": ("<eth>&_*t_*h_*", f"{_BARE} IN ('the', 'teh', 'eth')"),
 }
 
@@ -227,6 +230,27 @@ def splice_phone(spark: SparkSession, d: str) -> DataFrame:
     return S.splice(index, Matcher("phone", "63843"), I.corpus_total(index).first()[0])
 
 
+def splice_quirk(spark: SparkSession, d: str) -> DataFrame:
+    """A word that is accepted is not extended, so of the longer texts only those come that are phrases themselves."""
+    index = _index(spark, d)
+    return S.splice(index, Matcher("pattern", '"(the|of)( (the|of))?"'), I.corpus_total(index).first()[0])
+
+
+def search_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """How searches end: with more to come, complete, with nothing, at their budget, or at a query that is none."""
+    index = _index(spark, d)
+    n_total = I.corpus_total(index).first()[0]
+    pages = [(q, S.search_page(index, q)) for q in ("the_*", '"the"', "zzzz", "the**", "<the", "THE", "[a-", "a{9,3}")]
+    pages.append(("spliced", S.search_page(index, '"the( the)*x"', n_total=n_total, budget=1)))
+    rows = [(q, p.outcome, p.rows.count() if p.rows is not None else 0, p.next_start, p.next_budget, p.message) for q, p in pages]
+    return spark.createDataFrame(rows, "query string, outcome string, n long, next_start long, next_budget long, message string")
+
+
+def page_texts(spark: SparkSession, d: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return _table(spark, d, "documents").select("doc_id", T.html_escape(text).alias("escaped"), T.url_quote(text).alias("quoted"))
+
+
 def search_page(spark: SparkSession, d: str) -> DataFrame:
     page = S.search_page(_index(spark, d), "the_*", 20, 20)
     return page.rows.select("score", "text", F.round("font_size", 6).alias("font_size"))
@@ -347,7 +371,7 @@ def _stream_source(d: str) -> str:
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {f.__name__: f for f in (normalize_lines, chain_counts, prefix_counts, prune_terminals, index_columns, corpus_total, merge_shards, merge_two_stage, title_boost, framing, dump_index, explore_prefix, children_range)}
     out |= {name: _find(q) for name, (q, _) in FIND.items()}
-    out |= {f.__name__: f for f in (anagrams, phone_words, splice_two, splice_n, splice_anagram, splice_phone, search_page, result_lines)}
+    out |= {f.__name__: f for f in (anagrams, phone_words, splice_two, splice_n, splice_anagram, splice_phone, splice_quirk, search_page, search_outcomes, result_lines, page_texts)}
     out |= {"strip_tags": _html(markup.strip_tags), "strip_entities": _html(markup.strip_entities), "remove_blocks": _html(markup.remove_blocks), "escape_article_marks": _html(markup.escape_article_marks)}
     return out | {f.__name__: f for f in (strip_wiki_links, strip_wiki_labels, strip_url_links, drop_redirects, strip_markup, strip_wiki_markup, xml_pages, doc_blocks, framing_files, stored_shards, streaming_counts)}
 
@@ -387,6 +411,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT max(score) AS score, rtrim(text) AS text FROM R GROUP BY text""",
         "search_page": f"""{_BASE} SELECT c::DOUBLE AS score, rtrim(text) AS text, round(greatest(0.4::DOUBLE, CASE WHEN c >= 1 THEN 1.5::DOUBLE + ln(c::DOUBLE) / 5 END), 6) AS font_size
             FROM I WHERE {FIND["find_prefix"][1]} ORDER BY score DESC, text LIMIT 20 OFFSET 20""",
+        "splice_quirk": f"{_BASE} SELECT c::DOUBLE AS score, rtrim(text) AS text FROM I WHERE regexp_matches(text, '^(the|of)( (the|of))? $')",
+        "search_outcomes": f"""{_BASE}, A AS (SELECT count(*) AS n FROM I WHERE {FIND["find_prefix"][1]}), B AS (SELECT count(*) AS n FROM I WHERE text = 'the '), C AS (SELECT count(*) AS n FROM I WHERE {_BARE} = 'zzzz'),
+            R AS (SELECT 'the_*' AS query, n FROM A UNION ALL SELECT '"the"', n FROM B UNION ALL SELECT 'zzzz', n FROM C)
+            SELECT query, CASE WHEN n > 100 THEN 'next' WHEN n > 0 THEN 'done' ELSE 'none' END AS outcome, least(n, 100)::BIGINT AS n, CASE WHEN n > 100 THEN 100 END::BIGINT AS next_start, NULL::BIGINT AS next_budget, '' AS message FROM R
+            UNION ALL SELECT query, 'error', 0, NULL, NULL, 'can' || chr(39) || 't parse ' || chr(39) || rest || chr(39) FROM (SELECT unnest(['the**', '<the', 'THE', '[a-', 'a{{9,3}}']) AS query, unnest(['*', '<the', 'THE', '[a-', 'a{{9,3}}']) AS rest) e(query, rest)
+            UNION ALL SELECT 'spliced', 'budget', 0, NULL, 2, ''""",
+        "page_texts": """SELECT doc_id, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS escaped, url_encode(t) AS quoted
+            FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
         "result_lines": f"SELECT score::BIGINT || ' ' || text AS line FROM ({_found(FIND['find_prefix'][1])})",
         "strip_tags": _html_sql("</?[a-z][a-z0-9]*?( [^>]*?)??/??>", " "),
         "strip_entities": _html_sql("&[a-z]+?;", " "),
