@@ -49,6 +49,20 @@ class PairTable:
         return rank, merged
 
 
+class SmallPairTable(PairTable):
+    """The same for few symbols: a place for every pair."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, merged: np.ndarray, size: int):
+        super().__init__(left, right, rank, merged, size)
+        self.place = np.zeros(size * size, dtype=np.int16)
+        self.place[self.keys] = np.arange(1, len(self.keys) + 1)
+        self.rank_at, self.merged_at = np.concatenate(([NONE], self.rank)), np.concatenate(([0], self.merged))
+
+    def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.place[left * self.size + right]
+        return self.rank_at[at], self.merged_at[at]
+
+
 def merge_lowest(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
     """Merge until no pair of neighbours is in ``table``; returns the symbols left and their number by sequence.
 
