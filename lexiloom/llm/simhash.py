@@ -360,11 +360,12 @@ def _mixed(h: np.ndarray, step: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def wide_sketch(text: str, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(SimHash of WIDE words over the distinct shingles, the keys of MIN_BANDS MinHash bands), signed 64-bit."""
+def wide_sketch(text: str, words: int = 5) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(SimHash of WIDE words over the distinct shingles, the keys of MIN_BANDS MinHash bands, both signed 64-bit; the set's digest)."""
     h = np.unique(shingle_hashes(text, words))
+    mark = hashlib.md5(h.tobytes(), usedforsecurity=False).digest()
     if not len(h):
-        return np.zeros(WIDE, dtype=np.int64), np.arange(MIN_BANDS, dtype=np.int64)
+        return np.zeros(WIDE, dtype=np.int64), np.arange(MIN_BANDS, dtype=np.int64), mark
     bits = [(_bit_counts(_mixed(h, j)) * 2 > len(h)).astype(np.uint8) for j in range(1, WIDE + 1)]
     odd = (np.arange(1, MIN_BANDS * MIN_ROWS + 1, dtype=np.uint64) * np.uint64(2 * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF) + np.uint64(1))[:, None]
     mixed = h ^ (h >> np.uint64(31))
@@ -373,7 +374,7 @@ def wide_sketch(text: str, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     key = np.arange(MIN_BANDS, dtype=np.uint64)
     for r in range(MIN_ROWS):
         key = _mixed(key ^ least[:, r], r + 1)
-    return np.packbits(np.concatenate(bits), bitorder="little").view("<i8"), key.view(np.int64)
+    return np.packbits(np.concatenate(bits), bitorder="little").view("<i8"), key.view(np.int64), mark
 
 
 @lru_cache
@@ -406,9 +407,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [wide_sketch(t, words) for t in batch.column(1).to_pylist()]
-            fp = np.array([f for f, _ in found], dtype=np.int64).reshape(-1, WIDE)
-            keys = np.array([k for _, k in found], dtype=np.int64).reshape(-1, MIN_BANDS)
-            mark = [hashlib.md5(np.unique(shingle_hashes(t, words)).tobytes(), usedforsecurity=False).digest() for t in batch.column(1).to_pylist()]
+            fp = np.array([x[0] for x in found], dtype=np.int64).reshape(-1, WIDE)
+            keys = np.array([x[1] for x in found], dtype=np.int64).reshape(-1, MIN_BANDS)
+            mark = [x[2] for x in found]
             shards = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, MIN_BANDS, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mark, type=pa.binary()), shards, *(pa.array(fp[:, i]) for i in range(WIDE)), batch.column(1)], names=[id_col, "mark", "shards", *names, "text"])
 
