@@ -166,9 +166,9 @@ def feature_of(tensors: list[dict]) -> str:
 def features(tensors: DataFrame) -> DataFrame:
     """``tensors`` with a ``feature`` in place of each row's tensors."""
 
-    @F.pandas_udf("string")
-    def feature(some):
-        return some.map(feature_of)
+    @F.arrow_udf("string")
+    def feature(some: pa.Array) -> pa.Array:
+        return pa.array([feature_of(x.as_py()) for x in some], type=pa.string())
 
     return tensors.withColumn("feature", feature("tensors")).drop("tensors")
 

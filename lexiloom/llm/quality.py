@@ -117,13 +117,15 @@ def train_embeddings(texts: list[str], labels: list[int], epochs: int = EPOCHS,
     layer, bias = np.zeros((WIDTH, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
     rows = []
     for t in texts:
-        f, n = np.unique(features(t), return_counts=True)
-        rows.append((f, (n / max(n.sum(), 1)).astype(np.float32)))
+        f, n = np.unique(features(t).astype(np.int32), return_counts=True)
+        rows.append((f, n.astype(np.uint16 if n.max(initial=0) < 1 << 16 else np.int64)))
     epochs = max(epochs, -(-MIN_STEPS // len(rows)))
     steps, step = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)).tolist():
-            f, w = rows[i]
+            f, n = rows[i]
+            n = n.astype(np.float64)
+            w = (n / max(n.sum(), 1)).astype(np.float32)
             now = rate * (1 - step / steps)
             step += 1
             mean = w @ table[f]
@@ -176,11 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _scores(model: Model):
     weight, bias = model.weight, model.bias
 
-    @F.pandas_udf("double")
-    def scores(texts):
-        import pandas as pd
-
-        return pd.Series(Model(weight, bias).scores(texts.tolist()))
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        return pa.array(Model(weight, bias).scores(texts.to_pylist()), type=pa.float64())
 
     return scores
 

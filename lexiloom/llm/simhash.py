@@ -290,7 +290,7 @@ def links(nodes: DataFrame, total: int, radius: int = 2, shard_rows: int = SHARD
     near = written(searched(asked.unionByName(askers)), "near")
     linked = near.select("shard", F.col("a").alias("low")).union(near.select("shard", F.col("b").alias("low"))).union(pivot.select("shard", "low")).distinct()
     far = written(large.join(linked, ["shard", "low"], "left_anti"), "far")
-    many = F.broadcast(written(far.groupBy("shard").agg(F.ceil(F.count("*") / limit).cast("long").alias("m")), "many"))
+    many = F.broadcast(far.groupBy("shard").agg(F.ceil(F.count("*") / limit).cast("long").alias("m")))
     trees = far.join(many, "shard").withColumn("t", slices("k"))
     trees = placed(trees, F.pmod(F.xxhash64("low", F.lit(1)), F.col("m")).cast("int"), F.col("t"), 0)
     askers = placed(large.join(many, "shard").withColumn("t", slices("m")), F.col("t"), F.col("s"), 1)
