@@ -130,6 +130,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(read(spark, sf_dir, "pages")))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.packing import packed_documents
+
+    return packed_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.merkle import document_manifest
+
+    return document_manifest(read(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.llm.spelling import spelling_variants
+
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
 #: Base 32 of a SHA-1 digest, five hexadecimal digits (four base-32 letters) at a time.
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -158,6 +176,9 @@ def queries() -> dict[str, Query]:
         "op8_bpe": op8_bpe,
         "op9_quality": op9_quality,
         "op10_warc": op10_warc,
+        "op11_packing": op11_packing,
+        "op12_merkle": op12_merkle,
+        "op13_spelling": op13_spelling,
     }
 
 
