@@ -164,6 +164,59 @@ FROM b JOIN g USING (x, payload_bytes)
 """
 
 
+#: CRC-32 by its table, as SQL over lists: ``crc`` holds the table, ``_crc`` is the checksum of a text below U+0100.
+_CRC = """crc AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def _crc(text: str) -> str:
+    utf8 = f"flatten(list_transform(string_split({text}, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [192 + unicode(ch) // 64, 128 + unicode(ch) % 64] END))"
+    return f"xor(list_reduce({utf8}, lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1]), 4294967295), 4294967295)"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(({x})::VARCHAR) || ':' || ({x})::VARCHAR, '-')" for x in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: Level by level, one row for each node; a path is the nodes beside those above a leaf.
+OP12_SQL = f"""
+WITH RECURSIVE {_CRC},
+d AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, coalesce(CASE WHEN {_crc("doc_id::VARCHAR")} % 7 = 0 AND n_chars IS NOT NULL THEN {_leaf("n_chars + 1")} END, {_leaf("n_chars")}) AS tampered FROM documents, crc),
+a AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+up AS (SELECT lang, 0 AS level, pos, leaf AS node, n FROM a
+    UNION ALL SELECT lang, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM up WHERE n > 1 GROUP BY lang, level, pos // 2),
+sub AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS level, pos, subroot AS node, n FROM sub
+    UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM top WHERE n > 1 GROUP BY level, pos // 2),
+walk AS (SELECT a.doc_id, a.leaf, a.tampered, s.subroot, u.level, (a.pos >> u.level) & 1 AS side, x.node AS sibling
+    FROM a JOIN sub s ON a.lang IS NOT DISTINCT FROM s.lang JOIN up u ON u.lang IS NOT DISTINCT FROM a.lang AND u.pos = a.pos >> u.level AND u.n > 1
+        LEFT JOIN up x ON x.lang IS NOT DISTINCT FROM a.lang AND x.level = u.level AND x.pos = xor(u.pos, 1)
+    UNION ALL SELECT a.doc_id, a.leaf, a.tampered, s.subroot, 1000 + u.level, (s.pos >> u.level) & 1, x.node
+    FROM a JOIN sub s ON a.lang IS NOT DISTINCT FROM s.lang JOIN top u ON u.pos = s.pos >> u.level AND u.n > 1 LEFT JOIN top x ON x.level = u.level AND x.pos = xor(u.pos, 1)
+    UNION ALL SELECT a.doc_id, a.leaf, a.tampered, s.subroot, -1, 2, '' FROM a JOIN sub s ON a.lang IS NOT DISTINCT FROM s.lang),
+p AS (SELECT doc_id, leaf, tampered, subroot, list({{'side': side, 'sibling': coalesce(sibling, '')}} ORDER BY level) AS path FROM walk GROUP BY ALL),
+r AS (SELECT doc_id, leaf, subroot, (SELECT node FROM top WHERE n = 1) AS root, sha256(list_aggregate(list_transform(path, lambda x: x.sibling), 'string_agg', '')) AS proof_sha256,
+    list_reduce(path, lambda acc, x: {{'side': 0::BIGINT, 'sibling': CASE WHEN x.side = 2 THEN acc.sibling WHEN x.side = 1 THEN sha256(x.sibling || acc.sibling) ELSE sha256(acc.sibling || x.sibling) END}}, {{'side': 0::BIGINT, 'sibling': tampered}}).sibling AS folded_root FROM p)
+SELECT *, folded_root = root AS verified FROM r
+"""
+
+#: Near words by places left out: two words that are equal but for a place, and a word that another is without a place.
+OP13_SQL = f"""
+WITH RECURSIVE {_CRC},
+r AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)) WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, k, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM r, crc),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM h),
+v AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+o AS MATERIALIZED (SELECT DISTINCT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest, substr(word, i, 1) AS ch FROM (SELECT word, unnest(range(1, length(word) + 1))::INT AS i FROM v)),
+e AS (SELECT a.word AS a, b.word AS b FROM o a JOIN o b ON a.rest = b.rest AND a.i = b.i AND a.ch <> b.ch
+    UNION SELECT o.word, v.word FROM o JOIN v ON v.word = o.rest UNION SELECT v.word, o.word FROM o JOIN v ON v.word = o.rest),
+m AS (SELECT e.a AS word, count(*) AS n_near, min({{'m': -x.n, 'w': x.word}}) AS best FROM e JOIN v x ON x.word = e.b GROUP BY 1),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 5 * v.n THEN best.w END AS form, CASE WHEN -best.m >= 5 * v.n THEN -best.m END AS form_n FROM v LEFT JOIN m USING (word)),
+w AS (SELECT word, word AS at FROM f UNION ALL SELECT w.word, f.form FROM w JOIN f ON f.word = w.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM f JOIN w ON w.word = f.word JOIN f z ON z.word = w.at WHERE z.form IS NULL
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -183,4 +236,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op7_mixing": op7_sql(), "op10_warc": OP10_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op7_mixing": op7_sql(), "op10_warc": OP10_SQL, "op12_merkle": OP12_SQL, "op13_spelling": OP13_SQL}
