@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ from lexiloom.llm.common import prepare, spread, text_of, written
 CAPACITY, END = 4096, 1
 #: Runs without white space that a task remembers the ids of, and the longest of them in bytes.
 CACHE_RUNS, CACHE_BYTES = 250_000, 64
+#: Characters of texts that are encoded together; a longer text goes by itself.
+CHUNK = 1 << 20
 
 
 class Encoder:
@@ -54,7 +57,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, dtype=np.int64), 0
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def _learn(self, runs: list[bytes]) -> None:
@@ -89,6 +92,18 @@ class Encoder:
         return ids, np.diff(total, prepend=0)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about CHUNK characters of their second column."""
+    for batch in batches:
+        ends = pc.cumulative_sum(pc.utf8_length(batch.column(1))).to_numpy()
+        start = 0
+        while start < batch.num_rows:
+            least = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, least + CHUNK, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, piece, start, length and ``ids`` (little-endian unsigned 32-bit) of every piece; part and slot number those of a length."""
     prepare(docs.sparkSession)
@@ -96,10 +111,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = Encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in _chunks(batches):
             ids, n = encode(batch.column(1).to_pylist())
             # The end id goes behind each text.
-            whole = np.insert(ids, np.cumsum(n), end).astype("<u4")
+            whole = np.insert(ids, np.cumsum(n), end).astype("<u4", copy=False)
             n += 1
             each = -(-n // capacity)
             of = np.repeat(np.arange(len(n)), each)
