@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 import zlib
 from collections.abc import Callable
@@ -380,6 +381,18 @@ def _html_sql(pattern: str, to: str) -> str:
     return f"SELECT page_id, regexp_replace(coalesce(html, ''), '{pattern}', '{to}', 'gis') AS text FROM pages"
 
 
+def _tags_sql() -> str:
+    """Tags by a scan: of what stands before a closing mark, the first opening mark that a name follows begins the tag."""
+    letters = string.ascii_letters
+    name = "CASE WHEN contains(b, ' ') OR NOT ends_with(b, '/') THEN string_split(b, ' ')[1] ELSE left(b, length(b) - 1) END"
+    named = f"list_transform([{name}], lambda w: w <> '' AND translate(left(w, 1), '{letters}', '') = '' AND translate(w, '{letters}{string.digits}', '') = '')[1]"
+    begins = f"list_transform([array_to_string(p[i:], '<')], lambda s: list_transform([CASE WHEN starts_with(s, '/') THEN substr(s, 2) ELSE s END], lambda b: {named})[1])[1]"
+    left = "CASE WHEN len(f) = 0 THEN array_to_string(p, '<') || '>' ELSE array_to_string(p[1:f[1] - 1], '<') || ' ' END"
+    cleared = f"list_transform([string_split(x, '<')], lambda p: list_transform([list_filter(range(2, len(p) + 1), lambda i: {begins})], lambda f: {left})[1])[1]"
+    return f"""SELECT page_id, coalesce(array_to_string(list_transform(g[1:len(g) - 1], lambda x: {cleared}), ''), '') || g[len(g)] AS text
+        FROM (SELECT page_id, string_split(coalesce(html, ''), '>') AS g FROM pages)"""
+
+
 def oracle_sql() -> dict[str, str]:
     union = " UNION ALL ".join(f"SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM {t}" for t in ("documents", "benchmark", "conversations"))
     group_chains = _K.replace("K AS (SELECT chain, count(*)", "K AS (SELECT g, chain, count(*)").replace("SELECT unnest", "SELECT g, unnest").replace("FROM (SELECT ltrim", "FROM (SELECT coalesce(source, '') AS g, ltrim").replace("GROUP BY chain", "GROUP BY g, chain")
@@ -420,7 +433,7 @@ def oracle_sql() -> dict[str, str]:
         "page_texts": """SELECT doc_id, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS escaped, url_encode(t) AS quoted
             FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
         "result_lines": f"SELECT score::BIGINT || ' ' || text AS line FROM ({_found(FIND['find_prefix'][1])})",
-        "strip_tags": _html_sql("</?[a-z][a-z0-9]*?( [^>]*?)??/??>", " "),
+        "strip_tags": _tags_sql(),
         "strip_entities": _html_sql("&[a-z]+?;", " "),
         "escape_article_marks": _html_sql("(BEGIN|END) ARTICLE", r">\0"),
         # Pages have comments alone; they are cut out between their marks.
