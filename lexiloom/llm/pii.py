@@ -5,13 +5,16 @@ One pattern finds candidates; each is validated before anything changes:
 - payment card numbers of 13 to 19 digits (plain or in groups): Luhn check; the new number passes it too
 - social security numbers (3-2-4, by hyphens or blanks): no area 000, 666 or 9xx, no zero group or serial, before and after
 - phone numbers with area code (3-3-4): area and exchange start with 2 to 9, before and after; the country code stays
-- phone numbers with another country code and blanks, points or hyphens: 8 to 15 digits; the country code stays
+- phone numbers with a country code, plain or with blanks, points or hyphens: 8 to 15 digits; the country code stays
+- national numbers with a slash (0171/1234567): what stands before it stays
 - national numbers of ten digits in pairs (06 12 34 56 78): the first pair stays
 - IPv4 addresses: four octets up to 255
 - dates of 1900 to 2099 (2001-12-31, 31/12/2001, 31.12.2001, 1/5/2001, and month first where only that is a date)
 - IBANs, plain or in groups of four: the check digits hold (modulo 97), before and after; the country stays
 - e-mail addresses: letters for letters and digits for digits, the host by itself and the local part by the host; as
-  the new host may exist, ``.invalid`` is put behind it
+  the new host may exist, ``.invalid`` is put behind it; letters beyond A to Z belong to the address but stay as they are
+
+A find neither begins nor ends inside a word, in whatever letters the word is written.
 
 Numbers, dates and addresses are permuted inside their format by a keyed Feistel network of ``ROUNDS`` rounds: two
 halves, each in turn moved by a SHA-256 of the key, the kind and the other half, modulo the size of its range.  Values
@@ -20,7 +23,7 @@ equal pseudonyms in all documents, in dates over all spellings; without the key
 given to ``pseudonymise`` or in the setting ``spark.lexiloom.pii.key``; without it a public one is used, with a warning,
 and anybody can undo the map.
 
-Defined results: null and empty texts give an empty text and no finds; candidates that fail validation stay as they
+Defined results: null and empty texts give an empty text and no finds; a text of any length is read whole; candidates that fail validation stay as they
 are, and texts without finds stay byte for byte; repeated rows give repeated results; an empty table gives an empty
 result; columns other than the id and the text are not read.
 """
@@ -42,14 +45,17 @@ KINDS = ("card", "ssn", "phone", "ip", "date", "iban", "email")
 CARD = r"[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3} [0-9]{2} [0-9]{4}"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"
-ABROAD = r"\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-][0-9]{1,8}){1,6}"
+#: The ranges that country codes are given from.
+COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[578]|42|5[09]|6[7-9]|8[05-8]|9[679])[0-9])"
+ABROAD = rf"\+{COUNTRY}(?:[ .-]?\([0-9]{{1,4}}\))?(?:[ .-][0-9]{{1,8}}){{1,6}}|\+{COUNTRY}[0-9]{{7,12}}|0[1-9][0-9]{{1,3}}/[0-9]{{5,8}}"
 PAIRS = r"0[1-9](?: [0-9]{2}){4}|0[1-9](?:\.[0-9]{2}){4}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
 IBAN = r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"[\p{L}\p{M}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 #: Candidates start where no letter, digit or joined punctuation comes before, and end where no more of it follows.
-PATTERN = rf"(?<![A-Za-z0-9._%+@-]){EMAIL}|(?<![A-Za-z0-9]|[0-9][.-])(?:{IBAN}|{CARD}|{PHONE}|{IP}|{DATE}|{SSN}|{PAIRS}|{ABROAD})(?![A-Za-z0-9]|[.-][0-9])"
+WORD = r"\p{L}\p{M}\p{N}"
+PATTERN = rf"(?<![{WORD}._%+@-]){EMAIL}|(?<![{WORD}]|[0-9][.-])(?:{IBAN}|{CARD}|{PHONE}|{IP}|{DATE}|{SSN}|{PAIRS}|{ABROAD})(?![{WORD}]|[.-][0-9])"
 FIRST_DAY, DAYS, DAY_WIDTH = "1900-01-01", 73_049, 271  # to 2099-12-31; 270 * 271 covers them
 
 
@@ -171,7 +177,7 @@ def _ssn(m: str, key: str) -> str:
 
 
 def _phone(m: str, key: str) -> str:
-    """Numbers of an area, an exchange and a line; others keep what stands before their first blank, point or hyphen."""
+    """Numbers of an area, an exchange and a line; others keep their country code, or what stands before their first separator."""
     valid = lambda d: f"{d} RLIKE '^[2-9][0-9]{{2}}[2-9]'"
     again = lambda d: permuted_digits(d, key, "phone")
 
@@ -180,7 +186,7 @@ def _phone(m: str, key: str) -> str:
         return f"if({valid(own)}, {in_shape(m, f'concat(left({d}, length({d}) - 10), {_walked(again(own), again, valid)})')}, NULL)"
 
     def far(d: str) -> str:
-        code = _digits(f"regexp_extract({m}, '^[+]?[0-9]+', 0)")
+        code = _digits(f"regexp_extract({m}, {_quoted(f'^(?:[+]{COUNTRY}(?=[0-9]+$)|[+]?[0-9]+)')}, 0)")
         return f"if(length({d}) BETWEEN 8 AND 15, {_let(code, lambda c: in_shape(m, f'concat({c}, {permuted_digits(f"substr({d}, length({c}) + 1)", key, "phone abroad", c)})'))}, NULL)"
 
     return _let(_digits(m), lambda d: f"if({m} RLIKE {_quoted(f'^(?:{PHONE})$')}, {near(d)}, {far(d)})")

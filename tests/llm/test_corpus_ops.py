@@ -542,3 +542,20 @@ def test_pipeline_edges(spark, tmp_path):
         assert len(ids) == docs.count() and (name == "none") == (not ids)
         assert not {1, 3} & set(ids)  # of equal texts the largest id stays
         assert ids.count(7) in (0, 2)
+
+
+@pytest.mark.parametrize(
+    ("text", "shape", "found"),
+    [
+        ("jörg@web.de", r"[a-z]ö[a-z]{2}@[a-z]{3}\.[a-z]{2}\.invalid", 1),
+        ("müller.é9@x.org", r"[a-z]ü[a-z]{4}\.é[0-9]@[a-z]\.[a-z]{3}\.invalid", 1),
+        ("0171/1234567", r"0171/[0-9]{7}", 1),
+        ("+4930123456789", r"\+49[0-9]{11}", 1),
+        ("+14155552671", r"\+1[0-9]{10}", 1),
+        ("score +10 20 30 40", r"score \+10 20 30 40", 0),
+        ("é4111111111111111", "é4111111111111111", 0),
+    ],
+)
+def test_pii_in_other_letters_and_forms(spark, text, shape, found):
+    got = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), key="k").first()
+    assert re.fullmatch(shape, got.text) and got.n_found == found and (got.text != text) == bool(found)
