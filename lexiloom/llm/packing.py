@@ -21,12 +21,15 @@ gives an empty result; columns other than the id and the text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,19 +37,29 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import prepare, spread, text_of, written
 
 CAPACITY, END = 4096, 1
-#: Runs without white space that a task remembers the ids of, and the longest of them in bytes.
-CACHE_RUNS, CACHE_BYTES = 250_000, 64
+#: Runs without white space, and pre-tokens, that a task remembers the ids of, and the longest of them.
+CACHE_RUNS, CACHE_BYTES = 600_000, 64
 #: Characters of texts that are encoded together; a longer text goes by itself.
 CHUNK = 1 << 20
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which is asked once for a run of bytes without ASCII white space.
+    """Ids of texts by the tokenizers library, which is asked once for a pre-token.
 
     The vocabulary's pre-tokens, and its special tokens, never hold white space, and its normalisation never joins over
-    it, so a text's ids are those of its runs one after another (tested against whole texts).
+    it, so a text's ids are those of its runs without ASCII white space, one after another.  A run of PLAIN characters is
+    lower-cased and cut into PRETOKENS as the vocabulary does, and the library's model merges those that are new.  Other
+    runs, and those that may hold a special token, go through the whole of the library (both tested on whole texts).
     """
 
+    #: The vocabulary's pre-tokens, and characters that its normalisation only lower-cases, one by one.
+    PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u017e]+")
+    SPECIAL = "<|"
+    #: The model's character for a byte: itself if it is printed, else one of those from 256 on, in order.
+    PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    BYTES = {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - PRINTED))}
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -57,38 +70,59 @@ class Encoder:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.words: dict[str, bytes] = {}
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
+    def _cut(self, run: str) -> Sequence[str] | None:
+        """The pre-tokens of a run, None if it is the library's to cut."""
+        if run.isascii() and run.isalpha():
+            return (run.lower(),)
+        return self.PRETOKENS.findall(run.lower()) if self.PLAIN.fullmatch(run) and self.SPECIAL not in run else None
+
+    def _found(self, runs: list[str]) -> list[bytes]:
+        """The ids of runs, as little-endian unsigned 32-bit integers."""
+        cut, known, merged = list(map(self._cut, runs)), self.words, self.tokenizer.model.tokenize
+        for w in {w for c in cut if c for w in c if w not in known}:
+            tokens = merged(w if w.isascii() else w.encode().decode("latin-1").translate(self.BYTES))
+            known[w] = pack_ids(f"<{len(tokens)}I", *[t.id for t in tokens])
+        whole = [r for r, c in zip(runs, cut, strict=True) if c is None]
+        others = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
+        return [np.array(next(others).ids, dtype="<u4").tobytes() if c is None else known[c[0]] if len(c) == 1 else b"".join(map(known.__getitem__, c)) for c in cut]
+
     def _learn(self, runs: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        while self.used + sizes.sum() > len(self.flat):
+        found = self._found([r.decode() for r in runs])
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.starts = np.concatenate((self.starts, self.used + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
-        self.flat[self.used : self.used + sizes.sum()] = [i for ids in found for i in ids]
-        self.used += int(sizes.sum())
+        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(found), dtype="<u4")
+        self.used += total
         self.number |= zip(runs, range(len(self.sizes) - len(runs), len(self.sizes)), strict=True)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts, how many each has)."""
-        if len(self.sizes) > CACHE_RUNS:
+        if len(self.sizes) > CACHE_RUNS or len(self.words) > CACHE_RUNS:
             self.clear()
         split = [t.encode().split() for t in texts]
-        fresh = list({r for runs in split for r in runs} - self.number.keys())
+        known = self.number
+        fresh = [r for r in set(chain.from_iterable(split)) if r not in known]
         if fresh:
             self._learn(fresh)
-        get = self.number.__getitem__
-        at = np.fromiter((get(r) for runs in split for r in runs), dtype=np.int64)
+        last = np.cumsum(np.fromiter(map(len, split), dtype=np.int64, count=len(split)))
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(last[-1]) if len(last) else 0)
         n = self.sizes[at]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(n.sum())]
-        last = np.cumsum(np.fromiter(map(len, split), dtype=np.int64, count=len(split)))
         total = np.concatenate(([0], ends))[last]
         for r in fresh:
             if len(r) > CACHE_BYTES:  # rarely comes again
-                del self.number[r]
+                del known[r]
+                for w in self._cut(r.decode()) or ():
+                    if len(w) > CACHE_BYTES:
+                        self.words.pop(w, None)
         return ids, np.diff(total, prepend=0)
 
 

@@ -53,6 +53,9 @@ def test_runs_have_the_ids_of_whole_texts(spark, tokenizer):
     texts = [*ODD, *(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect())]
     r = random.Random(2)
     texts += ["".join(r.choice(" \n\t.,'aAbZé1_-́Σß") for _ in range(r.randint(0, 60))) for _ in range(400)]
+    # Contractions, special tokens, letters that lower-casing makes longer, separators and fractions.
+    texts += ["".join(r.choice("ab'stdSLlMm.,-<|>1²½ªé Éİŉſž\x00\x1c\x7f\x85\xa0ćß") for _ in range(40)) for _ in range(1000)]
+    texts += ["it's IT'S we'll <|startoftext|>x a<|endoftext|>b", "'S''s 'LL!'ll don't", "日本語 ｶﾞ"]
     encode = packing.Encoder(Q.tokenizer_path("word_bpe_49k.json"))
     for _ in range(2):  # learnt, then remembered
         ids, n = encode(texts)
