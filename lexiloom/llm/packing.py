@@ -76,9 +76,14 @@ class Encoder:
 
     def _cut(self, run: str) -> Sequence[str] | None:
         """The pre-tokens of a run, None if it is the library's to cut."""
-        if run.isascii() and run.isalpha():
-            return (run.lower(),)
-        return self.PRETOKENS.findall(run.lower()) if self.PLAIN.fullmatch(run) and self.SPECIAL not in run else None
+        plain = run.isprintable() if run.isascii() else self.PLAIN.fullmatch(run)
+        if not plain or self.SPECIAL in run:
+            return None
+        word = run.lower()
+        if word.isalpha():
+            return (word,)
+        # A word with one mark or digit behind it is most of the rest.
+        return (word[:-1], word[-1]) if word[:-1].isalpha() and not word[-1].isalpha() else self.PRETOKENS.findall(word)
 
     def _found(self, runs: list[str]) -> list[bytes]:
         """The ids of runs, as little-endian unsigned 32-bit integers."""
