@@ -40,6 +40,8 @@ MOST_SHARDS = 20
 WIDE, MIN_BANDS, MIN_ROWS = 4, 20, 4
 #: (query, node) pairs looked at together.
 FRONTIER = 1 << 20
+#: Pairs with one set that a salt of it gets.
+PAIRS_OF_SALT = 1024
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
@@ -151,39 +153,9 @@ def least_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def confirmed_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """``label`` after those of the pairs are linked whose sets have the Jaccard similarity; linked rows are not compared."""
-    a, b = np.maximum(a, b), np.minimum(a, b)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    size = np.array([len(x) for x in sets])
-    least, most = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-    maybe = least >= similarity * most
-    a, b = a[maybe], b[maybe]
-    while True:
-        differ = label[a] != label[b]
-        a, b = a[differ], b[differ]
-        if not len(a):
-            return label
-        first = np.concatenate(([True], a[1:] != a[:-1]))
-        linked = []
-        for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True):
-            x, y = sets[i], sets[j]
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
-            linked.append(both >= similarity * (len(x) + len(y) - both))
-        linked = np.array(linked)
-        label = least_labels(label, a[first][linked], b[first][linked])
-        a, b = a[~first], b[~first]
-
-
-def _stars(group: np.ndarray, fp: np.ndarray, node_id: np.ndarray, role: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, similarity: float = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, smallest id linked to it in its group, group) of the rows that are not the smallest; ``sets`` confirm each link."""
+def _stars(group: np.ndarray, fp: np.ndarray, node_id: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, smallest id linked to it in its group, group) of the rows that are not the smallest."""
     order = np.lexsort((node_id, group))
-    if sets is None:
-        link = least_labels
-    else:
-        sets = [sets[i] for i in order.tolist()]
-        link = lambda label, a, b: confirmed_labels(label, a, b, sets, similarity)
     group, fp, node_id, role = group[order], fp[order], node_id[order], role[order]
     label = np.arange(len(group))
     tree = np.flatnonzero(role != 1)
@@ -200,11 +172,11 @@ def _stars(group: np.ndarray, fp: np.ndarray, node_id: np.ndarray, role: np.ndar
     for end in np.maximum(cut, 1).tolist():
         if end > start:
             row, node = forest.within(fp[query[start:end]], forest.roots[at[start:end]], radius)
-            label = link(label, query[start:end][row], tree[node])
+            label = least_labels(label, query[start:end][row], tree[node])
             start = end
     if start < len(query):
         row, node = forest.within(fp[query[start:]], forest.roots[at[start:]], radius)
-        label = link(label, query[start:][row], tree[node])
+        label = least_labels(label, query[start:][row], tree[node])
     moved = np.flatnonzero(label != np.arange(len(label)))
     return node_id[moved], node_id[label[moved]], group[moved]
 
@@ -219,25 +191,23 @@ def bands(radius: int) -> Column:
     return F.array(*[part(i, lo, hi) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))])
 
 
-def _searched(rows: DataFrame, words: tuple[str, ...], text: tuple[str, ...], radius: int, shingle: int, similarity: float) -> DataFrame:
+def _searched(rows: DataFrame, words: tuple[str, ...], radius: int) -> DataFrame:
     """Stars (shard, ``a``, ``b``), b < a, of the links in each group (shard, i, j) of ``rows``.
 
     A group's rows of role 0 make its tree, those of role 1 ask it, and those of role 2 do both.
     """
-    dealt = rows.select("shard", "i", "j", "low", "role", *words, *text).repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
+    dealt = rows.select("shard", "i", "j", "low", "role", *words).repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def flush(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
             shard, i, j, low, role, *fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-            texts = fp.pop() if text else None
             fp = np.stack(fp, axis=1).view(np.uint64)
             new = np.concatenate(([True], (shard[1:] != shard[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
             group = np.cumsum(new) - 1
             more = np.bincount(group)[group] > 1
-            sets = None if texts is None else [np.unique(shingle_hashes(t, shingle)) for t in texts[more]]
-            a, b, of = _stars(group[more], fp[more], low[more], role[more], radius, sets, similarity)
+            a, b, of = _stars(group[more], fp[more], low[more], role[more], radius)
             return pa.RecordBatch.from_arrays([pa.array(shard[new][of]), pa.array(a), pa.array(b)], names=["shard", "a", "b"])
 
         for batch in batches:
@@ -260,11 +230,9 @@ def _searched(rows: DataFrame, words: tuple[str, ...], text: tuple[str, ...], ra
     return dealt.mapInArrow(run, "shard long, a long, b long")
 
 
-def links(nodes: DataFrame, total: int, radius: int = 2, shard_rows: int = SHARD_ROWS, words: tuple[str, ...] = ("fp",), shards: Column | None = None, text: tuple[str, ...] = (), shingle: int = 5, similarity: float = 0) -> DataFrame:
+def links(nodes: DataFrame, total: int, radius: int = 2, shard_rows: int = SHARD_ROWS, words: tuple[str, ...] = ("fp",), shards: Column | None = None) -> DataFrame:
     """Stars (``a``, ``b``), b < a, that join all nodes with a link inside a shard.
 
-    With the name of a ``text`` column only pairs of that exact ``similarity`` in their word shingles are links.
-
     ``nodes`` has an id ``low`` and the ``words`` of a fingerprint; ``shards`` is an array of each node's shards, the
     bands of its only word by default.
 
@@ -273,16 +241,16 @@ def links(nodes: DataFrame, total: int, radius: int = 2, shard_rows: int = SHARD
     slice of the shard asks each of them, so no link is lost and near copies are not compared among themselves.
     """
     shards = bands(radius) if shards is None else shards
-    rows = nodes.select(*words, *text, "low", F.explode(shards).alias("shard"))
+    rows = nodes.select(*words, "low", F.explode(shards).alias("shard"))
     limit = max(shard_rows, -(-MOST_SHARDS * total // MAX_HOT))
     hot = written(rows.groupBy("shard").count().filter(F.col("count") > limit).select("shard", F.ceil(F.col("count") / limit).cast("long").alias("k")), "hot")
-    searched = lambda some: _searched(some, words, text, radius, shingle, similarity)
+    searched = lambda some: _searched(some, words, radius)
     placed = lambda some, i, j, role: some.withColumns({"i": F.lit(i) if isinstance(i, int) else i, "j": F.lit(j) if isinstance(j, int) else j, "role": F.lit(role)})
     found = searched(placed(rows.join(F.broadcast(hot), "shard", "left_anti"), 0, 0, 2)).select("a", "b")
     if hot.isEmpty():
         return found.distinct()
     large = written(rows.join(F.broadcast(hot), "shard").withColumn("s", F.pmod(F.xxhash64("low"), F.col("k")).cast("int")), "large")
-    node = F.struct("low", *words, *text)
+    node = F.struct("low", *words)
     pivot = written(large.groupBy("shard").agg(F.min_by(node, "low").alias("p"), F.first("k").alias("k")).select("shard", "k", "p.*"), "pivots")
     slices = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
     asked = placed(pivot.withColumn("s", slices("k")), F.col("s"), 0, 0)
@@ -393,12 +361,98 @@ def candidate_radius(similarity: float, bits: int = 64 * WIDE) -> int:
     return math.ceil(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
 
 
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """node, low, ``n`` and the sorted distinct shingle hashes ``hs`` of each row (node, low, root, text).
+
+    The hashes are mixed with the root, so that only texts of one component of candidates have any in common.  A node
+    is 64 bits of the set's digest; sets that agree in them are still told apart by their size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = batch.column(2).to_numpy().astype(np.int64).view(np.uint64)
+            sets = [np.sort(_mixed(np.unique(shingle_hashes(t, words)) ^ _mixed(r, 1), 1)).view(np.int64) for r, t in zip(roots[:, None], batch.column(3).to_pylist(), strict=True)]
+            n = np.array([len(x) for x in sets], dtype=np.int64)
+            flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
+            hs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), hs], names=["node", "low", "n", "hs"])
+
+    return texts.select("node", "low", F.col("root").cast("long"), "text").mapInArrow(run, "node long, low long, n long, hs array<bigint>")
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """Postings (h, node, n, pos): the hashes among the rarest of each set that another set has too.
+
+    Two sets of the Jaccard similarity have a hash in common among the first n - ceil(similarity n) + 1 of each, in any
+    order that is the same for both.  Here the rarest come first, so what thousands of texts share is not among them,
+    unless a text has little else.  Hashes of a single set come before all others and need no row.
+    """
+    tokens = sets.select("node", "n", F.explode("hs").alias("h"))
+    counts = written(tokens.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "counts")
+    total = sets.agg(F.sum("n")).first()[0]
+    common = join_by_key(tokens, counts, ["h"], "c", total or 0)
+    ranked = common.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
+    own = F.col("n") - F.size("s")
+    lead = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - own
+    first = ranked.withColumn("own", own).withColumn("s", F.slice("s", F.lit(1), F.greatest(lead, F.lit(0)).cast("int")))
+    return first.select("node", "n", "own", F.posexplode("s").alias("i", "t")).select(F.col("t.h").alias("h"), "node", "n", (F.col("own") + F.col("i")).alias("pos"))
+
+
+def _may_be_similar(n: Column, pos: Column, other_n: Column, other_pos: Column, similarity: float) -> Column:
+    """Whether two sets whose first common hash is at these places can have the similarity, by length and by what is left."""
+    needed = (n + other_n) * (similarity / (1 + similarity)) - 1e-9
+    return (F.least(n, other_n) >= F.greatest(n, other_n) * similarity - 1e-9) & (F.least(n - pos, other_n - other_pos) >= needed)
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sets have the similarity, with the ids ``low_a`` and ``low_b``.
+
+    A node that is in many pairs as ``b`` is salted: each of its salts gets the set once and PAIRS_OF_SALT pairs.
+    """
+    weights = written(pairs.groupBy("b").agg(F.count("*").alias("w")), "weights")
+    total = weights.agg(F.sum("w")).first()[0]
+    salts = F.ceil(F.col("w") / PAIRS_OF_SALT)
+    dealt = join_by_key(pairs, weights, ["b"], "w", total or 0).select("a", "b", F.pmod(F.xxhash64("a"), salts).alias("salt"))
+    one = dealt.join(sets.select(F.col("node").alias("a"), F.col("low").alias("low_a"), F.col("n").alias("n_a"), F.col("hs").alias("hs_a")), "a")
+    other = sets.join(weights.withColumnRenamed("b", "node"), "node").select(F.col("node").alias("b"), F.col("low").alias("low_b"), F.col("n").alias("n_b"), F.col("hs").alias("hs_b"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    both = F.size(F.array_intersect("hs_a", "hs_b"))
+    met = one.join(other, ["b", "salt"]).select("a", "b", "low_a", "low_b", both.alias("both"), (F.col("n_a") + F.col("n_b")).alias("sum"))
+    return met.filter(F.col("both") >= F.lit(similarity) * (F.col("sum") - F.col("both"))).select("a", "b", "low_a", "low_b")
+
+
+def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of ids (``a``, ``b``) of a Jaccard similarity or more that join all sets which such pairs join.
+
+    First each set meets one pivot, the smallest node that may be similar among those it shares a posting with; that
+    joins near copies.  Of each posting with several components then only the rows outside its pivot's component meet
+    the others, and only those of other components.  So a group of near copies costs a pair a row, not its square.
+    """
+    postings = written(prefixes(sets, similarity), "postings")
+    pivots = written(postings.groupBy("h").agg(F.min(F.struct("node", "n", "pos")).alias("p"), F.count("*").alias("g")).filter("g > 1"), "pivots")
+    total = postings.count()
+    asked = join_by_key(postings, pivots, ["h"], "g", total).filter(F.col("node") > F.col("p.node"))
+    asked = asked.filter(_may_be_similar(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), similarity))
+    first = written(asked.groupBy(F.col("node").alias("a")).agg(F.min("p.node").alias("b")), "pairs")
+    near = written(similar_pairs(first, sets, similarity), "near")
+    labels = least_of_component(near.select("a", "b")).select(F.col("a").alias("node"), "root")
+    labelled = written(postings.join(labels, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("label")), "labelled")
+    mixed = labelled.groupBy("h").agg(F.min_by("label", "node").alias("pl"), F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("g")).filter("least <> most")
+    rest = written(join_by_key(labelled, written(mixed.select("h", "pl", "g"), "mixed"), ["h"], "g", total).drop("g"), "rest")
+    x, y = rest.filter("label <> pl").alias("x"), rest.alias("y")
+    c = F.col
+    differ = (c("x.h") == c("y.h")) & (c("x.label") != c("y.label")) & ((c("y.label") == c("y.pl")) | (c("x.node") > c("y.node")))
+    met = x.join(y, differ & _may_be_similar(c("x.n"), c("x.pos"), c("y.n"), c("y.pos"), similarity))
+    second = written(met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct(), "pairs")
+    found = similar_pairs(second, sets, similarity)
+    return near.unionByName(found).select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = 4 * SHARD_ROWS) -> DataFrame:
     """id and ``component_id`` of every row, linking texts of a Jaccard ``similarity`` or more in their distinct word shingles.
 
     At 0.8 fingerprints lie too far apart for bands of their bits.  Here the shards are MinHash bands, of which texts
-    that similar share one but for 3 in 100,000, and the BK-tree of a shard finds candidates by wide fingerprints.  The
-    texts of each component of candidates then meet, and those pairs are linked whose shingles have the similarity.
+    that similar share one but for 3 in 100,000, and the BK-tree of a shard finds candidates by wide fingerprints.  Within
+    each component of candidates an exact join on the rarest shingles (``similar_links``) links those of the similarity.
     Nulls, empty texts and repeated ids are as in ``near_duplicates``.
     """
     prepare(docs.sparkSession)
@@ -423,9 +477,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     near = written(near.unionByName(near.select(F.col("root").alias("a"), "root").distinct()), "candidates")
     # A row of each node; the texts of candidates only.
     chosen = nodes.select("mark", F.col("low").alias("a")).join(near, "a").hint("shuffle_hash")
-    texts = sketches.withColumnRenamed(id_col, "a").join(chosen, ["mark", "a"]).select(F.col("a").alias("low"), "root", *names, "text")
-    texts = written(texts, "texts")
-    found = links(texts, total or 0, radius, max(1, shard_rows // 8), tuple(names), F.array(F.col("root").cast("long")), ("text",), words, similarity)
+    texts = sketches.select("mark", F.col(id_col).alias("a"), "text").join(chosen, ["mark", "a"]).dropDuplicates(["mark", "a"])
+    sets = written(shingle_sets(texts.select(F.xxhash64("mark").alias("node"), F.col("a").alias("low"), "root", "text"), words), "sets")
+    found = similar_links(sets, similarity)
     roots = least_of_component(found.unionByName(links_of_ids(sketches.select(F.col(id_col).alias("low"), "mark"), nodes, "mark", rows or 0)))
     named = nodes.join(roots.withColumnRenamed("a", "low"), "low", "left").select("mark", "n", F.coalesce("root", "low").alias("component_id"))
     return join_by_key(sketches.select(id_col, "mark"), named, ["mark"], "n", rows or 0).select(id_col, "component_id")

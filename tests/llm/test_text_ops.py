@@ -462,3 +462,24 @@ def test_similar_documents_by_exact_similarity(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for shard_rows in (1024, 3):
         assert {x.doc_id: x.component_id for x in simhash.similar_documents(df, shard_rows=shard_rows).collect()} == want
+
+
+def test_similar_documents_with_boilerplate(spark):
+    """Texts that share three quarters of their words, some of them copies with an edit: only those are linked."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    shared = [word() for _ in range(150)]
+    texts = {}
+    for k in range(300):
+        own = [word() for _ in range(50)]
+        texts[k] = " ".join(shared[:75] + own + shared[75:])
+        if k % 10 == 0:
+            texts[1000 + k] = " ".join(shared[:75] + own[:-1] + [word()] + shared[75:])
+    for k in range(40):  # a group of near copies around one text
+        edited = texts[7].split()
+        edited[r.randrange(200)] = word()
+        texts[2000 + k] = " ".join(edited)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = similar_components(texts)
+    assert {x.doc_id: x.component_id for x in simhash.similar_documents(df).collect()} == want
+    assert len(set(want.values())) == 300
