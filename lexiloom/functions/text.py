@@ -22,20 +22,11 @@ def normalize(line: Column) -> Column:
 def chains(norm: str, window: int = WINDOW) -> Column:
     """Array of the chains of column ``norm``, a normalised line: from each word start, ``window`` characters.
 
-    A word of ``window`` or more characters starts anew after every ``window`` of them.  A chain is cut from its word
-    and the few words after it that can lie in the window, so the work grows with the line, not with its square.
+    A word of ``window`` or more characters starts anew after every ``window`` of them.  A match goes from one start to
+    the next and looks ahead for its chain, so the work grows with the line, not with its square.
     """
-    words = f"split(rtrim({norm}), ' ')"
-    near = f"concat(array_join(slice(w, i + 1, {window // 2 + 1}), ' '), ' ')"
-    # The column is named once: where Catalyst puts its expression in its place, it is still computed once.
-    one = f"if(x = '', cast(array() AS array<string>), if(length(x) < {window}, array(left({near}, {window})), transform(sequence(0, length(x) - 1, {window}), o -> substr({near}, o + 1, {window}))))"
-    return F.expr(f"element_at(transform(array({words}), w -> flatten(transform(w, (x, i) -> {one}))), 1)")
-
-
-def word_prefixes(text: str) -> Column:
-    """Array of the prefixes of column ``text`` that end in a space."""
-    spaces = f"length({text}) - length(replace({text}, ' ', ''))"
-    return F.expr(f"if(contains({text}, ' '), transform(sequence(1, {spaces}), k -> concat(substring_index({text}, ' ', k), ' ')), cast(array() AS array<string>))")
+    most = f"[^ ]{{1,{window - 1}}} |" if window > 1 else ""
+    return F.expr(f"regexp_extract_all({norm}, '(?=(.{{1,{window}}}))(?:{most}[^ ]{{{window}}} ?)', 1)")
 
 
 def char_prefixes(text: str, most: int | None = None) -> Column:

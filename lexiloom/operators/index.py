@@ -6,11 +6,15 @@ cutoff keeps exactly the prefixes with a count of at least the cutoff, and their
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom import session
 from lexiloom.functions import text as T
 
 
@@ -20,21 +24,117 @@ def checked_cutoff(cutoff: int) -> int:
     return cutoff
 
 
+def chain_rows(lines: DataFrame, line_col: str = "line", weight: Column | None = None, window: int = T.WINDOW, *keep: str) -> DataFrame:
+    """chain and n, its weight, of every chain of the lines, with the columns ``keep``; equal chains are not added up."""
+    rows = lines.select(*keep, T.normalize(F.col(line_col)).alias("norm"), (F.lit(1) if weight is None else weight).cast("long").alias("n"))
+    return rows.select(*keep, F.explode(T.chains("norm", window)).alias("chain"), "n")
+
+
+def added(rows: DataFrame) -> DataFrame:
+    """chain and n, the sum over the rows of every chain.
+
+    Nearly all chains of a corpus are different, so they go to their partitions as they are; those are many enough to add up in memory.
+    """
+    return rows.repartition(session.parts(rows), "chain").groupBy("chain").agg(F.sum("n").alias("n"))
+
+
 def chain_counts(lines: DataFrame, line_col: str = "line", weight: Column | None = None, window: int = T.WINDOW) -> DataFrame:
     """chain and n, the weighted count of every chain of the lines."""
-    rows = lines.select(T.normalize(F.col(line_col)).alias("norm"), (F.lit(1) if weight is None else weight).cast("long").alias("w"))
-    return rows.select(F.explode(T.chains("norm", window)).alias("chain"), "w").groupBy("chain").agg(F.sum("w").alias("n"))
+    return added(chain_rows(lines, line_col, weight, window))
+
+
+def _flat_texts(rows: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The first ``sizes`` bytes of rows of bytes as texts."""
+    flat = rows[np.arange(rows.shape[1]) < sizes[:, None]]
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
+
+
+def _sorted_runs(batches: Iterator[pa.RecordBatch], cutoff: int) -> Iterator[pa.RecordBatch]:
+    """g, text and c of the word-complete prefixes of rows (g, t, n) that are sorted by g and t.
+
+    Rows with a prefix in common follow one another, so a prefix's count is the sum over a run, which may go on in the
+    next batch.  Prefixes of more than one word go where they count less than the cutoff.
+    """
+    row, group, going = np.zeros(0, dtype=np.uint8), None, np.zeros(0, dtype=bool)
+    open_c = np.zeros(0, dtype=np.int64)
+    blank = 0x20
+
+    def kept(texts: np.ndarray, ends: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (c >= cutoff) | (np.argmax(texts == blank, axis=1) == ends)
+
+    def ended(at: np.ndarray) -> pa.RecordBatch:
+        """The runs of the last row that end with it, by the places of their spaces."""
+        texts = np.repeat(row[None], len(at), axis=0)
+        some = kept(texts, at, open_c[at]) if len(at) else np.zeros(0, dtype=bool)
+        return pa.RecordBatch.from_arrays([pa.array([group] * int(some.sum()), type=pa.string()), _flat_texts(texts[some], at[some] + 1), pa.array(open_c[at][some])], names=["g", "text", "c"])
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        g, t = batch.column(0), batch.column(1).cast(pa.large_binary())
+        offsets = np.frombuffer(t.buffers()[1], dtype=np.int64)[t.offset : t.offset + n + 1]
+        data = np.frombuffer(t.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+        sizes = np.diff(offsets)
+        width = max(int(sizes.max()), len(row))
+        # 255 is in no text.
+        rows = np.full((n + 1, width), 255, dtype=np.uint8)
+        rows[0, : len(row)] = row
+        rows[1:][np.arange(width) < sizes[:, None]] = data
+        same = rows[1:] == rows[:-1]
+        shared = np.where(same.all(axis=1), width, same.argmin(axis=1))
+        code = g.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        shared[1:][code[1:] != code[:-1]] = 0
+        if g[0].as_py() != group:
+            shared[0] = 0
+        rows = rows[1:]
+        spaces = rows == blank
+        going = np.concatenate((going, np.zeros(width - len(going), dtype=bool)))
+        goes_on = going & spaces[0] & (shared[0] > np.arange(width))
+        yield ended(np.flatnonzero(going & ~goes_on))
+
+        col, at = np.nonzero(spaces.T)
+        first = np.flatnonzero((shared[at] <= col) | np.concatenate(([True], col[1:] != col[:-1])) if len(col) else np.zeros(0, dtype=bool))
+        counts = batch.column(2).fill_null(0).to_numpy()
+        c = np.add.reduceat(counts[at], first) if len(first) else np.zeros(0, dtype=np.int64)
+        col, at, last = col[first], at[first], at[np.concatenate((first[1:], [len(at)])) - 1] if len(first) else at
+        old = (at == 0) & goes_on[col]
+        c[old] += open_c[col[old]]
+        stays = last == n - 1
+        row, group = rows[-1], g[n - 1].as_py()
+        going, open_c = np.zeros(width, dtype=bool), np.zeros(width, dtype=np.int64)
+        going[col[stays]], open_c[col[stays]] = True, c[stays]
+        col, at, c = col[~stays], at[~stays], c[~stays]
+        some = kept(rows[at], col, c) if len(at) else np.zeros(0, dtype=bool)
+        yield pa.RecordBatch.from_arrays([g.take(pa.array(at[some])), _flat_texts(rows[at[some]], col[some] + 1), pa.array(c[some])], names=["g", "text", "c"])
+        row = row[row != 255]
+        going, open_c = going[: len(row)], open_c[: len(row)]
+    if len(row):
+        yield ended(np.flatnonzero(going))
+
+
+def _rolled_up(rows: DataFrame, cutoff: int) -> DataFrame:
+    """g, text and c of the word-complete prefixes of rows (g, t, n) that occur ``cutoff`` times or more in a group g.
+
+    The rows are shuffled once, to where their first two words are counted, and sorted there.  Of the prefixes of two words
+    or more only the frequent ones go on; first words, which are few, meet those of other partitions.
+    """
+    session.attach(rows.sparkSession)
+    rows = rows.filter(F.contains("t", F.lit(" "))).select(F.col("g").cast("string").alias("g"), "t", "n")
+    met = rows.repartition(session.parts(rows), "g", F.substring_index("t", " ", 2)).sortWithinPartitions("g", "t")
+    runs = met.mapInArrow(lambda batches: _sorted_runs(batches, cutoff), "g string, text string, c long")
+    return runs.groupBy("g", "text").agg(F.sum("c").alias("c")).filter(F.col("c") >= cutoff)
 
 
 def prefix_counts(counted: DataFrame, cutoff: int = 1, text_col: str = "chain", n_col: str = "n") -> DataFrame:
     """text and c of the word-complete prefixes that occur ``cutoff`` times or more.
 
     Counts never rise with a prefix's length, so the cutoff needs no back-off: what a longer phrase loses stays in its
-    parent's count anyway.  Texts without a space have no such prefix and go.
+    parent's count anyway.  Texts without a space have no such prefix and go.  Rows of equal texts add up.
     """
     checked_cutoff(cutoff)
-    rows = counted.select(F.col(text_col).alias("t"), F.col(n_col).alias("n")).select(F.explode(T.word_prefixes("t")).alias("text"), "n")
-    return rows.groupBy("text").agg(F.sum("n").alias("c")).filter(F.col("c") >= cutoff)
+    return _rolled_up(counted.select(F.lit("").alias("g"), F.col(text_col).alias("t"), F.col(n_col).cast("long").alias("n")), cutoff).drop("g")
 
 
 def parent(text: Column) -> Column:
@@ -69,8 +169,8 @@ def merge_two_stage(counted: DataFrame, group_col: str, first: int = 2, second:
     """Prefix counts pruned at ``first`` inside each group, added up over the groups and pruned at ``second``."""
     checked_cutoff(first)
     checked_cutoff(second)
-    rows = counted.select(F.col(group_col).alias("g"), F.col(text_col).alias("t"), F.col(n_col).alias("n")).select("g", F.explode(T.word_prefixes("t")).alias("text"), "n")
-    grouped = rows.groupBy("g", "text").agg(F.sum("n").alias("c")).filter(F.col("c") >= first)
+    rows = counted.select(F.col(group_col).alias("g"), F.col(text_col).alias("t"), F.col(n_col).cast("long").alias("n"))
+    grouped = _rolled_up(rows, first)
     return grouped.groupBy("text").agg(F.sum("c").alias("c")).filter(F.col("c") >= second)
 
 
@@ -91,7 +191,7 @@ def indexed(prefixes: DataFrame) -> DataFrame:
 
 def build_index(lines: DataFrame, cutoff: int = 5, line_col: str = "line", weight: Column | None = None) -> DataFrame:
     """The index of a corpus of lines."""
-    return indexed(prefix_counts(chain_counts(lines, line_col, weight), cutoff))
+    return indexed(prefix_counts(chain_rows(lines, line_col, weight), cutoff))
 
 
 def dump(prefixes: DataFrame) -> DataFrame:

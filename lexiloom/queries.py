@@ -28,7 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    return R.lines_of(session.spread(_table(spark, sf_dir, "documents")), "text", *keep)
+    return R.lines_of(session.dealt(_table(spark, sf_dir, "documents")), "text", *keep)
 
 
 def _stamp(spark: SparkSession, path: str) -> str:
@@ -144,7 +144,7 @@ def chain_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prefix_counts(spark: SparkSession, d: str) -> DataFrame:
-    return I.prefix_counts(I.chain_counts(_lines(spark, d)), CUTOFF)
+    return I.prefix_counts(I.chain_rows(_lines(spark, d)), CUTOFF)
 
 
 def prune_terminals(spark: SparkSession, d: str) -> DataFrame:
@@ -160,20 +160,19 @@ def corpus_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_shards(spark: SparkSession, d: str) -> DataFrame:
-    shards = [I.chain_counts(R.lines_of(session.spread(_table(spark, d, t)))) for t in ("documents", "benchmark", "conversations")]
+    shards = [I.chain_rows(R.lines_of(session.dealt(_table(spark, d, t)))) for t in ("documents", "benchmark", "conversations")]
     return I.merge(shards, CUTOFF)
 
 
 def merge_two_stage(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lines(spark, d, "source").select(F.coalesce("source", F.lit("")).alias("g"), T.normalize(F.col("line")).alias("norm"))
-    counted = rows.select("g", F.explode(T.chains("norm")).alias("chain")).groupBy("g", "chain").agg(F.count("*").alias("n"))
-    return I.merge_two_stage(counted, "g", 2, CUTOFF)
+    lines = _lines(spark, d, "source").select(F.coalesce("source", F.lit("")).alias("g"), "line")
+    return I.merge_two_stage(I.chain_rows(lines, "line", None, T.WINDOW, "g"), "g", 2, CUTOFF)
 
 
 def title_boost(spark: SparkSession, d: str) -> DataFrame:
-    docs = session.spread(_table(spark, d, "documents")).select(F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+    docs = session.dealt(_table(spark, d, "documents")).select(F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
     weight = F.when(F.col("i") == 0, R.TITLE_WEIGHT).otherwise(1)
-    return I.prefix_counts(I.chain_counts(docs, weight=weight), 20)
+    return I.prefix_counts(I.chain_rows(docs, weight=weight), 20)
 
 
 def _framed(spark: SparkSession, d: str) -> DataFrame:

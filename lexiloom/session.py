@@ -38,13 +38,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Bytes that a core should have at least before a table is dealt anew.
 SMALL = 4 << 20
+#: Bytes of texts in one task: the chains of a text take some twenty times its place in a file, and should stay in memory.
+LARGE = 16 << 20
+#: Bytes of chains in one partition of a shuffle, for the same reason, and most partitions.
+PART, MOST_PARTS = 2 << 20, 4096
+
+
+def _size(df: DataFrame) -> int:
+    """Bytes of a table as Catalyst estimates them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where it is so small that few tasks would read it; otherwise as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL else df
+    return df.repartition(cores) if _size(df) < cores * SMALL else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``spread``, and over more tasks where one would read more than LARGE bytes."""
+    tasks = -(-_size(df) // LARGE)
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks <= MOST_PARTS else spread(df)
+
+
+def parts(df: DataFrame) -> int:
+    """How many partitions a shuffle of chains should have: those of the session, or more for large tables."""
+    spark = df.sparkSession
+    least, size = int(spark.conf.get("spark.sql.shuffle.partitions")), _size(df)
+    # A table of unknown size counts as the largest number there is.
+    return least if size >= int(str(spark._jsparkSession.sessionState().conf().defaultSizeInBytes())) else max(least, min(-(-size // PART), MOST_PARTS))
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,25 @@ def test_readers(spark, tmp_path):
     assert [(r.title, r.text) for r in pages.collect()] == [("A", "hello [[B|c]]")]
     assert sorted((r.line, r.weight) for r in R.articles_to_lines(pages).collect()) == [("A", 10), ("hello B", 1)]
     assert R.read_lines(spark, (tmp_path / "x.txt").as_uri()).count() == 8
+
+
+def test_prefix_runs_go_on_over_batches():
+    texts = sorted(["of the cat ", "of the cat s", "of the dog ", "of thin ", "a b c d", "a b c d", "of", "é of ", "of the cat "])
+    rows = pa.table({"g": ["x"] * len(texts) + ["y"] * len(texts), "t": texts * 2, "n": [2] * (2 * len(texts))})
+    want = Counter()
+    for g, t, n in zip(*rows.to_pydict().values(), strict=True):
+        want.update({(g, t[: i + 1]): n for i, c in enumerate(t) if c == " "})
+    for cutoff in (1, 5):
+        for size in range(1, len(rows) + 1):
+            got = [x for b in I._sorted_runs(iter(rows.to_batches(size)), cutoff) for x in b.to_pylist()]
+            assert len(got) == len({(x["g"], x["text"]) for x in got})
+            assert {(x["g"], x["text"]): x["c"] for x in got} == {k: c for k, c in want.items() if c >= cutoff or k[1].count(" ") == 1}
+
+
+def test_prefixes_are_shuffled_as_chains_and_frequent_prefixes(spark):
+    """Not as every prefix of every chain, of which there are five times as many."""
+    lines = spark.range(2000).selectExpr("concat('w', id % 7, ' x', id, ' y', id, ' z', id, ' w', id, ' end') AS line")
+    plan = I.prefix_counts(I.chain_rows(lines), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "word_prefixes" not in plan and plan.count("explode(") == 1
+    got = {r.text: r.c for r in I.prefix_counts(I.chain_rows(lines), 5).collect()}
+    assert got == {**{f"w{i} ": len(range(i, 2000, 7)) + 1 for i in range(7)}, "end ": 2000}
