@@ -21,7 +21,7 @@ Everything is learned from all training documents.
    words come back to it by a join.
 3. Train.  The attention weights start at random and learn in ``ROUNDS`` from the pieces, of which each belongs to one
    round: every task takes steps of its own from the weights of the round before over all its windows, and the round's
-   weights are the mean over the tasks by windows.  A step learns from every ``SKIP``-th target of its windows, in turn.
+   weights are the mean over the tasks by windows.  A step learns from all targets of its windows.
    Later rounds have more pieces; together they have all.
 4. Score.  Every block by itself.
 
@@ -53,7 +53,7 @@ from lexiloom.llm.ragged import SmallPairTable, merge_lowest
 MERGES, CLASSES, WIDTH, WINDOW, STRIDE = 768, 64, 16, 32, 16
 SHARE, SMOOTH, FOLDS = 0.5, 0.1, 10
 #: Shares of 64 of the pieces that each round learns from; rows and windows of a row in a step; the first round's rate.
-ROUNDS, SEGMENTS, RUN, SKIP, RATE = (2, 2, 4, 8, 16, 32), 64, 8, 2, 0.04
+ROUNDS, SEGMENTS, RUN, RATE = (2, 2, 4, 8, 16, 32), 32, 8, 0.04
 TRAITS, CHUNK = 24, 4096
 BLOCK_BYTES, PIECE_WORDS, POOL = 8 << 20, 100_000, 1_000_000
 END_WORD = "\n"  # no word holds a line feed
@@ -367,7 +367,7 @@ class Descent:
         start = self.rng.permutation(np.arange(0, len(x) - 1, RUN))
         for i in range(0, len(start), SEGMENTS):
             at = start[i : i + SEGMENTS, None] + np.arange(RUN + 1)
-            grad = gradient(self.w, x[at], y[at[:, 1:]], self.pad, slice(self.step % SKIP, None, SKIP))
+            grad = gradient(self.w, x[at], y[at[:, 1:]], self.pad)
             self.step += 1
             self.windows += at[:, 1:].size
             self.mean += 0.1 * (grad - self.mean)

@@ -385,6 +385,23 @@ def test_attention_by_definition(scale):
         assert score[i] == pytest.approx(sum(np.logaddexp(math.log(lm.SHARE) + b, math.log(1 - lm.SHARE) + p) for b, p in zip(want, inside, strict=True)) / math.log(10), rel=1e-3)
 
 
+def test_every_target_is_learned_from(monkeypatch):
+    sub = lm.subwords(public_tokenizers.path("byte_bpe_50k.json"))
+    size, rng = sub.size + 2, np.random.default_rng(4)
+    lengths = np.array([40, 1, 700, 3, 90] * 20)
+    tokens = rng.integers(0, sub.size, lengths.sum())
+    w = lm.initial(np.zeros((size, lm.TRAITS), dtype=np.int64), np.ones((size + 1, size)), np.ones((size, size)), sub)
+    seen, gradient = [], lm.gradient
+
+    def counted(w, x, y, pad, rows=slice(None)):
+        seen.append(y[:, :, rows][y[:, :, rows] >= 0])
+        return gradient(w, x, y, pad, rows)
+
+    monkeypatch.setattr(lm, "gradient", counted)
+    lm.Descent(w, 0.02, sub.pad, 1).feed(*lm.lay_out(tokens, lengths, sub.end, sub.pad))
+    assert np.array_equal(np.sort(np.concatenate(seen)), np.sort(tokens))
+
+
 def test_gradient_by_differences():
     w, sub = _random_weights(5, 0.3)
     r = np.random.default_rng(3)
