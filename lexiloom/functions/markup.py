@@ -35,8 +35,12 @@ REDIRECT = "#redirect"
 OPENINGS = ("<!--", "[[", "{|", "{{")
 OPENED = r"<(?:ref|gallery|imagemap)"
 LINK_TEXTS = ("target", "label")
-#: How often the native form applies the first rule at most, which nests; the others come once.
-NESTED = 3
+#: What a find of each rule but the first begins with.
+BEGINNINGS = ("", "<", "&", "[[", "[")
+#: What any of the rules' finds begins with: the search of an alternation passes over all else.
+MARKS = r"(?=[<&\[{])"
+#: How often a round of the native form applies the first rule at most, which nests (the others come once), and how many rounds.
+NESTED, TIMES = 3, 3
 
 
 def rules(link_text: str = "target") -> list[tuple[str, str]]:
@@ -98,39 +102,63 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _opened(text: Column) -> Column:
-    """Whether a block can begin in a text."""
-    return reduce(lambda x, y: x | y, [F.contains(text, F.lit(o)) for o in OPENINGS]) | text.rlike(f"(?i){OPENED}")
+def _has(text: Column, *marks: str) -> Column:
+    return reduce(lambda x, y: x | y, [F.contains(text, F.lit(m)) for m in marks])
+
+
+def _opened_beyond_links(text: Column) -> Column:
+    """Whether a block other than a link can begin in a text."""
+    return _has(text, *(o for o in OPENINGS if o != "[[")) | (_has(text, "<") & text.rlike(f"(?i){OPENED}"))
+
+
+def _without_blocks(text: Column) -> Column:
+    """The first rule, by no more of its alternatives than can begin in the text."""
+    links = _replaced(text, BLOCKS["link into a namespace"], "")
+    every = _replaced(text, f"{MARKS}(?:{'|'.join(BLOCKS.values())})", "")
+    return F.when(_opened_beyond_links(text), every).when(_has(text, "[["), links).otherwise(text)
+
+
+def _blocked(text: Column) -> Column:
+    """Whether a text has a block."""
+    every = text.rlike(f"(?is){MARKS}(?:{'|'.join(BLOCKS.values())})")
+    return F.when(_opened_beyond_links(text), every).otherwise(_has(text, "[[") & text.rlike(f"(?is){BLOCKS['link into a namespace']}"))
 
 
 def _natively(text: Column, link_text: str) -> Column:
-    """(t, same): the text after a few rounds of the rules, and whether the loop has the same."""
+    """(t, same): the text after a few rounds of the rules, and whether the loop ends with it.
+
+    A round goes through the rules as the loop does and stops where the loop goes back; the next begins with that text.
+    """
     some = rules(link_text)
-    blocks = some[0][0]
+    found = lambda t, i: _has(t, BEGINNINGS[i]) & t.rlike(f"(?is){some[i][0]}")
 
     def cleared(state: Column, times: int) -> Column:
         """(text, whether no block is left) after the first rule, as often as it changes anything."""
         if not times:
-            return F.struct(state["t"].alias("t"), (~state["t"].rlike(f"(?is){blocks}")).alias("same"))
-        now = F.when(_opened(state["t"]), _replaced(state["t"], *some[0])).otherwise(state["t"])
+            return F.struct(state["t"].alias("t"), (~_blocked(state["t"])).alias("same"))
+        now = _without_blocks(state["t"])
         new = F.struct(now.alias("t"), state["t"].alias("was"))
         return _let(new, lambda n: F.when(n["t"] == n["was"], F.struct(n["t"].alias("t"), F.lit(True).alias("same"))).otherwise(cleared(n, times - 1)))
 
     def applied(i: int, state: Column) -> Column:
-        """(text, whether it is what the loop has at this point) after rule ``i``."""
+        """(text, whether the loop goes on to the next rule) after rule ``i``; a text at which it has gone back stays."""
         if i == 0:
             return cleared(state, NESTED)
-        now = _replaced(state["t"], *some[i])
-        # The loop goes back to the first rule after a change.
-        again = "(?is)" + "|".join(p for p, _ in some[1 : i + 1])
-        new = F.struct(now.alias("t"), state["t"].alias("was"), state["same"].alias("same"))
-        left = lambda t: t.rlike(again) | (_opened(t) & t.rlike(f"(?is){blocks}"))
-        return _let(new, lambda n: F.struct(n["t"].alias("t"), (n["same"] & ((n["t"] == n["was"]) | ~left(n["t"]))).alias("same")))
-
-    state = F.struct(text.alias("t"), F.lit(True).alias("same"))
-    for i in range(len(some)):
-        state = _let(state, partial(applied, i))
-
+        stripped = F.when(_has(state["t"], BEGINNINGS[i]), _replaced(state["t"], *some[i])).otherwise(state["t"])
+        new = F.struct(stripped.alias("t"), state["t"].alias("was"))
+        left = lambda t: reduce(lambda x, y: x | y, [found(t, j) for j in range(1, i + 1)]) | _blocked(t)
+        now = _let(new, lambda n: F.struct(n["t"].alias("t"), ((n["t"] == n["was"]) | ~left(n["t"])).alias("same")))
+        return F.when(state["same"], now).otherwise(state)
+
+    def gone_through(state: Column) -> Column:
+        """One round."""
+        for i in range(len(some)):
+            state = _let(state, partial(applied, i))
+        return state
+
+    state = gone_through(F.struct(text.alias("t"), F.lit(True).alias("same")))
+    for _ in range(TIMES - 1):
+        state = _let(state, lambda s: F.when(s["same"], s).otherwise(gone_through(F.struct(s["t"].alias("t"), F.lit(True).alias("same")))))
     return _let(F.when(text.rlike(r"[<&\[{]"), state).otherwise(F.struct(text.alias("t"), F.lit(True).alias("same"))), lambda s: s)
 
 

@@ -222,3 +222,14 @@ def test_streaming_counts_once(spark, tmp_path):
     assert got == {"the cat ": 2, "cat ": 2, "the dog ": 1, "dog ": 1}
     compact(spark, (base / "c").as_uri(), (base / "all").as_uri())
     assert spark.read.parquet((base / "all").as_uri()).count() == 4
+
+
+def test_markup_that_a_later_rule_opens_stays_native(spark):
+    """A link inside a link into a namespace goes first, and the loop back to the first rule with what is left."""
+    texts = ["[[File:a|x [[b]] y]]c", "{{t|{{u}}}}[[File:a|x [[b|d]] y]] <b>e</b> &nbsp;[http://x.org/a f]", "[[a:[[b:[[c]]]]]] d", "&<b>lt;", "<<b>b>", "[[[[a]]]]", "{{{{{{{{{{a}}}}}}}}}}", "plain", "", "[http://[[x]] y]"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [(r.t, r.same) for r in df.select(markup._natively(F.col("text"), "target").alias("s")).select("s.*").collect()]
+    assert [same for _, same in got[:2]] == [True, True]
+    for text, (native, same) in zip(texts, got, strict=True):
+        assert not same or native == markup.strip_text(text)
+    assert [r.text for r in markup.strip_markup(df).collect()] == [markup.strip_text(t) for t in texts]
