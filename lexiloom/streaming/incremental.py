@@ -1,24 +1,24 @@
 """Incremental indexing: chain counts of a stream of lines.
 
-Counts only add up, so no watermark is needed and late lines count like others.  Each micro-batch's partial counts are
-a folder of its own, written over when the batch is tried again, so that every line counts once; ``current_counts``
+Counts only add up, so no watermark is needed and late lines count like others.  Each micro-batch's chains and their
+weights are a folder of its own, written over when the batch is tried again, so that every line counts once.  Nearly all
+chains of a batch are different, so they are written where they are read, and are shuffled once, when ``current_counts``
 adds the folders up.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexiloom.operators.index import chain_counts
+from lexiloom.operators.index import added, chain_rows
 
 
 def stream_counts(lines: DataFrame, counts_dir: str, checkpoint_dir: str, line_col: str = "line", available_now: bool = True) -> StreamingQuery:
-    """Write the chain counts of every micro-batch of a streaming DataFrame of lines."""
+    """Write the chains of every micro-batch of a streaming DataFrame of lines."""
 
     def write(batch: DataFrame, number: int) -> None:
-        chain_counts(batch, line_col).write.mode("overwrite").parquet(f"{counts_dir}/batch={number}")
+        chain_rows(batch, line_col).write.mode("overwrite").parquet(f"{counts_dir}/batch={number}")
 
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -26,7 +26,8 @@ def stream_counts(lines: DataFrame, counts_dir: str, checkpoint_dir: str, line_c
 
 def current_counts(spark: SparkSession, counts_dir: str) -> DataFrame:
     """chain and n over all micro-batches so far."""
-    return spark.read.schema("chain string, n long, batch long").parquet(counts_dir).groupBy("chain").agg(F.sum("n").alias("n"))
+    rows = spark.read.schema("chain string, n long, batch long").parquet(counts_dir)
+    return added(rows.select("chain", "n"))
 
 
 def compact(spark: SparkSession, counts_dir: str, to_dir: str) -> None:
