@@ -30,12 +30,13 @@ def chain_rows(lines: DataFrame, line_col: str = "line", weight: Column | None =
     return rows.select(*keep, F.explode(T.chains("norm", window)).alias("chain"), "n")
 
 
-def added(rows: DataFrame) -> DataFrame:
-    """chain and n, the sum over the rows of every chain.
+def added(rows: DataFrame, *by: str) -> DataFrame:
+    """chain and n, the sum over the rows of every chain, in every group of the columns ``by``.
 
-    Nearly all chains of a corpus are different, so they go to their partitions as they are; those are many enough to add up in memory.
+    Nearly all chains of a corpus are different, so they go to their partitions as they are; those are many enough to add
+    up in memory.
     """
-    return rows.repartition(session.parts(rows), "chain").groupBy("chain").agg(F.sum("n").alias("n"))
+    return rows.repartition(session.parts(rows), *by, "chain").groupBy(*by, "chain").agg(F.sum("n").alias("n"))
 
 
 def chain_counts(lines: DataFrame, line_col: str = "line", weight: Column | None = None, window: int = T.WINDOW) -> DataFrame:

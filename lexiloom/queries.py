@@ -344,8 +344,8 @@ def framing_files(spark: SparkSession, d: str) -> DataFrame:
 def stored_shards(spark: SparkSession, d: str) -> DataFrame:
     """Chain counts stored by source, read by their paths and merged."""
     path = _folder(spark, "shards")
-    lines = _lines(spark, d, "source").select(F.coalesce("source", F.lit("")).alias("source"), T.normalize(F.col("line")).alias("norm"))
-    R.save_shards(lines.select("source", F.explode(T.chains("norm")).alias("chain")).groupBy("source", "chain").agg(F.count("*").alias("n")), path, "source")
+    lines = _lines(spark, d, "source").select(F.coalesce("source", F.lit("")).alias("source"), "line")
+    R.save_shards(I.added(I.chain_rows(lines, "line", None, T.WINDOW, "source"), "source"), path, "source")
     return I.merge([R.read_shards(spark, path)], CUTOFF)
 
 

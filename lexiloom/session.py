@@ -62,11 +62,13 @@ def dealt(df: DataFrame) -> DataFrame:
 
 
 def parts(df: DataFrame) -> int:
-    """How many partitions a shuffle of chains should have: those of the session, or more for large tables."""
+    """How many partitions a shuffle of chains should have, by the size of the table."""
     spark = df.sparkSession
-    least, size = int(spark.conf.get("spark.sql.shuffle.partitions")), _size(df)
+    usual, size = int(spark.conf.get("spark.sql.shuffle.partitions")), _size(df)
     # A table of unknown size counts as the largest number there is.
-    return least if size >= int(str(spark._jsparkSession.sessionState().conf().defaultSizeInBytes())) else max(least, min(-(-size // PART), MOST_PARTS))
+    if size >= int(str(spark._jsparkSession.sessionState().conf().defaultSizeInBytes())):
+        return usual
+    return min(max(-(-size // PART), min(usual, spark.sparkContext.defaultParallelism)), MOST_PARTS)
 
 
 def remove(spark: SparkSession, path: str) -> None:

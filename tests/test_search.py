@@ -233,3 +233,24 @@ def test_markup_that_a_later_rule_opens_stays_native(spark):
     for text, (native, same) in zip(texts, got, strict=True):
         assert not same or native == markup.strip_text(text)
     assert [r.text for r in markup.strip_markup(df).collect()] == [markup.strip_text(t) for t in texts]
+
+
+def test_streamed_chains_are_shuffled_once(spark, tmp_path):
+    src, counts, done = tmp_path / "in", (tmp_path / "c").as_uri(), (tmp_path / "p").as_uri()
+    src.mkdir()
+    (src / "1.txt").write_text("the cat\nthe cat\nthe dog\n")
+    lines = spark.readStream.text(src.as_uri()).withColumnRenamed("value", "line")
+    query = stream_counts(lines, counts, done)
+    query.awaitTermination()
+    # A row a chain of the text: nothing was brought together for the batch.
+    assert spark.read.parquet(counts).count() == 6
+    plan = current_counts(spark, counts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert {r.chain: r.n for r in current_counts(spark, counts).collect()} == {"the cat ": 2, "cat ": 2, "the dog ": 1, "dog ": 1}
+
+
+def test_added_chains_are_not_held_before_their_shuffle(spark):
+    """A map of chains before it, of which nearly all are different, spilled."""
+    plan = I.chain_counts(spark.range(9).selectExpr("concat('a ', id) AS line"))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange") :]
+    assert plan.count("Exchange") == 1 and "HashAggregate" not in below
