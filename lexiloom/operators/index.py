@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexiloom import session
 from lexiloom.functions import text as T
+from lexiloom.operators.frequent import frequent_chains
 
 
 def checked_cutoff(cutoff: int) -> int:
@@ -190,9 +191,41 @@ def indexed(prefixes: DataFrame) -> DataFrame:
     )
 
 
+#: Lines that place the ranges of an index, and how many characters of a line and of a chain.
+RANGE_LINES, RANGE_LINE_CHARS, RANGE_CHARS = 2000, 400, 24
+
+
+def _range_bounds(lines: DataFrame, line_col: str, count: int) -> list[str]:
+    """Beginnings that part the chains of lines into ``count`` ranges of about the same size, by some lines."""
+    some = lines.select(F.substring(line_col, 1, RANGE_LINE_CHARS).alias("line")).orderBy(F.rand(1)).limit(RANGE_LINES)
+    starts = chain_rows(some).filter(F.contains("chain", F.lit(" "))).select(F.substring("chain", 1, RANGE_CHARS).alias("x"))
+    drawn = sorted(r.x for r in starts.collect())
+    return sorted({drawn[len(drawn) * i // count] for i in range(1, count)}) if drawn else []
+
+
+def frequent_prefixes(lines: DataFrame, cutoff: int = 5, line_col: str = "line", weight: Column | None = None) -> DataFrame:
+    """text and c of the word-complete prefixes of lines that occur ``cutoff`` times or more; a partition has a range of texts.
+
+    As ``prefix_counts`` of all chains, but words and pairs are counted now, and chains of rare ones are not shuffled.
+    """
+    chains = frequent_chains(lines, checked_cutoff(cutoff), line_col, weight).select(F.lit("").alias("g"), "t", "n")
+    count = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = np.array(_range_bounds(lines, line_col, count), dtype=f"S{RANGE_CHARS}")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs in _sorted_runs(batches, cutoff):
+            # Longer texts are cut to the size of a bound, which leaves their place among the bounds.
+            texts = np.array(runs.column(1).cast(pa.binary()).to_pylist(), dtype=f"S{T.WINDOW}")
+            at = np.searchsorted(bounds, texts, side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), runs.column(1), runs.column(2)], names=["part", "text", "c"])
+
+    runs = chains.sortWithinPartitions("t").mapInArrow(placed, "part int, text string, c long").repartitionById(count, "part")
+    return runs.groupBy("part", "text").agg(F.sum("c").alias("c")).filter(F.col("c") >= cutoff).select("text", "c")
+
+
 def build_index(lines: DataFrame, cutoff: int = 5, line_col: str = "line", weight: Column | None = None) -> DataFrame:
-    """The index of a corpus of lines."""
-    return indexed(prefix_counts(chain_rows(lines, line_col, weight), cutoff))
+    """The index of a corpus of lines; a partition has a range of texts."""
+    return indexed(frequent_prefixes(lines, cutoff, line_col, weight))
 
 
 def dump(prefixes: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{session.shared_dir(spark)}/index-{_stamp(spark, f'{sf_dir}/documents.parquet')}-{spark.sparkContext.applicationId}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        R.save_index(I.build_index(_lines(spark, sf_dir), CUTOFF), path, "overwrite")
+        R.save_ranged_index(I.build_index(_lines(spark, sf_dir), CUTOFF), path, "overwrite")
     session.attach(spark)
     return R.load_index(spark, path)
 

@@ -120,6 +120,11 @@ def save_index(index: DataFrame, path: str, mode: str = "errorifexists") -> None
     session.drop_written(held)
 
 
+def save_ranged_index(index: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """``save_index`` of an index of which each partition has a range of texts, as ``build_index`` gives it."""
+    index.sortWithinPartitions("first_ch", "text").write.mode(mode).partitionBy("first_ch").parquet(path)
+
+
 def load_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "false").parquet(path).withColumn("first_ch", F.col("first_ch").cast("string"))
 

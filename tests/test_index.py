@@ -3,11 +3,13 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
+from lexiloom.operators import frequent as Q
 from lexiloom.operators import index as I
 from lexiloom.sources import readers as R
 
@@ -231,3 +233,55 @@ def test_prefixes_are_shuffled_as_chains_and_frequent_prefixes(spark):
     assert "word_prefixes" not in plan and plan.count("explode(") == 1
     got = {r.text: r.c for r in I.prefix_counts(I.chain_rows(lines), 5).collect()}
     assert got == {**{f"w{i} ": len(range(i, 2000, 7)) + 1 for i in range(7)}, "end ": 2000}
+
+
+def test_rare_chains_are_not_shuffled(spark, lines):
+    """What is shuffled is cut to words and pairs that are frequent, and the index is that of all chains."""
+    df, _ = lines
+    some = spark.range(400).selectExpr("concat('w', id % 7, ' x', id, ' y', id, ' z', id, ' the end, the end') AS line")
+    for table, cutoff in ((df, 1), (df, 3), (some, 5), (some, 100)):
+        want = {(r.text, r.c) for r in I.prefix_counts(I.chain_rows(table), cutoff).collect()}
+        built = I.build_index(table, cutoff)
+        assert sorted((r.text, r.c) for r in built.collect()) == sorted(want)
+        assert "explode(" not in built._jdf.queryExecution().executedPlan().toString()
+    assert {r.t for r in Q.frequent_chains(some, 5).collect()} == {*(f"w{i} " for i in range(7)), "the end the end ", "the end ", "end the end ", "end "}
+    weighted = df.select("line", (F.length(F.coalesce("line", F.lit(""))) % 4).alias("w"))
+    want = {(r.text, r.c) for r in I.prefix_counts(I.chain_rows(weighted, weight=F.col("w")), 4).collect()}
+    assert {(r.text, r.c) for r in I.frequent_prefixes(weighted, 4, weight=F.col("w")).collect()} == want
+
+
+def test_stored_ranges_do_not_overlap(spark, tmp_path):
+    words = ["a", "b", "the", "of", "zz", "0"]
+    df = spark.createDataFrame([(" ".join(random.Random(i).choices(words, k=9)),) for i in range(300)], "line string")
+    path = (tmp_path / "ranged").as_uri()
+    R.save_ranged_index(I.build_index(df, 2), path)
+    files = R.load_index(spark, path).groupBy(F.input_file_name()).agg(F.min("text").alias("a"), F.max("text").alias("b")).orderBy("a").collect()
+    assert len(files) > 6 and all(x.b < y.a for x, y in zip(files, files[1:]))
+
+
+def test_packs_of_any_size(monkeypatch):
+    """Lines are normalised as the expression does it, and packs of few or many words come to the same."""
+    rng = random.Random(5)
+    plain = [x or "" for x in LINES] + ["".join(rng.choice("aB'\0 é.9\n") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    rows = pa.table({"line": plain, "n": pa.array([1 + i % 3 for i in range(len(plain))], pa.int64())})
+    data = [x.encode() for x in plain]
+    got, line = Q.normalized(np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum([len(x) for x in data]))
+    assert [bytes(got[line == i]).decode() for i in range(len(plain))] == [norm(x) for x in plain]
+    want = Counter()
+    for x, n in zip(plain, rows["n"].to_pylist(), strict=True):
+        want.update({p: 0 for p in prefixes(norm(x))})
+        for c in model_chains(norm(x)):
+            for p in prefixes(c):
+                want[p] += n
+    want = {p: c for p, c in want.items() if c >= 4}
+    for most, size in ((1, 7), (100, 50), (1 << 20, 1000)):
+        for name in ("KEYS_AT_ONCE", "CHAINS_AT_ONCE", "BYTES_AT_ONCE"):
+            monkeypatch.setattr(Q, name, most)
+        batches = lambda: iter(rows.to_batches(size))  # noqa: E731, B023
+        slices = [(x["part"], x["count"], x["pack"]) for b in Q._bit_slices(Q._key_packs(batches(), 4), 4, 4) for x in b.to_pylist()]
+        found = Counter()
+        for b in Q._chain_texts(Q._chain_packs(batches(), slices, 3)):
+            for x in b.to_pylist():
+                for p in prefixes(x["t"]):
+                    found[p] += x["n"]
+        assert {p: c for p, c in found.items() if c >= 4} == want
