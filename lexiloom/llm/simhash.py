@@ -381,7 +381,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """Postings (h, node, n, pos): the hashes among the rarest of each set that another set has too.
+    """Postings (h, node, n, own, pos): the hashes among the rarest of each set that another set has too; ``own`` no other has.
 
     Two sets of the Jaccard similarity have a hash in common among the first n - ceil(similarity n) + 1 of each, in any
     order that is the same for both.  Here the rarest come first, so what thousands of texts share is not among them,
@@ -395,7 +395,7 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     own = F.col("n") - F.size("s")
     lead = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - own
     first = ranked.withColumn("own", own).withColumn("s", F.slice("s", F.lit(1), F.greatest(lead, F.lit(0)).cast("int")))
-    return first.select("node", "n", "own", F.posexplode("s").alias("i", "t")).select(F.col("t.h").alias("h"), "node", "n", (F.col("own") + F.col("i")).alias("pos"))
+    return first.select("node", "n", "own", F.posexplode("s").alias("i", "t")).select(F.col("t.h").alias("h"), "node", "n", "own", (F.col("own") + F.col("i")).alias("pos"))
 
 
 def _may_be_similar(n: Column, pos: Column, other_n: Column, other_pos: Column, similarity: float) -> Column:
@@ -423,20 +423,21 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
 def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs of ids (``a``, ``b``) of a Jaccard similarity or more that join all sets which such pairs join.
 
-    First each set meets one pivot, the smallest node that may be similar among those it shares a posting with; that
-    joins near copies.  Of each posting with several components then only the rows outside its pivot's component meet
+    First each set meets one pivot: of the postings' pivots that may be similar to it the one with the fewest hashes of its
+    own.  A group's other texts are that one with changes, each nearer to it than to each other; so that joins near copies.
+    Of each posting with several components then only the rows outside its pivot's component meet
     the others, and only those of other components.  So a group of near copies costs a pair a row, not its square.
     """
     postings = written(prefixes(sets, similarity), "postings")
-    pivots = written(postings.groupBy("h").agg(F.min(F.struct("node", "n", "pos")).alias("p"), F.count("*").alias("g")).filter("g > 1"), "pivots")
+    pivots = written(postings.groupBy("h").agg(F.min(F.struct("own", "node", "n", "pos")).alias("p"), F.count("*").alias("g")).filter("g > 1"), "pivots")
     total = postings.count()
-    asked = join_by_key(postings, pivots, ["h"], "g", total).filter(F.col("node") > F.col("p.node"))
+    asked = join_by_key(postings, pivots, ["h"], "g", total).filter(F.col("node") != F.col("p.node"))
     asked = asked.filter(_may_be_similar(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos"), similarity))
-    first = written(asked.groupBy(F.col("node").alias("a")).agg(F.min("p.node").alias("b")), "pairs")
+    first = written(asked.groupBy(F.col("node").alias("a")).agg(F.min_by("p.node", F.struct("p.own", "p.node")).alias("b")), "pairs")
     near = written(similar_pairs(first, sets, similarity), "near")
     labels = least_of_component(near.select("a", "b")).select(F.col("a").alias("node"), "root")
-    labelled = written(postings.join(labels, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("label")), "labelled")
-    mixed = labelled.groupBy("h").agg(F.min_by("label", "node").alias("pl"), F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("g")).filter("least <> most")
+    labelled = written(postings.join(labels, "node", "left").select("h", "node", "n", "own", "pos", F.coalesce("root", "node").alias("label")), "labelled")
+    mixed = labelled.groupBy("h").agg(F.min_by("label", F.struct("own", "node")).alias("pl"), F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("g")).filter("least <> most")
     rest = written(join_by_key(labelled, written(mixed.select("h", "pl", "g"), "mixed"), ["h"], "g", total).drop("g"), "rest")
     x, y = rest.filter("label <> pl").alias("x"), rest.alias("y")
     c = F.col

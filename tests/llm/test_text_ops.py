@@ -500,3 +500,22 @@ def test_similar_documents_with_boilerplate(spark):
     want = similar_components(texts)
     assert {x.doc_id: x.component_id for x in simhash.similar_documents(df).collect()} == want
     assert len(set(want.values())) == 300
+
+
+def test_near_copies_meet_their_original(spark, monkeypatch):
+    """Copies that are similar to one text only, whatever its id: a pair a copy is compared, not all pairs."""
+    rng, base = random.Random(6), list(range(150))
+    rows = [(1000, 1000, 150, base)]
+    for i in range(40):
+        gone = set(rng.sample(base, 12))
+        rows.append((i, i, 150, [x for x in base if x not in gone] + [10_000 + 100 * i + k for k in range(12)]))
+    sets, written, seen = spark.createDataFrame(rows, "node long, low long, n long, hs array<bigint>"), simhash.written, []
+
+    def counted(df, name, *more):
+        out = written(df, name, *more)
+        seen.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    found = {(r.a, r.b) for r in simhash.similar_links(sets, 0.8).collect()}
+    assert found == {(i, 1000) for i in range(40)} and sum(seen) == 40
