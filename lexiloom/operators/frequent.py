@@ -21,8 +21,10 @@ from lexiloom.functions import text as T
 
 #: Bits of the hash of a word or a pair, and of the filter: 32 MB.
 KEY_BITS, FILTER_BITS = 36, 28
+#: What is left of chains takes a fraction of their place, so a partition gets those of several.
+FEWER = 4
 #: Words whose keys are added up at once, chains that are, and bytes of lines whose arrays are held at once.
-KEYS_AT_ONCE, CHAINS_AT_ONCE, BYTES_AT_ONCE = 1 << 21, 1 << 19, 1 << 20
+KEYS_AT_ONCE, CHAINS_AT_ONCE, BYTES_AT_ONCE = 1 << 21, 1 << 20, 1 << 20
 
 _CODEC = "zstd"
 _BASE, _LEFT, _RIGHT, _WORD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -252,6 +254,7 @@ def frequent_chains(lines: DataFrame, cutoff: int, line_col: str = "line", weigh
     session.attach(spark)
     rows = lines.select(F.coalesce(F.col(line_col), F.lit("")).alias("line"), (F.lit(1) if weight is None else weight).cast("long").alias("n"))
     parts = session.parts(rows)
+    parts = max(parts // FEWER, min(parts, spark.sparkContext.defaultParallelism))
     ranges = 1 << (parts - 1).bit_length()
     keys = rows.mapInArrow(lambda b: _key_packs(b, ranges), _PACK).repartitionById(ranges, "part")
     slices = [(r.part, r["count"], bytes(r.pack)) for r in keys.mapInArrow(lambda b: _bit_slices(b, cutoff, ranges), _PACK).collect()]
