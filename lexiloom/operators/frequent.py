@@ -4,12 +4,14 @@ A phrase is as frequent as the cutoff asks only if every word of it is, and ever
 are counted first, by hashes of ``KEY_BITS``, and the frequent ones set bits of a filter of ``FILTER_BITS``, whatever the
 corpus.  A bit that several hashes share lets through what is rare; it never holds back what is frequent.  Chains are then
 cut before the first word that the filter does not let through, added up where they are read, and shuffled as compressed
-packs; their exact counts decide.
+packs; their exact counts decide.  They can be shuffled in several rounds, each with the chains of a range of first words,
+so that the files of one are gone when the next one's are written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,22 @@ def normalized(data: np.ndarray, line_ends: np.ndarray) -> tuple[np.ndarray, np.
     return x[stays], line[stays]
 
 
+class Range(NamedTuple):
+    """Chains of first words whose first eight bytes are the numbers from ``low`` to ``high``, parted at the texts ``cuts``."""
+
+    low: int
+    high: int
+    cuts: list[bytes]
+
+
+def _first_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first eight bytes of texts, those after an end as 0, as numbers in the order of the texts."""
+    data = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    eight = np.ndarray((len(data) - 7,), dtype=">u8", buffer=data, strides=(1,))[starts].astype(np.uint64)
+    over = np.uint64(64) - np.uint64(8) * np.clip(ends - starts, 1, 8).astype(np.uint64)
+    return eight >> over << over
+
+
 class Words:
     """The words of lines, as arrays over the places where their first chain with a whole word begins."""
 
@@ -88,13 +106,16 @@ class Words:
         """The keys of all words and pairs, and their weights."""
         return np.concatenate((self.words[self.whole], self.pairs[self.paired])), np.concatenate((self.n[self.whole], self.n[self.paired]))
 
-    def chains(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def chains(self, bits: np.ndarray, within: Range | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of WINDOW bytes (0 after the text), the hashes of their first words and their weights: what may be frequent."""
         count = len(self.ends)
         follows = np.zeros(count, dtype=bool)
         follows[self.paired] = _has(bits, self.pairs[self.paired])
         stops = np.flatnonzero(~follows)
         at = np.flatnonzero(self.whole)
+        if within is not None:
+            firsts = _first_bytes(self.data, self.starts[at], self.ends[at])
+            at = at[(firsts >= np.uint64(within.low)) & (firsts <= np.uint64(within.high))]
         at = at[_has(bits, self.words[at])]
         # The last word: where a pair is rare, or where the window ends.
         last = np.minimum(stops[np.searchsorted(stops, at)], np.searchsorted(self.ends, self.starts[at] + T.WINDOW - 1, side="right") - 1)
@@ -204,60 +225,143 @@ def _bit_slices(batches: Iterator[pa.RecordBatch], cutoff: int, parts: int) -> I
         yield _packed([part], [width // 8], [np.packbits(bits, bitorder="little").tobytes()])
 
 
-def _chain_packs(batches: Iterator[pa.RecordBatch], slices: list, parts: int) -> Iterator[pa.RecordBatch]:
-    """Packs of the chains that may be frequent, cut and added up, by the hash of their first words."""
-    bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    codec = pa.Codec(_CODEC)
+def _all_bits(slices: list) -> np.ndarray:
+    bits, codec = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8), pa.Codec(_CODEC)
     for part, width, pack in slices:
         bits[part * width : (part + 1) * width] = np.frombuffer(codec.decompress(pack, width, asbytes=True), dtype=np.uint8)
+    return bits
+
+
+def _first_words(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted chains: those of more than one word, as places, and the rows and weights of the first words of all."""
+    if not len(rows):
+        return np.zeros(0, dtype=np.int64), rows, n
+    end, sizes = np.argmax(rows == 0x20, axis=1), (rows != 0).sum(axis=1)
+    words = np.where(np.arange(rows.shape[1]) <= end[:, None], rows, 0).astype(np.uint8)
+    first = np.flatnonzero(np.concatenate(([True], (words[1:] != words[:-1]).any(axis=1))))
+    return np.flatnonzero(sizes > end + 1), words[first], np.add.reduceat(n, first)
+
+
+def _chain_packs(batches: Iterator[pa.RecordBatch], slices: list, parts: int, within: Range | None = None) -> Iterator[pa.RecordBatch]:
+    """Packs of the chains that may be frequent, cut and added up, by the hash of their first words.
+
+    Those ``within`` a range are parted by its cuts; packs of the parts from ``parts`` on have the counts of first words,
+    each in the part where it lies itself, as its chains may lie in several.
+    """
+    bits = _all_bits(slices)
+    cuts = None if within is None else np.array(within.cuts, dtype=f"S{T.WINDOW}")
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def packs() -> pa.RecordBatch:
+    def pack(rows: np.ndarray, n: np.ndarray, at: np.ndarray, base: int) -> pa.RecordBatch:
+        some = [p for p in range(len(at) - 1) if at[p] < at[p + 1]]
+        sizes = (rows != 0).sum(axis=1).astype(np.uint8)
+        raw = [b"".join((sizes[s].tobytes(), _planes(n[s]), rows[s][rows[s] != 0].tobytes())) for s in (slice(at[p], at[p + 1]) for p in some)]
+        return _packed([base + p for p in some], [int(at[p + 1] - at[p]) for p in some], raw)
+
+    def parted(rows: np.ndarray) -> np.ndarray:
+        return np.concatenate(([0], np.searchsorted(rows.view(f"S{T.WINDOW}")[:, 0], cuts), [len(rows)]))
+
+    def packs() -> Iterator[pa.RecordBatch]:
         rows, part, n = (np.concatenate(x) for x in zip(*held, strict=True))
         # Sorted as numbers of eight bytes, the first ones first.
         order = np.lexsort((*rows.view(">u8").astype(np.uint64).T[::-1], part))
         rows, part, n = rows[order], part[order], n[order]
         first = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (rows[1:] != rows[:-1]).any(axis=1))))
         n, rows, part = np.add.reduceat(n, first), rows[first], part[first]
-        cuts = np.searchsorted(part, np.arange(parts + 1))
-        some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-        sizes = (rows != 0).sum(axis=1).astype(np.uint8)
-        raw = [b"".join((sizes[s].tobytes(), _planes(n[s]), rows[s][rows[s] != 0].tobytes())) for s in (slice(cuts[p], cuts[p + 1]) for p in some)]
-        return _packed(some, [int(cuts[p + 1] - cuts[p]) for p in some], raw)
+        if cuts is None:
+            yield pack(rows, n, np.searchsorted(part, np.arange(parts + 1)), 0)
+            return
+        longer, words, words_n = _first_words(rows, n)
+        yield pack(words, words_n, parted(words), parts)
+        yield pack(rows[longer], n[longer], parted(rows[longer]), 0)
 
     for words in _words(batches):
-        rows, firsts, n = words.chains(bits)
+        rows, firsts, n = words.chains(bits, within)
         if len(rows):
-            held.append((rows, (_mixed(firsts) % np.uint64(parts)).astype(np.int32), n))
+            part = np.zeros(len(rows), dtype=np.int32) if within is not None else (_mixed(firsts) % np.uint64(parts)).astype(np.int32)
+            held.append((rows, part, n))
         if sum(len(r) for r, _, _ in held) >= CHAINS_AT_ONCE:
-            yield packs()
+            yield from packs()
             held = []
     if held:
-        yield packs()
+        yield from packs()
 
 
-def _chain_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """t and n of packed chains."""
-    for _, count, raw in _unpacked(batches):
+def _chain_texts(batches: Iterator[pa.RecordBatch], parts: int | None = None) -> Iterator[pa.RecordBatch]:
+    """t and n of packed chains, and g before them where ``parts`` is given: "w" for the counts of first words, "" for chains."""
+    for part, count, raw in _unpacked(batches):
         sizes, n, flat = raw[:count], _numbers(raw[count : 9 * count], count), raw[9 * count :]
         ends = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, dtype=np.uint8), dtype=np.int32))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.string(), count, [None, pa.py_buffer(ends), pa.py_buffer(flat)]), pa.array(n)], names=["t", "n"])
+        columns = {"t": pa.Array.from_buffers(pa.string(), count, [None, pa.py_buffer(ends), pa.py_buffer(flat)]), "n": pa.array(n)}
+        if parts is not None:
+            columns = {"g": pa.repeat("w" if part >= parts else "", count)} | columns
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+#: Lines that place the ranges of chains, and how many characters of a line.
+RANGE_LINES, RANGE_LINE_CHARS = 2000, 400
+
+
+def _ranges(drawn: list, slices: list, rounds: int, parts: int) -> list[Range]:
+    """All chains in ``rounds`` ranges or fewer, each parted in ``parts`` or fewer, of about the same size by drawn lines.
+
+    A range has all chains of its first words, a part all those of its first two words.
+    """
+    whole = (1 << 64) - 1
+    lines = pa.RecordBatch.from_arrays([pa.array([r.line for r in drawn], pa.string()), pa.array([1] * len(drawn), pa.int64())], names=["line", "n"])
+    bits = _all_bits(slices)
+    found = [words.chains(bits)[0] for words in _words(iter([lines]))]
+    rows = np.unique(np.concatenate(found).view(f"S{T.WINDOW}")[:, 0]) if found else np.zeros(0, dtype=f"S{T.WINDOW}")
+    # Where every line was drawn one round does.
+    rounds = rounds if len(drawn) == RANGE_LINES else 1
+    firsts = np.array([int.from_bytes(x.split(b" ", 1)[0][:8].ljust(8, b"\0"), "big") for x in rows.tolist()], dtype=np.uint64)
+    lows = sorted({0} | {int(firsts[len(firsts) * i // rounds]) for i in range(1, rounds) if len(firsts)})
+    out = []
+    for low, high in zip(lows, [x - 1 for x in lows[1:]] + [whole], strict=True):
+        own = rows[(firsts >= np.uint64(low)) & (firsts <= np.uint64(high))].tolist()
+        cuts = {b"".join(x + b" " for x in own[len(own) * i // parts].split(b" ")[:-1][:2]) for i in range(1, parts) if own}
+        out.append(Range(low, high, sorted(cuts)))
+    return out
+
+
+class Frequent:
+    """What may be frequent in lines: words and pairs of words, counted when this is made."""
+
+    def __init__(self, lines: DataFrame, cutoff: int, line_col: str = "line", weight: Column | None = None):
+        spark = lines.sparkSession
+        session.attach(spark)
+        self.rows = lines.select(F.coalesce(F.col(line_col), F.lit("")).alias("line"), (F.lit(1) if weight is None else weight).cast("long").alias("n"))
+        parts = session.parts(self.rows)
+        self.parts = max(parts // FEWER, min(parts, spark.sparkContext.defaultParallelism))
+        ranges = 1 << (self.parts - 1).bit_length()
+        keys = self.rows.mapInArrow(lambda b: _key_packs(b, ranges), _PACK).repartitionById(ranges, "part")
+        with session.shuffles_dropped(spark):
+            self.slices = [(r.part, r["count"], bytes(r.pack)) for r in keys.mapInArrow(lambda b: _bit_slices(b, cutoff, ranges), _PACK).collect()]
+        self.sent = spark.sparkContext.broadcast(self.slices)
+
+    def chains(self) -> DataFrame:
+        """t and n; all rows of a chain's first two words, or of its one word, are in one partition."""
+        sent, parts = self.sent, self.parts
+        packs = self.rows.mapInArrow(lambda b: _chain_packs(b, sent.value, parts), _PACK).repartitionById(parts, "part")
+        return packs.mapInArrow(_chain_texts, "t string, n long")
+
+    def ranges(self, rounds: int) -> list[DataFrame]:
+        """g, t and n: of ranges of texts, in order, chains of two words or more (g is "") and counts of first words ("w").
+
+        The partitions of each are ranges too, in which all chains of the same first two words are.
+        """
+        drawn = self.rows.select(F.substring("line", 1, RANGE_LINE_CHARS).alias("line")).orderBy(F.rand(1)).limit(RANGE_LINES).collect()
+        return [self._range(x) for x in _ranges(drawn, self.slices, rounds, self.parts)]
+
+    def _range(self, within: Range) -> DataFrame:
+        sent, parts = self.sent, self.parts
+        packs = self.rows.mapInArrow(lambda b: _chain_packs(b, sent.value, parts, within), _PACK).repartitionById(parts, F.col("part") % parts)
+        return packs.mapInArrow(lambda b: _chain_texts(b, parts), "g string, t string, n long")
 
 
 def frequent_chains(lines: DataFrame, cutoff: int, line_col: str = "line", weight: Column | None = None) -> DataFrame:
     """t and n of the chains of lines that can have a prefix of ``cutoff`` or more, cut to it.
 
-    Every prefix of that count has its count among them; rarer ones may have less or be missing.  A chain's rows are all in
-    the partition of its first two words, or of its one word.  Weights must not be below 0.
+    Every prefix of that count has its count among them; rarer ones may have less or be missing.  Weights must not be below 0.
     """
-    spark = lines.sparkSession
-    session.attach(spark)
-    rows = lines.select(F.coalesce(F.col(line_col), F.lit("")).alias("line"), (F.lit(1) if weight is None else weight).cast("long").alias("n"))
-    parts = session.parts(rows)
-    parts = max(parts // FEWER, min(parts, spark.sparkContext.defaultParallelism))
-    ranges = 1 << (parts - 1).bit_length()
-    keys = rows.mapInArrow(lambda b: _key_packs(b, ranges), _PACK).repartitionById(ranges, "part")
-    slices = [(r.part, r["count"], bytes(r.pack)) for r in keys.mapInArrow(lambda b: _bit_slices(b, cutoff, ranges), _PACK).collect()]
-    sent = spark.sparkContext.broadcast(slices)
-    packs = rows.mapInArrow(lambda b: _chain_packs(b, sent.value, parts), _PACK).repartitionById(parts, "part")
-    return packs.mapInArrow(_chain_texts, "t string, n long")
+    return Frequent(lines, cutoff, line_col, weight).chains()

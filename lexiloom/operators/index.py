@@ -11,12 +11,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom import session
 from lexiloom.functions import text as T
-from lexiloom.operators.frequent import frequent_chains
+from lexiloom.operators.frequent import Frequent
 
 
 def checked_cutoff(cutoff: int) -> int:
@@ -191,16 +192,21 @@ def indexed(prefixes: DataFrame) -> DataFrame:
     )
 
 
-#: Lines that place the ranges of an index, and how many characters of a line and of a chain.
-RANGE_LINES, RANGE_LINE_CHARS, RANGE_CHARS = 2000, 400, 24
+#: Rounds in which the chains of a stored index are shuffled.
+ROUNDS = 4
 
 
-def _range_bounds(lines: DataFrame, line_col: str, count: int) -> list[str]:
-    """Beginnings that part the chains of lines into ``count`` ranges of about the same size, by some lines."""
-    some = lines.select(F.substring(line_col, 1, RANGE_LINE_CHARS).alias("line")).orderBy(F.rand(1)).limit(RANGE_LINES)
-    starts = chain_rows(some).filter(F.contains("chain", F.lit(" "))).select(F.substring("chain", 1, RANGE_CHARS).alias("x"))
-    drawn = sorted(r.x for r in starts.collect())
-    return sorted({drawn[len(drawn) * i // count] for i in range(1, count)}) if drawn else []
+def _range_prefixes(chains: DataFrame, cutoff: int) -> DataFrame:
+    """text and c of the prefixes of a range of chains, as ``Frequent.ranges`` gives it."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs in _sorted_runs(batches, cutoff):
+            g, text, c = runs.columns
+            # Chains of a first word may be in several partitions; its count is in one.
+            of_one = pc.or_(pc.equal(g, "w"), pc.greater(pc.count_substring(text, " "), 1))
+            yield pa.RecordBatch.from_arrays([text, c], names=["text", "c"]).filter(pc.and_(of_one, pc.greater_equal(c, cutoff)))
+
+    return chains.sortWithinPartitions("g", "t").mapInArrow(counted, "text string, c long")
 
 
 def frequent_prefixes(lines: DataFrame, cutoff: int = 5, line_col: str = "line", weight: Column | None = None) -> DataFrame:
@@ -208,19 +214,8 @@ def frequent_prefixes(lines: DataFrame, cutoff: int = 5, line_col: str = "line",
 
     As ``prefix_counts`` of all chains, but words and pairs are counted now, and chains of rare ones are not shuffled.
     """
-    chains = frequent_chains(lines, checked_cutoff(cutoff), line_col, weight).select(F.lit("").alias("g"), "t", "n")
-    count = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.array(_range_bounds(lines, line_col, count), dtype=f"S{RANGE_CHARS}")
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for runs in _sorted_runs(batches, cutoff):
-            # Longer texts are cut to the size of a bound, which leaves their place among the bounds.
-            texts = np.array(runs.column(1).cast(pa.binary()).to_pylist(), dtype=f"S{T.WINDOW}")
-            at = np.searchsorted(bounds, texts, side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), runs.column(1), runs.column(2)], names=["part", "text", "c"])
-
-    runs = chains.sortWithinPartitions("t").mapInArrow(placed, "part int, text string, c long").repartitionById(count, "part")
-    return runs.groupBy("part", "text").agg(F.sum("c").alias("c")).filter(F.col("c") >= cutoff).select("text", "c")
+    [chains] = Frequent(lines, checked_cutoff(cutoff), line_col, weight).ranges(1)
+    return _range_prefixes(chains, cutoff)
 
 
 def build_index(lines: DataFrame, cutoff: int = 5, line_col: str = "line", weight: Column | None = None) -> DataFrame:
@@ -228,6 +223,11 @@ def build_index(lines: DataFrame, cutoff: int = 5, line_col: str = "line", weigh
     return indexed(frequent_prefixes(lines, cutoff, line_col, weight))
 
 
+def index_rounds(lines: DataFrame, cutoff: int = 5, line_col: str = "line", weight: Column | None = None, rounds: int = ROUNDS) -> list[DataFrame]:
+    """``build_index`` in ranges of texts, to be stored one after the other: the lines are read for each, and each shuffles its chains only."""
+    return [indexed(_range_prefixes(chains, cutoff)) for chains in Frequent(lines, checked_cutoff(cutoff), line_col, weight).ranges(rounds)]
+
+
 def dump(prefixes: DataFrame) -> DataFrame:
     """line: every phrase with the count of its own, in order."""
     return terminals(prefixes).orderBy("text").select(F.format_string("%5d [%s]", F.col("n"), F.col("text")).alias("line"))

@@ -41,9 +41,8 @@ def _stamp(spark: SparkSession, path: str) -> str:
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of ``documents``, built once per session and table as any search engine's is."""
     path = f"{session.shared_dir(spark)}/index-{_stamp(spark, f'{sf_dir}/documents.parquet')}-{spark.sparkContext.applicationId}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        R.save_ranged_index(I.build_index(_lines(spark, sf_dir), CUTOFF), path, "overwrite")
+    if not session.exists(spark, path):
+        R.save_index_rounds(I.index_rounds(_lines(spark, sf_dir), CUTOFF), path)
     session.attach(spark)
     return R.load_index(spark, path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from functools import reduce
 
@@ -125,6 +126,25 @@ def save_ranged_index(index: DataFrame, path: str, mode: str = "errorifexists")
     index.sortWithinPartitions("first_ch", "text").write.mode(mode).partitionBy("first_ch").parquet(path)
 
 
+def save_index_rounds(indexes: list[DataFrame], path: str) -> None:
+    """``save_ranged_index`` of an index in several ranges of texts, as ``index_rounds`` gives it; never over another one.
+
+    A range's shuffle files go before the next one is computed.  The folder has its name when all are there.
+    """
+    spark = indexes[0].sparkSession
+    if session.exists(spark, path):
+        raise FileExistsError(path)
+    making = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    try:
+        with session.shuffles_dropped(spark):
+            for index in indexes:
+                save_ranged_index(index, making, "append")
+        session.rename(spark, making, path)
+    except BaseException:
+        session.remove(spark, making)
+        raise
+
+
 def load_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "false").parquet(path).withColumn("first_ch", F.col("first_ch").cast("string"))
 

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -285,3 +286,25 @@ def test_packs_of_any_size(monkeypatch):
                 for p in prefixes(x["t"]):
                     found[p] += x["n"]
         assert {p: c for p, c in found.items() if c >= 4} == want
+
+
+def test_rounds_of_an_index(spark, tmp_path):
+    """An index stored range by range is the whole one, its files do not overlap, and no round leaves shuffle files."""
+    rng = random.Random(7)
+    words = ["a", "b", "the", "of", "zz", "0", "transmission", "transmit", "it's", "an" * 25]
+    df = spark.createDataFrame([(" ".join(rng.choices(words, k=9)),) for _ in range(Q.RANGE_LINES + 500)], "line string").repartition(3)
+    rounds = I.index_rounds(df, 3)
+    assert len(rounds) == I.ROUNDS
+    path = (tmp_path / "rounds").as_uri()
+    place = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    left = lambda: {x.name for x in place.rglob("shuffle_*.data")}
+    before = left()
+    R.save_index_rounds(rounds, path)
+    assert left() <= before
+    got = R.load_index(spark, path)
+    want = {(r.text, r.c) for r in I.prefix_counts(I.chain_rows(df), 3).collect()}
+    assert sorted((r.text, r.c) for r in got.collect()) == sorted(want)
+    files = got.groupBy(F.input_file_name()).agg(F.min("text").alias("a"), F.max("text").alias("b")).orderBy("a").collect()
+    assert len(files) > I.ROUNDS and all(x.b < y.a for x, y in zip(files, files[1:]))
+    with pytest.raises(FileExistsError):
+        R.save_index_rounds(rounds, path)
