@@ -23,8 +23,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
-from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,20 @@ CACHE_RUNS, CACHE_BYTES = 600_000, 64
 CHUNK = 1 << 20
 
 
+class _Numbers(dict):
+    """Numbers of runs; one that is asked for first gets the next number and is ``fresh``."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+        self.count = 0
+
+    def __missing__(self, run: bytes) -> int:
+        number = self[run] = self.count
+        self.count += 1
+        self.fresh.append(run)
+        return number
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, which is asked once for a pre-token.
 
@@ -69,7 +83,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers()
         self.words: dict[str, bytes] = {}
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -88,9 +102,13 @@ class Encoder:
     def _found(self, runs: list[str]) -> list[bytes]:
         """The ids of runs, as little-endian unsigned 32-bit integers."""
         cut, known, merged = list(map(self._cut, runs)), self.words, self.tokenizer.model.tokenize
-        for w in {w for c in cut if c for w in c if w not in known}:
-            tokens = merged(w if w.isascii() else w.encode().decode("latin-1").translate(self.BYTES))
-            known[w] = pack_ids(f"<{len(tokens)}I", *[t.id for t in tokens])
+        fresh = list({w for c in cut if c for w in c if w not in known})
+        ids, ends = [], [0]
+        for w in fresh:
+            ids += [t.id for t in merged(w if w.isascii() else w.encode().decode("latin-1").translate(self.BYTES))]
+            ends.append(4 * len(ids))
+        data = np.array(ids, dtype="<u4").tobytes()
+        known.update(zip(fresh, map(data.__getitem__, map(slice, ends, ends[1:])), strict=False))
         whole = [r for r, c in zip(runs, cut, strict=True) if c is None]
         others = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
         return [np.array(next(others).ids, dtype="<u4").tobytes() if c is None else known[c[0]] if len(c) == 1 else b"".join(map(known.__getitem__, c)) for c in cut]
@@ -105,19 +123,25 @@ class Encoder:
         self.sizes = np.concatenate((self.sizes, sizes))
         self.flat[self.used : self.used + total] = np.frombuffer(b"".join(found), dtype="<u4")
         self.used += total
-        self.number |= zip(runs, range(len(self.sizes) - len(runs), len(self.sizes)), strict=True)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts, how many each has)."""
         if len(self.sizes) > CACHE_RUNS or len(self.words) > CACHE_RUNS:
             self.clear()
+        try:
+            return self._encoded(texts)
+        except BaseException:
+            self.clear()  # fresh runs may have numbers and no ids
+            raise
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [t.encode().split() for t in texts]
         known = self.number
-        fresh = [r for r in set(chain.from_iterable(split)) if r not in known]
-        if fresh:
-            self._learn(fresh)
         last = np.cumsum(np.fromiter(map(len, split), dtype=np.int64, count=len(split)))
         at = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(last[-1]) if len(last) else 0)
+        fresh, known.fresh = known.fresh, []
+        if fresh:
+            self._learn(fresh)
         n = self.sizes[at]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(n.sum())]
@@ -131,6 +155,12 @@ class Encoder:
         return ids, np.diff(total, prepend=0)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The process's encoder: what a task has learned stays for the next one."""
+    return Encoder(path)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about CHUNK characters of their second column."""
     for batch in batches:
@@ -148,7 +178,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in _chunks(batches):
             ids, n = encode(batch.column(1).to_pylist())

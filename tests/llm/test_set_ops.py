@@ -294,3 +294,23 @@ def test_long_chains_of_forms(spark):
     got = spelling.roots(words)
     assert {tuple(r) for r in got.collect()} == {(f"w{i:02d}", "w25") for i in range(25)}
     assert spelling.roots(words.filter(F.lit(False))).count() == 0
+
+
+def test_encoder_keeps_what_it_learned(monkeypatch):
+    """Tasks of a process share it; a run is numbered once, and a call that fails leaves no numbers without ids."""
+    encode = packing.encoder(Q.tokenizer_path("word_bpe_49k.json"))
+    assert packing.encoder(Q.tokenizer_path("word_bpe_49k.json")) is encode
+    want, _ = encode(["several naïve words, words"])
+    count = encode.number.count
+    got, _ = packing.encoder(Q.tokenizer_path("word_bpe_49k.json"))(["several naïve words, words"])
+    assert list(got) == list(want) and encode.number.count == count
+
+    def fails(runs):
+        raise RuntimeError
+
+    monkeypatch.setattr(encode, "_learn", fails)
+    with pytest.raises(RuntimeError):
+        encode(["words unheard-of"])
+    monkeypatch.undo()
+    got, _ = encode(["words unheard-of"])
+    assert list(got) == packing.Encoder(Q.tokenizer_path("word_bpe_49k.json"))(["words unheard-of"])[0].tolist()
