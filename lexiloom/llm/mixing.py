@@ -75,7 +75,9 @@ def rake(cells: DataFrame, keep: float = KEEP, temper: dict[str, float] | None =
 
     def by_source(f: str) -> DataFrame:
         """The cells with the factor of their source, given the others' factors."""
-        return held.join(factors, ["lang", "topic"]).withColumn("f_source", F.col("goal_source") / F.sum(F.col("m") * F.col(f)).over(by("source")))
+        # Tables of one partition meet where they are; a broadcast would leave a table of its own in the driver every round.
+        near = factors.hint("shuffle_hash") if parts == 1 else factors
+        return held.join(near, ["lang", "topic"]).withColumn("f_source", F.col("goal_source") / F.sum(F.col("m") * F.col(f)).over(by("source")))
 
     for _ in range(rounds):
         sums = by_source("f").groupBy("lang", "topic").agg(F.sum(F.col("m") * F.col("f") * F.col("f_source")).alias("s"), *[F.first(c).alias(c) for c in ("goal_lang", "goal_topic", "f")])

@@ -559,3 +559,19 @@ def test_pipeline_edges(spark, tmp_path):
 def test_pii_in_other_letters_and_forms(spark, text, shape, found):
     got = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), key="k").first()
     assert re.fullmatch(shape, got.text) and got.n_found == found and (got.text != text) == bool(found)
+
+
+def test_rounds_of_raking_broadcast_nothing(spark, monkeypatch):
+    """Each broadcast would stay in the driver until it collects its garbage."""
+    plans = []
+
+    def kept(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, name)
+
+    written = mixing.written
+    monkeypatch.setattr(mixing, "written", kept)
+    cells = spark.createDataFrame([("a", "x", "t", 5), ("a", "y", "u", 3), ("b", "x", "u", 9)], "source string, lang string, topic string, m long")
+    mixing.rake(cells, rounds=2)
+    rounds = [plan for name, plan in plans if name in ("factors", "weights")][1:]
+    assert rounds and all("ShuffledHashJoin" in plan and "Broadcast" not in plan and "Exchange" not in plan for plan in rounds)
