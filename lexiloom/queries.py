@@ -39,10 +39,11 @@ def _stamp(spark: SparkSession, path: str) -> str:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of ``documents``, built once per session and table as any search engine's is."""
+    """The index of ``documents``, built once per session and table as any search engine's is; it goes when the program ends."""
     path = f"{session.shared_dir(spark)}/index-{_stamp(spark, f'{sf_dir}/documents.parquet')}-{spark.sparkContext.applicationId}"
     if not session.exists(spark, path):
         R.save_index_rounds(I.index_rounds(_lines(spark, sf_dir), CUTOFF), path)
+        session.remove_at_end(spark, path)
     session.attach(spark)
     return R.load_index(spark, path)
 

@@ -1,11 +1,14 @@
 """Normalisation, chains, counts, pruning and inspection against small plain models."""
 
 import random
+import subprocess
+import sys
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,3 +311,29 @@ def test_rounds_of_an_index(spark, tmp_path):
     assert len(files) > I.ROUNDS and all(x.b < y.a for x, y in zip(files, files[1:]))
     with pytest.raises(FileExistsError):
         R.save_index_rounds(rounds, path)
+
+
+def test_stored_index_takes_little_place(spark, tmp_path):
+    path = str(tmp_path / "index")
+    df = spark.createDataFrame([(x,) for x in ["the quick brown fox", "the quick red fox"] * 3], "line string")
+    R.save_index_rounds(I.index_rounds(df, 3), path)
+    files = list(Path(path).rglob("*.parquet"))
+    assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+
+
+@pytest.mark.parametrize("stop", ["", "spark.stop()"])
+def test_index_of_a_session_goes_with_the_program(tmp_path, stop):
+    """Else every program leaves an index in the shared folder."""
+    shared = tmp_path / "shared"
+    script = f"""
+import pathlib
+from pyspark.sql import SparkSession
+from lexiloom import queries
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "{shared.as_uri()}").getOrCreate()
+spark.createDataFrame([(i, "the quick brown fox") for i in range(9)], "doc_id long, text string").write.parquet("{tmp_path}/documents.parquet")
+assert queries.queries()["find_literal"](spark, "{tmp_path}").collect()
+assert list(pathlib.Path("{shared}").glob("index-*"))
+{stop}
+"""
+    subprocess.run([sys.executable, "-c", script], check=True, timeout=180, cwd=Path(__file__).resolve().parents[1])
+    assert not list(shared.glob("index-*"))
