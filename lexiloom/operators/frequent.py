@@ -49,18 +49,53 @@ _NORMAL[[ord("'"), 0, 255]] = _DROPPED, _NUL, _ENDED
 
 def normalized(data: np.ndarray, line_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of lines as ``text.normalize`` has them, one line after the other, and the line of each byte."""
-    x = _NORMAL[np.insert(data, line_ends, 255)]
-    line = np.cumsum(x == _ENDED) - (x == _ENDED)
+    x = _NORMAL.take(np.insert(data, line_ends, 255))
+    ended = x == _ENDED
+    line = np.cumsum(ended, dtype=np.int32)
+    line -= ended
     if (x == _NUL).any():
         # A NUL ends the line: the next NUL or end after each byte, and the last end before it.
         nuls = np.cumsum(x == _NUL)
         before = np.concatenate(([0], nuls[x == _ENDED]))[line]
         x, line = x[(nuls == before) | (x == _ENDED)], line[(nuls == before) | (x == _ENDED)]
-    x, line = x[x != _DROPPED], line[x != _DROPPED]
+    at = np.flatnonzero(x != _DROPPED)
+    x = x.take(at)
     x[x == _ENDED] = 0x20
     # Of several blanks the first stays, and none at the beginning.
-    stays = (x != 0x20) | (np.concatenate(([0x20], x[:-1])) != 0x20)
-    return x[stays], line[stays]
+    letter = x != 0x20
+    stays = letter.copy()
+    stays[1:] |= letter[:-1]
+    some = np.flatnonzero(stays)
+    return x.take(some), line.take(at.take(some))
+
+
+#: Powers of _BASE and of its inverse, for places as ``_POWERS * high + low``.
+_POWERS = 1024
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n, base, dtype=np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
+
+
+_UP = _powers(int(_BASE), _POWERS + 1)
+_DOWN = _powers(pow(int(_BASE), -1, 1 << 64), _POWERS + 1)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of texts d: the sum of (d[k] + 1) * _BASE ** (length - k), as a difference of sums over all bytes before."""
+    rows = -(-len(data) // _POWERS)
+    terms = np.zeros(rows * _POWERS + 1, dtype=np.uint64)
+    terms[1 : len(data) + 1] = data
+    terms += np.uint64(1)
+    terms[0] = 0
+    own = terms[1:].reshape(rows, _POWERS)
+    own *= _DOWN[:-1]
+    own *= _powers(int(_DOWN[-1]), rows)[:, None]
+    sums = np.cumsum(terms, out=terms)
+    high = _powers(int(_UP[-1]), rows + 1)
+    return (sums[ends] - sums[starts]) * _UP[ends % _POWERS] * high[ends // _POWERS]
 
 
 class Range(NamedTuple):
@@ -93,11 +128,7 @@ class Words:
         self.whole = ends > starts
         self.paired = np.zeros(len(ends), dtype=bool)
         self.paired[:-1] = self.whole[:-1] & (line[1:] == line[:-1]) & (ends[1:] - starts[:-1] < T.WINDOW)
-        h, sizes = np.zeros(len(ends), dtype=np.uint64), ends - starts
-        at = np.flatnonzero(self.whole)
-        for k in range(T.WINDOW):
-            at = at[sizes[at] > k]
-            h[at] = (h[at] + data[starts[at] + k] + np.uint64(1)) * _BASE
+        h = _hashes(data, starts, ends) if len(ends) else np.zeros(0, dtype=np.uint64)
         self.words = _mixed(h * _WORD) >> np.uint64(64 - KEY_BITS)
         self.pairs = np.zeros(len(ends), dtype=np.uint64)
         self.pairs[:-1] = _mixed(h[:-1] * _LEFT + h[1:] * _RIGHT) >> np.uint64(64 - KEY_BITS)
@@ -186,7 +217,9 @@ def _key_packs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Rec
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def packs() -> pa.RecordBatch:
-        keys, n = _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()  # what was put together is not kept twice while it is sorted
+        keys, n = _added(keys, n)
         cuts = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << np.uint64(KEY_BITS - (parts.bit_length() - 1)))
         some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
         own = [slice(cuts[p], cuts[p + 1]) for p in some]
@@ -263,6 +296,7 @@ def _chain_packs(batches: Iterator[pa.RecordBatch], slices: list, parts: int, wi
 
     def packs() -> Iterator[pa.RecordBatch]:
         rows, part, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         # Sorted as numbers of eight bytes, the first ones first.
         order = np.lexsort((*rows.view(">u8").astype(np.uint64).T[::-1], part))
         rows, part, n = rows[order], part[order], n[order]

@@ -337,3 +337,17 @@ assert list(pathlib.Path("{shared}").glob("index-*"))
 """
     subprocess.run([sys.executable, "-c", script], check=True, timeout=180, cwd=Path(__file__).resolve().parents[1])
     assert not list(shared.glob("index-*"))
+
+
+def test_hashes_of_words_by_sums_over_all_bytes():
+    r = np.random.default_rng(3)
+    data = r.integers(0, 256, 5000).astype(np.uint8)
+    starts = np.concatenate((r.integers(0, 4960, 200), [0, 1023, 1024, 4960]))
+    ends = starts + np.concatenate((r.integers(0, T.WINDOW, 200), [0, 1, 2, 40]))
+    want = []
+    for a, b in zip(starts, ends, strict=True):
+        h = 0
+        for c in data[a:b].tolist():
+            h = (h + c + 1) * int(Q._BASE) % (1 << 64)
+        want.append(h)
+    assert Q._hashes(data, starts, ends).tolist() == want
