@@ -10,6 +10,7 @@ so that the files of one are gone when the next one's are written.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -321,6 +322,35 @@ def _chain_packs(batches: Iterator[pa.RecordBatch], slices: list, parts: int, wi
         yield from packs()
 
 
+def group_packs(held: list[tuple[np.ndarray, ...]], parts: int, names: list[str | None]) -> pa.RecordBatch:
+    """A pack for each part of what is ``held``: rows of chains, their parts, weights and numbers of groups; equal ones are added up."""
+    rows, part, n, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    order = np.lexsort((*rows.view(">u8").astype(np.uint64).T[::-1], codes, part))
+    rows, part, n, codes = rows[order], part[order], n[order], codes[order]
+    first = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (codes[1:] != codes[:-1]) | (rows[1:] != rows[:-1]).any(axis=1)))) if len(rows) else np.zeros(0, dtype=np.int64)
+    n, rows, part, codes = np.add.reduceat(n, first) if len(first) else n, rows[first], part[first], codes[first]
+    at = np.searchsorted(part, np.arange(parts + 1))
+    some = [p for p in range(parts) if at[p] < at[p + 1]]
+    sizes, raw = (rows != 0).sum(axis=1).astype(np.uint8), []
+    for s in (slice(at[p], at[p + 1]) for p in some):
+        own, number = np.unique(codes[s], return_inverse=True)
+        named = json.dumps([names[c] for c in own]).encode()
+        raw.append(b"".join((len(named).to_bytes(8, "little"), named, sizes[s].tobytes(), _planes(n[s]), _planes(number), rows[s][rows[s] != 0].tobytes())))
+    return _packed(some, [int(at[p + 1] - at[p]) for p in some], raw)
+
+
+def group_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """g, t and n of ``group_packs``."""
+    for _, count, raw in _unpacked(batches):
+        named = 8 + int.from_bytes(raw[:8], "little")
+        names, raw = pa.array(json.loads(raw[8:named]), pa.string()), raw[named:]
+        sizes, n, number, flat = raw[:count], _numbers(raw[count : 9 * count], count), _numbers(raw[9 * count : 17 * count], count), raw[17 * count :]
+        ends = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, dtype=np.uint8), dtype=np.int32))).astype(np.int32)
+        texts = pa.Array.from_buffers(pa.string(), count, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(number)), texts, pa.array(n)], names=["g", "t", "n"])
+
+
 def _chain_texts(batches: Iterator[pa.RecordBatch], parts: int | None = None) -> Iterator[pa.RecordBatch]:
     """t and n of packed chains, and g before them where ``parts`` is given: "w" for the counts of first words, "" for chains."""
     for part, count, raw in _unpacked(batches):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lexiloom import session
 from lexiloom.functions import text as T
+from lexiloom.operators import exact
 from lexiloom.operators.frequent import Frequent
 
 
@@ -42,7 +43,12 @@ def added(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def chain_counts(lines: DataFrame, line_col: str = "line", weight: Column | None = None, window: int = T.WINDOW) -> DataFrame:
-    """chain and n, the weighted count of every chain of the lines."""
+    """chain and n, the weighted count of every chain of the lines.
+
+    Without weights only hashes of the chains that occur once are shuffled; those are counted now.
+    """
+    if weight is None and window == T.WINDOW:
+        return exact.counts_of_lines(lines, line_col)
     return added(chain_rows(lines, line_col, weight, window))
 
 

@@ -31,6 +31,11 @@ def _lines(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     return R.lines_of(session.dealt(_table(spark, sf_dir, "documents")), "text", *keep)
 
 
+def _streamed_lines(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """As ``_lines``, for tasks that hold a part of their texts at once: large tables are not dealt anew."""
+    return R.lines_of(session.spread(_table(spark, sf_dir, "documents")), "text", *keep)
+
+
 def _stamp(spark: SparkSession, path: str) -> str:
     """Tells versions of a table apart: by place, size and time of change."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -140,7 +145,7 @@ def normalize_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chain_counts(spark: SparkSession, d: str) -> DataFrame:
-    return I.chain_counts(_lines(spark, d))
+    return I.chain_counts(_streamed_lines(spark, d))
 
 
 def prefix_counts(spark: SparkSession, d: str) -> DataFrame:
