@@ -362,6 +362,7 @@ def streaming_counts(spark: SparkSession, d: str) -> DataFrame:
     from lexiloom.streaming.incremental import current_counts, stream_counts
 
     base = f"{session.shared_dir(spark)}/stream-{zlib.crc32(d.encode()):08x}-{spark.sparkContext.applicationId}"
+    session.remove_at_end(spark, base)
     source = _table(spark, d, "documents")
     lines = R.lines_of(spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(_stream_source(d)))
     stream_counts(lines, f"{base}/counts", f"{base}/progress").awaitTermination()

@@ -96,6 +96,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What is in a folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return [x.getPath().getName() for x in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
+
+
 def rename(spark: SparkSession, path: str, to: str) -> None:
     """Give a folder another name, which no other one has."""
     at, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (path, to))

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from test_index import LINES, model_chains, norm
@@ -77,3 +78,28 @@ def test_chain_counts_of_weights_and_windows(spark):
     assert {r.chain: r.n for r in I.chain_counts(df, weight=F.col("w")).collect()} == {"a b a ": 2, "b a ": 2, "a ": 2, "a b ": None, "b ": None, "c ": None}
     assert {r.chain: r.n for r in I.chain_counts(df, window=2).collect()} == {"a ": 3, "b ": 2, "c ": 1}
     assert I.chain_counts(df.limit(0)).count() == 0
+
+
+def test_streamed_batches_add_up(spark, tmp_path):
+    """A batch is stored as its counts, compressed, and shuffles no chains that occur once; a batch more is added to it."""
+    from lexiloom.streaming.incremental import current_counts, stream_counts
+
+    source, counts = tmp_path / "lines", (tmp_path / "counts").as_uri()
+    source.mkdir()
+    place = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    left = lambda: {x.name for x in place.rglob("shuffle_*.data")}
+    plain, before = [], left()
+    for i in range(3):
+        new = [x for x in corpus(i, 60) if x and "\n" not in x and "\0" not in x]
+        (source / f"{i}.txt").write_text("\n".join(new) + "\n")
+        plain += new
+        lines = spark.readStream.text(source.as_uri()).withColumnRenamed("value", "line")
+        stream_counts(lines, counts, (tmp_path / "progress").as_uri()).awaitTermination()
+        assert left() <= before
+        got = current_counts(spark, counts)
+        assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == (i > 0)
+        rows = got.collect()
+        assert len(rows) == len({r.chain for r in rows}) and {r.chain: r.n for r in rows} == counted(plain)
+        before |= left()
+    files = list((tmp_path / "counts").rglob("*.parquet"))
+    assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
