@@ -227,9 +227,9 @@ def _counts(rows: DataFrame, read: Read) -> DataFrame:
     with session.shuffles_dropped(spark):
         keys = rows.mapInArrow(partial(_hash_packs, read=read, bits=bits), Q._PACK).repartitionById(parts, F.expr(f"cast((part * {parts}L) >> {bits} as int)")).sortWithinPartitions("part")
         slices = [(r.part, r["count"], bytes(r.pack)) for r in keys.mapInArrow(partial(_repeated_bits, bits=bits), Q._PACK).collect()]
-    sent = spark.sparkContext.broadcast(slices)
+    sent, few = spark.sparkContext.broadcast(slices), max(parts // Q.FEWER, min(parts, spark.sparkContext.defaultParallelism))
     once = rows.mapInArrow(lambda b: _once(b, read, sent.value), "g string, chain string, n long")
-    packs = rows.mapInArrow(lambda b: _repeat_packs(b, read, sent.value, parts), Q._PACK).repartitionById(parts, "part")
+    packs = rows.mapInArrow(lambda b: _repeat_packs(b, read, sent.value, few), Q._PACK).repartitionById(few, "part")
     met = packs.mapInArrow(Q.group_texts, "g string, t string, n long").sortWithinPartitions("g", "t")
     return once.unionByName(met.mapInArrow(added_runs, "g string, chain string, n long"))
 

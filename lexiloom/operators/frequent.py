@@ -11,7 +11,7 @@ so that the files of one are gone when the next one's are written.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -159,6 +159,53 @@ class Words:
         return rows, np.where(last > at, self.pairs[at], self.words[at]), self.n[at]
 
 
+#: For the hashes of the first word, pair and triple of a chain.
+_FACTORS = (_WORD, _LEFT, _RIGHT)
+
+
+class Counted:
+    """The first words, pairs and triples of counted chains of up to WINDOW characters: their other pairs are not known to be chains too."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: np.ndarray):
+        if len(starts) and ((ends - starts).max() > T.WINDOW or not data.all()):
+            raise ValueError(f"chains must have at most {T.WINDOW} characters, and no NUL")
+        blanks = np.concatenate((np.flatnonzero(data == 0x20), [len(data)] * len(_FACTORS)))
+        at = np.searchsorted(blanks, starts)
+        self.data, self.starts, self.n = data, starts, n
+        self.stops = [blanks[at + k] for k in range(len(_FACTORS))]
+        self.there = [x < ends for x in self.stops]
+        self.hashes = [_mixed(_hashes(data, starts, np.minimum(x, ends)) * factor) >> np.uint64(64 - KEY_BITS) for x, factor in zip(self.stops, _FACTORS, strict=True)]
+        self.last = blanks[np.searchsorted(blanks, ends) - 1]
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        n = np.maximum(self.n, 0)  # what is taken away holds nothing back
+        return np.concatenate([h[x] for h, x in zip(self.hashes, self.there, strict=True)]), np.concatenate([n[x] for x in self.there])
+
+    def chains(self, bits: np.ndarray, within: Range | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``Words.chains``: chains are cut to what is frequent of their first words, others to whole words."""
+        word, pair, triple = self.there[0].copy(), self.there[1].copy(), self.there[2].copy()
+        word[word] = _has(bits, self.hashes[0][word])
+        pair &= word
+        pair[pair] = _has(bits, self.hashes[1][pair])
+        triple &= pair
+        triple[triple] = _has(bits, self.hashes[2][triple])
+        at = np.flatnonzero(word)
+        to = np.where(triple, self.last, np.where(pair, self.stops[1], self.stops[0]))[at]
+        rows = np.lib.stride_tricks.sliding_window_view(np.concatenate((self.data, np.zeros(T.WINDOW, dtype=np.uint8))), T.WINDOW)[self.starts[at]]
+        rows = np.where(np.arange(T.WINDOW) < (to + 1 - self.starts[at])[:, None], rows, 0).astype(np.uint8)
+        return rows, np.where(pair, self.hashes[1], self.hashes[0])[at], self.n[at]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[Counted]:
+    """The counted chains of batches (line, n)."""
+    for batch in batches:
+        texts = batch.column(0).cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if len(texts) and offsets[-1] > offsets[0]:
+            data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+            yield Counted(data, offsets[:-1] - offsets[0], offsets[1:] - offsets[0], batch.column(1).fill_null(0).to_numpy())
+
+
 def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = (keys >> np.uint64(KEY_BITS - FILTER_BITS)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
@@ -213,7 +260,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, byt
             yield part.as_py(), count.as_py(), codec.decompress(pack.as_buffer(), size.as_py(), asbytes=True)
 
 
-def _key_packs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _key_packs(batches: Iterator[pa.RecordBatch], parts: int, read: Callable = _words) -> Iterator[pa.RecordBatch]:
     """Packs of the keys of every part, a range of keys, with the sums of their weights."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -226,7 +273,7 @@ def _key_packs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Rec
         own = [slice(cuts[p], cuts[p + 1]) for p in some]
         return _packed(some, [s.stop - s.start for s in own], [_planes(np.diff(keys[s], prepend=np.uint64(0))) + _planes(n[s]) for s in own])
 
-    for words in _words(batches):
+    for words in read(batches):
         held.append(words.keys())
         if sum(len(k) for k, _ in held) >= KEYS_AT_ONCE:
             yield packs()
@@ -276,7 +323,7 @@ def _first_words(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(sizes > end + 1), words[first], np.add.reduceat(n, first)
 
 
-def _chain_packs(batches: Iterator[pa.RecordBatch], slices: list, parts: int, within: Range | None = None) -> Iterator[pa.RecordBatch]:
+def _chain_packs(batches: Iterator[pa.RecordBatch], slices: list, parts: int, within: Range | None = None, read: Callable = _words) -> Iterator[pa.RecordBatch]:
     """Packs of the chains that may be frequent, cut and added up, by the hash of their first words.
 
     Those ``within`` a range are parted by its cuts; packs of the parts from ``parts`` on have the counts of first words,
@@ -310,7 +357,7 @@ def _chain_packs(batches: Iterator[pa.RecordBatch], slices: list, parts: int, wi
         yield pack(words, words_n, parted(words), parts)
         yield pack(rows[longer], n[longer], parted(rows[longer]), 0)
 
-    for words in _words(batches):
+    for words in read(batches):
         rows, firsts, n = words.chains(bits, within)
         if len(rows):
             part = np.zeros(len(rows), dtype=np.int32) if within is not None else (_mixed(firsts) % np.uint64(parts)).astype(np.int32)
@@ -389,24 +436,28 @@ def _ranges(drawn: list, slices: list, rounds: int, parts: int) -> list[Range]:
 
 
 class Frequent:
-    """What may be frequent in lines: words and pairs of words, counted when this is made."""
+    """What may be frequent in lines: words and pairs of words, counted when this is made.
 
-    def __init__(self, lines: DataFrame, cutoff: int, line_col: str = "line", weight: Column | None = None):
+    With ``chained`` the lines are chains already, with their counts as weights, and have ``chains`` only.
+    """
+
+    def __init__(self, lines: DataFrame, cutoff: int, line_col: str = "line", weight: Column | None = None, chained: bool = False):
         spark = lines.sparkSession
         session.attach(spark)
         self.rows = lines.select(F.coalesce(F.col(line_col), F.lit("")).alias("line"), (F.lit(1) if weight is None else weight).cast("long").alias("n"))
         parts = session.parts(self.rows)
         self.parts = max(parts // FEWER, min(parts, spark.sparkContext.defaultParallelism))
         ranges = 1 << (self.parts - 1).bit_length()
-        keys = self.rows.mapInArrow(lambda b: _key_packs(b, ranges), _PACK).repartitionById(ranges, "part")
+        self.read = read = _counted if chained else _words
+        keys = self.rows.mapInArrow(lambda b: _key_packs(b, ranges, read), _PACK).repartitionById(ranges, "part")
         with session.shuffles_dropped(spark):
             self.slices = [(r.part, r["count"], bytes(r.pack)) for r in keys.mapInArrow(lambda b: _bit_slices(b, cutoff, ranges), _PACK).collect()]
         self.sent = spark.sparkContext.broadcast(self.slices)
 
     def chains(self) -> DataFrame:
         """t and n; all rows of a chain's first two words, or of its one word, are in one partition."""
-        sent, parts = self.sent, self.parts
-        packs = self.rows.mapInArrow(lambda b: _chain_packs(b, sent.value, parts), _PACK).repartitionById(parts, "part")
+        sent, parts, read = self.sent, self.parts, self.read
+        packs = self.rows.mapInArrow(lambda b: _chain_packs(b, sent.value, parts, None, read), _PACK).repartitionById(parts, "part")
         return packs.mapInArrow(_chain_texts, "t string, n long")
 
     def ranges(self, rounds: int) -> list[DataFrame]:

@@ -167,11 +167,27 @@ def corpus_total(prefixes: DataFrame) -> DataFrame:
     return prefixes.filter(F.expr("instr(text, ' ') = length(text)")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_total"))
 
 
-def merge(shards: list[DataFrame], cutoff: int, text_col: str = "chain", n_col: str = "n") -> DataFrame:
-    """Prefix counts over several shards of counted texts; equal texts add up."""
+def _met_prefixes(chains: DataFrame, cutoff: int) -> DataFrame:
+    """g, text and c of the prefixes of rows (g, t, n) of which all with the same first two words are in one partition."""
+    return chains.sortWithinPartitions("g", "t").mapInArrow(lambda batches: _sorted_runs(batches, cutoff), "g string, text string, c long")
+
+
+def stored_prefix_counts(counted: DataFrame, cutoff: int = 1, text_col: str = "chain", n_col: str = "n") -> DataFrame:
+    """As ``prefix_counts`` of chains of up to WINDOW characters that are stored, so that reading them twice is cheap.
+
+    Their first words, pairs and triples are counted now; of chains that begin with rare ones only what is frequent is shuffled.
+    """
+    chains = Frequent(counted, checked_cutoff(cutoff), text_col, F.col(n_col), chained=True).chains()
+    runs = _met_prefixes(chains.select(F.lit("").alias("g"), "t", "n"), cutoff)
+    return runs.groupBy("text").agg(F.sum("c").alias("c")).filter(F.col("c") >= cutoff)
+
+
+def merge(shards: list[DataFrame], cutoff: int, text_col: str = "chain", n_col: str = "n", stored: bool = False) -> DataFrame:
+    """Prefix counts over several shards of counted texts; equal texts add up.  With ``stored`` by ``stored_prefix_counts``."""
     if not shards:
         raise ValueError("at least one shard must be given")
-    return prefix_counts(reduce(DataFrame.unionByName, [s.select(text_col, n_col) for s in shards]), cutoff, text_col, n_col)
+    counts = stored_prefix_counts if stored else prefix_counts
+    return counts(reduce(DataFrame.unionByName, [s.select(text_col, n_col) for s in shards]), cutoff, text_col, n_col)
 
 
 def merge_two_stage(counted: DataFrame, group_col: str, first: int = 2, second: int = 5, text_col: str = "chain", n_col: str = "n") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexiloom import session
 from lexiloom.functions import markup
 from lexiloom.functions import text as T
+from lexiloom.operators import exact
 from lexiloom.operators import index as I
 from lexiloom.operators import search as S
 from lexiloom.plans.pattern import Matcher
@@ -349,9 +350,11 @@ def framing_files(spark: SparkSession, d: str) -> DataFrame:
 def stored_shards(spark: SparkSession, d: str) -> DataFrame:
     """Chain counts stored by source, read by their paths and merged."""
     path = _folder(spark, "shards")
-    lines = _lines(spark, d, "source").select(F.coalesce("source", F.lit("")).alias("source"), "line")
-    R.save_shards(I.added(I.chain_rows(lines, "line", None, T.WINDOW, "source"), "source"), path, "source")
-    return I.merge([R.read_shards(spark, path)], CUTOFF)
+    session.remove_at_end(spark, path)
+    lines = _streamed_lines(spark, d, "source").select(F.coalesce("source", F.lit("")).alias("source"), "line")
+    with session.shuffles_dropped(spark):
+        R.save_shards(exact.counts_of_lines(lines, "line", "source"), path, "source")
+    return I.merge([R.read_shards(spark, path)], CUTOFF, stored=True)
 
 
 def strip_markup(spark: SparkSession, d: str) -> DataFrame:

@@ -14,7 +14,7 @@ from lexiloom.functions import markup
 
 #: Times a title counts (fixed value).
 TITLE_WEIGHT = 10
-#: Of a stored index: sorted texts and their keys take much less place with it than with Spark's usual one.
+#: Of a stored index and of shards: sorted texts and their keys, and chains in the order of a text, take much less place with it than with Spark's usual one.
 INDEX_CODEC = "zstd"
 BEGIN, END, DOC, DOC_END = "BEGIN ARTICLE:", "END ARTICLE:", "<doc ", "</doc>"
 
@@ -101,7 +101,7 @@ def articles_to_lines(pages: DataFrame, link_text: str = "target") -> DataFrame:
 
 def save_shards(counted: DataFrame, path: str, shard_col: str) -> None:
     """Write chain counts (shard, chain, n) as one folder a shard; never over others."""
-    counted.select(F.col(shard_col).alias("shard"), "chain", "n").write.mode("errorifexists").partitionBy("shard").parquet(path)
+    counted.select(F.col(shard_col).alias("shard"), "chain", "n").write.mode("errorifexists").option("compression", INDEX_CODEC).partitionBy("shard").parquet(path)
 
 
 def read_shards(spark: SparkSession, *paths: str) -> DataFrame:

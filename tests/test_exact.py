@@ -103,3 +103,35 @@ def test_streamed_batches_add_up(spark, tmp_path):
         before |= left()
     files = list((tmp_path / "counts").rglob("*.parquet"))
     assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+
+
+def test_stored_chains_merge_as_all_chains_do(spark):
+    """Chains of any table: the pairs after the first are no chains of it, and counts may be taken away or missing."""
+    rng = random.Random(8)
+    rows = [("".join(rng.choice(["a ", "b ", "the ", "x" * 12 + " ", "c"]) for _ in range(rng.randint(0, 5)))[:40], rng.choice([1, 1, 2, 9, -2, None])) for _ in range(2000)]
+    rows += [(f"r{i} s{i} t ", 1) for i in range(500)] + [(f"w s{i} t ", 1) for i in range(500)] + [(None, 3), ("", 2)]
+    df = spark.createDataFrame(rows, "chain string, n long")
+    for cutoff in (1, 5, 60):
+        want = {(r.text, r.c) for r in I.merge([df, df.limit(0)], cutoff).collect()}
+        got = I.merge([df, df.limit(0)], cutoff, stored=True)
+        assert sorted((r.text, r.c) for r in got.collect()) == sorted(want)
+    with pytest.raises(Exception, match="at most 40"):
+        I.merge([df.select(F.repeat(F.lit("a "), 21).alias("chain"), "n")], 5, stored=True).collect()
+    rows = spark.createDataFrame([("a b c d ", 1), ("a b c e ", 1), ("a b d e ", 1)], "chain string, n long")
+    assert {r.t for r in Q.Frequent(rows, 2, "chain", F.col("n"), chained=True).chains().collect()} == {"a b c d ", "a b c e ", "a b "}
+    sent = {r.t for r in Q.Frequent(df, 5, "chain", F.col("n"), chained=True).chains().collect()}
+    assert "w " in sent and not any(t.startswith(("r", "w s")) for t in sent)
+
+
+def test_stored_shards_take_little_place(spark, tmp_path):
+    """Stored by group without a shuffle of the chains that occur once, and compressed."""
+    from lexiloom.sources import readers as R
+
+    plain = [f"w{i % 7} x{i} y{i} z{i} the end" for i in range(500)]
+    df = spark.createDataFrame([(x, f"g{i % 3}") for i, x in enumerate(plain)], "line string, g string")
+    path = tmp_path / "shards"
+    R.save_shards(E.counts_of_lines(df, "line", "g"), path.as_uri(), "g")
+    for k in range(3):
+        assert {r.chain: r.n for r in R.read_shards(spark, f"{path.as_uri()}/shard=g{k}").collect()} == counted(plain[k::3])
+    files = list(path.rglob("*.parquet"))
+    assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
