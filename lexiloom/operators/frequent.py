@@ -387,6 +387,28 @@ def group_packs(held: list[tuple[np.ndarray, ...]], parts: int, names: list[str
     return _packed(some, [int(at[p + 1] - at[p]) for p in some], raw)
 
 
+def _group_packs(batches: Iterator[pa.RecordBatch], slices: list, parts: int) -> Iterator[pa.RecordBatch]:
+    """``_chain_packs`` of lines (line, n, g), of which every chain has the group of its line and counts once."""
+    bits = _all_bits(slices)
+    held: list[tuple[np.ndarray, ...]] = []
+    names: list[str | None] = []
+    known: dict[str | None, int] = {}
+    for batch in batches:
+        for name in (found := batch.column(2).dictionary_encode(null_encoding="encode")).dictionary.to_pylist():
+            if name not in known:
+                known[name] = len(names)
+                names.append(name)
+        code = np.array([known[x] for x in found.dictionary.to_pylist()], dtype=np.int64)[found.indices.to_numpy(zero_copy_only=False)]
+        # The number of the group goes where the weight of a line does.
+        for words in _words(iter([pa.RecordBatch.from_arrays([batch.column(0), pa.array(code)], names=["line", "n"])])):
+            rows, firsts, codes = words.chains(bits)
+            held.append((rows, (_mixed(firsts) % np.uint64(parts)).astype(np.int32), np.ones(len(rows), dtype=np.int64), codes))
+            if sum(len(x[0]) for x in held) >= CHAINS_AT_ONCE:
+                yield group_packs(held, parts, names)
+    if held:
+        yield group_packs(held, parts, names)
+
+
 def group_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """g, t and n of ``group_packs``."""
     for _, count, raw in _unpacked(batches):
@@ -460,6 +482,13 @@ class Frequent:
         packs = self.rows.mapInArrow(lambda b: _chain_packs(b, sent.value, parts, None, read), _PACK).repartitionById(parts, "part")
         return packs.mapInArrow(_chain_texts, "t string, n long")
 
+    def group_chains(self, lines: DataFrame, line_col: str, group_col: str) -> DataFrame:
+        """g, t and n: ``chains`` of the same lines, without weights, by their group; frequent is what is so in all groups together."""
+        sent, parts = self.sent, self.parts
+        rows = lines.select(F.coalesce(F.col(line_col), F.lit("")).alias("line"), F.lit(1).cast("long").alias("n"), F.col(group_col).cast("string").alias("g"))
+        packs = rows.mapInArrow(lambda b: _group_packs(b, sent.value, parts), _PACK).repartitionById(parts, "part")
+        return packs.mapInArrow(group_texts, "g string, t string, n long")
+
     def ranges(self, rounds: int) -> list[DataFrame]:
         """g, t and n: of ranges of texts, in order, chains of two words or more (g is "") and counts of first words ("w").
 

@@ -199,6 +199,44 @@ def merge_two_stage(counted: DataFrame, group_col: str, first: int = 2, second:
     return grouped.groupBy("text").agg(F.sum("c").alias("c")).filter(F.col("c") >= second)
 
 
+#: Rows of prefixes that are added up over their groups at once.
+RUNS_AT_ONCE = 1 << 21
+
+
+def _over_groups(runs: Iterator[pa.RecordBatch], cutoff: int) -> Iterator[pa.RecordBatch]:
+    """g, text and c of first words as they are; prefixes of two words or more, which are in this partition only, are added up over their groups, and rare ones go."""
+    held, size = [], 0
+
+    def added_up() -> pa.Table:
+        return pa.Table.from_batches(held).group_by("text").aggregate([("c", "sum")]).rename_columns(["text", "c"])
+
+    for run in runs:
+        longer = pc.greater(pc.count_substring(run.column(1), " "), 1)
+        yield run.filter(pc.invert(longer))
+        held.append(run.filter(longer).select(["text", "c"]))
+        size += held[-1].num_rows
+        if size >= RUNS_AT_ONCE:
+            held = added_up().combine_chunks().to_batches()
+            size = 0
+    if held:
+        table = added_up()
+        for batch in table.filter(pc.greater_equal(table["c"], cutoff)).to_batches():
+            yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.string()), *batch.columns], names=["g", "text", "c"])
+
+
+def merge_two_stage_lines(lines: DataFrame, group_col: str, first: int = 2, second: int = 5, line_col: str = "line") -> DataFrame:
+    """As ``merge_two_stage`` of the chains of lines in groups; words and pairs of words are counted now, and chains of rare ones are not shuffled.
+
+    What passes both cutoffs occurs at least as often as the larger one asks, over all groups.
+    """
+    least = max(checked_cutoff(first), checked_cutoff(second))
+    chains = Frequent(lines, least, line_col).group_chains(lines, line_col, group_col)
+    runs = chains.sortWithinPartitions("g", "t").mapInArrow(lambda batches: _over_groups(_sorted_runs(batches, first), second), "g string, text string, c long")
+    longer = F.instr("text", " ") < F.length("text")
+    grouped = runs.groupBy("g", "text").agg(F.sum("c").alias("c")).filter((F.col("c") >= first) | longer)
+    return grouped.groupBy("text").agg(F.sum("c").alias("c")).filter(F.col("c") >= second)
+
+
 def indexed(prefixes: DataFrame) -> DataFrame:
     """Prefix counts with what searches filter by: first character, words, letters, letter and telephone keys."""
     text = F.col("text")

@@ -171,8 +171,8 @@ def merge_shards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_two_stage(spark: SparkSession, d: str) -> DataFrame:
-    lines = _lines(spark, d, "source").select(F.coalesce("source", F.lit("")).alias("g"), "line")
-    return I.merge_two_stage(I.chain_rows(lines, "line", None, T.WINDOW, "g"), "g", 2, CUTOFF)
+    lines = _streamed_lines(spark, d, "source").select(F.coalesce("source", F.lit("")).alias("g"), "line")
+    return I.merge_two_stage_lines(lines, "g", 2, CUTOFF)
 
 
 def title_boost(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
-from test_index import LINES, model_chains, norm
+from test_index import LINES, model_chains, norm, prefixes
 
 from lexiloom.operators import exact as E
 from lexiloom.operators import frequent as Q
@@ -135,3 +135,29 @@ def test_stored_shards_take_little_place(spark, tmp_path):
         assert {r.chain: r.n for r in R.read_shards(spark, f"{path.as_uri()}/shard=g{k}").collect()} == counted(plain[k::3])
     files = list(path.rglob("*.parquet"))
     assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+
+
+def test_two_stages_over_lines_shuffle_no_rare_chains(monkeypatch):
+    """Prefixes pruned in their groups and added up over them, from packs of chains without the rare ones."""
+    groups = ["g", None, "", "é"]
+    plain = corpus(6, 200) + [f"w x{i} y{i} the end" for i in range(100)]
+    rows = pa.table({"line": [x or "" for x in plain], "n": pa.array([1] * len(plain), pa.int64()), "g": [groups[i % 4] for i in range(len(plain))]})
+    monkeypatch.setattr(I, "RUNS_AT_ONCE", 20)
+    monkeypatch.setattr(Q, "CHAINS_AT_ONCE", 100)
+    batches = lambda: iter(rows.to_batches(70))
+    of_group = Counter((groups[i % 4], p) for i, x in enumerate(plain) for c in model_chains(norm(x)) for p in prefixes(c))
+    for first, second in ((2, 5), (7, 3), (3, 40)):
+        want = Counter()
+        for (_, p), n in of_group.items():
+            want[p] += n if n >= first else 0
+        slices = [(x["part"], x["count"], x["pack"]) for b in Q._bit_slices(Q._key_packs(batches(), 4), max(first, second), 4) for x in b.to_pylist()]
+        sent = pa.Table.from_batches(list(Q.group_texts(Q._group_packs(batches(), slices, 1)))).sort_by([("g", "ascending"), ("t", "ascending")])
+        assert not any("x1 " in t or t.startswith("y") for t in sent["t"].to_pylist())
+        runs = [x for b in I._over_groups(I._sorted_runs(iter(sent.to_batches(30)), first), second) for x in b.to_pylist()]
+        longer = {x["text"]: x["c"] for x in runs if x["text"].count(" ") > 1}
+        assert longer == {p: n for p, n in want.items() if n >= second and p.count(" ") > 1} and longer
+        words = Counter()
+        for (_, p), n in Counter({(x["g"], x["text"]): 0 for x in runs}).items():
+            c = sum(x["c"] for x in runs if (x["g"], x["text"]) == (_, p))
+            words[p] += c if p.count(" ") == 1 and c >= first else 0
+        assert {p: n for p, n in words.items() if n >= second} == {p: n for p, n in want.items() if n >= second and p.count(" ") == 1}
