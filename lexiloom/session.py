@@ -67,8 +67,8 @@ def parts(df: DataFrame) -> int:
     """How many partitions a shuffle of chains should have, by the size of the table."""
     spark = df.sparkSession
     usual, size = int(spark.conf.get("spark.sql.shuffle.partitions")), _size(df)
-    # A table of unknown size counts as the largest number there is.
-    if size >= int(str(spark._jsparkSession.sessionState().conf().defaultSizeInBytes())):
+    # A table of unknown size counts as the largest number there is, and as a part of it where columns were taken from it.
+    if size >= int(str(spark._jsparkSession.sessionState().conf().defaultSizeInBytes())) >> 10:
         return usual
     return min(max(-(-size // PART), min(usual, spark.sparkContext.defaultParallelism)), MOST_PARTS)
 

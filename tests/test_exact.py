@@ -161,3 +161,11 @@ def test_two_stages_over_lines_shuffle_no_rare_chains(monkeypatch):
             c = sum(x["c"] for x in runs if (x["g"], x["text"]) == (_, p))
             words[p] += c if p.count(" ") == 1 and c >= first else 0
         assert {p: n for p, n in words.items() if n >= second} == {p: n for p, n in want.items() if n >= second and p.count(" ") == 1}
+
+
+def test_tables_of_unknown_size_have_the_usual_partitions(spark):
+    """Also where columns were taken from them."""
+    from lexiloom import session
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize([("a", "b", 1)]), "x string, y string, n long")
+    assert session.parts(df) == session.parts(df.select("x")) == session.parts(df.select("n")) == 4
